@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import license_scan, source_mix
+from . import html_extract, license_scan, source_mix, vp_trees, warc_table
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark, sf_dir):
+    return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_license_scan(spark, sf_dir):
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_table(spark, sf_dir):
+    records = warc_table.read_archives(warc_table.write_archives(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_vp_trees(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return vp_trees.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op8_source_mix(spark, sf_dir):
     return source_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -24,4 +38,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_license_scan": license_scan.oracle(), "op8_source_mix": source_mix.ORACLE}
+    return {"op4_license_scan": license_scan.oracle(), "op5_warc_table": warc_table.ORACLE, "op6_vp_trees": vp_trees.ORACLE, "op8_source_mix": source_mix.ORACLE}

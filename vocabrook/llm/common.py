@@ -87,7 +87,7 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum(lengths)])
 
 
-_POW = np.cumprod(np.concatenate([[1], np.full(4095, 0xD6E8FEB86659FD93, np.uint64)]).astype(np.uint64))
+_POW = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
 
 
 def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

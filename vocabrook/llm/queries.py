@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_extract, license_scan, source_mix, vp_trees, warc_table
+from . import html_extract, license_scan, ngram_join, source_mix, vp_trees, warc_table
 
 
 def table(spark, sf_dir: str, name: str):
@@ -33,9 +33,13 @@ def op8_source_mix(spark, sf_dir):
     return source_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), k=4, threshold=85)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict:
-    return {"op4_license_scan": license_scan.oracle(), "op5_warc_table": warc_table.ORACLE, "op6_vp_trees": vp_trees.ORACLE, "op8_source_mix": source_mix.ORACLE}
+    return {"op4_license_scan": license_scan.oracle(), "op5_warc_table": warc_table.ORACLE, "op6_vp_trees": vp_trees.ORACLE, "op8_source_mix": source_mix.ORACLE, "op10_ngram_join": ngram_join.ORACLE}

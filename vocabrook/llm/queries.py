@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_extract, lang_mixture, license_scan, ngram_join, source_mix, vp_trees, warc_table
+from . import html_extract, lang_mixture, license_scan, ngram_join, source_mix, toxicity, vp_trees, warc_table
 
 
 def table(spark, sf_dir: str, name: str):
@@ -15,6 +15,10 @@ def op1_html_extract(spark, sf_dir):
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_lang_mixture(spark, sf_dir):
     return lang_mixture.predict_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_extract, lang_mixture, license_scan, ngram_join, source_mix, toxicity, vp_trees, warc_table
+from . import decontaminate, html_extract, lang_mixture, license_scan, ngram_join, source_mix, toxicity, vp_trees, warc_table
 
 
 def table(spark, sf_dir: str, name: str):
@@ -41,6 +41,10 @@ def op8_source_mix(spark, sf_dir):
     return source_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ngram_join(spark, sf_dir):
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), k=4, threshold=85)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, lang_mixture, license_scan, ngram_join, source_mix, toxicity, vp_trees, warc_table
+from . import decontaminate, html_extract, lang_mixture, license_scan, ngram_join, source_mix, suffix_dedup, toxicity, vp_trees, warc_table
 
 
 def table(spark, sf_dir: str, name: str):
@@ -37,6 +37,10 @@ def op6_vp_trees(spark, sf_dir):
     return vp_trees.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark, sf_dir):
     return source_mix.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -167,3 +167,22 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 def predict_languages(docs: DataFrame) -> DataFrame:
     """Fit on the rows outside fold 0, predict all rows."""
     return identify(docs, fit(docs.filter(crc_fold("doc_id") != 0)))
+
+
+def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The documents (all columns, all rows) in which a language is found with at least that proportion.
+
+    Fitted on the labelled rows of docs itself; without any, every row stays.
+    """
+    model = fit(docs.filter(crc_fold("doc_id") != 0))
+    if not model:
+        return docs
+    names = list(model)
+    shared = docs.sparkSession.sparkContext.broadcast(np.stack(list(model.values())))
+
+    @F.pandas_udf("double")
+    def proportion(text: pd.Series) -> pd.Series:
+        parts = [pd.Series([s if p != "und" else 0.0 for p, s, _ in infer([t if isinstance(t, str) else "" for t in c["text"]], names, shared.value)], index=c.index) for c in chunks([pd.DataFrame({"text": text})])]
+        return pd.concat(parts) if parts else pd.Series([], dtype="float64")
+
+    return docs.withColumn("_share", proportion("text")).filter(F.col("_share") >= least).select(*docs.columns)

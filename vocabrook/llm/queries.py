@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import decontaminate, html_extract, lang_mixture, license_scan, ngram_join, source_mix, suffix_dedup, toxicity, vp_trees, warc_table
 
 
@@ -54,8 +56,8 @@ def op10_ngram_join(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    return {k: f for k, f in globals().items() if k.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {"op4_license_scan": license_scan.oracle(), "op5_warc_table": warc_table.ORACLE, "op6_vp_trees": vp_trees.ORACLE, "op8_source_mix": source_mix.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
+    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {"op4_license_scan": license_scan.oracle(), "op5_warc_table": warc_table.ORACLE, "op6_vp_trees": vp_trees.ORACLE, "op8_source_mix": source_mix.ORACLE, "op10_ngram_join": ngram_join.ORACLE}

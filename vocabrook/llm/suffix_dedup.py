@@ -350,3 +350,33 @@ def brute_force(texts: dict[int, str]) -> dict[int, tuple[int, int, int, str]]:
         edge = np.diff(np.concatenate([[0], gone.view(np.int8)]))
         out[doc] = (len(b), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=False) if not g)).hexdigest())
     return out
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """The documents (all columns, all rows) with repeated bytes cut out of text; n_chars, if there, is counted again.
+
+    Bytes of a character that was cut in two are dropped; a null text stays null.
+    """
+    runs = settle(repeated_runs(docs), "runs")
+    release(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def rest(text: pd.Series, runs: pd.Series) -> pd.Series:
+        out = []
+        for t, r in zip(text, runs, strict=True):
+            if r is None or not len(r) or t is None:
+                out.append(t)
+                continue
+            b, at, parts = encode(t), 0, []
+            for a, z in merged(r):
+                parts.append(b[at:a])
+                at = z
+            out.append(b"".join([*parts, b[at:]]).decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    rows = docs.join(runs.select(F.col("doc").alias("_doc"), F.col("runs").alias("_runs")), F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    # texts without a run do not go to Python
+    touched = rows.filter("_runs is not null").withColumn("text", rest("text", "_runs"))
+    if "n_chars" in docs.columns:
+        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return touched.select(*docs.columns).unionByName(rows.filter("_runs is null").select(*docs.columns))

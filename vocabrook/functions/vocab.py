@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import _col
 
@@ -84,6 +85,6 @@ def _names(s: str) -> list[str]:
     return ([rest] if rest else []) + found[::-1]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def protein_names(values: pd.Series) -> pd.Series:
     return values.map(lambda s: _names(s) if isinstance(s, str) else [])

@@ -126,7 +126,7 @@ def obo_terms(rows: DataFrame, prefix: str, mesh_names: DataFrame, forward: Data
     doid(doid, doid_name, primary). In turn: the reverse mapping, an xref to a MeSH descriptor, an xref to DOID.
     """
     c, upper = F.col, prefix.upper()
-    xref = lambda ns: F.element_at(F.filter("xrefs", lambda x: x["namespace"] == ns), -1)["id"]
+    xref = lambda ns: F.try_element_at(F.filter("xrefs", lambda x: x["namespace"] == ns), F.lit(-1))["id"]
     has_mesh = F.coalesce(xref("MESH"), xref("MSH"))
     rows = rows.select(c("id").alias("oid"), c("name").alias("oname"), F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms"), has_mesh.alias("xmesh"), F.when(xref("DOID").startswith("DOID:"), xref("DOID")).otherwise(F.concat(F.lit("DOID:"), xref("DOID"))).alias("xdoid"))
     auto = reverse.filter(c("db") == upper).select(c("id").alias("oid"), c("mesh_id").alias("amesh"), c("mesh_name").alias("amesh_name"))

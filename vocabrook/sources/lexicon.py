@@ -158,8 +158,8 @@ def read_bioc(spark: SparkSession, path: str) -> DataFrame:
     )
     docs = spark.read.format("xml").option("rowTag", "document").schema(schema).load(path)
     rows = docs.select(F.split(F.coalesce("id", "_id"), " ", 2)[0].alias("doc_id"), F.explode("passage").alias("p")).select("doc_id", "p.offset", F.explode("p.annotation").alias("a"))
-    kind = F.element_at(F.filter("a.infon", lambda i: i["_key"] == "type"), 1)["_VALUE"]
-    at = F.element_at(F.col("a.location"), 1)
+    kind = F.try_element_at(F.filter("a.infon", lambda i: i["_key"] == "type"), F.lit(1))["_VALUE"]
+    at = F.try_element_at(F.col("a.location"), F.lit(1))
     return rows.select("doc_id", F.col("offset").alias("passage_offset"), F.col("a.text").alias("text"), kind.alias("type"), at["_offset"].alias("start"), (at["_offset"] + at["_length"]).alias("end"))
 
 

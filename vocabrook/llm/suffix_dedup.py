@@ -6,7 +6,8 @@ strings are judged on the input.
 1. Anchors: of the GRAM-byte grams inside every string of LENGTH bytes, the one with the smallest hash. Equal
    strings have anchors with equal grams, so a shard gets all strings with a gram, and only grams that occur in two
    documents matter. A batch of documents settles its own repeats and sends one row for each of them.
-2. Contexts: around such an anchor, the bytes that strings with it can cover. Equal contexts are one row.
+   Texts that equal that of a smaller doc_id hold nothing new: they go whole, and are no candidates.
+2. Contexts: the bytes of the strings that such an anchor stands for. Equal contexts are one row.
 3. Suffix arrays: each shard's contexts are sorted by induced sorting. Suffixes are classified, leftmost-smaller
    substrings are sorted (their names recursively by rank doubling), the array is induced from them bucket by
    bucket in linear time, and permuted common prefixes tell which suffixes share LENGTH bytes.
@@ -19,6 +20,7 @@ read. Texts are never cut; very long ones are worked on whole, a document at a t
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -28,10 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import chunks, mix, release, settle, small_batches
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # grams in a string
-#: A shard's contexts for each of these many bytes of text, on average.
-SHARD_TEXT = 24_000_000
+#: The anchors are dealt in so many rounds of a part of their keys: each round reads the texts again, and its shuffle is
+#: dropped before the next one, which divides the space that the largest shuffle takes.
+ROUNDS = 4
+#: A shard's contexts come from so many bytes of text, on average.
+SHARD_TEXT = 3_000_000
 
 
 # ---- suffix arrays ---------------------------------------------------------------------------
@@ -102,17 +107,27 @@ def induce(x: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> np.ndarray:
 
 def rank_doubling(names: np.ndarray) -> np.ndarray:
     """The suffix array of a string of names, its last one the unique smallest."""
-    rank, k, n = names.astype(np.int64), 1, len(names)
+    n, k = len(names), 1
+    rank = names.astype(np.int64)
+    order = np.argsort(rank)
     while True:
-        follow = np.zeros(n, np.int64)
-        follow[: n - k] = rank[k:] + 1 if k < n else 0
-        order = np.lexsort((follow, rank))
-        a, b = rank[order], follow[order]
-        new = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
+        # only places whose rank is shared are sorted again, by the rank k further on
+        group = rank[order]
+        edge = np.concatenate([[True], group[1:] != group[:-1], [True]])
+        shared = np.flatnonzero(~(edge[:-1] & edge[1:]))
+        if not len(shared):
             return order
+        own = order[shared]
+        follow = np.where(own + k < n, rank[np.minimum(own + k, n - 1)] + 1, 0)
+        key = rank[own] * (n + 1) + follow
+        turn = np.argsort(key)
+        order[shared] = own[turn]
+        key = key[turn]
+        # a rank is the first place of its group
+        new = np.where(np.concatenate([[True], key[1:] != key[:-1]]), shared, -1)
+        rank[order] = np.where(edge[:-1], np.arange(n), -1)
+        rank[order[shared]] = new
+        rank[order] = np.maximum.accumulate(rank[order])
         k *= 2
 
 
@@ -174,7 +189,7 @@ def encode(text) -> bytes:
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hash of the GRAM bytes from each position on; data is GRAM bytes longer than the result."""
     n = len(data) - GRAM
-    a, b, c = (np.ndarray((n,), "<u8", data, k, (1,)) for k in (0, 8, 16))
+    a, b, c = (np.ndarray((n,), "<u8", data, k, (1,)) for k in (0, 8, GRAM - 8))
     h = a * np.uint64(0x9E3779B97F4A7C15) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + (a >> np.uint64(29)))
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + c * np.uint64(0xA0761D6478BD642F)
     h ^= h >> np.uint64(29)
@@ -183,13 +198,15 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hash, text number and position of each anchor."""
+    """Gram hash, text number, position, and first and last string of each anchor (a string has one anchor)."""
     data = np.frombuffer(b"".join(texts) + b"\0" * (GRAM + 64), np.uint8)
     length = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.concatenate([[0], np.cumsum(length)])
     h = gram_hashes(data)
     six = np.uint64(63)
-    low = (h & ~six) | (np.arange(len(h), dtype=np.uint64) & six)
+    # of equal grams the position decides, counted from the text's start: the same wherever the text stands
+    base = np.concatenate([np.repeat(begin[:-1], length), np.full(len(h) - begin[-1], begin[-1])])
+    low = (h & ~six) | ((np.arange(len(h)) - base).astype(np.uint64) & six)
     # smallest of SPAN neighbours, by doubling
     width = 1
     while 2 * width <= SPAN:
@@ -199,18 +216,26 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = np.minimum(low[: -(SPAN - width)], low[SPAN - width :])
     count = np.maximum(length - LENGTH + 1, 0)
     start = np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    place = start + ((low[start] & six).astype(np.int64) - start & 63)
-    place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
-    place = np.unique(place)
-    owner = np.searchsorted(begin, place, "right") - 1
-    return h[place], owner, place - begin[owner]
+    place = start + ((low[start] & six).astype(np.int64) - (start - base[start]) & 63)
+    # neighbouring strings with one anchor: a string's anchor never lies before that of the string before it
+    cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
+    last = np.concatenate([cut[1:], [len(place)]])[: len(cut)] - 1
+    owner = np.searchsorted(begin, place[cut], "right") - 1
+    return h[place[cut]], owner, place[cut] - begin[owner], start[cut] - begin[owner], start[last] - begin[owner]
 
 
-def _anchor_rows(batches):
-    """key, doc, pos: pos >= 0 an anchor to be settled by key, -1 a key known to repeat, -2 - pos an anchor known to repeat."""
+def _anchor_rows(turn: int):
+    """The rows of the anchors whose gram hash is turn modulo ROUNDS."""
+    return lambda batches: _rows_of_turn(batches, turn)
+
+
+def _rows_of_turn(batches, turn: int):
+    """key, doc, pos (the anchor's first string): pos >= 0 to be settled by key, -1 a key known to repeat, -2 - pos known to repeat."""
     for pdf in chunks(batches):
         ids = pdf["doc_id"].to_numpy(np.int64)
-        h, owner, pos = anchors([encode(t) for t in pdf["text"]])
+        h, owner, _, pos, _ = anchors([encode(t) for t in pdf["text"]])
+        mine = (h >> np.uint64(7)) % np.uint64(ROUNDS) == turn
+        h, owner, pos = h[mine], owner[mine], pos[mine]
         if not len(h):
             continue
         doc = ids[owner]
@@ -227,16 +252,17 @@ def _anchor_rows(batches):
 
 
 def _context_rows(batches):
-    """gram, context, doc, at (the context's first byte): around each listed anchor."""
+    """gram, context, doc, at (the context's first byte): the bytes of the strings of each listed anchor."""
     for pdf in chunks(batches):
         rows = []
-        for doc, text, places in zip(pdf["doc_id"], pdf["text"], pdf["places"], strict=True):
-            b = encode(text)
-            places = np.unique(np.asarray(places, np.int64))
-            h = gram_hashes(np.frombuffer(b + b"\0" * GRAM, np.uint8))[places].view(np.int64)
-            for g, p in zip(h.tolist(), places.tolist(), strict=True):
-                at = max(0, p - SPAN + 1)
-                rows.append((g, b[at : p + LENGTH], doc, at))
+        raw = [encode(t) for t in pdf["text"]]
+        h, owner, _, first, last = anchors(raw)
+        cut = np.searchsorted(owner, np.arange(len(raw) + 1))
+        h = h.view(np.int64)
+        for i, (doc, b, places) in enumerate(zip(pdf["doc_id"], raw, pdf["places"], strict=True)):
+            a, z = cut[i], cut[i + 1]
+            own = a + np.searchsorted(first[a:z], np.unique(np.asarray(places, np.int64)))
+            rows += [(g, b[f : e + LENGTH], doc, f) for g, f, e in zip(h[own].tolist(), first[own].tolist(), last[own].tolist(), strict=True)]
         if rows:
             yield pd.DataFrame(rows, columns=["gram", "context", "doc", "at"])
 
@@ -276,13 +302,20 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    rows = docs.mapInPandas(_anchor_rows, "key long, doc long, pos int")
-    by_key = Window.partitionBy("key")
-    rows = rows.withColumn("repeats", (F.min("doc").over(by_key) < F.max("doc").over(by_key)) | (F.min("pos").over(by_key) == -1))
-    rows = rows.filter((F.col("pos") < -1) | ((F.col("pos") >= 0) & F.col("repeats")))
-    places = rows.select("doc", F.when(F.col("pos") < 0, -2 - F.col("pos")).otherwise(F.col("pos")).alias("pos"))
-    places = settle(places.groupBy("doc").agg(F.collect_list("pos").alias("places")), "places")
-    release(spark)
+    size = F.octet_length("text")
+    prints = docs.filter(size >= LENGTH).select("doc_id", F.sha2("text", 256).alias("print"), size.alias("size"))
+    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    copies = settle(prints.join(firsts, "print").filter("least < doc_id").select(F.col("doc_id").alias("doc"), "size"), "copies")
+    parts = []
+    for turn in range(ROUNDS):
+        rows = docs.mapInPandas(_anchor_rows(turn), "key long, doc long, pos int")
+        by_key = Window.partitionBy("key")
+        rows = rows.withColumn("repeats", (F.min("doc").over(by_key) < F.max("doc").over(by_key)) | (F.min("pos").over(by_key) == -1))
+        rows = rows.filter((F.col("pos") < -1) | ((F.col("pos") >= 0) & F.col("repeats")))
+        own = rows.select("doc", F.when(F.col("pos") < 0, -2 - F.col("pos")).otherwise(F.col("pos")).alias("pos"))
+        parts.append(settle(own.join(copies.select("doc"), "doc", "left_anti").groupBy("doc").agg(F.collect_list("pos").alias("places")), "places"))
+        release(spark)
+    places = functools.reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.flatten(F.collect_list("places")).alias("places"))
     held = docs.join(places.withColumnRenamed("doc", "doc_id"), "doc_id")
     contexts = held.mapInPandas(_context_rows, "gram long, context binary, doc long, at int").withColumn("code", F.xxhash64("context"))
     contexts = settle(contexts, "contexts")
@@ -292,7 +325,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     runs = distinct.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard").applyInPandas(_shard, "gram long, code long, first int, last int, least long")
     hits = contexts.select("gram", "code", "doc", "at").join(runs, ["gram", "code"]).filter("least < doc")
     hits = hits.select("doc", F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last") + LENGTH).alias("last")).alias("run"))
-    return hits.groupBy("doc").agg(F.collect_list("run").alias("runs"))
+    whole = copies.select("doc", F.struct(F.lit(0).alias("first"), F.col("size").cast("int").alias("last")).alias("run"))
+    return hits.unionByName(whole).groupBy("doc").agg(F.collect_list("run").alias("runs"))
 
 
 def merged(runs) -> list[tuple[int, int]]:

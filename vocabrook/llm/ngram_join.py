@@ -13,9 +13,15 @@ Pairs to compare, without listing all pairs of a group:
 1. Documents with equal sets are one class, represented by its smallest doc_id.
 2. Linked sets share a shingle in their prefixes (the first n - ceil(t * n) + 1 in the global order). Each such
    shingle's holders are compared with one of them, the head: a row for each holder, not for each pair.
+   The head is the holder whose first shared prefix shingle comes earliest: of a group of edited copies, the one
+   that has least of its own, and with which the others link if they link with any.
 3. Holders that both link with the head are connected. If one of two holders does not link with it, the pair is
-   compared itself, unless sizes or the triangle inequality rule it out: in each fragment the symmetric difference
-   of two sets is at least the difference of their symmetric differences with the head. So no link is lost.
+   compared itself, by what tells each of them from the head: a set x is head xor its difference, so the symmetric
+   difference of x and y is that of their differences, and only these few tokens are moved (sets that are far from
+   every head that they share are compared whole). So no link is lost.
+4. Before tokens are moved, a pair has to allow the link by its sizes, by positions (two sets share nothing that
+   comes before the first shared prefix shingle of either), and by segment lengths in BINS hash ranges (the symmetric
+   difference of two sets is at least the sum of the differences of their segment lengths).
 
 Components of the links are found by alternating large-star and small-star steps over tables in the shared folder.
 
@@ -27,6 +33,7 @@ Nothing is capped or sampled.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -34,9 +41,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, joined, mix, settle, small_batches, spans, word_hashes
+from .common import chunks, discard, joined, mix, release, settle, small_batches, spans, word_hashes
 
 FRAGMENTS = 16
+#: Prefix shingles are dealt in so many rounds of a part of them; a round's shuffle is dropped before the next one.
+ROUNDS = 3
+#: Hash ranges whose segment lengths are kept with each document.
+BINS = 128
 #: Counters of the sketch (2 ** SKETCH_BITS) and of one of its blocks. Its size does not depend on the data.
 SKETCH_BITS, BLOCK_BITS = 22, 16
 #: ASCII white space separates words.
@@ -75,6 +86,10 @@ def fingerprints(s: np.ndarray) -> tuple[int, int]:
     return int(a[0]), int(a[1])
 
 
+def segment_lengths(s: np.ndarray) -> np.ndarray:
+    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BINS), 32767).astype(np.int16)
+
+
 def _first_pass(k: int):
     size, block = 1 << SKETCH_BITS, 1 << BLOCK_BITS
 
@@ -86,12 +101,12 @@ def _first_pass(k: int):
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
                 rows += 1
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "fa": [p[0] for p in prints], "fb": [p[1] for p in prints], "block": pd.array([pd.NA] * len(pdf), "Int32"), "counts": None})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "fa": [p[0] for p in prints], "fb": [p[1] for p in prints], "lengths": [segment_lengths(s) for s in sets], "block": pd.array([pd.NA] * len(pdf), "Int32"), "counts": None})
         if rows:
             for b in range(size // block):
                 c = np.minimum(counts[b * block : (b + 1) * block], 65535).astype("<u2")
                 if c.any():
-                    yield pd.DataFrame({"doc_id": pd.array([pd.NA], "Int64"), "n": [0], "fa": [0], "fb": [0], "block": pd.array([b], "Int32"), "counts": [c.tobytes()]})
+                    yield pd.DataFrame({"doc_id": pd.array([pd.NA], "Int64"), "n": [0], "fa": [0], "fb": [0], "lengths": [None], "block": pd.array([b], "Int32"), "counts": [c.tobytes()]})
 
     return run
 
@@ -130,19 +145,21 @@ def fragment_of(s: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, FRAGMENTS - 1, (s >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int32)
 
 
-def _postings(k: int, threshold: int, shared):
+def _postings(k: int, threshold: int, shared, turn: int):
     def run(batches):
         classes = shared.value
         for pdf in chunks(batches):
-            tokens, owner, size = [], [], []
+            tokens, owner, place = [], [], []
             for s in shingle_sets(list(pdf["text"]), k):
                 if len(s):
                     p = in_order(s, classes)[0][: prefix_length(len(s), threshold)]
-                    tokens.append(p)
-                    owner.append(np.full(len(p), fingerprints(s)[0]))
-                    size.append(np.full(len(p), len(s), np.int32))
+                    at = np.flatnonzero((p >> np.uint64(3)) % np.uint64(ROUNDS) == turn)
+                    if len(at):
+                        tokens.append(p[at])
+                        owner.append(np.full(len(at), fingerprints(s)[0]))
+                        place.append(at.astype(np.int32))
             if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "fa": np.concatenate(owner), "n": np.concatenate(size)})
+                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "fa": np.concatenate(owner), "place": np.concatenate(place)})
 
     return run
 
@@ -161,17 +178,38 @@ def _segments(k: int, shared):
     return run
 
 
-_DELTAS = [f"d{j}" for j in range(FRAGMENTS)]
+def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """pairs(a, b) -> a, b, na, nb, common: partial overlaps of each fragment, summed."""
+    one = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    one = one.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("tokens").alias("ta")), ["a", "fragment"])
+    both = one.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("tokens").alias("tb")), ["b", "fragment"])
+    part = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("common"))
+    return part.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("na", "nb", "common")])
 
 
-def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """pairs(a, b) -> a, b, na, nb, common and d0.. (size of the symmetric difference in each fragment)."""
-    one = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+def differences(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """pairs(a, b) -> a, b, diff: the tokens that only one of the two sets has, fragment by fragment."""
+    one = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     one = one.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("tokens").alias("ta")), ["a", "fragment"])
     both = one.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("tokens").alias("tb")), ["b", "fragment"])
-    part = both.select("a", "b", "fragment", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("common"))
-    delta = F.col("na") + F.col("nb") - 2 * F.col("common")
-    return part.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("na", "nb", "common")], *[F.sum(F.when(F.col("fragment") == j, delta).otherwise(0)).cast("int").alias(d) for j, d in enumerate(_DELTAS)])
+    part = both.select("a", "b", F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")).alias("d"))
+    return part.groupBy("a", "b").agg(F.flatten(F.collect_list("d")).alias("diff"))
+
+
+#: How many times the difference of a link a set may be from its head to be compared by differences.
+CLOSE = 3
+
+
+def _gap():
+    """The least size of the symmetric difference, by segment lengths ha, hb."""
+    return F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
+
+
+def _possible(threshold: int):
+    """Whether sizes na, nb, what can be shared ra, rb, and segment lengths ha, hb allow a link; cheap tests come first."""
+    both = F.col("na") + F.col("nb")
+    shared = F.least("ra", "rb")
+    return F.when(100 * shared >= threshold * (both - shared), (100 + threshold) * _gap() <= (100 - threshold) * both).otherwise(False)
 
 
 def _linked(threshold: int):
@@ -208,48 +246,71 @@ def ngram_links(docs: DataFrame, k: int = 5, threshold: int = 80) -> tuple[DataF
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n int, fa long, fb long, block int, counts binary"
+    schema = "doc_id long, n int, fa long, fb long, lengths array<smallint>, block int, counts binary"
     first = settle(docs.mapInPandas(_first_pass(k), schema), "features")
     shared = spark.sparkContext.broadcast(frequency_classes(first.filter("block is not null").select("block", "counts")))
-    features = first.filter("block is null").select("doc_id", "n", "fa", "fb")
+    features = first.filter("block is null").select("doc_id", "n", "fa", "fb", "lengths")
     usable = features.filter("n > 0 and doc_id is not null")
-    classes = settle(usable.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep")), "classes")
-
-    postings = docs.filter("doc_id is not null").mapInPandas(_postings(k, threshold, shared), "token long, fa long, n int")
-    heads = postings.groupBy("token").agg(F.min("fa").alias("head"), F.max("fa").alias("other")).filter("head < other").drop("other")
+    classes = settle(usable.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep"), F.first("lengths").alias("lengths")), "classes")
+
+    parts = []
+    for turn in range(ROUNDS):
+        own = docs.filter("doc_id is not null").mapInPandas(_postings(k, threshold, shared, turn), "token long, fa long, place int")
+        several = own.groupBy("token").agg(F.min("fa").alias("least"), F.max("fa").alias("most")).filter("least < most").select("token")
+        parts.append(settle(own.join(several, "token").groupBy("token", "fa").agg(F.min("place").alias("place")), "postings"))
+        release(spark)
+    postings = functools.reduce(DataFrame.unionByName, parts)
+    before = postings.groupBy("fa").agg(F.min("place").alias("before"))
+    classes = settle(classes.join(before, "fa", "left").withColumn("r", F.col("n") - F.coalesce("before", F.lit(0))), "classes")
+    heads = postings.join(before, "fa").groupBy("token").agg(F.min(F.struct("before", "fa")).alias("m")).select("token", F.col("m.fa").alias("head"))
     met = postings.join(heads, "token").filter("fa <> head").select("head", "fa").distinct()
-    rep = classes.select("fa", "rep")
-    met = met.join(rep.select(F.col("fa").alias("head"), F.col("rep").alias("a")), "head").join(rep.select("fa", F.col("rep").alias("b")), "fa").select("a", "b")
+    side = lambda at, x: classes.select(F.col("fa").alias(at), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), F.col("lengths").alias(f"h{x}"))
+    met = met.join(side("head", "a"), "head").join(side("fa", "b"), "fa").drop("head", "fa")
     # two classes with one fa differ all the same: they are held against each other
-    twins = rep.groupBy("fa").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
-    met = settle(met.unionByName(twins).distinct(), "met")
-    involved = met.select(F.col("a").alias("doc_id")).unionByName(met.select(F.col("b").alias("doc_id"))).distinct()
-    segments = settle(docs.join(involved, "doc_id", "left_semi").mapInPandas(_segments(k, shared), "doc long, fragment int, tokens array<long>"), "segments")
-    # rows with one doc_id are one node
-    segments = segments.groupBy("doc", "fragment").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
-    known = settle(overlaps(met, segments), "overlaps")
-    links = known.filter(_linked(threshold)).select("a", "b")
-
+    twins = classes.groupBy("fa").agg(F.min("rep").alias("a"), F.max("rep").alias("rep")).filter("a < rep").drop("fa")
+    twins = twins.join(side("fa", "b").withColumn("rep", F.col("b")), "rep").drop("rep", "fa")
+    twins = twins.join(side("fa", "a").drop("fa"), "a")
+    met = settle(met.unionByName(twins).withColumn("possible", _possible(threshold)).withColumn("close", (100 + threshold) * _gap() <= CLOSE * (100 - threshold) * (F.col("na") + F.col("nb"))), "met")
+    held = lambda pairs: pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+    def segments_of(pairs: DataFrame) -> DataFrame:
+        own = docs.join(held(pairs), "doc_id", "left_semi").mapInPandas(_segments(k, shared), "doc long, fragment int, tokens array<long>")
+        # rows with one doc_id are one node
+        return settle(own.groupBy("doc", "fragment").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")), "segments")
+
+    pairs = met.filter("possible").select("a", "b").distinct()
+    segments = segments_of(pairs)
+    links = settle(overlaps(pairs, segments).filter(_linked(threshold)).select("a", "b"), "links")
+    discard(segments)
+    release(spark)
     found = settle(components(links), "components")
-    label = lambda side: F.coalesce(F.col(f"{side}_component"), F.col(side))
-    named = lambda df, side: df.join(found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component")), side, "left").withColumn(f"{side}_c", label(side)).drop(f"{side}_component")
-    member = known.select(F.col("a").alias("head"), F.col("b").alias("x"), F.col("nb").alias("nx"), F.array(*_DELTAS).alias("dx"), _linked(threshold).alias("lx"))
-    salted = named(member, "x")
-    left = salted.filter(~F.col("lx")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    right = salted.select("head", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("dx").alias("dy"), F.col("lx").alias("ly"), F.col("x_c").alias("y_c")).withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(8)).cast("int"))
-    gap = F.aggregate(F.zip_with("dx", "dy", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-    rest = left.join(right, ["head", "salt"]).filter(
-        (F.col("x_c") != F.col("y_c")) & (F.col("ly") | (F.col("x") < F.col("y")))
-        & (100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
-        & ((100 + threshold) * gap <= (100 - threshold) * (F.col("nx") + F.col("ny")))
-    )
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = settle(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    more = overlaps(rest, segments).filter(_linked(threshold)).select("a", "b")
-    found = settle(components(links.unionByName(more)), "components")
+    # pairs of one head's holders of which one is not linked with it, in two components
+    linked = links.withColumn("linked", F.lit(True))
+    member = met.join(linked, ["a", "b"], "left").select(F.col("a").alias("head"), F.col("b").alias("x"), "nb", "rb", "hb", "close", F.coalesce("linked", F.lit(False)).alias("linked"))
+    member = member.join(found.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("c", F.coalesce("component", "x"))
+    left = member.filter("not linked").select("head", F.col("x").alias("a"), F.col("nb").alias("na"), F.col("rb").alias("ra"), F.col("hb").alias("ha"), F.col("c").alias("ca"), F.col("close").alias("close_a")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    right = member.select("head", F.col("x").alias("b"), "nb", "rb", "hb", "linked", "close", F.col("c").alias("cb")).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int"))
+    rest = left.join(right, ["head", "salt"]).filter((F.col("ca") != F.col("cb")) & (F.col("linked") | (F.col("a") < F.col("b"))) & _possible(threshold))
+    rest = rest.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct((~(F.col("close") & F.col("close_a"))).alias("far"), "head")).alias("m"), F.first(F.col("na") + F.col("nb")).alias("both"))
+    done = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    rest = settle(rest.join(done, ["x", "y"], "left_anti"), "rest")
+    far = rest.filter("m.far").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    segments = segments_of(far)
+    whole = settle(overlaps(far, segments).filter(_linked(threshold)).select("a", "b"), "links")
+    discard(segments)
+    rest = rest.filter("not m.far").select("x", "y", "m.head", "both")
+    near = rest.select(F.col("head").alias("a"), F.col("x").alias("b")).unionByName(rest.select(F.col("head").alias("a"), F.col("y").alias("b"))).distinct()
+    segments = segments_of(near)
+    diff = settle(differences(near, segments), "differences")
+    discard(segments)
+    release(spark)
+    side = lambda x: diff.select(F.col("a").alias("head"), F.col("b").alias(x), F.col("diff").alias(f"d{x}"))
+    met_again = rest.join(side("x"), ["head", "x"]).join(side("y"), ["head", "y"])
+    gap = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
+    more = met_again.filter((100 + threshold) * gap <= (100 - threshold) * F.col("both")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = settle(components(links.unionByName(whole).unionByName(more)), "components")
     own = usable.join(classes, ["fa", "fb", "n"]).select("doc_id", "rep").groupBy("doc_id").agg(F.collect_set("rep").alias("reps"))
-    return features, own, found
+    return features.select("doc_id", "n"), own, found
 
 
 def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -274,3 +335,12 @@ r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT e.b, r.s
 SELECT doc_id, len(s)::BIGINT AS n_shingles, m.c AS component_id FROM s JOIN (SELECT node, min(seen) AS c FROM r GROUP BY node) m ON m.node = s.doc_id
 """
 ORACLE = ORACLE_TEMPLATE.format(k=4, t=85)
+
+
+def keep_first(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """The documents (all columns) without those whose component has a smaller doc_id.
+
+    Rows with a null doc_id and rows that share the kept doc_id stay.
+    """
+    later = ngram_components(docs, k, threshold).filter("component_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct()
+    return docs.join(later, F.col("doc_id").cast("long") == F.col("_later"), "left_anti")

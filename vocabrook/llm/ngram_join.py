@@ -18,7 +18,8 @@ Pairs to compare, without listing all pairs of a group:
 3. Holders that both link with the head are connected. If one of two holders does not link with it, the pair is
    compared itself, by what tells each of them from the head: a set x is head xor its difference, so the symmetric
    difference of x and y is that of their differences, and only these few tokens are moved (sets that are far from
-   every head that they share are compared whole). So no link is lost.
+   every head that they share are compared whole). So no link is lost. If x does not link with the head, a link of x
+   and y needs more than half of y's difference to be in x's too, so pairs are looked up by prefixes of the differences.
 4. Before tokens are moved, a pair has to allow the link by its sizes, by positions (two sets share nothing that
    comes before the first shared prefix shingle of either), and by segment lengths in BINS hash ranges (the symmetric
    difference of two sets is at least the sum of the differences of their segment lengths).
@@ -38,7 +39,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, discard, joined, mix, release, settle, small_batches, spans, word_hashes
@@ -188,12 +189,32 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def differences(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """pairs(a, b) -> a, b, diff: the tokens that only one of the two sets has, fragment by fragment."""
+    """pairs(a, b) -> a, b, na, nb, diff: sizes, and the tokens that only one of the two sets has, fragment by fragment."""
     one = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     one = one.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("tokens").alias("ta")), ["a", "fragment"])
     both = one.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("tokens").alias("tb")), ["b", "fragment"])
-    part = both.select("a", "b", F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")).alias("d"))
-    return part.groupBy("a", "b").agg(F.flatten(F.collect_list("d")).alias("diff"))
+    part = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")).alias("d"))
+    return part.groupBy("a", "b").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.flatten(F.collect_list("d")).alias("diff"))
+
+
+def sharing(diff: DataFrame, threshold: int) -> DataFrame:
+    """differences() of heads and members -> head, x, y that may link if x does not link with the head.
+
+    Rare tokens come first. With d(x) the size of x's difference and u = (100 - threshold) / (100 + threshold), a link
+    needs d(x) + d(y) - 2 * common <= u * (nx + ny), and d(x) > u * (nx + n(head)): so common is more than
+    (d(y) + u * (n(head) - ny)) / 2. It is also at least d(x) - nx * (100 - threshold) / threshold. Common tokens of
+    that number meet in the prefixes.
+    """
+    u = (100 - threshold) / (100 + threshold)
+    tokens = diff.select(F.col("a").alias("head"), F.col("b").alias("doc"), F.col("na").alias("nl"), F.col("nb").alias("n"), F.size("diff").alias("d"), F.explode("diff").alias("token"))
+    often = tokens.groupBy("head", "token").agg(F.count("*").alias("f"))
+    rank = F.row_number().over(Window.partitionBy("head", "doc").orderBy("f", "token"))
+    tokens = tokens.join(often, ["head", "token"]).withColumn("rank", rank).filter("f > 1")
+    most = lambda common: F.col("d") - F.greatest(F.lit(1), common) + 1
+    as_x = tokens.filter(F.col("rank") <= most(F.ceil(F.col("d") - F.col("n") * ((100 - threshold) / threshold) - 1e-6)))
+    as_y = tokens.filter(F.col("rank") <= most(F.floor((F.col("d") + u * (F.col("nl") - F.col("n"))) / 2 - 1e-6) + 1))
+    both = as_x.select("head", "token", F.col("doc").alias("x")).join(as_y.select("head", "token", F.col("doc").alias("y")), ["head", "token"])
+    return both.filter("x <> y").select("head", "x", "y").distinct()
 
 
 #: How many times the difference of a link a set may be from its head to be compared by differences.
@@ -291,20 +312,21 @@ def ngram_links(docs: DataFrame, k: int = 5, threshold: int = 80) -> tuple[DataF
     left = member.filter("not linked").select("head", F.col("x").alias("a"), F.col("nb").alias("na"), F.col("rb").alias("ra"), F.col("hb").alias("ha"), F.col("c").alias("ca"), F.col("close").alias("close_a")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
     right = member.select("head", F.col("x").alias("b"), "nb", "rb", "hb", "linked", "close", F.col("c").alias("cb")).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int"))
     rest = left.join(right, ["head", "salt"]).filter((F.col("ca") != F.col("cb")) & (F.col("linked") | (F.col("a") < F.col("b"))) & _possible(threshold))
-    rest = rest.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct((~(F.col("close") & F.col("close_a"))).alias("far"), "head")).alias("m"), F.first(F.col("na") + F.col("nb")).alias("both"))
+    rest = rest.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct((~(F.col("close") & F.col("close_a"))).alias("far"), "head", "a", "b")).alias("m"), F.first(F.col("na") + F.col("nb")).alias("both"))
     done = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     rest = settle(rest.join(done, ["x", "y"], "left_anti"), "rest")
     far = rest.filter("m.far").select(F.col("x").alias("a"), F.col("y").alias("b"))
     segments = segments_of(far)
     whole = settle(overlaps(far, segments).filter(_linked(threshold)).select("a", "b"), "links")
     discard(segments)
-    rest = rest.filter("not m.far").select("x", "y", "m.head", "both")
+    rest = rest.filter("not m.far").select(F.col("m.a").alias("x"), F.col("m.b").alias("y"), "m.head", "both")  # x does not link with the head
     near = rest.select(F.col("head").alias("a"), F.col("x").alias("b")).unionByName(rest.select(F.col("head").alias("a"), F.col("y").alias("b"))).distinct()
     segments = segments_of(near)
     diff = settle(differences(near, segments), "differences")
     discard(segments)
     release(spark)
     side = lambda x: diff.select(F.col("a").alias("head"), F.col("b").alias(x), F.col("diff").alias(f"d{x}"))
+    rest = settle(rest.join(sharing(diff, threshold), ["head", "x", "y"], "left_semi"), "rest")
     met_again = rest.join(side("x"), ["head", "x"]).join(side("y"), ["head", "y"])
     gap = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
     more = met_again.filter((100 + threshold) * gap <= (100 - threshold) * F.col("both")).select(F.col("x").alias("a"), F.col("y").alias("b"))

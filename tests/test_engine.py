@@ -175,3 +175,39 @@ def test_streaming_matches_batch(spark, grounder, tmp_path):
     q = ground_batches(spark.readStream.schema("raw string").parquet(src), grounder, out, ck)
     q.awaitTermination(120)
     assert {(r.raw, r.raw_grounded) for r in spark.read.parquet(out).collect()} == {("BRAF", "hgnc:1097"), ("none", None)}
+
+
+def test_document_queries_read_every_document(spark, tmp_path):
+    import math
+    import re
+    from collections import Counter
+
+    from vocabrook.plans import queries
+
+    letters = ["zentrale", "größe", "café", "forêt", "lumen"]
+    texts = {1: ("en", "lumen zentrale the lumen\ncafé " + "lumen zentrale " * 40), 2: ("fr", "forêt café, Café (forêt) " * 21), 3: ("de", "Größe zentrale x größe\n" * 25), 4: (N, "lumen the café"), 5: ("es", N), 6: ("en", ""), 7: ("fr", "forêt")}
+    spark.createDataFrame([(d, t, lang) for d, (lang, t) in texts.items()], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = {d: [re.findall(r"[^\W\d_]+", line.lower()) for line in (t or "").split("\n")] for d, (_, t) in texts.items()}
+    flat = {d: [w for line in lines for w in line] for d, lines in words.items()}
+    ones = {w for w, n in Counter(w for x in flat.values() for w in x).items() if len(w) >= 4 and n >= 40}
+    twos = {p for p, n in Counter(p for x in flat.values() for p in zip(x, x[1:]) if min(map(len, p)) >= 4).items() if n >= 12}
+    assert ones == set(letters)
+    want = {}
+    for d, lines in words.items():
+        for w in lines:
+            k = 0
+            while k < len(w):
+                size = 2 if tuple(w[k : k + 2]) in twos else 1 if w[k] in ones else 0
+                want[d] = want.get(d, 0) + (size > 0)
+                k += size or 1
+    want = {d: n for d, n in want.items() if n}
+    assert {r.doc_id: r.n_annotations for r in queries.annotations_all(spark, str(tmp_path)).collect()} == want
+    rows = queries.annotations_treebank(spark, str(tmp_path)).collect()
+    assert {r.id for r in rows} == set(want) and all(re.sub(r"\W", " ", texts[r.id][1][r.start : r.end]) == r.text for r in rows)
+    chance = {}
+    for d, (_, t) in texts.items():
+        if t:
+            w = set(flat[d])
+            a, b = math.exp(0.2 + 1.5 * ("the" in w) - 0.5 * ("with" in w)), math.exp(0.1 + 0.7 * ("for" in w))
+            chance[d] = round(a / (a + b + 1), 9)
+    assert {r.doc_id: r.probability for r in queries.disambiguate_all(spark, str(tmp_path)).collect()} == chance

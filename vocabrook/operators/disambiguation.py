@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def label_probabilities(queries: DataFrame, models: DataFrame) -> DataFrame:
-    """queries(raw, context) -> raw, context, kind, label, probability, for strings that have a model."""
+def label_probabilities(queries: DataFrame, models: DataFrame, pattern: str = r"[a-z0-9]+") -> DataFrame:
+    """queries(raw, context) -> raw, context, kind, label, probability, for strings that have a model. pattern: a word of a lower-case context."""
     kinds = models.groupBy("surface").agg(F.min("kind").alias("kind"))
     models = models.join(kinds, ["surface", "kind"])
     base = models.filter("feature is null").select("surface", "kind", "label", F.col("weight").alias("intercept"))
     asked = queries.filter("context is not null and context <> ''").select("raw", "context").distinct()
     labels = asked.join(base, F.col("raw") == F.col("surface")).drop("surface")
-    words = asked.join(kinds, F.col("raw") == F.col("surface"), "left_semi").select("raw", "context", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(r"[a-z0-9]+"), F.lit(0)))).alias("feature"))
+    words = asked.join(kinds, F.col("raw") == F.col("surface"), "left_semi").select("raw", "context", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(pattern), F.lit(0)))).alias("feature"))
     hits = words.join(models.filter("feature is not null"), (F.col("raw") == F.col("surface")) & (words["feature"] == models["feature"])).groupBy("raw", "context", "label").agg(F.sum("weight").alias("w"))
     logits = labels.join(hits, ["raw", "context", "label"], "left").withColumn("z", F.col("intercept") + F.coalesce("w", F.lit(0.0)))
     group = Window.partitionBy("raw", "context")

@@ -47,14 +47,18 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.explode(forms).alias("raw")).distinct()
 
 
-def word_lexicon(spark: SparkSession, sf_dir: str, least: int = 40, pairs: int = 12) -> DataFrame:
-    """Frequent words of four letters or more and frequent pairs of such words of English documents, as entries."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+def word_lexicon(spark: SparkSession, sf_dir: str, least: int = 40, pairs: int = 12, english: bool = False) -> DataFrame:
+    """Frequent words of four letters or more and frequent pairs of such words of all documents, as entries.
+
+    english: of English documents and ASCII letters only, as the SQL of `annotations` has it.
+    """
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.filter("lang = 'en'") if english else docs
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+" if english else r"\p{L}+"), F.lit(0))
     rows = docs.select(words.alias("w"))
     one = rows.select(F.explode("w").alias("text")).filter(F.length("text") >= 4).groupBy("text").count().filter(F.col("count") >= least)
     two = rows.filter(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.when((F.length(F.element_at("w", i)) >= 4) & (F.length(F.element_at("w", i + 1)) >= 4), F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1))))).alias("text"))
     two = two.filter("text is not null").groupBy("text").count().filter(F.col("count") >= pairs)
     null = F.lit(None).cast("string")
     out = one.unionByName(two).select("text", F.lit("WORD").alias("db"), F.col("text").alias("id"), F.col("text").alias("entry_name"), F.lit("name").alias("status"), F.lit("word").alias("source"), null.alias("organism"), null.alias("source_db"), null.alias("source_id"))
-    return out.withColumn("norm_text", F.col("text")).select(*COLUMNS)
+    return out.withColumn("norm_text", F.col("text") if english else text.normalize("text")).select(*COLUMNS)

@@ -122,14 +122,19 @@ def prefix_index(spark, sf_dir):
 
 
 def annotations(spark, sf_dir):
+    """English ASCII documents, as its SQL; annotations_all has all of them."""
     docs = table(spark, sf_dir, "documents").filter(F.col("lang") == "en").filter(F.col("text").rlike(r"^\p{ASCII}*$"))
-    found = annotation.annotate(docs, Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id", simple=True)
+    found = annotation.annotate(docs, Grounder(spark, derived.word_lexicon(spark, sf_dir, english=True)), "text", "doc_id", simple=True)
+    return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_annotations"))
+
+
+def annotations_all(spark, sf_dir):
+    found = annotation.annotate(table(spark, sf_dir, "documents"), Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id", simple=True)
     return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_annotations"))
 
 
 def annotations_treebank(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
-    return annotation.annotation_rows(annotation.annotate(docs, Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id"))
+    return annotation.annotation_rows(annotation.annotate(table(spark, sf_dir, "documents"), Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id"))
 
 
 def eval_rollup(spark, sf_dir):
@@ -165,13 +170,22 @@ def top_false_positives(spark, sf_dir):
 _MODEL = [("er", "adeft", "A:1", None, 0.2), ("er", "adeft", "A:1", "the", 1.5), ("er", "adeft", "A:1", "with", -0.5), ("er", "adeft", "B:1", None, 0.1), ("er", "adeft", "B:1", "for", 0.7), ("er", "adeft", "ungrounded", None, 0.0)]
 
 
-def disambiguate(spark, sf_dir):
+def _probabilities(spark, docs, **options):
     models = spark.createDataFrame(_MODEL, "surface string, kind string, label string, feature string, weight double")
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en' and text is not null and text <> ''").select("doc_id", F.lit("er").alias("raw"), F.col("text").alias("context"))
-    found = disambiguation.label_probabilities(docs, models).filter("label = 'A:1'")
+    docs = docs.filter("text is not null and text <> ''").select("doc_id", F.lit("er").alias("raw"), F.col("text").alias("context"))
+    found = disambiguation.label_probabilities(docs, models, **options).filter("label = 'A:1'")
     return docs.join(found, ["raw", "context"]).select("doc_id", F.round("probability", 9).alias("probability"))
 
 
+def disambiguate(spark, sf_dir):
+    """English documents, as its SQL; disambiguate_all has all of them."""
+    return _probabilities(spark, table(spark, sf_dir, "documents").filter("lang = 'en'"))
+
+
+def disambiguate_all(spark, sf_dir):
+    return _probabilities(spark, table(spark, sf_dir, "documents"), pattern=r"[\p{L}\p{N}]+")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in ("queries", "entry")}
 

@@ -151,6 +151,42 @@ def test_edit_recall():
     assert sum((k, k) in hits for k in range(60)) >= 59
 
 
+def test_edit_recall_at_the_limit():
+    def distance(x, text):  # of x to a prefix of text
+        row = list(range(len(text) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, t in enumerate(text, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != t))
+        return min(row)
+
+    rng = random.Random(12)
+    items = decontaminate.Items([(k, words(rng, 45).encode()) for k in range(30)])
+    texts, own = [], []
+    for kind in ("insert", "delete", "mixed", "word in", "word out"):
+        for k, (_, x) in enumerate(items.rows):
+            d, y = int(items.edits[k]), bytearray(x)
+            if kind.startswith("word"):
+                w = x.split(b" ")
+                if kind == "word in":
+                    w.insert(rng.randint(1, len(w) // 4), b"q" * (d - 1))
+                else:
+                    del w[rng.randint(1, len(w) // 4)]
+                y = b" ".join(w)
+            else:
+                for _ in range(d):
+                    at, turn = rng.randrange(1, len(y)), rng.choice(["insert", "delete", "swap"]) if kind == "mixed" else kind
+                    y[at : at + (turn != "insert")] = b"" if turn == "delete" else bytes([97 + rng.randrange(10)])
+            texts.append(b"some words " + bytes(y) + b" and more")
+            own.append(k)
+    hits = {(i, x): e for i, x, e, _ in decontaminate.match(texts, items)}
+    assert all((i, k) in hits for i, k in enumerate(own))
+    for i in range(0, len(own), 10):
+        t, x = texts[i], items.rows[own[i]][1]
+        starts = [k for k in range(len(t)) if k == 0 or t[k - 1] == 32]
+        assert hits[i, own[i]] == min(distance(x, t[k : k + len(x) + 40]) for k in starts)
+
+
 def test_language(spark):
     rng = random.Random(7)
     part = {"en": "aeiou", "xx": "klmnz"}

@@ -7,6 +7,8 @@ The CGK random walk reads a string with a pointer that advances by a random bit
 edit distance to a small Hamming distance of the outputs. Item-sized windows are embedded with WALKS walks, and
 bands of BAND sampled outputs are looked up among the items' bands; their number reaches TARGET_RECALL for pairs
 whose outputs agree in AGREE of the places. Every pair that meets in a band is verified by a banded edit distance.
+Inserted and deleted bytes lower the agreement further, so screened windows that meet no band are verified too, unless
+their q-grams show that they are not nearer than what was found: no pair is lost and distances are the least ones.
 
 Windows are screened before they are embedded, without loss: a window within d edits of an item of m bytes shares
 at least m - q + 1 - q * d q-grams with it. Windows of all lengths are embedded together.
@@ -121,8 +123,8 @@ class Items:
         both = np.unique(np.concatenate(pairs), axis=0)
         return both[:, 0], both[:, 1]
 
-    def screened(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows (start, length), by the q-grams shared with an item of that length."""
+    def screened(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, item number, q-grams shared) of the windows that share enough of them with an item."""
         hashes = gram_hashes(data)
         at = np.flatnonzero(self.any[hashes])
         lo, hi = np.searchsorted(self.gram, hashes[at], "left"), np.searchsorted(self.gram, hashes[at], "right")
@@ -132,17 +134,18 @@ class Items:
         order = np.argsort(item, kind="stable")
         item, place = item[order], place[order]
         cut = np.searchsorted(item, np.arange(len(self.rows) + 1))
-        starts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        starts, numbers, shared = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in np.flatnonzero(np.diff(cut) >= self.need):
             p, span = place[cut[k] : cut[k + 1]], self.length[k] + self.edits[k]
             # word starts from which on the window holds enough of them
             ok = p[: len(p) - self.need[k] + 1][p[self.need[k] - 1 :] - p[: len(p) - self.need[k] + 1] <= span - Q]
             near = first[np.unique(np.concatenate([np.arange(a, z) for a, z in zip(np.searchsorted(first, ok - span), np.searchsorted(first, ok, "right"), strict=True)]))] if len(ok) else ok
-            near = near[np.searchsorted(p, near + span - Q, "right") - np.searchsorted(p, near, "left") >= self.need[k]]
-            starts.append(near)
-            lengths.append(np.full(len(near), self.length[k]))
-        both = np.unique(np.stack([np.concatenate(starts), np.concatenate(lengths)], axis=1), axis=0)
-        return both[:, 0], both[:, 1]
+            share = np.searchsorted(p, near + span - Q, "right") - np.searchsorted(p, near, "left")
+            enough = share >= self.need[k]
+            starts.append(near[enough])
+            numbers.append(np.full(int(enough.sum()), k))
+            shared.append(share[enough])
+        return np.concatenate(starts), np.concatenate(numbers), np.concatenate(shared)
 
 
 def edit_distances(items: np.ndarray, length: np.ndarray, texts: np.ndarray, d: int) -> np.ndarray:
@@ -191,7 +194,26 @@ def match(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int]]:
                 found[(i, -1 - k)] = (0, at)
     if items.rows:
         first = np.flatnonzero(np.concatenate([[True], (data[:-1] == 32) | (data[:-1] == 0)]) & (data != 32) & (data != 0))
-        starts, lengths = items.screened(data, first)
+        near, number, share = items.screened(data, first)
+        wide = items.bytes.shape[1]
+
+        def keep(i, x, e, at):
+            now = (int(e), int(at - begin[i]))
+            if now < found.get((int(i), int(x)), (1 << 60, 0)):
+                found[(int(i), int(x))] = now
+
+        def verify(owner, k, start):
+            for b in range(0, len(k), 1024):
+                o, x, s = owner[b : b + 1024], k[b : b + 1024], start[b : b + 1024]
+                d = int(items.edits[x].max())
+                text = data[np.minimum(s[:, None] + np.arange(wide + d)[None, :], len(data) - 1)].copy()
+                text[np.cumsum(text == 0, axis=1) > 0] = 0  # windows end with their text
+                dist = edit_distances(items.bytes[x], items.length[x], text, d)
+                for j in np.flatnonzero(dist <= items.edits[x]):
+                    keep(o[j], x[j], dist[j], s[j])
+
+        both = np.unique(np.stack([near, items.length[number]], axis=1), axis=0)
+        starts, lengths, met = both[:, 0], both[:, 1], [np.zeros(0, np.int64)]
         for a in range(0, len(starts), 2048):
             start, length = starts[a : a + 2048], lengths[a : a + 2048]
             windows = data[start[:, None] + np.arange(length.max() + 1)[None, :]].copy()
@@ -199,28 +221,21 @@ def match(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int]]:
             w, k = items.candidates(windows, length)
             if not len(w):
                 continue
-            start, m = start[w], length[w]
+            start = start[w]
             owner = np.searchsorted(begin, start, "right") - 1
-
-            def keep(i, x, e, at):
-                now = (int(e), int(at - begin[i]))
-                if now < found.get((int(i), int(x)), (1 << 60, 0)):
-                    found[(int(i), int(x))] = now
-
-            wide = items.bytes.shape[1]
             same = (windows[w] == items.bytes[k][:, : windows.shape[1]]).all(axis=1)
             for i, x, at in zip(owner[same], k[same], start[same], strict=True):
                 keep(i, x, 0, at)
             # verified otherwise, unless the item is in that document without an edit
             rest = np.flatnonzero([found.get((int(i), int(x)), (1, 0))[0] > 0 for i, x in zip(owner, k, strict=True)])
-            for b in range(0, len(rest), 1024):
-                r = rest[b : b + 1024]
-                d = int(items.edits[k[r]].max())
-                text = data[np.minimum(start[r][:, None] + np.arange(wide + d)[None, :], len(data) - 1)].copy()
-                text[np.cumsum(text == 0, axis=1) > 0] = 0  # windows end with their text
-                dist = edit_distances(items.bytes[k[r]], m[r], text, d)
-                for j in np.flatnonzero(dist <= items.edits[k[r]]):
-                    keep(owner[r[j]], k[r[j]], dist[j], start[r[j]])
+            verify(owner[rest], k[rest], start[rest])
+            met.append(start * len(items.rows) + k)
+        # the bands may miss a pair: windows without one are verified as well, if they can still be as near as what was found
+        left = np.flatnonzero(~np.isin(near * len(items.rows) + number, np.concatenate(met)))
+        owner = np.searchsorted(begin, near[left], "right") - 1
+        bound = np.array([found.get((int(i), int(x)), (int(items.edits[x]), 0))[0] for i, x in zip(owner, number[left], strict=True)], np.int64)
+        able = (bound > 0) & (share[left] >= items.length[number[left]] - Q + 1 - Q * bound)  # without edits the bands miss none
+        verify(owner[able], number[left][able], near[left][able])
     return [(i, x, e, s) for (i, x), (e, s) in found.items()]
 
 

@@ -233,6 +233,20 @@ def test_html(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_text_beside_the_largest_container(spark):
+    lead, title, long = words(random.Random(1), 90), words(random.Random(2), 15), words(random.Random(3), 250)
+    bodies = [
+        f"<div class=post><div class=intro>{lead}</div><div class=body>{long}</div></div>", f"<article><h1>{title}</h1><div class=body>{long}</div></article>",
+        f"<div class=left>{lead}</div><div class=right>{lead}</div>", f"<h1>{title}</h1><article>{long}</article>", f"<div class=body>{title}</div>",
+    ]
+    want = [f"{lead}\n{long}", f"{title}\n{long}", f"{lead}\n{lead}", f"{title}\n{long}", title]
+    # alone, and on a host whose other pages vote for the inner path
+    pages = [(i, f"http://{i}/", b) for i, b in enumerate(bodies)] + [(10 + i, "http://h/", b) for i, b in enumerate(bodies)] + [(100 + i, "http://h/", f"<div class=post><div class=body>{long}</div></div>") for i in range(9)]
+    frame = spark.createDataFrame([(i, u, f"<html><body><nav>menu</nav>{b}<footer>foot</footer></body></html>") for i, u, b in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(frame).collect()}
+    assert [got[i] for i in range(5)] == want and [got[10 + i] for i in range(5)] == want
+
+
 def test_warc(spark):
     big = "x" * 1200
     rows = [(1, "http://a/1", big), (2, "http://a/2 b", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", "é" * 700_000)]

@@ -1,9 +1,10 @@
 """Main-text extraction by consensus host paths.
 
-Every page scores its own containers. The generalised tag-class path of the best one is the page's
-vote, votes are counted per host in Spark, and each page is then read again through the winning paths
-of its host: the node that lies on the path with most votes is its article. A page on which no winning
-path leads to text uses its own best container.
+The lowest container that holds all text of a page outside boilerplate and links is its own choice. The
+generalised tag-class path of it is the page's vote, votes are counted per host in Spark, and each page is
+then read again through the winning paths of its host: the nodes that lie on the path with most votes are
+its article, if they hold all of that text. A page on which no winning path does uses its own choice. So
+paths settle which links around the text belong to it, and no text is lost to them.
 
 Inside the article, boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments, scripts, styles) are left out. Blocks are joined by one newline, white space inside a
@@ -27,8 +28,6 @@ from .common import chunks, small_batches
 
 #: A path is a winner of its host if it has this share of the host's votes.
 WIN_SHARE = 0.2
-#: A winning path's node must reach this share of the score of the page's own best container.
-KEEP_SHARE = 0.3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|title|xmp|noembed|noframes|canvas|video|audio"
@@ -132,21 +131,16 @@ class Page:
             node = self.parent[node]
         return node
 
-    def scores(self) -> dict[int, float]:
-        """Each container's score: its own text outside links, half of its inner containers', more for article and main."""
-        own: dict[int, float] = {}
+    def sizes(self) -> list[int]:
+        """Each element's characters of text below it that is not skipped, without links; with links, if the page has no other."""
+        own, links = [0] * len(self.tag), [0] * len(self.tag)
         for node, text in self.pieces:
-            if text is not None and not self.skip[node] and (n := len(text.strip())):
-                c = self.container(node)
-                own[c] = own.get(c, 0.0) + (-0.5 * n if self.link[node] else n)
-        total = dict(own)
-        for c, score in own.items():
-            share, up = score, c
-            while up > 0:
-                up = self.container(self.parent[up])
-                share *= 0.5
-                total[up] = total.get(up, 0.0) + share
-        return {c: s * (1.5 if self.tag[c] in ("article", "main") else 1.0) for c, s in total.items()}
+            if text is not None and not self.skip[node]:
+                (links if self.link[node] else own)[node] += len(text.strip())
+        total = own if any(own) else links
+        for k in range(len(total) - 1, 0, -1):
+            total[self.parent[k]] += total[k]
+        return total
 
     def text(self, root: int) -> str:
         """The blocks below root."""
@@ -166,9 +160,10 @@ class Page:
         return "\n".join(b for b in (" ".join(_html.unescape(x).split()) for x in blocks) if b)
 
 
-def best(page: Page) -> tuple[int, dict[int, float]]:
-    scores = page.scores()
-    return (max(scores, key=lambda c: (scores[c], c)) if scores else 0), scores
+def best(page: Page) -> tuple[int, list[int]]:
+    """The lowest container that holds all of the page's text outside skipped elements and links."""
+    sizes = page.sizes()
+    return (max(k for k, n in enumerate(sizes) if n == sizes[0] and (page.tag[k] in CONTAINERS or k == 0)) if sizes[0] else 0), sizes
 
 
 def extract(source: str | None, winners: list[str]) -> tuple[str, str]:
@@ -176,14 +171,14 @@ def extract(source: str | None, winners: list[str]) -> tuple[str, str]:
     if not source:
         return "", ""
     page = Page(source)
-    own, scores = best(page)
+    own, sizes = best(page)
     on_path: dict[str, list[int]] = {}
     for k, p in enumerate(page.path):
         if page.tag[k] in CONTAINERS or k == 0:
             on_path.setdefault(p, []).append(k)
     for path in winners:
         nodes = [k for k in on_path.get(path, []) if not page.skip[k]]
-        if nodes and sum(scores.get(k, 0.0) for k in nodes) >= KEEP_SHARE * scores.get(own, 0.0):
+        if nodes and sum(sizes[k] for k in nodes) == sizes[0]:
             text = "\n".join(t for t in map(page.text, nodes) if t)
             if text:
                 return text, path

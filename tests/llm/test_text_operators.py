@@ -247,6 +247,22 @@ def test_html_keeps_text_beside_the_largest_container(spark):
     assert [got[i] for i in range(5)] == want and [got[10 + i] for i in range(5)] == want
 
 
+def test_html_wrappers_are_not_boilerplate():
+    long, lead = words(random.Random(4), 250), words(random.Random(5), 30)
+    read = lambda inner: html_extract.extract(f"<html><body><nav>menu</nav>{inner}<footer>foot</footer></body></html>", [])[0]
+    for attrs in ("class='layout has-sidebar'", "class=no-sidebar", "class=with-menu", "id='search-results'", "class=search", "class='page sidebar-left'"):
+        assert read(f"<div {attrs}><article><p>{long}</p></article><div class=sidebar>side</div></div>") == long, attrs
+        assert read(f"<div {attrs}><div id=x><p>{long}</p></div><div class=comments>{lead}</div></div>") == long, attrs
+    assert read(f"<div class=skip><form id=all class=search><main>{long}</main></form></div>") == long
+    assert read(f"<div class=has-sidebar>{lead}</div><p>{long}</p>") == f"{lead}\n{long}"
+    # boilerplate stays out, with articles in it or longer than the article
+    assert read(f"<article>{lead}</article><section id=comments><article>{long}</article></section><div class=comment-list>{long}</div><div class=main-nav>x</div><div class='ad-slot-7'>y</div>") == lead
+    assert read(f"<div class=post>{lead}</div><div class=comments>{long}</div>") == lead
+    assert read(f"<aside><article>{lead}</article></aside><div>{long}</div>") == long
+    assert read("") == ""
+    assert read("<figure><img><figcaption>cap</figcaption></figure><fieldset><legend>l</legend><label>a b</label></fieldset><p>x <math><mi>y</mi></math></p>") == "cap\nl\na b\nx y"
+
+
 def test_warc(spark):
     big = "x" * 1200
     rows = [(1, "http://a/1", big), (2, "http://a/2 b", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", "é" * 700_000)]

@@ -6,7 +6,8 @@ then read again through the winning paths of its host: the nodes that lie on the
 its article, if they hold all of that text. A page on which no winning path does uses its own choice. So
 paths settle which links around the text belong to it, and no text is lost to them.
 
-Inside the article, boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts, forms,
+A class or id token names boilerplate by its head word only, and a wrapper of the article is never dropped for its
+name (Page._settle). Inside the article, boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments, scripts, styles) are left out. Blocks are joined by one newline, white space inside a
 block becomes one space, character references are decoded once.
 
@@ -30,9 +31,9 @@ from .common import chunks, small_batches
 WIN_SHARE = 0.2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|title|xmp|noembed|noframes|canvas|video|audio"
-SKIP_TAGS = frozenset("head nav header footer aside form button menu dialog fieldset label figcaption".split()) | frozenset(RAW.split("|"))
-BLOCKS = frozenset("p div section article main body html ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre h1 h2 h3 h4 h5 h6 hr br figure address details summary center hgroup nav header footer aside form fieldset".split())
+RAW = "script|style|noscript|template|textarea|iframe|svg|object|select|title|xmp|noembed|noframes|canvas|video|audio"
+SKIP_TAGS = frozenset("head nav header footer aside form button menu dialog".split()) | frozenset(RAW.split("|"))
+BLOCKS = frozenset("p div section article main body html ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre h1 h2 h3 h4 h5 h6 hr br figure address details summary center hgroup nav header footer aside form fieldset legend figcaption".split())
 CONTAINERS = frozenset("body html div section article main td blockquote center figure".split())
 #: An open p ends where one of these begins.
 ENDS_P = BLOCKS - {"br", "html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
@@ -41,6 +42,13 @@ SKIP_NAMES = frozenset(
     "newsletter subscribe subscription signup sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs footer footnav header masthead topbar toolbar "
     "comment comments commentlist reply replies respond disqus social share sharing related recommended popup modal overlay widget pagination pager login search skip".split()
 )
+#: A skip name before only such words still names the element (comment-list, ad-slot), as does one at the end (main-nav).
+PARTS = frozenset(
+    "area bar block body bottom box button buttons btn col column container content count entry field fixed form group head heading icon icons inner input item items left "
+    "link links list main menu outer panel posts primary right row secondary section slot text thread title toggle top unit widget widgets wrap wrapper zone".split()
+)
+#: Behind one of these a skip name only tells what the element has around it or lacks (has-sidebar).
+NOT_NAMES = frozenset("has have no not non without with hide is show".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
@@ -52,11 +60,25 @@ DIGITS = re.compile(r"\d+")
 HOST = re.compile(r"\A[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
+#: Reasons to drop an element: its name, role or being a form; another tag of SKIP_TAGS; never shown as text.
+NAMED, TAGGED, FIRM = 1, 2, 3
+HIDDEN_TAGS = frozenset(["head", *RAW.split("|")])
+
+
+def names_boilerplate(token: str) -> bool:
+    """Whether a class or id token names boilerplate: a skip name alone, at its end, or at its start before PARTS only."""
+    words = NAME.findall(token)
+    if not words or NOT_NAMES.intersection(words[:-1]):
+        return False
+    return words[-1] in SKIP_NAMES or words[0] in SKIP_NAMES and all(w in PARTS or w in SKIP_NAMES for w in words[1:])
+
+
 class Page:
-    """Elements of a page in page order: parallel lists tag, path, parent, skip; pieces (element, text or None for a break)."""
+    """Elements of a page in page order: parallel lists tag, path, parent, skip, drop (why it may be skipped itself); pieces (element, text or None for a break)."""
 
     def __init__(self, source: str):
         self.tag, self.path, self.parent, self.skip, self.link = ["#"], [""], [-1], [False], [False]
+        self.drop = [0]
         self.pieces: list[tuple[int, str | None]] = []
         stack, at = [0], 0
         for m in TOKEN.finditer(source):
@@ -98,10 +120,11 @@ class Page:
             self._open(name, m[3] or m[5] or "", stack)
         if at < len(source):
             self.pieces.append((stack[-1], source[at:]))
+        self._settle()
 
     def _open(self, name: str, attrs: str, stack: list[int]) -> None:
         up = stack[-1]
-        skip, classes = self.skip[up] or name in SKIP_TAGS, []
+        drop, classes = FIRM if name in HIDDEN_TAGS else TAGGED if name in SKIP_TAGS and name != "form" else NAMED if name == "form" else 0, []
         if attrs.strip(" /"):
             for a in ATTR.finditer(attrs):
                 key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
@@ -109,15 +132,16 @@ class Page:
                     words = value.split()
                     if key == "class":
                         classes += words
-                    if name not in ("html", "body", "article", "main") and any(n in SKIP_NAMES for w in words for n in NAME.findall(w)):
-                        skip = True
+                    if name not in ("html", "body", "article", "main") and any(map(names_boilerplate, words)):
+                        drop = max(drop, NAMED)
                 elif key == "role":
-                    skip = skip or value in SKIP_ROLES
+                    drop = max(drop, NAMED if value in SKIP_ROLES else 0)
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                    skip = True
+                    drop = FIRM
         self.tag.append(name)
         self.parent.append(up)
-        self.skip.append(skip)
+        self.skip.append(False)
+        self.drop.append(drop)
         self.link.append(self.link[up] or name == "a")
         if name in CONTAINERS:
             self.path.append(self.path[up] + "/" + ".".join([name, *sorted(DIGITS.sub("#", c) for c in set(classes))]))
@@ -126,10 +150,35 @@ class Page:
         if name not in VOID:
             stack.append(len(self.tag) - 1)
 
-    def container(self, node: int) -> int:
-        while node > 0 and self.tag[node] not in CONTAINERS:
-            node = self.parent[node]
-        return node
+    def _settle(self) -> None:
+        """skip: below an element with a reason to drop it, unless that element is a wrapper of the page's article.
+
+        A wrapper holds a main; or, if only its name, role or being a form speaks against it, all articles of the page
+        that would otherwise be lost, or most of the page's text while next to nothing would be left beside it.
+        """
+        n = len(self.tag)
+        firm, under, size, left = [False] * n, [False] * n, [0] * n, 0
+        for k in range(1, n):
+            firm[k] = firm[self.parent[k]] or self.drop[k] == FIRM
+            under[k] = under[self.parent[k]] or self.drop[k] > 0
+        for node, text in self.pieces:
+            if text is not None and not firm[node] and not self.link[node]:
+                size[node] += (m := len(text.strip()))
+                left += 0 if under[node] else m
+        main, article = [not firm[k] and self.tag[k] == "main" for k in range(n)], [not firm[k] and self.tag[k] == "article" for k in range(n)]
+        kept = any(not under[k] and (main[k] or article[k]) for k in range(n))
+        for k in range(n - 1, 0, -1):
+            up = self.parent[k]
+            size[up] += size[k]
+            main[up] |= main[k]
+            article[up] |= article[k]
+        for k in range(1, n):
+            drop = self.drop[k]
+            if drop in (NAMED, TAGGED) and not self.skip[self.parent[k]]:
+                most = 2 * size[k] > size[0] and size[k] >= 9 * left
+                if main[k] or drop == NAMED and (most or article[k] and not kept):
+                    drop = 0
+            self.skip[k] = self.skip[self.parent[k]] or drop > 0
 
     def sizes(self) -> list[int]:
         """Each element's characters of text below it that is not skipped, without links; with links, if the page has no other."""

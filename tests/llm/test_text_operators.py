@@ -200,6 +200,16 @@ def test_language(spark):
     assert lang_mixture.predict_languages(docs.limit(0)).count() == 0
 
 
+def test_mixtures_are_identified(spark):
+    rng = random.Random(13)
+    parts = ["aeio", "klmn", "bcdf", "rstu"]
+    rows = [(i, words(rng, 60, parts[i % 4]), str(i % 4)) for i in range(120)]
+    rows += [(200 + 10 * m + k, " ".join(words(rng, 30, a) for a in parts[:m]), None) for m in (2, 3, 4) for k in range(10)]
+    rows += [(300, "xzqj vxzw " * 20, None), (301, "12 34", None), (302, None, None)]
+    kept = {r.doc_id for r in lang_mixture.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == {d for d, _, _ in rows if d < 300}
+
+
 def test_mixture_proportions():
     rng = random.Random(8)
     tables = []

@@ -104,12 +104,15 @@ def _em(lik: np.ndarray, first: np.ndarray, pi: np.ndarray, steps: int) -> tuple
     return pi, _sums(np.log(np.maximum(total, 1e-30)), first)[:, 0]
 
 
-def infer(texts: list[str], names: list[str], tables: np.ndarray) -> list[tuple[str, float, dict[str, float]]]:
-    """For each text: language, its proportion, and the proportions of the chosen set."""
+def infer(texts: list[str], names: list[str], tables: np.ndarray) -> list[tuple[str, float, dict[str, float], float]]:
+    """For each text: language, its proportion, the proportions of the chosen set, and that set's log-likelihood less the background's.
+
+    The background gives every hashed trigram the same probability.
+    """
     grams, starts, ends, first = _trigrams(texts)
     known, most = len(names), min(MOST_LANGUAGES, len(names))
     if not len(starts):
-        return [("und", 0.0, {})] * len(texts)
+        return [("und", 0.0, {}, 0.0)] * len(texts)
     # the words' log-likelihoods by sums over trigram positions
     logs = np.empty((len(starts), known), np.float32)
     inside = np.zeros(len(grams) + 3, np.int8)
@@ -125,7 +128,7 @@ def infer(texts: list[str], names: list[str], tables: np.ndarray) -> list[tuple[
     n = np.diff(first)
     full, _ = _em(lik, first, np.full((len(texts), known), 1.0 / known), EM_STEPS)
     rank = np.argsort(-full, axis=1, kind="stable")[:, :most]
-    best_score = np.full(len(texts), -np.inf)
+    best_score, best_fit = np.full(len(texts), -np.inf), np.zeros(len(texts))
     best_pi = full
     for m in range(1, most + 1):
         pi = np.zeros_like(full)
@@ -135,15 +138,18 @@ def infer(texts: list[str], names: list[str], tables: np.ndarray) -> list[tuple[
         score = fit_ - PENALTY * 0.5 * (m - 1) * np.log(np.maximum(n, 1) + 1.0)
         better = score > best_score
         best_score = np.where(better, score, best_score)
+        best_fit = np.where(better, fit_, best_fit)
         best_pi = np.where(better[:, None], pi, best_pi)
+    common = logs.max(axis=1, keepdims=True).astype(np.float64) + (lengths * TABLE_BITS * np.log(2))[:, None]
+    gain = best_fit + _sums(common, first)[:, 0]
     top = np.argmax(best_pi, axis=1)
     share = np.take_along_axis(full, top[:, None], 1)[:, 0]
     out = []
     for i, text in enumerate(texts):
         if n[i] == 0 or not any(map(str.isalpha, text)):
-            out.append(("und", 0.0, {}) if not any(map(str.isalpha, text)) else (names[0], 1.0 / known, {}))
+            out.append(("und", 0.0, {}, 0.0) if not any(map(str.isalpha, text)) else (names[0], 1.0 / known, {}, 0.0))
         else:
-            out.append((names[top[i]], float(min(1.0, share[i])), {names[k]: float(best_pi[i, k]) for k in np.flatnonzero(best_pi[i])}))
+            out.append((names[top[i]], float(min(1.0, share[i])), {names[k]: float(best_pi[i, k]) for k in np.flatnonzero(best_pi[i])}, float(gain[i])))
     return out
 
 
@@ -157,7 +163,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     def run(batches):
         for pdf in chunks(batches, limit=limit):
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            found = infer(texts, names, shared.value) if names else [("und", 0.0, {})] * len(texts)
+            found = infer(texts, names, shared.value) if names else [("und", 0.0, {}, 0.0)] * len(texts)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "proportions": [f[2] for f in found]})
 
     rows = docs.select("doc_id", "text", (crc_fold("doc_id") == 0).alias("held_out"))
@@ -169,8 +175,8 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     return identify(docs, fit(docs.filter(crc_fold("doc_id") != 0)))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents (all columns, all rows) in which a language is found with at least that proportion.
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents (all columns, all rows) whose chosen languages, one or several, explain them better than the background does.
 
     Fitted on the labelled rows of docs itself; without any, every row stays.
     """
@@ -181,8 +187,8 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.stack(list(model.values())))
 
     @F.pandas_udf("double")
-    def proportion(text: pd.Series) -> pd.Series:
-        parts = [pd.Series([s if p != "und" else 0.0 for p, s, _ in infer([t if isinstance(t, str) else "" for t in c["text"]], names, shared.value)], index=c.index) for c in chunks([pd.DataFrame({"text": text})])]
+    def gain(text: pd.Series) -> pd.Series:
+        parts = [pd.Series([r[3] for r in infer([t if isinstance(t, str) else "" for t in c["text"]], names, shared.value)], index=c.index) for c in chunks([pd.DataFrame({"text": text})])]
         return pd.concat(parts) if parts else pd.Series([], dtype="float64")
 
-    return docs.withColumn("_share", proportion("text")).filter(F.col("_share") >= least).select(*docs.columns)
+    return docs.withColumn("_gain", gain("text")).filter(F.col("_gain") > 0).select(*docs.columns)

@@ -221,6 +221,16 @@ def test_mixture_proportions():
     assert got[0] == "p" and abs(got[2]["q"] - 0.25) < 0.05
 
 
+def test_mixture_of_six_languages():
+    rng, parts, tables = random.Random(14), ("aei", "klm", "bcd", "rst", "fgh", "vwx"), []
+    for a in parts:
+        g, s, e, _ = lang_mixture._trigrams([words(rng, 2000, a)])
+        c = np.bincount(g, minlength=1 << lang_mixture.TABLE_BITS) + 0.2
+        tables.append(np.log(c / c.sum()).astype(np.float32))
+    (got,) = lang_mixture.infer([" ".join(words(rng, 60, a) for a in parts)], list(parts), np.stack(tables))
+    assert set(got[2]) == set(parts) and all(abs(p - 1 / 6) < 0.05 for p in got[2].values())
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows = [(i, words(rng, 60) + (" idiot " if i % 4 == 0 else " ") + words(rng, 50)) for i in range(400)] + [(900, None), (901, ""), (902, "...")]

@@ -27,7 +27,6 @@ TRAIN_ROWS = 2000
 TABLE_BITS = 16
 SMOOTH = 0.2
 EM_STEPS = 6
-MOST_LANGUAGES = 4
 #: The penalty for one more language, in halves of log(words): 1 is the BIC.
 PENALTY = 2.0
 
@@ -110,7 +109,7 @@ def infer(texts: list[str], names: list[str], tables: np.ndarray) -> list[tuple[
     The background gives every hashed trigram the same probability.
     """
     grams, starts, ends, first = _trigrams(texts)
-    known, most = len(names), min(MOST_LANGUAGES, len(names))
+    known = len(names)
     if not len(starts):
         return [("und", 0.0, {}, 0.0)] * len(texts)
     # the words' log-likelihoods by sums over trigram positions
@@ -127,10 +126,10 @@ def infer(texts: list[str], names: list[str], tables: np.ndarray) -> list[tuple[
     lik = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -20.0)).astype(np.float64)
     n = np.diff(first)
     full, _ = _em(lik, first, np.full((len(texts), known), 1.0 / known), EM_STEPS)
-    rank = np.argsort(-full, axis=1, kind="stable")[:, :most]
+    rank = np.argsort(-full, axis=1, kind="stable")
     best_score, best_fit = np.full(len(texts), -np.inf), np.zeros(len(texts))
     best_pi = full
-    for m in range(1, most + 1):
+    for m in range(1, known + 1):
         pi = np.zeros_like(full)
         np.put_along_axis(pi, rank[:, :m], np.maximum(np.take_along_axis(full, rank[:, :m], 1), 1e-6), 1)
         pi /= pi.sum(axis=1, keepdims=True)

@@ -95,6 +95,18 @@ def test_ngram_join(spark, k, threshold):
     assert kept == {d for d, (_, c) in got.items() if d == c}
 
 
+def test_ngram_join_sql(spark):
+    rng, rows = random.Random(15), list(EDGE[:6])
+    for k in range(4):
+        base = words(rng, 60).split()
+        for n in range(5):
+            rows.append((10 + 10 * k + n, " ".join(base), "s"))
+            base[rng.randrange(len(base))] = words(rng, 1)
+    got = sorted(map(tuple, ngram_join.ngram_components(table(spark, rows), k=4, threshold=85).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == sorted(oracle(ngram_join.ORACLE, "documents", rows, ["doc_id", "text", "source"]))
+    assert len({c for _, _, c in got}) < len(got)
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.ngram_components(table(spark, [])).count() == 0
 

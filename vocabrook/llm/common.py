@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -13,40 +12,47 @@ from pyspark.sql import functions as F
 
 #: Python batches stay below this many bytes of text, so that numpy temporaries stay small.
 CHUNK_BYTES = 2_000_000
-#: Only used where spark.checkpoint.dir is unset (tests on one machine).
+#: Only used where spark.checkpoint.dir is unset and Spark runs in one process (tests on one machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/vocabrook"
+#: Spark's own setting: a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; set here only where it is unset."""
+    """The cluster's shared folder, from spark.checkpoint.dir; a local one is taken only if all of Spark is one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = LOCAL_CHECKPOINTS
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut, lost executors don't matter."""
+    """Write df as a table in the shared folder and read it back: lineage is cut, lost executors don't matter.
+
+    The shuffle files of the query that writes it are dropped when it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Drop a table made by settle()."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        if path.split("://")[-1].lstrip("/").startswith(shared_dir(spark).split("://")[-1].lstrip("/")):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are done: it does so when their driver objects are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+def discard(*tables: DataFrame) -> None:
+    """Drop tables made by settle()."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            if path.split("://")[-1].lstrip("/").startswith(shared_dir(spark).split("://")[-1].lstrip("/")):
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -94,7 +100,8 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum(lengths)])
 
 
-_POW = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
+#: A random odd factor for each of a word's first bytes; places beyond them are mixed with the byte.
+_FACTOR = _rng.integers(1, 2**63 - 1, 4096, dtype=np.uint64) | np.uint64(1)
 
 
 def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,5 +121,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     lens = ends - starts
     first = np.concatenate([[0], np.cumsum(lens)[:-1]])
     offset = np.arange(len(flat)) - np.repeat(first, lens)
-    value = BYTE_CODE[data[flat]] * _POW[offset & 4095] + (offset >> 12).astype(np.uint64)
+    value = BYTE_CODE[data[flat]] * _FACTOR[np.minimum(offset, 4095)]
+    far = np.flatnonzero(offset >= 4095)
+    if len(far):
+        value[far] = mix(BYTE_CODE[data[flat[far]]] + offset[far].astype(np.uint64) * _MULT)
     return mix(np.add.reduceat(value, first) + lens.astype(np.uint64) * _MULT)

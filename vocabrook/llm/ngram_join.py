@@ -3,54 +3,47 @@
 A document's set holds its distinct shingles of k consecutive words (fewer words: the whole sequence as one).
 Two documents link when 100 * intersection >= threshold * union.
 
-Global order: all shingles are ordered by (frequency class, hash), rare ones first. The classes come from a
-fixed-size count sketch over all documents: any order gives the same links, a better one only saves work.
-The order is cut into FRAGMENTS ranges, and the segments of two sets are compared range by range: partial
-overlaps are counted separately and summed per pair.
-
-Pairs to compare, without listing all pairs of a group:
-
-1. Documents with equal sets are one class, represented by its smallest doc_id.
-2. Linked sets share a shingle in their prefixes (the first n - ceil(t * n) + 1 in the global order). Each such
-   shingle's holders are compared with one of them, the head: a row for each holder, not for each pair.
-   The head is the holder whose first shared prefix shingle comes earliest: of a group of edited copies, the one
-   that has least of its own, and with which the others link if they link with any.
-3. Holders that both link with the head are connected. If one of two holders does not link with it, the pair is
-   compared itself, by what tells each of them from the head: a set x is head xor its difference, so the symmetric
-   difference of x and y is that of their differences, and only these few tokens are moved (sets that are far from
-   every head that they share are compared whole). So no link is lost. If x does not link with the head, a link of x
-   and y needs more than half of y's difference to be in x's too, so pairs are looked up by prefixes of the differences.
-4. Before tokens are moved, a pair has to allow the link by its sizes, by positions (two sets share nothing that
-   comes before the first shared prefix shingle of either), and by segment lengths in BINS hash ranges (the symmetric
-   difference of two sets is at least the sum of the differences of their segment lengths).
+1. Documents with equal sets are one class; its smallest doc_id represents it.
+2. Screen: a linked set shares at least threshold percent of its shingles. Linked sets x and y even share a number of
+   the first shingles of both in hash order (long_prefix(), shared_least()), so these are dealt to buckets by hash, and
+   each bucket counts which of them two sets have. A set with too few of those has no link and goes no further.
+   What a task knows to be shared is counted there and sends one entry a shingle, however many of its sets have it.
+3. Global order of the remaining sets' shingles: rare ones first, by the level (binary logarithm) of the number of sets
+   that have them, then by hash. Shingles of one set need no place in it. The order is cut into FRAGMENTS ranges.
+4. Linked sets share a shingle in their prefixes in that order. The holders of each prefix shingle are compared with one
+   of them, the head: a row for each holder, not for each pair. The head is the holder that has least of its own: of a
+   group of edited copies the one with which the others link if they link with any. Segments are compared fragment by
+   fragment; partial overlaps are counted separately and summed per pair.
+5. Holders are then known by what tells them from the centre, the head's shared tokens: x = centre xor dx, so the symmetric
+   difference of x and y is that of dx and dy. Sets near enough to the centre link with the nearest one for sure. If
+   x is not, a link of x and y needs dx and dy to share shingles (differing()), so they meet in prefixes of dx and dy, and
+   only pairs of different components that do are compared. So no link is lost, and no pairs of a group are listed.
 
 Components of the links are found by alternating large-star and small-star steps over tables in the shared folder.
 
-Defined cases: a null, empty or blank text has an empty set, links with nothing and is its own component; rows
-with a null doc_id are returned with a null component_id and link with nothing; rows with one doc_id are one node
-with the sets of all of them; an empty table gives no rows; columns other than doc_id and text are not read.
-Nothing is capped or sampled.
+Shingles are told apart by 64-bit hashes and classes by two of them. Defined cases: a null, empty or blank text has an
+empty set, links with nothing and is its own component; rows with a null doc_id are returned with a null component_id
+and link with nothing; rows with one doc_id are one node with the sets of all of them; an empty table gives no rows;
+columns other than doc_id and text are not read. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
 
-import functools
-import math
+import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, joined, mix, release, settle, small_batches, spans, word_hashes
+from .common import chunks, discard, joined, mix, settle, small_batches, spans, word_hashes
 
-FRAGMENTS = 16
-#: Prefix shingles are dealt in so many rounds of a part of them; a round's shuffle is dropped before the next one.
-ROUNDS = 3
-#: Hash ranges whose segment lengths are kept with each document.
-BINS = 128
-#: Counters of the sketch (2 ** SKETCH_BITS) and of one of its blocks. Its size does not depend on the data.
-SKETCH_BITS, BLOCK_BITS = 22, 16
+#: Levels of rarity, and ranges of the global order: each level is cut in two by hash.
+LEVELS = 8
+FRAGMENTS = 2 * LEVELS
+#: The screen's entries: so many in a bucket on average, and so many in a task before they are sent.
+BUCKET_ENTRIES = 700_000
+SEND_ENTRIES = 3_000_000
 #: ASCII white space separates words.
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -84,157 +77,200 @@ def fingerprints(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums over a set, as signed integers."""
     a = np.array([s.sum(dtype=np.uint64), mix(s ^ _STEP[40]).sum(dtype=np.uint64)], np.uint64)
     a = mix(a + _STEP[41:43] * np.uint64(len(s))).view(np.int64)
-    return int(a[0]), int(a[1])
+    return int(a[0]) or 1, int(a[1])  # 0 is no set's
 
 
-def segment_lengths(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BINS), 32767).astype(np.int16)
+# ---- how many shingles linked sets share: the same integers in Python and SQL ------------------
 
 
-def _first_pass(k: int):
-    size, block = 1 << SKETCH_BITS, 1 << BLOCK_BITS
+def overlap_least(n: int, threshold: int) -> int:
+    """A set of n shingles shares so many with each set that it links with."""
+    return -(-threshold * n // 100)
 
+
+def extra(n: int, threshold: int) -> int:
+    return min(n * (100 - threshold) // 200, overlap_least(n, threshold) - 1)
+
+
+def long_prefix(n: int, threshold: int) -> int:
+    """Sets that link share extra() + 1 of the smaller one's in such prefixes of both, in any order of all shingles."""
+    return n - overlap_least(n, threshold) + 1 + extra(n, threshold)
+
+
+def shared_least(threshold: int):
+    """The least extra() + 1 of the sets that a set of n can link with: the smallest has overlap_least(n)."""
+    least = f"(({threshold} * n + 99) div 100)"
+    return F.expr(f"1 + least({least} * {100 - threshold} div 200, ({threshold} * {least} + 99) div 100 - 1)")
+
+
+def prefix(threshold: int):
+    """Of a set in the global order, of which single shingles come first and are left out: the rest of its prefix."""
+    return F.expr(f"slice(tokens, 1, greatest(0, size(tokens) - ({threshold} * n + 99) div 100 + 1))")
+
+
+# ---- tasks -------------------------------------------------------------------------------------
+
+
+def _features(k: int):
     def run(batches):
-        counts, rows = np.zeros(size, np.int64), 0
         for pdf in chunks(batches):
             sets = shingle_sets(list(pdf["text"]), k)
             prints = [fingerprints(s) for s in sets]
-            if sets:
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-                rows += 1
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "fa": [p[0] for p in prints], "fb": [p[1] for p in prints], "lengths": [segment_lengths(s) for s in sets], "block": pd.array([pd.NA] * len(pdf), "Int32"), "counts": None})
-        if rows:
-            for b in range(size // block):
-                c = np.minimum(counts[b * block : (b + 1) * block], 65535).astype("<u2")
-                if c.any():
-                    yield pd.DataFrame({"doc_id": pd.array([pd.NA], "Int64"), "n": [0], "fa": [0], "fb": [0], "lengths": [None], "block": pd.array([b], "Int32"), "counts": [c.tobytes()]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "fa": [p[0] for p in prints], "fb": [p[1] for p in prints]})
 
     return run
 
 
-def frequency_classes(blocks: DataFrame) -> np.ndarray:
-    """The sketch's class of each counter: 0 for all that does not stand out, then the binary logarithm. 4 MB."""
+def _distinct(batches, k: int):
+    """fa and set of each text whose set is new in this task."""
+    seen = set()
+    for pdf in chunks(batches):
+        for s in shingle_sets(list(pdf["text"]), k):
+            if len(s) and (fa := fingerprints(s)[0]) not in seen:
+                seen.add(fa)
+                yield fa, s
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<u2" if len(c) == 2 << BLOCK_BITS else "<i8").astype(np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"block": pdf["block"][:1], "counts": [total.astype("<i8").tobytes()]})
 
-    part = blocks.withColumn("salt", F.pmod(F.hash("counts"), F.lit(16)))
-    part = part.groupBy("block", "salt").applyInPandas(add, "block int, counts binary")
-    total = np.zeros(1 << SKETCH_BITS, np.float32)
-    for r in part.groupBy("block").applyInPandas(add, "block int, counts binary").toLocalIterator():
-        total[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["counts"], "<i8")
-    usual = 4 * float(total.mean()) + 4
-    return np.clip(np.floor(np.log2(np.maximum(total, usual) / usual)) + (total > usual), 0, 63).astype(np.uint8)
+def _ends(x: np.ndarray) -> np.ndarray:
+    """Bounds of the runs of equal values of a sorted array."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
 
 
-def in_order(s: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set in the global order, and the class of each element."""
-    c = classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    if c.any():
-        order = np.argsort(c, kind="stable")
-        return s[order], c[order]
-    return s, c
+def _tally(owner: np.ndarray) -> tuple[bytes, bytes]:
+    fa, count = np.unique(owner, return_counts=True)
+    return fa.astype("<i8").tobytes(), count.astype("<i4").tobytes()
 
 
-def prefix_length(n: int, threshold: int) -> int:
-    return n - math.ceil(threshold * n / 100 - 1e-9) + 1
+#: Stands for the owners of a shingle that is known to be shared.
+SEVERAL = 0
 
 
-def fragment_of(s: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Ranges of the global order: the usual shingles by hash, all frequent ones last."""
-    return np.where(c > 0, FRAGMENTS - 1, (s >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int32)
+def _dealt(k: int, threshold: int, buckets: int):
+    """The long prefixes, dealt to buckets: tokens, and the place of each one's owner in fa. Counts: of those known to be shared."""
 
+    def pack(parts):
+        token = np.concatenate([s for _, s in parts])
+        owner = np.repeat(np.array([fa for fa, _ in parts], np.int64), [len(s) for _, s in parts])
+        order = np.argsort(token)
+        token, owner = token[order], owner[order]
+        ends = _ends(token)
+        several = np.repeat(np.diff(ends) > 1, np.diff(ends))
+        fa, count = _tally(owner[several])
+        rows = [(int(token[0] % np.uint64(buckets)), b"", b"", fa, count)]
+        keep = ~several
+        keep[ends[:-1]] = True
+        token, owner = token[keep], np.where(several, SEVERAL, owner)[keep]
+        bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        ends = _ends(bucket)
+        for a, z in zip(ends[:-1], ends[1:], strict=True):
+            fa, place = np.unique(owner[a:z], return_inverse=True)
+            rows.append((int(bucket[a]), token[a:z].astype("<u8").tobytes(), place.astype("<u4").tobytes(), fa.astype("<i8").tobytes(), b""))
+        return pd.DataFrame(rows, columns=["bucket", "token", "place", "fa", "count"])
 
-def _postings(k: int, threshold: int, shared, turn: int):
     def run(batches):
-        classes = shared.value
-        for pdf in chunks(batches):
-            tokens, owner, place = [], [], []
-            for s in shingle_sets(list(pdf["text"]), k):
-                if len(s):
-                    p = in_order(s, classes)[0][: prefix_length(len(s), threshold)]
-                    at = np.flatnonzero((p >> np.uint64(3)) % np.uint64(ROUNDS) == turn)
-                    if len(at):
-                        tokens.append(p[at])
-                        owner.append(np.full(len(at), fingerprints(s)[0]))
-                        place.append(at.astype(np.int32))
-            if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "fa": np.concatenate(owner), "place": np.concatenate(place)})
+        parts, size = [], 0
+        for fa, s in _distinct(batches, k):
+            parts.append((fa, s[: long_prefix(len(s), threshold)]))
+            size += len(parts[-1][1])
+            if size > SEND_ENTRIES:
+                yield pack(parts)
+                parts, size = [], 0
+        if parts:
+            yield pack(parts)
 
     return run
 
 
-def _segments(k: int, shared):
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's entries -> fa, c: how many of the set's tokens there another one has too."""
+    token, owner, sure, count = [], [], [], []
+    for t, p, fa, c in zip(pdf["token"], pdf["place"], pdf["fa"], pdf["count"], strict=True):
+        fa = np.frombuffer(fa, "<i8")
+        if len(c):
+            sure.append(fa)
+            count.append(np.frombuffer(c, "<i4"))
+        elif len(t):
+            token.append(np.frombuffer(t, "<u8"))
+            owner.append(fa[np.frombuffer(p, "<u4")])
+    if token:
+        token, owner = np.concatenate(token), np.concatenate(owner)
+        order = np.argsort(token)
+        token, owner = token[order], owner[order]
+        ends = _ends(token)
+        shared = np.minimum.reduceat(owner, ends[:-1]) < np.maximum.reduceat(owner, ends[:-1])
+        owner = owner[np.repeat(shared, np.diff(ends))]
+        fa, c = np.unique(owner[owner != SEVERAL], return_counts=True)
+        sure.append(fa)
+        count.append(c.astype(np.int32))
+    if not sure:
+        return pd.DataFrame({"fa": np.zeros(0, np.int64), "c": np.zeros(0, np.int32)})
+    return pd.DataFrame({"fa": np.concatenate(sure), "c": np.concatenate(count)})
+
+
+def _sets(k: int):
     def run(batches):
-        classes = shared.value
-        for pdf in chunks(batches):
-            rows = []
-            for doc_id, s in zip(pdf["doc_id"], shingle_sets(list(pdf["text"]), k), strict=True):
-                s, c = in_order(s, classes)
-                f = fragment_of(s, c)
-                rows += [(doc_id, j, s[f == j].view(np.int64)) for j in range(FRAGMENTS)]
-            yield pd.DataFrame(rows, columns=["doc", "fragment", "tokens"])
+        distinct = _distinct(batches, k)
+        while rows := list(itertools.islice(distinct, 100)):
+            yield pd.DataFrame({"fa": [fa for fa, _ in rows], "n": [len(s) for _, s in rows], "tokens": [s.view(np.int64) for _, s in rows]})
 
     return run
 
 
-def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """pairs(a, b) -> a, b, na, nb, common: partial overlaps of each fragment, summed."""
-    one = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-    one = one.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("tokens").alias("ta")), ["a", "fragment"])
-    both = one.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("tokens").alias("tb")), ["b", "fragment"])
-    part = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("common"))
-    return part.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("na", "nb", "common")])
+def _segments(batches):
+    for pdf in batches:
+        rows = []
+        for fa, tokens, levels in zip(pdf["fa"], pdf["tokens"], pdf["levels"], strict=True):
+            tokens = np.asarray(tokens, np.int64)
+            fragment = 2 * np.asarray(levels, np.int64) + (tokens >= 0)
+            cut = np.searchsorted(fragment, np.arange(FRAGMENTS + 1))
+            rows += [(fa, j, tokens[cut[j] : cut[j + 1]]) for j in range(FRAGMENTS)]
+        yield pd.DataFrame(rows, columns=["doc", "fragment", "tokens"])
 
 
-def differences(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """pairs(a, b) -> a, b, na, nb, diff: sizes, and the tokens that only one of the two sets has, fragment by fragment."""
-    one = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-    one = one.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("tokens").alias("ta")), ["a", "fragment"])
-    both = one.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("tokens").alias("tb")), ["b", "fragment"])
-    part = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")).alias("d"))
-    return part.groupBy("a", "b").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.flatten(F.collect_list("d")).alias("diff"))
-
+# ---- the join ----------------------------------------------------------------------------------
 
-def sharing(diff: DataFrame, threshold: int) -> DataFrame:
-    """differences() of heads and members -> head, x, y that may link if x does not link with the head.
-
-    Rare tokens come first. With d(x) the size of x's difference and u = (100 - threshold) / (100 + threshold), a link
-    needs d(x) + d(y) - 2 * common <= u * (nx + ny), and d(x) > u * (nx + n(head)): so common is more than
-    (d(y) + u * (n(head) - ny)) / 2. It is also at least d(x) - nx * (100 - threshold) / threshold. Common tokens of
-    that number meet in the prefixes.
-    """
-    u = (100 - threshold) / (100 + threshold)
-    tokens = diff.select(F.col("a").alias("head"), F.col("b").alias("doc"), F.col("na").alias("nl"), F.col("nb").alias("n"), F.size("diff").alias("d"), F.explode("diff").alias("token"))
-    often = tokens.groupBy("head", "token").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(Window.partitionBy("head", "doc").orderBy("f", "token"))
-    tokens = tokens.join(often, ["head", "token"]).withColumn("rank", rank).filter("f > 1")
-    most = lambda common: F.col("d") - F.greatest(F.lit(1), common) + 1
-    as_x = tokens.filter(F.col("rank") <= most(F.ceil(F.col("d") - F.col("n") * ((100 - threshold) / threshold) - 1e-6)))
-    as_y = tokens.filter(F.col("rank") <= most(F.floor((F.col("d") + u * (F.col("nl") - F.col("n"))) / 2 - 1e-6) + 1))
-    both = as_x.select("head", "token", F.col("doc").alias("x")).join(as_y.select("head", "token", F.col("doc").alias("y")), ["head", "token"])
-    return both.filter("x <> y").select("head", "x", "y").distinct()
 
+def fragments_of(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """pairs(a, b) -> a, b, fragment, ta, tb."""
+    one = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    one = one.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("tokens").alias("ta")), ["a", "fragment"])
+    return one.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("tokens").alias("tb")), ["b", "fragment"])
 
-#: How many times the difference of a link a set may be from its head to be compared by differences.
-CLOSE = 3
 
+def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """pairs(a, b) -> a, b, common: partial overlaps of each fragment, summed."""
+    part = fragments_of(pairs, segments).select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("common"))
+    return part.groupBy("a", "b").agg(F.sum("common").alias("common"))
 
-def _gap():
-    """The least size of the symmetric difference, by segment lengths ha, hb."""
-    return F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
 
+def differences(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """pairs(a, b) -> a, b, diff: the tokens that only one of the two has, in the global order."""
+    d = F.array_sort(F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")))
+    part = fragments_of(pairs, segments).select("a", "b", F.struct("fragment", d.alias("d")).alias("part"))
+    parts = part.groupBy("a", "b").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return parts.select("a", "b", F.flatten("parts.d").alias("diff"))
 
-def _possible(threshold: int):
-    """Whether sizes na, nb, what can be shared ra, rb, and segment lengths ha, hb allow a link; cheap tests come first."""
-    both = F.col("na") + F.col("nb")
-    shared = F.least("ra", "rb")
-    return F.when(100 * shared >= threshold * (both - shared), (100 + threshold) * _gap() <= (100 - threshold) * both).otherwise(False)
 
+def differing(diff: DataFrame, threshold: int) -> DataFrame:
+    """head, x, y of different components that may link, x not near.
 
-def _linked(threshold: int):
-    return 100 * F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common"))
+    diff(head, doc, n, d, diff, far, least_far, near, component): d is the distance of the set from the head's shared tokens,
+    diff what others can share of the difference, far = (100 + threshold) * d - (100 - threshold) * n. A link needs
+    far(x) + far(y) <= 2 * (100 + threshold) * common, and common >= d - n * (100 - threshold) / threshold of both. Near are
+    those with far + least_far <= 0; so if x is not, common is at least 1 and more than (far(y) - least_far) / (2 * (100 + threshold)).
+    Differences with that much in common meet in their prefixes.
+    """
+    twice, v = 2 * (100 + threshold), (100 - threshold) / threshold
+    single = F.col("d") - F.size("diff")  # come first in the order and are shared with none
+    least = F.greatest(F.lit(1), F.ceil(F.col("d") - v * F.col("n") - 1e-6))
+    of_x = F.greatest(least, F.ceil((F.col("far") + F.col("least_far")) / twice - 1e-6))
+    of_y = F.greatest(least, F.floor((F.col("far") - F.col("least_far")) / twice - 1e-6) + 1)
+    upto = lambda common: F.greatest(F.lit(0), F.col("d") - common + 1 - single).cast("int")
+    both = diff.withColumn("short", upto(of_y))
+    as_x = both.filter("not near").select("head", F.col("doc").alias("x"), F.col("component").alias("cx"), "short", F.posexplode(F.slice("diff", F.lit(1), upto(of_x))).alias("at", "token"))
+    as_y = both.select("head", F.col("doc").alias("y"), F.col("component").alias("cy"), "near", F.explode(F.slice("diff", F.lit(1), F.col("short"))).alias("token"))
+    met = as_x.join(as_y, ["head", "token"]).filter((F.col("cx") != F.col("cy")) & (F.col("near") | (F.col("at") < F.col("short"))))
+    return met.select("head", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,87 +295,97 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def ngram_links(docs: DataFrame, k: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> features (doc_id, n, rep), components of representatives (node, component).
+def screened(docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The classes (rep, fa, n) that share enough with others to have a link."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, int(total * long_prefix(1000, threshold) / 1000) // BUCKET_ENTRIES + 1)
+    dealt = docs.mapInPandas(_dealt(k, threshold, buckets), "bucket int, token binary, place binary, fa binary, count binary")
+    counts = dealt.groupBy("bucket").applyInPandas(_shared, "fa long, c int").groupBy("fa").agg(F.sum("c").alias("c"))
+    return settle(counts.join(classes, "fa").filter(F.col("c") >= shared_least(threshold)).select("rep", "fa", "n"), "screened")
+
+
+def ordered_sets(docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The screened classes with their shared tokens in the global order: fa, n, tokens, levels."""
+    own = docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    own = own.mapInPandas(_sets(k), "fa long, n int, tokens array<long>")
+    sets = settle(own.groupBy("fa").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
+    often = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
+    often = often.select("token", F.least(F.floor(F.log2("f")) - 1, F.lit(LEVELS - 1)).cast("byte").alias("level"))
+    shared = sets.select("fa", "n", F.explode("tokens").alias("token")).join(often, "token")
+    order = shared.groupBy("fa").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("level", "token"))).alias("o"))
+    order = order.filter(100 * F.size("o") >= threshold * F.col("n"))
+    out = settle(order.select("fa", "n", F.col("o.token").alias("tokens"), F.col("o.level").alias("levels")), "ordered")
+    discard(sets)
+    return out
+
+
+def ngram_links(docs: DataFrame, k: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs(doc_id, text) -> features (doc_id, n), doc_id with rep, components of representatives (node, component).
 
     Links between different texts are joined to components; equal sets share a representative.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n int, fa long, fb long, lengths array<smallint>, block int, counts binary"
-    first = settle(docs.mapInPandas(_first_pass(k), schema), "features")
-    shared = spark.sparkContext.broadcast(frequency_classes(first.filter("block is not null").select("block", "counts")))
-    features = first.filter("block is null").select("doc_id", "n", "fa", "fb", "lengths")
+    features = settle(docs.mapInPandas(_features(k), "doc_id long, n int, fa long, fb long"), "features")
     usable = features.filter("n > 0 and doc_id is not null")
-    classes = settle(usable.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep"), F.first("lengths").alias("lengths")), "classes")
-
-    parts = []
-    for turn in range(ROUNDS):
-        own = docs.filter("doc_id is not null").mapInPandas(_postings(k, threshold, shared, turn), "token long, fa long, place int")
-        several = own.groupBy("token").agg(F.min("fa").alias("least"), F.max("fa").alias("most")).filter("least < most").select("token")
-        parts.append(settle(own.join(several, "token").groupBy("token", "fa").agg(F.min("place").alias("place")), "postings"))
-        release(spark)
-    postings = functools.reduce(DataFrame.unionByName, parts)
-    before = postings.groupBy("fa").agg(F.min("place").alias("before"))
-    classes = settle(classes.join(before, "fa", "left").withColumn("r", F.col("n") - F.coalesce("before", F.lit(0))), "classes")
-    heads = postings.join(before, "fa").groupBy("token").agg(F.min(F.struct("before", "fa")).alias("m")).select("token", F.col("m.fa").alias("head"))
-    met = postings.join(heads, "token").filter("fa <> head").select("head", "fa").distinct()
-    side = lambda at, x: classes.select(F.col("fa").alias(at), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), F.col("lengths").alias(f"h{x}"))
-    met = met.join(side("head", "a"), "head").join(side("fa", "b"), "fa").drop("head", "fa")
-    # two classes with one fa differ all the same: they are held against each other
-    twins = classes.groupBy("fa").agg(F.min("rep").alias("a"), F.max("rep").alias("rep")).filter("a < rep").drop("fa")
-    twins = twins.join(side("fa", "b").withColumn("rep", F.col("b")), "rep").drop("rep", "fa")
-    twins = twins.join(side("fa", "a").drop("fa"), "a")
-    met = settle(met.unionByName(twins).withColumn("possible", _possible(threshold)).withColumn("close", (100 + threshold) * _gap() <= CLOSE * (100 - threshold) * (F.col("na") + F.col("nb"))), "met")
-    held = lambda pairs: pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-
-    def segments_of(pairs: DataFrame) -> DataFrame:
-        own = docs.join(held(pairs), "doc_id", "left_semi").mapInPandas(_segments(k, shared), "doc long, fragment int, tokens array<long>")
-        # rows with one doc_id are one node
-        return settle(own.groupBy("doc", "fragment").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")), "segments")
-
-    pairs = met.filter("possible").select("a", "b").distinct()
-    segments = segments_of(pairs)
-    links = settle(overlaps(pairs, segments).filter(_linked(threshold)).select("a", "b"), "links")
-    discard(segments)
-    release(spark)
+    classes = settle(usable.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    docs = docs.filter("doc_id is not null")
+    alive = screened(docs, classes.drop("fb"), k, threshold)
+    sets = ordered_sets(docs, alive, k, threshold)
+
+    # every holder of a prefix token meets the head of that token
+    own = (F.col("n") - F.size("tokens")) / F.col("n")
+    prefixes = sets.select("fa", own.alias("own"), F.explode(prefix(threshold)).alias("token"))
+    heads = prefixes.groupBy("token").agg(F.min(F.struct("own", "fa")).alias("m"), F.count("*").alias("f")).filter("f > 1")
+    met = prefixes.join(heads.select("token", F.col("m.fa").alias("head")), "token").filter("fa <> head")
+    met = settle(met.select(F.col("head").alias("a"), F.col("fa").alias("b")).distinct(), "met")
+    segments = settle(sets.select("fa", "tokens", "levels").mapInPandas(_segments, "doc long, fragment int, tokens array<long>"), "segments")
+    known = alive.groupBy("fa").agg(F.min("rep").alias("rep")).join(sets.select("fa", "n", F.size("tokens").alias("shared")), "fa")
+    side = lambda x: known.select(F.col("fa").alias(x), F.col("n").alias(f"n{x}"), F.col("rep").alias(f"rep_{x}"), F.col("shared").alias(f"shared_{x}"))
+    far = lambda d, n: (100 + threshold) * F.col(d) - (100 - threshold) * F.col(n)
+    held = overlaps(met, segments).join(side("a"), "a").join(side("b"), "b")
+    held = held.withColumn("linked", 100 * F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common")))
+    held = held.withColumn("d", F.col("nb") + F.col("shared_a") - 2 * F.col("common")).withColumn("d_head", F.col("na") - F.col("shared_a"))
+    held = settle(held.withColumn("far", far("d", "nb")).withColumn("far_head", far("d_head", "na")), "held")
+    # two sets link for sure if the sum of far is not positive: with the one that has the least of all, if with any
+    least = held.groupBy("a").agg(F.min(F.struct("far", F.col("rep_b").alias("rep"))).alias("m"), F.min(F.struct(F.col("far_head").alias("far"), F.col("rep_a").alias("rep"))).alias("h"))
+    least = least.select("a", F.least("m", "h").alias("m")).select("a", F.col("m.far").alias("least_far"), F.col("m.rep").alias("centre"))
+    held_too = settle(held.join(least, "a").withColumn("near", F.col("far") + F.col("least_far") <= 0), "held")
+    discard(held)
+    held = held_too
+
+    # rows with one doc_id are one node
+    several = usable.join(classes, ["fa", "fb", "n"]).select("doc_id", "rep")
+    one = several.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
+    one = one.join(several, "doc_id").select("a", F.col("rep").alias("b"))
+    links = held.filter("linked").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(one)
+    links = links.unionByName(held.filter("near").select(F.col("centre").alias("a"), F.col("rep_b").alias("b")))
+    links = settle(links.unionByName(held.filter("far_head + least_far <= 0").select(F.col("centre").alias("a"), F.col("rep_a").alias("b"))).filter("a <> b").distinct(), "links")
     found = settle(components(links), "components")
-    # pairs of one head's holders of which one is not linked with it, in two components
-    linked = links.withColumn("linked", F.lit(True))
-    member = met.join(linked, ["a", "b"], "left").select(F.col("a").alias("head"), F.col("b").alias("x"), "nb", "rb", "hb", "close", F.coalesce("linked", F.lit(False)).alias("linked"))
-    member = member.join(found.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("c", F.coalesce("component", "x"))
-    left = member.filter("not linked").select("head", F.col("x").alias("a"), F.col("nb").alias("na"), F.col("rb").alias("ra"), F.col("hb").alias("ha"), F.col("c").alias("ca"), F.col("close").alias("close_a")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    right = member.select("head", F.col("x").alias("b"), "nb", "rb", "hb", "linked", "close", F.col("c").alias("cb")).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int"))
-    rest = left.join(right, ["head", "salt"]).filter((F.col("ca") != F.col("cb")) & (F.col("linked") | (F.col("a") < F.col("b"))) & _possible(threshold))
-    rest = rest.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct((~(F.col("close") & F.col("close_a"))).alias("far"), "head", "a", "b")).alias("m"), F.first(F.col("na") + F.col("nb")).alias("both"))
-    done = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    rest = settle(rest.join(done, ["x", "y"], "left_anti"), "rest")
-    far = rest.filter("m.far").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    segments = segments_of(far)
-    whole = settle(overlaps(far, segments).filter(_linked(threshold)).select("a", "b"), "links")
-    discard(segments)
-    rest = rest.filter("not m.far").select(F.col("m.a").alias("x"), F.col("m.b").alias("y"), "m.head", "both")  # x does not link with the head
-    near = rest.select(F.col("head").alias("a"), F.col("x").alias("b")).unionByName(rest.select(F.col("head").alias("a"), F.col("y").alias("b"))).distinct()
-    segments = segments_of(near)
-    diff = settle(differences(near, segments), "differences")
-    discard(segments)
-    release(spark)
-    side = lambda x: diff.select(F.col("a").alias("head"), F.col("b").alias(x), F.col("diff").alias(f"d{x}"))
-    rest = settle(rest.join(sharing(diff, threshold), ["head", "x", "y"], "left_semi"), "rest")
-    met_again = rest.join(side("x"), ["head", "x"]).join(side("y"), ["head", "y"])
-    gap = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
-    more = met_again.filter((100 + threshold) * gap <= (100 - threshold) * F.col("both")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = settle(components(links.unionByName(whole).unionByName(more)), "components")
-    own = usable.join(classes, ["fa", "fb", "n"]).select("doc_id", "rep").groupBy("doc_id").agg(F.collect_set("rep").alias("reps"))
-    return features.select("doc_id", "n"), own, found
+
+    # holders of one head in several components, of which one is not near
+    named = held.join(found.select(F.col("node").alias("rep_b"), "component"), "rep_b", "left").withColumn("component", F.coalesce("component", "rep_b"))
+    apart = named.groupBy("a").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("near").alias("all")).filter("least < most and not all")
+    named = named.select(F.col("a").alias("head"), F.col("b").alias("doc"), F.col("nb").alias("n"), F.col("rep_b").alias("rep"), "d", "far", "least_far", "near", "component")
+    named = settle(named.join(apart.select(F.col("a").alias("head")), "head", "left_semi"), "apart")
+    pairs = named.select(F.col("head").alias("a"), F.col("doc").alias("b"))
+    diff = differences(pairs, segments).select(F.col("a").alias("head"), F.col("b").alias("doc"), "diff")
+    diff = settle(named.join(diff, ["head", "doc"]), "differences")
+    rest = settle(differing(diff, threshold), "rest")
+    side = lambda x: diff.select("head", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("d").alias(f"d{x}"), F.col("diff").alias(f"diff_{x}"), F.col("rep").alias(f"rep_{x}"))
+    rest = rest.join(side("x"), ["head", "x"]).join(side("y"), ["head", "y"])
+    gap = F.col("dx") + F.col("dy") - 2 * F.size(F.array_intersect("diff_x", "diff_y"))
+    more = rest.filter((100 + threshold) * gap <= (100 - threshold) * (F.col("nx") + F.col("ny"))).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+    found = settle(components(links.unionByName(more)), "components")
+    reps = settle(several.distinct(), "representatives")
+    discard(classes, alive, sets, met, segments, held, links, named, diff)
+    return features.select("doc_id", "n"), reps, found
 
 
 def ngram_components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, one row a document."""
-    features, own, found = ngram_links(docs, k, threshold)
-    rep = own.select("doc_id", F.explode("reps").alias("node"))
-    named = rep.join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, one row a document row."""
+    features, reps, found = ngram_links(docs, k, threshold)
+    named = reps.join(found, reps["rep"] == found["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = features.join(named, "doc_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

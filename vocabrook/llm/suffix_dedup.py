@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, release, settle, small_batches
+from .common import chunks, mix, settle, small_batches
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -314,12 +314,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         rows = rows.filter((F.col("pos") < -1) | ((F.col("pos") >= 0) & F.col("repeats")))
         own = rows.select("doc", F.when(F.col("pos") < 0, -2 - F.col("pos")).otherwise(F.col("pos")).alias("pos"))
         parts.append(settle(own.join(copies.select("doc"), "doc", "left_anti").groupBy("doc").agg(F.collect_list("pos").alias("places")), "places"))
-        release(spark)
     places = functools.reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.flatten(F.collect_list("places")).alias("places"))
     held = docs.join(places.withColumnRenamed("doc", "doc_id"), "doc_id")
     contexts = held.mapInPandas(_context_rows, "gram long, context binary, doc long, at int").withColumn("code", F.xxhash64("context"))
     contexts = settle(contexts, "contexts")
-    release(spark)
     shards = max(12, int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_TEXT)
     distinct = contexts.groupBy("gram", "code", "context").agg(F.min("doc").alias("least"))
     runs = distinct.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard").applyInPandas(_shard, "gram long, code long, first int, last int, least long")
@@ -344,7 +342,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, spans array<struct(first, last)>, kept binary, one row a document row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     runs = settle(repeated_runs(docs), "runs")
-    release(docs.sparkSession)
     rows = docs.select("doc_id", "text").join(runs.withColumnRenamed("doc", "_doc"), F.col("doc_id").cast("long") == F.col("_doc"), "left").select("doc_id", "text", "runs")
 
     def cut(batches):
@@ -392,7 +389,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Bytes of a character that was cut in two are dropped; a null text stays null.
     """
     runs = settle(repeated_runs(docs), "runs")
-    release(docs.sparkSession)
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, runs: pd.Series) -> pd.Series:

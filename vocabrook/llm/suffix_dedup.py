@@ -3,15 +3,15 @@
 A byte is removed if a string of LENGTH bytes that covers it also starts in a document with a smaller doc_id; all
 strings are judged on the input.
 
-1. Anchors: of the GRAM-byte grams inside every string of LENGTH bytes, the one with the smallest hash. Equal
-   strings have anchors with equal grams, so a shard gets all strings with a gram, and only grams that occur in two
-   documents matter. A batch of documents settles its own repeats and sends one row for each of them.
-   Texts that equal that of a smaller doc_id hold nothing new: they go whole, and are no candidates.
-2. Contexts: the bytes of the strings that such an anchor stands for. Equal contexts are one row.
-3. Suffix arrays: each shard's contexts are sorted by induced sorting. Suffixes are classified, leftmost-smaller
-   substrings are sorted (their names recursively by rank doubling), the array is induced from them bucket by
-   bucket in linear time, and permuted common prefixes tell which suffixes share LENGTH bytes.
-4. The smallest doc_id of each string goes back to the documents that hold it.
+1. Anchors: of the GRAM-byte grams inside every string of LENGTH bytes, the one with the smallest hash. Equal strings have
+   anchors with equal grams. The strings of one anchor are a context: 50 to 80 bytes.
+2. Contexts are dealt to buckets by their gram as (gram, code, row, place) without their bytes; the code is a hash of all
+   its bytes. Of equal contexts only those of the smallest doc_id go on: the others are removed whole. A task does the same
+   first, so of a group of copies it sends one. Only grams with several contexts in several documents go on.
+3. Suffix arrays: the bytes of these contexts are fetched, each gram's go to one shard, and shards are sorted by induced
+   sorting. Suffixes are classified, leftmost-smaller substrings are sorted and named (equal names are compared byte by
+   byte), the names' order is found by rank doubling where they repeat, the array is induced bucket by bucket in linear
+   time, and permuted common prefixes tell which suffixes share LENGTH bytes: a string's smallest doc_id.
 
 Defined cases: a null text is empty; rows with a null doc_id neither remove nor lose bytes; rows with one doc_id
 are one document's texts (they do not remove from each other); an empty table gives no rows; other columns are not
@@ -20,23 +20,24 @@ read. Texts are never cut; very long ones are worked on whole, a document at a t
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, settle, small_batches
+from .common import chunks, discard, mix, settle, small_batches
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # grams in a string
-#: The anchors are dealt in so many rounds of a part of their keys: each round reads the texts again, and its shuffle is
-#: dropped before the next one, which divides the space that the largest shuffle takes.
-ROUNDS = 4
-#: A shard's contexts come from so many bytes of text, on average.
-SHARD_TEXT = 3_000_000
+#: Contexts: so many in a bucket on average, and so many in a task before they are sent.
+BUCKET_ENTRIES = 700_000
+SEND_ENTRIES = 2_000_000
+#: A text has an anchor for about so many bytes.
+ANCHOR_BYTES = 15
+#: A shard's contexts have so many bytes, on average.
+SHARD_BYTES = 2_000_000
 
 
 # ---- suffix arrays ---------------------------------------------------------------------------
@@ -131,6 +132,25 @@ def rank_doubling(names: np.ndarray) -> np.ndarray:
         k *= 2
 
 
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as one number; zeros follow the data."""
+    return np.ndarray((len(data) + 64,), "<u8", np.concatenate([data, np.zeros(72, np.uint8)]), 0, (1,))
+
+
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether length bytes from a on equal those from b on; what lies behind the data are zeros."""
+    words, out = words_of(data), np.ones(len(a), bool)
+    live, step = np.arange(len(a)), 0
+    while len(live):
+        left = length[live] - step
+        mask = np.where(left >= 8, np.uint64(2**64 - 1), (np.uint64(1) << (8 * np.clip(left, 0, 7)).astype(np.uint64)) - np.uint64(1))
+        end = len(words) - 1
+        same = (words[np.minimum(a[live] + step, end)] ^ words[np.minimum(b[live] + step, end)]) & mask == 0
+        out[live[~same]] = False
+        live, step = live[same & (left > 8)], step + 8
+    return out
+
+
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Suffix array of bytes, by induced sorting; position len(data) stands for the empty suffix, the first one."""
     x = np.concatenate([data.astype(np.int16) + 1, [0]])
@@ -151,6 +171,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     scaled = (total[stop] - total[lms]) * power[len(x) - 1 - lms]  # moved to a common power
     k = number[ordered]
     same = (scaled[k[1:]] == scaled[k[:-1]]) & (length[k[1:]] == length[k[:-1]])
+    same[same] = equal_bytes(data, lms[k[1:][same]], lms[k[:-1][same]], length[k[1:][same]])
     name = np.empty(len(lms), np.int64)
     name[k] = np.concatenate([[0], np.cumsum(~same)])
     if name[k[-1]] < len(lms) - 1:
@@ -197,8 +218,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hash, text number, position, and first and last string of each anchor (a string has one anchor)."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gram hash, code, text number, first byte and size of each anchor's context (a string has one anchor)."""
     data = np.frombuffer(b"".join(texts) + b"\0" * (GRAM + 64), np.uint8)
     length = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.concatenate([[0], np.cumsum(length)])
@@ -221,50 +242,96 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
     last = np.concatenate([cut[1:], [len(place)]])[: len(cut)] - 1
     owner = np.searchsorted(begin, place[cut], "right") - 1
-    return h[place[cut]], owner, place[cut] - begin[owner], start[cut] - begin[owner], start[last] - begin[owner]
+    first, size = start[cut], start[last] - start[cut] + LENGTH
+    code = np.zeros(len(cut), np.uint64)
+    for k in range(0, LENGTH + SPAN - 1, GRAM):  # grams that cover the context
+        code = mix(code + h[first + np.minimum(k, size - GRAM)] * np.uint64(0x9E3779B97F4A7C15))
+    return h[place[cut]], mix(code + size.astype(np.uint64)), owner, first - begin[owner], size
 
 
-def _anchor_rows(turn: int):
-    """The rows of the anchors whose gram hash is turn modulo ROUNDS."""
-    return lambda batches: _rows_of_turn(batches, turn)
+#: The columns of a context: gram, code, row number, first byte, size.
+_KINDS = ("<u8", "<u8", "<u4", "<i4", "u1")
 
 
-def _rows_of_turn(batches, turn: int):
-    """key, doc, pos (the anchor's first string): pos >= 0 to be settled by key, -1 a key known to repeat, -2 - pos known to repeat."""
-    for pdf in chunks(batches):
-        ids = pdf["doc_id"].to_numpy(np.int64)
-        h, owner, _, pos, _ = anchors([encode(t) for t in pdf["text"]])
-        mine = (h >> np.uint64(7)) % np.uint64(ROUNDS) == turn
-        h, owner, pos = h[mine], owner[mine], pos[mine]
-        if not len(h):
-            continue
-        doc = ids[owner]
-        order = np.argsort(h, kind="stable")
-        h, doc, pos = h[order], doc[order], pos[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        least, most = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-        size = np.diff(np.concatenate([first, [len(h)]]))
-        repeats = np.repeat(least < most, size)
-        rep = least < most
-        # those known to repeat go by their document, evenly
-        key = np.concatenate([h[~repeats], h[first][rep], mix(doc[repeats].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (pos[repeats] >> 8).astype(np.uint64))])
-        yield pd.DataFrame({"key": key.view(np.int64), "doc": np.concatenate([doc[~repeats], least[rep], doc[repeats]]), "pos": np.concatenate([pos[~repeats], np.full(rep.sum(), -1), -2 - pos[repeats]])})
-
-
-def _context_rows(batches):
-    """gram, context, doc, at (the context's first byte): the bytes of the strings of each listed anchor."""
+def _settled(gram, code, doc, order) -> tuple[np.ndarray, np.ndarray]:
+    """In this order of contexts: which have an equal one in a smaller document, and where equal ones begin."""
+    gram, code, doc = gram[order], code[order], doc[order]
+    first = np.concatenate([[True], (gram[1:] != gram[:-1]) | (code[1:] != code[:-1])])
+    return doc > doc[np.flatnonzero(first)][np.cumsum(first) - 1], first
+
+
+def _dealt(buckets: int):
+    """Contexts dealt to buckets, in columns of bytes; without a gram: those that are known to be removed."""
+
+    def pack(parts):
+        gram, code, row, at, size, docs, prints = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((docs[row], code, gram))
+        gone, _ = _settled(gram, code, docs[row], order)
+
+        def packed(bucket, part, with_gram):
+            used, number = np.unique(row[part], return_inverse=True)
+            columns = [gram[part], code[part]] if with_gram else [gram[:0], code[:0]]
+            columns += [number, at[part], size[part]]
+            return (bucket, *[c.astype(kind).tobytes() for c, kind in zip(columns, _KINDS, strict=True)], docs[used].astype("<i8").tobytes(), prints[used].astype("<i8").tobytes())
+
+        rows = [packed(int(gram[0] % np.uint64(buckets)), order[gone], False)] if gone.any() else []
+        rest = order[~gone]
+        bucket = ((gram[rest] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows += [packed(b, rest[cut[b] : cut[b + 1]], True) for b in range(buckets) if cut[b] < cut[b + 1]]
+        return pd.DataFrame(rows, columns=["bucket", "gram", "code", "row", "at", "size", "docs", "prints"])
+
+    def run(batches):
+        parts, entries, rows = [], 0, 0
+        for pdf in chunks(batches):
+            gram, code, owner, at, size = anchors([encode(t) for t in pdf["text"]])
+            parts.append((gram, code, owner + rows, at, size, pdf["doc_id"].to_numpy(np.int64), pdf["print"].to_numpy(np.int64)))
+            entries, rows = entries + len(gram), rows + len(pdf)
+            if entries > SEND_ENTRIES:
+                yield pack(parts)
+                parts, entries, rows = [], 0, 0
+        if entries:
+            yield pack(parts)
+
+    return run
+
+
+_FOUND = "doc long, print long, at int, size int, gram long"
+
+
+def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Contexts to be removed (gram null) and those whose grams have others, of other documents."""
+    done, open_ = [], []
+    for r in pdf.itertuples(index=False):
+        gram, code, row, at, size = (np.frombuffer(c, kind) for c, kind in zip((r.gram, r.code, r.row, r.at, r.size), _KINDS, strict=True))
+        docs, prints = np.frombuffer(r.docs, "<i8"), np.frombuffer(r.prints, "<i8")
+        (open_ if len(gram) else done).append((gram, code, docs[row], prints[row], at, size))
+    out = []
+    for _, _, doc, print_, at, size in done:
+        out.append(pd.DataFrame({"doc": doc, "print": print_, "at": at, "size": size.astype(np.int32), "gram": pd.array([pd.NA] * len(doc), "Int64")}))
+    if open_:
+        gram, code, doc, print_, at, size = (np.concatenate(c) for c in zip(*open_, strict=True))
+        order = np.lexsort((doc, code, gram))
+        gone, first = _settled(gram, code, doc, order)
+        rest = order[~gone]
+        g, d, new = gram[rest], doc[rest], first[~gone]
+        ends = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+        several = (np.add.reduceat(new.astype(np.int64), ends[:-1]) > 1) & (np.minimum.reduceat(d, ends[:-1]) < np.maximum.reduceat(d, ends[:-1]))
+        rest = rest[np.repeat(several, np.diff(ends))]
+        for part, keys in ((order[gone], False), (rest, True)):
+            key = pd.array(gram[part].view(np.int64), "Int64") if keys else pd.array([pd.NA] * len(part), "Int64")
+            out.append(pd.DataFrame({"doc": doc[part], "print": print_[part], "at": at[part], "size": size[part].astype(np.int32), "gram": key}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _fetched(batches):
+    """gram, context, doc, print, at: the bytes of the listed contexts."""
     for pdf in chunks(batches):
         rows = []
-        raw = [encode(t) for t in pdf["text"]]
-        h, owner, _, first, last = anchors(raw)
-        cut = np.searchsorted(owner, np.arange(len(raw) + 1))
-        h = h.view(np.int64)
-        for i, (doc, b, places) in enumerate(zip(pdf["doc_id"], raw, pdf["places"], strict=True)):
-            a, z = cut[i], cut[i + 1]
-            own = a + np.searchsorted(first[a:z], np.unique(np.asarray(places, np.int64)))
-            rows += [(g, b[f : e + LENGTH], doc, f) for g, f, e in zip(h[own].tolist(), first[own].tolist(), last[own].tolist(), strict=True)]
-        if rows:
-            yield pd.DataFrame(rows, columns=["gram", "context", "doc", "at"])
+        for doc, print_, text, grams, ats, sizes in zip(pdf["doc_id"], pdf["print"], pdf["text"], pdf["grams"], pdf["ats"], pdf["sizes"], strict=True):
+            b = encode(text)
+            rows += [(g, b[a : a + n], doc, print_, a) for g, a, n in zip(grams.tolist(), ats.tolist(), sizes.tolist(), strict=True)]
+        yield pd.DataFrame(rows, columns=["gram", "context", "doc", "print", "at"])
 
 
 def shard_strings(contexts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -293,71 +360,73 @@ def shard_strings(contexts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray,
 
 
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    number, first, last, least = shard_strings(list(pdf["context"]), pdf["least"].to_numpy(np.int64))
-    return pd.DataFrame({"gram": pdf["gram"].to_numpy()[number], "code": pdf["code"].to_numpy()[number], "first": first, "last": last, "least": least})
+    docs, at = pdf["doc"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)
+    number, first, last, least = shard_strings(list(pdf["context"]), docs)
+    lost = least < docs[number]
+    number, first, last = number[lost], first[lost], last[lost]
+    return pd.DataFrame({"doc": docs[number], "print": pdf["print"].to_numpy()[number], "first": at[number] + first, "last": at[number] + last + LENGTH})
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc, runs array<struct(first, last)>: the bytes [first, last) to be removed, not yet merged."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a print that tells texts of one doc_id apart."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    size = F.octet_length("text")
-    prints = docs.filter(size >= LENGTH).select("doc_id", F.sha2("text", 256).alias("print"), size.alias("size"))
-    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    copies = settle(prints.join(firsts, "print").filter("least < doc_id").select(F.col("doc_id").alias("doc"), "size"), "copies")
-    parts = []
-    for turn in range(ROUNDS):
-        rows = docs.mapInPandas(_anchor_rows(turn), "key long, doc long, pos int")
-        by_key = Window.partitionBy("key")
-        rows = rows.withColumn("repeats", (F.min("doc").over(by_key) < F.max("doc").over(by_key)) | (F.min("pos").over(by_key) == -1))
-        rows = rows.filter((F.col("pos") < -1) | ((F.col("pos") >= 0) & F.col("repeats")))
-        own = rows.select("doc", F.when(F.col("pos") < 0, -2 - F.col("pos")).otherwise(F.col("pos")).alias("pos"))
-        parts.append(settle(own.join(copies.select("doc"), "doc", "left_anti").groupBy("doc").agg(F.collect_list("pos").alias("places")), "places"))
-    places = functools.reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.flatten(F.collect_list("places")).alias("places"))
-    held = docs.join(places.withColumnRenamed("doc", "doc_id"), "doc_id")
-    contexts = held.mapInPandas(_context_rows, "gram long, context binary, doc long, at int").withColumn("code", F.xxhash64("context"))
-    contexts = settle(contexts, "contexts")
-    shards = max(12, int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_TEXT)
-    distinct = contexts.groupBy("gram", "code", "context").agg(F.min("doc").alias("least"))
-    runs = distinct.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))).groupBy("shard").applyInPandas(_shard, "gram long, code long, first int, last int, least long")
-    hits = contexts.select("gram", "code", "doc", "at").join(runs, ["gram", "code"]).filter("least < doc")
-    hits = hits.select("doc", F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last") + LENGTH).alias("last")).alias("run"))
-    whole = copies.select("doc", F.struct(F.lit(0).alias("first"), F.col("size").cast("int").alias("last")).alias("run"))
-    return hits.unionByName(whole).groupBy("doc").agg(F.collect_list("run").alias("runs"))
-
-
-def merged(runs) -> list[tuple[int, int]]:
+    return docs.withColumn("print", F.xxhash64("text"))
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc, print, firsts, lasts: arrays of the bytes [first, last) to be removed, not yet merged."""
+    small_batches(docs.sparkSession)
+    docs = texts_of(docs).filter(F.octet_length("text") >= LENGTH)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = total // ANCHOR_BYTES // BUCKET_ENTRIES + 1
+    columns = "bucket int, gram binary, code binary, row binary, at binary, size binary, docs binary, prints binary"
+    found = settle(docs.mapInPandas(_dealt(buckets), columns).groupBy("bucket").applyInPandas(_bucket, _FOUND), "found")
+    places = found.filter("gram is not null")
+    shards = (places.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES + 1
+    places = places.groupBy(F.col("doc").alias("doc_id"), "print").agg(F.collect_list(F.struct("gram", "at", "size")).alias("places"))
+    places = places.select("doc_id", "print", F.col("places.gram").alias("grams"), F.col("places.at").alias("ats"), F.col("places.size").alias("sizes"))
+    contexts = docs.join(places, ["doc_id", "print"]).mapInPandas(_fetched, "gram long, context binary, doc long, print long, at int")
+    contexts = contexts.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
+    hits = settle(contexts.groupBy("shard").applyInPandas(_shard, "doc long, print long, first int, last int"), "hits")
+    whole = found.filter("gram is null").select("doc", "print", F.col("at").alias("first"), (F.col("at") + F.col("size")).alias("last"))
+    runs = hits.unionByName(whole).groupBy("doc", "print").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = settle(runs.select("doc", "print", F.col("runs.first").alias("firsts"), F.col("runs.last").alias("lasts")), "runs")
+    discard(found, hits)
+    return runs
+
+
+def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs, in order; runs that touch are one."""
-    out: list[list[int]] = []
-    for a, z in sorted((r["first"], r["last"]) for r in runs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
+    order = np.argsort(first)
+    first, last = first[order], np.maximum.accumulate(last[order])
+    new = np.concatenate([[True], first[1:] > last[:-1]])
+    return first[new], last[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(last) - 1]])]
+
+
+def cut(text: str, first: np.ndarray, last: np.ndarray) -> bytes:
+    """The text's bytes without maximal runs."""
+    b = encode(text)
+    return b"".join(b[a:z] for a, z in zip([0, *last.tolist()], [*first.tolist(), len(b)], strict=True))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, spans array<struct(first, last)>, kept binary, one row a document row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    runs = settle(repeated_runs(docs), "runs")
-    rows = docs.select("doc_id", "text").join(runs.withColumnRenamed("doc", "_doc"), F.col("doc_id").cast("long") == F.col("_doc"), "left").select("doc_id", "text", "runs")
+    runs = repeated_runs(docs)
+    rows = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("print"))
+    rows = rows.join(runs, ["doc", "print"], "left").select("doc_id", "text", "firsts", "lasts")
 
-    def cut(batches):
+    def apply(batches):
+        none = np.zeros(0, np.int64)
         for pdf in chunks(batches):
             out = []
-            for doc_id, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
-                b = encode(text)
-                spans = [(a, min(z, len(b))) for a, z in merged(runs)] if runs is not None else []
-                at, parts = 0, []
-                for a, z in spans:
-                    parts.append(b[at:a])
-                    at = z
-                out.append((doc_id, len(b), sum(z - a for a, z in spans), [{"first": a, "last": z} for a, z in spans], b"".join([*parts, b[at:]])))
+            for doc_id, text, first, last in zip(pdf["doc_id"], pdf["text"], pdf["firsts"], pdf["lasts"], strict=True):
+                first, last = (none, none) if first is None else merged(first, last)
+                spans = [{"first": a, "last": z} for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+                out.append((doc_id, len(encode(text)), int((last - first).sum()), spans, cut(text, first, last)))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"]).astype({"doc_id": pdf["doc_id"].dtype})
 
-    return rows.mapInPandas(cut, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept binary")
+    return rows.mapInPandas(apply, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -388,25 +457,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Bytes of a character that was cut in two are dropped; a null text stays null.
     """
-    runs = settle(repeated_runs(docs), "runs")
+    runs = repeated_runs(docs)
 
     @F.pandas_udf("string")
-    def rest(text: pd.Series, runs: pd.Series) -> pd.Series:
-        out = []
-        for t, r in zip(text, runs, strict=True):
-            if r is None or not len(r) or t is None:
-                out.append(t)
-                continue
-            b, at, parts = encode(t), 0, []
-            for a, z in merged(r):
-                parts.append(b[at:a])
-                at = z
-            out.append(b"".join([*parts, b[at:]]).decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
-
-    rows = docs.join(runs.select(F.col("doc").alias("_doc"), F.col("runs").alias("_runs")), F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    def rest(text: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
+        return pd.Series([cut(t, *merged(a, z)).decode("utf-8", "ignore") for t, a, z in zip(text, firsts, lasts, strict=True)], dtype=object)
+
+    # the document's row stays whole in a column, so that no name of its columns can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("print"))
+    rows = rows.join(runs, ["doc", "print"], "left")
     # texts without a run do not go to Python
-    touched = rows.filter("_runs is not null").withColumn("text", rest("text", "_runs"))
+    touched = rows.filter("firsts is not null").withColumn("text", rest("row.text", "firsts", "lasts"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return touched.select(*docs.columns).unionByName(rows.filter("_runs is null").select(*docs.columns))
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    touched = touched.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return touched.unionByName(rows.filter("firsts is null").select("row.*"))

@@ -43,7 +43,7 @@ LEVELS = 8
 FRAGMENTS = 2 * LEVELS
 #: The screen's entries: so many in a bucket on average, and so many in a task before they are sent.
 BUCKET_ENTRIES = 700_000
-SEND_ENTRIES = 3_000_000
+SEND_ENTRIES = 1_000_000
 #: ASCII white space separates words.
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -165,7 +165,8 @@ def _dealt(k: int, threshold: int, buckets: int):
         for a, z in zip(ends[:-1], ends[1:], strict=True):
             fa, place = np.unique(owner[a:z], return_inverse=True)
             rows.append((int(bucket[a]), token[a:z].astype("<u8").tobytes(), place.astype("<u4").tobytes(), fa.astype("<i8").tobytes(), b""))
-        return pd.DataFrame(rows, columns=["bucket", "token", "place", "fa", "count"])
+        for k in range(0, len(rows), 20):  # in small batches, for the memory of both sides
+            yield pd.DataFrame(rows[k : k + 20], columns=["bucket", "token", "place", "fa", "count"])
 
     def run(batches):
         parts, size = [], 0
@@ -173,10 +174,10 @@ def _dealt(k: int, threshold: int, buckets: int):
             parts.append((fa, s[: long_prefix(len(s), threshold)]))
             size += len(parts[-1][1])
             if size > SEND_ENTRIES:
-                yield pack(parts)
+                yield from pack(parts)
                 parts, size = [], 0
         if parts:
-            yield pack(parts)
+            yield from pack(parts)
 
     return run
 
@@ -306,7 +307,8 @@ def screened(docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> Dat
 
 def ordered_sets(docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
     """The screened classes with their shared tokens in the global order: fa, n, tokens, levels."""
-    own = docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # dealt by doc_id at any size: what is left after the screen grows with the documents, so it is never broadcast
+    own = docs.hint("merge").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     own = own.mapInPandas(_sets(k), "fa long, n int, tokens array<long>")
     sets = settle(own.groupBy("fa").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
     often = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")

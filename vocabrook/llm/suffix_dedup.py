@@ -33,7 +33,7 @@ LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # grams in a string
 #: Contexts: so many in a bucket on average, and so many in a task before they are sent.
 BUCKET_ENTRIES = 700_000
-SEND_ENTRIES = 2_000_000
+SEND_ENTRIES = 500_000
 #: A text has an anchor for about so many bytes.
 ANCHOR_BYTES = 15
 #: A shard's contexts have so many bytes, on average.
@@ -279,19 +279,20 @@ def _dealt(buckets: int):
         bucket = ((gram[rest] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
         rows += [packed(b, rest[cut[b] : cut[b + 1]], True) for b in range(buckets) if cut[b] < cut[b + 1]]
-        return pd.DataFrame(rows, columns=["bucket", "gram", "code", "row", "at", "size", "docs", "prints"])
+        for k in range(0, len(rows), 20):  # in small batches, for the memory of both sides
+            yield pd.DataFrame(rows[k : k + 20], columns=["bucket", "gram", "code", "row", "at", "size", "docs", "prints"])
 
     def run(batches):
         parts, entries, rows = [], 0, 0
         for pdf in chunks(batches):
             gram, code, owner, at, size = anchors([encode(t) for t in pdf["text"]])
-            parts.append((gram, code, owner + rows, at, size, pdf["doc_id"].to_numpy(np.int64), pdf["print"].to_numpy(np.int64)))
+            parts.append((gram, code, (owner + rows).astype(np.uint32), at.astype(np.int32), size.astype(np.uint8), pdf["doc_id"].to_numpy(np.int64), pdf["print"].to_numpy(np.int64)))
             entries, rows = entries + len(gram), rows + len(pdf)
             if entries > SEND_ENTRIES:
-                yield pack(parts)
+                yield from pack(parts)
                 parts, entries, rows = [], 0, 0
         if entries:
-            yield pack(parts)
+            yield from pack(parts)
 
     return run
 

@@ -131,9 +131,9 @@ def test_disambiguation(spark, grounder):
 
 
 def test_etl(spark):
-    rows = spark.createDataFrame([("HGNC:1097", "BRAF", "B-Raf", "Approved", "BRAF1, RAFB1", "", '"v-raf, homolog"'), ("HGNC:5", "OLD", "symbol withdrawn, see [HGNC:1097]", "Entry Withdrawn", "", "", "")], "hgnc_id string, symbol string, name string, status string, aliases string, previous string, alias_names string")
+    rows = spark.createDataFrame([("HGNC:1097", "BRAF", "B-Raf", "Approved", "BRAF1, RAFB1", "", '"v-raf, homolog", c'), ("HGNC:5", "OLD", "symbol withdrawn, see [HGNC:1097]", "Symbol Withdrawn", "", "", "")], "hgnc_id string, symbol string, name string, status string, aliases string, previous string, alias_names string")
     got = {(r.text, r.status, r.id) for r in etl.hgnc_terms(rows).collect()}
-    assert got == {("BRAF", "name", "1097"), ("B-Raf", "name", "1097"), ("BRAF1", "synonym", "1097"), ("RAFB1", "synonym", "1097"), ("v-raf, homolog", "synonym", "1097"), ("OLD", "former_name", "1097")}
+    assert got == {("BRAF", "name", "1097"), ("B-Raf", "name", "1097"), ("BRAF1", "synonym", "1097"), ("RAFB1", "synonym", "1097"), ("v-raf, homolog", "synonym", "1097"), ("c", "synonym", "1097"), ("OLD", "former_name", "1097")}
     go = spark.createDataFrame([("GO:1", "x activity", ["x", "y activity"])], "id string, name string, synonyms array<string>")
     assert {r.text for r in etl.go_terms(go).collect()} == {"x activity", "y activity"}
     up = spark.createDataFrame([("P1", "G1", "G2 G3", "Prot one (Prot two)", "10090"), ("P2", "A; B", "; C", "Many", "9606"), ("P15056", "BRAF", "BRAF1", "Raf (EC 2.7.11.1)", "9606")], "entry string, primary string, synonyms string, names string, organism string")

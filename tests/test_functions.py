@@ -73,7 +73,27 @@ def test_protein_names(spark):
 
 
 def test_vocabulary_functions(spark):
-    assert one(spark, ["Ala-Gly", "ala", "ala-xyz"], vocab.is_aa_sequence("x")) == [True, False, False]
+    assert one(spark, ["Ala-Gly", "ala-gly", "Ala", "Ala-Xyz"], vocab.is_aa_sequence("x")) == [True, False, False, False]
     assert one(spark, ["symbol withdrawn, see [HGNC: 12]", "x"], vocab.withdrawn_to("x")) == ["12", ""]
     assert one(spark, ["Uniprot:P1|GO:0005|CVCL_1|Uberon:UBERON:1"], vocab.normal_ids("x")) == [["UP:P1", "GO:GO:0005", "CVCL:1", "UBERON:1"]]
     assert one(spark, ['a "b"', "x (formerly y)", "Ambiguous z"], vocab.clean_synonym("x")) == ["a ", "x", None]
+    assert one(spark, ['"a, b", c', '"x ""y"""', "p,q ", ""], vocab.alias_names("x")) == [["a, b", "c"], ['x "y"'], ["p", "q"], []]
+    assert one(spark, ["UP", "HGNC"], vocab.display_name("x")) == ["Uniprot", "HGNC"]
+    assert one(spark, ["stereamide", "nmn(abc)", "palmitic_acid", "pipecolicacid", "a/b"], vocab.metabolite_name("x")) == ["stearamide", "nmn", "palmitic acid", "pipecolic acid", "a"]
+    assert one(spark, ["a (b)", "a"], vocab.without_suffix("x")) == [["a (b)", "a"], ["a", "a"]]
+
+
+def test_entity_types(spark):
+    df = spark.createDataFrame([(["NCBI gene:1"], ["HGNC:5"]), (["UP:1"], ["UP:1"]), (["GO:1"], None), (["ZZ:1"], ["HGNC:1"])], "ids array<string>, eq array<string>")
+    assert [r[0] for r in df.select(vocab.gene_type("ids", "eq")).collect()] == ["Human Gene", "Nonhuman Gene", "Cellular Component", "unknown"]
+    p = spark.createDataFrame([(0.5, 1.0), (0.0, 0.0)], "p double, r double")
+    assert [round(r[0], 6) for r in p.select(vocab.f1("p", "r")).collect()] == [0.666667, 0.0]
+
+
+def test_groundings_of_a_match(spark):
+    rows = [(("GO", "GO:1", "MESH", "D1"), [("GO", "GO:1", None, None), ("GO", "GO:1", "DOID", "DOID:2")])]
+    kind = "struct<db:string,id:string,source_db:string,source_id:string>"
+    df = spark.createDataFrame(rows, f"term {kind}, subsumed array<{kind}>")
+    g = df.select(curie.match_groundings(F.col("term"), F.col("subsumed")).alias("g"))
+    assert [(x.db, x.id) for x in g.first().g] == [("GO", "GO:1"), ("MESH", "D1"), ("DOID", "DOID:2")]
+    assert set(g.select(curie.grounding_dict(F.col("g")).alias("d")).first().d) == {"go:1", "mesh:D1", "doid:2"}

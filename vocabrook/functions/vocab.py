@@ -16,16 +16,21 @@ AMINO_ACIDS = "ala arg asn asp asx cys glu gln glx gly his ile leu lys met phe p
 
 
 def is_aa_sequence(s) -> Column:
-    """Whether a text is amino-acid abbreviations joined by dashes."""
-    parts = F.split(F.lower(_col(s)), "-")
-    return (F.size(parts) > 1) & F.forall(parts, lambda p: p.isin(*AMINO_ACIDS))
+    """Whether a text is capitalised amino-acid abbreviations joined by dashes."""
+    parts = F.split(_col(s), "-")
+    return (F.size(parts) > 1) & F.forall(parts, lambda p: p.isin(*[a.capitalize() for a in AMINO_ACIDS]))
 
 
 def alias_names(s) -> Column:
-    """The items of a comma-separated list; quoted ones may hold commas."""
-    s = _col(s)
-    items = F.when(s.contains('"'), F.regexp_extract_all(s, F.lit('"([^"]+)"'), F.lit(1))).otherwise(F.split(s, ","))
-    return F.transform(items, lambda x: F.trim(x))
+    """The items of a comma-separated list; quoted ones may hold commas, and a doubled quotation mark is one."""
+    items = F.regexp_extract_all(_col(s), F.lit('(?:"(?:[^"]|"")*"|[^,"])+'), F.lit(0))
+
+    def plain(x):
+        x = F.trim(x)
+        quoted = x.startswith('"') & x.endswith('"') & (F.length(x) > 1)
+        return F.trim(F.when(quoted, F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+    return F.transform(items, plain)
 
 
 def withdrawn_to(s) -> Column:
@@ -62,6 +67,43 @@ def entity_type(ids) -> Column:
     )
 
 
+def gene_type(ids, equivalents) -> Column:
+    """entity_type(), where a gene is a human one if any equivalent id is of HGNC."""
+    kind = entity_type(ids)
+    human = F.exists(_col(equivalents), lambda x: x.startswith("HGNC"))
+    return F.when(kind != "Gene", kind).when(F.coalesce(human, F.lit(False)), "Human Gene").otherwise("Nonhuman Gene")
+
+
+#: Namespaces and the names that tables show for them.
+DISPLAY_NAMES = {"UP": "Uniprot", "NCBI gene": "Entrez", "PubChem": "PubChem", "CL": "Cell Ontology", "CVCL": "Cellosaurus", "UBERON": "Uberon", "FPLX": "Famplex"}
+
+
+def display_name(ns) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in DISPLAY_NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, _col(ns)), _col(ns))
+
+
+#: Misspelt metabolite names and suffixes that are written on.
+TYPOS = {"stereamide": "stearamide", "staericacid": "stearicacid"}
+SUFFIXES = ("acid", "mononucleotide")
+
+
+def metabolite_name(s) -> Column:
+    """A metabolite's name without a trailing (abbreviation), with spaces for underscores and before suffixes, up to a slash."""
+    out = _col(s)
+    for wrong, right in TYPOS.items():
+        out = F.when(out == wrong, right).otherwise(out)
+    out = F.replace(F.regexp_replace(out, r"\([a-zA-Z]+\)$", ""), F.lit("_"), F.lit(" "))
+    for suffix in SUFFIXES:
+        out = F.regexp_replace(out, f"([^ ])({suffix})$", f"$1 {suffix}")
+    return F.split_part(out, F.lit("/"), F.lit(1))
+
+
+def without_suffix(s) -> Column:
+    """A synonym as it is and, second, without a trailing ' (..)'."""
+    return F.array(_col(s), F.regexp_replace(_col(s), r"^(.*) \(.*\)$", "$1"))
+
+
 def f1(precision, recall) -> Column:
     """Harmonic mean; 0 where both are 0."""
     p, r = _col(precision), _col(recall)

@@ -1,8 +1,9 @@
 """Dictionary annotation of documents: sentences, tokens, candidate spans, grounding, greedy selection, renderings.
 
-Tokens come from one vectorised pass over the text; everything behind is joins and aggregations. A span's acceptance
-depends on its text only, so distinct span texts are grounded once, and the leftmost-longest choice is made per sentence
-afterwards.
+Tokens come from one vectorised pass over the text, a slim row each; everything behind is joins and aggregations. The
+prefix index is the right side of an outer join, so Spark may broadcast the index if it is small, but never the tokens. A
+span's text is put together from its tokens, after the index has found its first one. Distinct span texts are grounded
+once, and the leftmost-longest choice is made per sentence afterwards.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import curie, text
 from ..functions.stopwords import CORE_STOP_WORDS, ENTITY_STOP_WORDS
-from .grounding import Grounder
+from .grounding import Grounder, context_key
 from .lexicon_ops import prefix_index
 
 SENTENCE = re.compile(r"[^\s](?:.*?(?:[.?!]+[\"')\]]*(?=\s)|\Z))", re.S)
@@ -34,69 +35,98 @@ def tokenize(sentence: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(sentence.rstrip("."))]
 
 
-
-def tokens(docs: DataFrame, column: str, id_: str, longest: int, split: Callable[[str], list[tuple[int, int]]] | None = None, simple: bool = False) -> DataFrame:
-    """id, sent, idx, start, word, ends and grams of the spans of 1, 2, .. longest tokens from here on.
+def tokens(docs: DataFrame, column: str, id_: str, split: Callable[[str], list[tuple[int, int]]] | None = None, simple: bool = False) -> DataFrame:
+    """id, sent, idx, start, token, word (the normalised token), in order of the text.
 
     simple: a sentence is a line and a token a run of letters; for checks against other engines.
     """
     spans_of = split or (lambda s: [m.span() for m in re.finditer(r"[^\n]+", s)] if simple else split_sentences(s))
     pieces = (lambda s: [m.span() for m in re.finditer(r"[^\W\d_]+", s)]) if simple else tokenize
 
-    @F.pandas_udf("array<struct<sent:int,idx:int,start:int,ends:array<int>,grams:array<string>>>")
+    @F.pandas_udf("array<struct<sent:int,idx:int,start:int,token:string>>")
     def cut(values: pd.Series) -> pd.Series:
         out = []
         for s in values:
             rows = []
             for k, (a, z) in enumerate(spans_of(s) if s else ()):
-                at = pieces(s[a:z])
-                for i, (b, _) in enumerate(at):
-                    near = at[i : i + longest]
-                    grams, raw = [], ""
-                    for x, y in near:
-                        raw += " " * (x - b - len(raw)) + s[a + x : a + y]
-                        grams.append(raw)
-                    rows.append({"sent": k, "idx": i, "start": a + b, "ends": [a + y for _, y in near], "grams": grams})
+                rows += [{"sent": k, "idx": i, "start": a + x, "token": s[a + x : a + y]} for i, (x, y) in enumerate(pieces(s[a:z]))]
             out.append(rows)
         return pd.Series(out, dtype=object)
 
     rows = docs.select(F.col(id_).alias("id"), F.explode(cut(column)).alias("t")).select("id", "t.*")
-    return rows.withColumn("word", text.normalize(F.col("grams")[0]))
+    return rows.withColumn("word", text.normalize("token"))
+
+
+def _span_text(parts: Column) -> Column:
+    """The tokens of a span, with as many spaces between two as there are characters."""
+    end = lambda x: x["start"] + F.length(x["token"])
+    gaps = F.transform(parts, lambda x, i: F.concat(F.repeat(F.lit(" "), F.when(i > 0, x["start"] - end(F.get(parts, i - 1))).otherwise(0)), x["token"]))
+    return F.array_join(gaps, "")
 
 
 def candidates(rows: DataFrame, index: DataFrame, stop_words: Sequence[str] = ENTITY_STOP_WORDS, core: Sequence[str] = CORE_STOP_WORDS) -> DataFrame:
     """id, sent, idx, span, start, end, raw: the spans whose first word begins a lexicon entry of that many words."""
-    rows = rows.filter(~F.col("word").isin(*core))
-    rows = rows.join(index, rows["word"] == index["first_word"]).select("id", "sent", "idx", "start", "word", "ends", "grams", F.explode("lengths").alias("span")).filter(F.col("span") <= F.size("grams"))
-    rows = rows.filter((F.col("span") > 1) | ~F.col("word").isin(*core, *stop_words))
-    return rows.select("id", "sent", "idx", "span", "start", F.element_at("ends", F.col("span")).alias("end"), F.element_at("grams", F.col("span")).alias("raw")).filter(F.length("raw") > 1)
+    first = F.when(~F.col("word").isin(*core), F.col("word"))
+    alone = F.col("word").isin(*stop_words)
+    rows = rows.withColumn("first", first).join(index.withColumnRenamed("first_word", "first"), "first", "left")
+    lengths = F.when(alone, F.filter("lengths", lambda n: n > 1)).otherwise(F.col("lengths"))
+    sentences = rows.groupBy("id", "sent").agg(F.array_sort(F.collect_list(F.struct("idx", "start", "token", lengths.alias("lengths")))).alias("t"))
+    sentences = sentences.filter(F.exists("t", lambda x: F.size(x["lengths"]) > 0))
+    hits = sentences.select("id", "sent", "t", F.explode(F.filter("t", lambda x: F.size(x["lengths"]) > 0)).alias("x")).select("id", "sent", "t", F.col("x.idx").alias("idx"), F.explode("x.lengths").alias("span"))
+    hits = hits.filter(F.col("idx") + F.col("span") <= F.size("t")).select("id", "sent", "idx", "span", F.slice("t", F.col("idx") + 1, F.col("span")).alias("p"))
+    last = F.element_at("p", -1)
+    return hits.select("id", "sent", "idx", "span", F.col("p")[0]["start"].alias("start"), (last["start"] + F.length(last["token"])).alias("end"), _span_text(F.col("p")).alias("raw")).filter(F.length("raw") > 1)
 
 
 def leftmost_longest(spans: DataFrame) -> DataFrame:
     """Of (id, sent, idx, span, ..) those that are taken from left to right, longest first, without overlaps."""
     extra = [c for c in spans.columns if c not in ("id", "sent", "idx", "span")]
-    row = F.struct("idx", (-F.col("span")).alias("neg"), *extra)
-    groups = spans.groupBy("id", "sent").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    state = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("taken"))
+    groups = spans.groupBy("id", "sent").agg(F.array_sort(F.collect_list(F.struct("idx", (-F.col("span")).alias("neg"), *extra))).alias("all"))
+
+    @F.pandas_udf("array<int>")
+    def taken(idx: pd.Series, neg: pd.Series) -> pd.Series:
+        out = []
+        for at, minus in zip(idx, neg, strict=True):
+            chosen, following = [], 0
+            for k, (i, n) in enumerate(zip(at.tolist(), minus.tolist(), strict=True)):
+                if i >= following:
+                    chosen.append(k)
+                    following = i - n
+            out.append(chosen)
+        return pd.Series(out, dtype=object)
 
-    def step(s: Column, k: Column) -> Column:
-        x = F.element_at("all", k)
-        return F.when(x["idx"] >= s["next"], F.struct((x["idx"] - x["neg"]).alias("next"), F.array_append(s["taken"], k).alias("taken"))).otherwise(s)
+    chosen = groups.select("id", "sent", "all", F.explode(taken("all.idx", "all.neg")).alias("k")).select("id", "sent", F.get("all", F.col("k")).alias("x"))
+    return chosen.select("id", "sent", "x.idx", (-F.col("x.neg")).alias("span"), *[f"x.{c}" for c in extra])
 
-    chosen = F.aggregate(F.sequence(F.lit(1), F.size("all")), state, step)["taken"]
-    out = groups.select("id", "sent", F.explode(F.transform(chosen, lambda k: F.element_at("all", k))).alias("x"))
-    return out.select("id", "sent", "x.idx", (-F.col("x.neg")).alias("span"), *[f"x.{c}" for c in extra])
 
+def annotate(
+    docs: DataFrame, grounder: Grounder, column: str = "text", id_: str = "id", organisms=None, namespaces=None, stop_words: Sequence[str] = ENTITY_STOP_WORDS, split=None, simple: bool = False,
+    context: str | None = None,
+) -> DataFrame:
+    """id, sent, start, end, raw, the best match's db, term_id, curie, entry_name, score, others, url, and all matches, best first.
 
-def annotate(docs: DataFrame, grounder: Grounder, column: str = "text", id_: str = "id", organisms=None, namespaces=None, stop_words: Sequence[str] = ENTITY_STOP_WORDS, split=None, simple: bool = False) -> DataFrame:
-    """id, sent, start, end, raw, and the best match's db, entry id, curie, entry_name, score; offsets are characters of the text."""
-    index = prefix_index(grounder.terms)
-    longest = index.agg(F.max(F.array_max("lengths"))).first()[0] or 1
-    spans = candidates(tokens(docs, column, id_, longest, split, simple), index, stop_words)
-    best = grounder.ground_best(spans.select("raw"), organisms=organisms, namespaces=namespaces)
-    best = best.select("raw", "db", F.col("id").alias("term_id"), "curie", F.col("term.entry_name").alias("entry_name"), "score")
-    # ground() strips its strings; spans have no outer white space
-    return leftmost_longest(spans.join(best, "raw")).drop("idx")
+    Offsets are characters of the text. Where the grounder has models, each span is grounded in its document's context:
+    the column `context`, or else the text itself.
+    """
+    spans = candidates(tokens(docs, column, id_, split, simple), prefix_index(grounder.terms), stop_words)
+    found = spans.select("id", "raw").distinct()
+    key = ["raw"]
+    if grounder.models is not None:
+        texts = docs.select(F.col(id_).alias("id"), F.col(context or column).alias("context"))
+        key = ["raw", "context_key"]
+        ids = texts.select("id", context_key("context").alias("context_key"))
+        asked = found.join(ids, "id")
+        matches = grounder.ground_in(asked.select(*key), texts.select(context_key("context").alias("context_key"), "context"), organisms=organisms, namespaces=namespaces)
+        spans = spans.join(ids, "id")
+    else:
+        matches = grounder.ground(found, organisms=organisms, namespaces=namespaces)
+    others = F.array_except(F.array_distinct(F.transform(curie.match_groundings(F.col("term"), F.col("subsumed_terms")), lambda g: curie.get_curie(g["db"], g["id"]))), F.array("curie"))
+    one = F.struct("rank", "db", F.col("id").alias("term_id"), "curie", F.col("term.entry_name").alias("entry_name"), "score", others.alias("others"), "url")
+    # a part of what it was grounded with, not the text itself, is joined back; ground() strips its strings, spans have no outer white space
+    best = matches.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("matches"))
+    rows = leftmost_longest(spans.join(best.hint("merge"), key)).drop("idx", "context_key")
+    top = F.col("matches")[0]
+    return rows.select("id", "sent", "span", "start", "end", "raw", *[top[c].alias(c) for c in ("db", "term_id", "curie", "entry_name", "score", "others", "url")], "matches")
 
 
 def brat(annotations: DataFrame, entity_type: str = "Entity", offset: int = 1, include_text: bool = True) -> DataFrame:
@@ -112,8 +142,16 @@ def brat(annotations: DataFrame, entity_type: str = "Entity", offset: int = 1, i
 
 
 def annotation_rows(annotations: DataFrame) -> DataFrame:
-    """A flat file's rows: id, start, end, text, curie, entry_name, score with four decimals."""
-    return annotations.select("id", "start", "end", F.col("raw").alias("text"), "curie", "entry_name", F.format_string("%.4f", "score").alias("score"))
+    """A flat file's rows: id, start, end, text, grounding, standard_name, score with four decimals, additional_groundings, url."""
+    return annotations.select(
+        "id", "start", "end", F.col("raw").alias("text"), F.col("curie").alias("grounding"), F.col("entry_name").alias("standard_name"),
+        F.format_string("%.4f", "score").alias("score"), F.array_join("others", ", ").alias("additional_groundings"), "url",
+    )
+
+
+def annotation_json(annotations: DataFrame) -> DataFrame:
+    """id, start, json: text, offsets and all matches of each annotation."""
+    return annotations.select("id", "start", F.to_json(F.struct(F.col("raw").alias("text"), "start", "end", "matches")).alias("json"))
 
 
 def escape_html(c) -> Column:

@@ -7,40 +7,53 @@ probability of 'ungrounded' (1 if there is none), kind 'own' by 0. Of two kinds
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def label_probabilities(queries: DataFrame, models: DataFrame, pattern: str = r"[a-z0-9]+") -> DataFrame:
-    """queries(raw, context) -> raw, context, kind, label, probability, for strings that have a model. pattern: a word of a lower-case context."""
+def label_probabilities(asked: DataFrame, contexts: DataFrame, models: DataFrame, pattern: str = r"[a-z0-9]+") -> DataFrame:
+    """asked(raw, context_key), contexts(context_key, context), models -> raw, context_key, kind, label, probability, for strings
+    that have a model. pattern: a word of a lower-case context.
+
+    Texts are cut to distinct words and take part in no join: a word is a row of its key and itself. Of the joins' sides only
+    the models' may be broadcast, if Spark finds it small.
+    """
     kinds = models.groupBy("surface").agg(F.min("kind").alias("kind"))
-    models = models.join(kinds, ["surface", "kind"])
-    base = models.filter("feature is null").select("surface", "kind", "label", F.col("weight").alias("intercept"))
-    asked = queries.filter("context is not null and context <> ''").select("raw", "context").distinct()
-    labels = asked.join(base, F.col("raw") == F.col("surface")).drop("surface")
-    words = asked.join(kinds, F.col("raw") == F.col("surface"), "left_semi").select("raw", "context", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(pattern), F.lit(0)))).alias("feature"))
-    hits = words.join(models.filter("feature is not null"), (F.col("raw") == F.col("surface")) & (words["feature"] == models["feature"])).groupBy("raw", "context", "label").agg(F.sum("weight").alias("w"))
-    logits = labels.join(hits, ["raw", "context", "label"], "left").withColumn("z", F.col("intercept") + F.coalesce("w", F.lit(0.0)))
-    group = Window.partitionBy("raw", "context")
+    models = models.join(kinds, ["surface", "kind"]).withColumnRenamed("surface", "raw")
+    base = models.filter("feature is null").select("raw", "kind", "label", F.col("weight").alias("intercept"))
+    asked = asked.filter("context_key is not null").select("raw", "context_key").distinct()
+    asked = asked.join(kinds.select(F.col("surface").alias("raw")), "raw", "left_semi")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(pattern), F.lit(0)))
+    filled = contexts.filter("context is not null and context <> ''")
+    seen = filled.select("context_key").distinct()
+    asked = asked.hint("merge").join(seen, "context_key", "left_semi")
+    words = filled.select("context_key", F.explode(words).alias("feature")).distinct()
+    features = models.filter("feature is not null").select("raw", "label", "feature", "weight")
+    hits = asked.hint("merge").join(words, "context_key").hint("merge").join(features, ["raw", "feature"]).groupBy("raw", "context_key", "label").agg(F.sum("weight").alias("w"))
+    labels = asked.hint("merge").join(base, "raw")
+    logits = labels.hint("merge").join(hits, ["raw", "context_key", "label"], "left").withColumn("z", F.col("intercept") + F.coalesce("w", F.lit(0.0)))
+    group = Window.partitionBy("raw", "context_key")
     e = F.exp(F.col("z") - F.max("z").over(group))
-    return logits.withColumn("e", e).select("raw", "context", "kind", "label", (F.col("e") / F.sum("e").over(group)).alias("probability"))
+    return logits.withColumn("e", e).select("raw", "context_key", "kind", "label", (F.col("e") / F.sum("e").over(group)).alias("probability"))
 
 
-def disambiguate(matches: DataFrame, models: DataFrame | None) -> DataFrame:
-    """matches(raw, context, db, id, score, ..) with scores multiplied and a disambiguation struct (null without a model)."""
+def disambiguate(matches: DataFrame, contexts: DataFrame, models: DataFrame | None) -> DataFrame:
+    """matches(raw, context_key, db, id, score, ..) with scores multiplied and a disambiguation struct (null without a model)."""
     kind = "struct<type:string,score:double,match:string>"
     if models is None:
         return matches.withColumn("disambiguation", F.lit(None).cast(kind))
-    known = label_probabilities(matches, models)
-    labels = known.filter(F.contains("label", F.lit(":"))).select("raw", "context", F.split("label", ":", 2)[0].alias("db"), F.split("label", ":", 2)[1].alias("id"), "probability")
-    rest = known.groupBy("raw", "context").agg(F.first("kind").alias("_kind"), F.max(F.when(F.col("label") == "ungrounded", F.col("probability"))).alias("_none"))
-    rows = matches.join(rest, ["raw", "context"], "left").join(labels, ["raw", "context", "db", "id"], "left")
-    other = F.when(F.col("_kind") == "adeft", F.coalesce("_none", F.lit(1.0))).otherwise(F.lit(0.0))
+    known = label_probabilities(matches, contexts, models)
+    key = ["raw", "context_key"]
+    labels = known.filter(F.contains("label", F.lit(":"))).select(*key, F.split("label", ":", 2)[0].alias("db"), F.split("label", ":", 2)[1].alias("id"), "probability")
+    rest = known.groupBy(*key).agg(F.first("kind").alias("kind"), F.max(F.when(F.col("label") == "ungrounded", F.col("probability"))).alias("none"))
+    rows = matches.hint("merge").join(rest, key, "left").hint("merge").join(labels, [*key, "db", "id"], "left")
+    other = F.when(F.col("kind") == "adeft", F.coalesce("none", F.lit(1.0))).otherwise(F.lit(0.0))
     factor = F.coalesce("probability", other)
-    info = F.struct(F.when(F.col("_kind") == "adeft", "adeft").otherwise("own").alias("type"), factor.alias("score"), F.when(F.col("probability").isNotNull(), "grounded").otherwise("ungrounded").alias("match"))
-    rows = rows.withColumn("disambiguation", F.when(F.col("_kind").isNotNull(), info).cast(kind))
-    rows = rows.withColumn("score", F.when(F.col("_kind").isNotNull(), F.col("score") * factor).otherwise(F.col("score")))
-    return rows.drop("_kind", "_none", "probability")
+    info = F.struct(F.when(F.col("kind") == "adeft", "adeft").otherwise("own").alias("type"), factor.alias("score"), F.when(F.col("probability").isNotNull(), "grounded").otherwise("ungrounded").alias("match"))
+    rows = rows.withColumn("disambiguation", F.when(F.col("kind").isNotNull(), info).cast(kind))
+    rows = rows.withColumn("score", F.when(F.col("kind").isNotNull(), F.col("score") * factor).otherwise(F.col("score")))
+    return rows.drop("kind", "none", "probability")
 
 
 def trainable(texts: DataFrame, label: str = "label", least: int = 5) -> DataFrame:
@@ -54,6 +67,38 @@ def unique_pmids(papers: DataFrame, most: int = 1000) -> DataFrame:
     return once.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("pmid")))).filter(F.col("_r") <= most).drop("_r")
 
 
+def enough_texts(texts: DataFrame, least: int = 6) -> DataFrame:
+    """surface, label, text: where a label has fewer than `least` texts, its longest is cut in half until it has as many."""
+
+    @F.pandas_udf("array<string>")
+    def halved(groups: pd.Series) -> pd.Series:
+        def cut(ts):
+            ts = sorted(ts, key=len, reverse=True)
+            while len(ts) < least and len(ts[0]) > 1:
+                half = len(ts[0]) // 2
+                ts = sorted([ts[0][:half], ts[0][half:], *ts[1:]], key=len, reverse=True)
+            return ts
+
+        return pd.Series([cut(list(g)) for g in groups], dtype=object)
+
+    n = texts.groupBy("surface", "label").agg(F.count("*").alias("n"))
+    few = texts.join(n.filter(F.col("n") < least).select("surface", "label"), ["surface", "label"], "left_semi").groupBy("surface", "label").agg(F.collect_list("text").alias("ts"))
+    few = few.select("surface", "label", F.explode(halved("ts")).alias("text"))
+    return texts.join(n.filter(F.col("n") >= least).select("surface", "label"), ["surface", "label"], "left_semi").select("surface", "label", "text").unionByName(few)
+
+
+def training_texts(papers: DataFrame, texts: DataFrame, most: int = 1000, least: int = 6) -> DataFrame:
+    """papers(surface, pmid, label), texts(pmid, text) -> surface, label, text of the surfaces that can be trained.
+
+    A paper counts if it is of one label of its surface only; at most `most` a label, by falling pmid.
+    """
+    once = papers.groupBy("surface", "pmid").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
+    turn = F.row_number().over(Window.partitionBy("surface", "label").orderBy(F.desc("pmid")))
+    chosen = once.withColumn("turn", turn).filter(F.col("turn") <= most).drop("turn")
+    rows = enough_texts(chosen.join(texts.filter("text <> ''"), "pmid").select("surface", "label", "text"), least)
+    return rows.join(trainable(rows, least=least - 1), "surface", "left_semi")
+
+
 def train(texts: DataFrame, features: int = 1000, folds: int = 5, regularisation: float = 0.1):
     """A TF-IDF n-gram (1, 2) logistic regression of one surface's (text, label) rows, with cross-validation: (model, mean F1)."""
     from pyspark.ml import Pipeline

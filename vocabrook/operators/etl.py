@@ -34,36 +34,57 @@ def _list(value, sep: str = ", ") -> Column:
 def hgnc_terms(rows: DataFrame) -> DataFrame:
     """hgnc_id, symbol, name, status, aliases, previous, alias_names -> human gene entries.
 
-    Withdrawn symbols become former names of the gene that they refer to.
+    Withdrawn symbols become former names of the gene that they refer to; all other rows are genes.
     """
     c = F.col
-    gene = F.regexp_replace("hgnc_id", "^HGNC:", "")
-    names = rows.select(gene.alias("to"), c("symbol").alias("to_symbol")).filter("to is not null")
-    live = rows.filter("status <> 'Entry Withdrawn'").withColumn("gid", gene)
+    rows = rows.withColumn("gid", F.regexp_replace("hgnc_id", "^HGNC:", ""))
+    withdrawn = F.coalesce(c("status") == "Symbol Withdrawn", F.lit(False))
     one = lambda x, status: entry(x, "HGNC", c("gid"), c("symbol"), status, "hgnc", "9606")
+    all_of = lambda values, status: F.transform(values, lambda x: one(x, status))
     own = F.concat(
-        F.array(one(c("symbol"), "name")), F.when((c("name") != "") & (c("name") != c("symbol")), F.array(one(c("name"), "name"))).otherwise(F.array().cast("array<struct<text:string,db:string,id:string,entry_name:string,status:string,source:string,organism:string,source_db:string,source_id:string>>")),
-        F.transform(_list(c("aliases")), lambda x: one(x, "synonym")), F.transform(_list(c("previous")), lambda x: one(x, "former_name")),
-        F.transform(F.filter(vocab.alias_names(F.coalesce("alias_names", F.lit(""))), lambda x: x != ""), lambda x: one(x, "synonym")),
-    )
-    gone = rows.filter("status = 'Entry Withdrawn'").withColumn("to", vocab.withdrawn_to("name")).join(names, "to")
+        all_of(F.array_distinct(F.array_compact(F.array("symbol", "name"))), "name"),
+        all_of(_list(c("aliases")), "synonym"),
+        all_of(_list(c("previous")), "former_name"),
+        all_of(F.filter(vocab.alias_names(F.coalesce("alias_names", F.lit(""))), lambda x: x != ""), "synonym"),
+    )
+    live = to_terms(rows.filter(~withdrawn), own)
+    names = rows.select(c("gid").alias("to"), c("symbol").alias("to_symbol")).filter("to is not null")
+    gone = rows.filter(withdrawn).withColumn("to", vocab.withdrawn_to("name")).join(names, "to")
     redirected = F.array(entry(c("symbol"), "HGNC", c("to"), c("to_symbol"), "former_name", "hgnc", "9606"))
-    return to_terms(live, own).unionByName(to_terms(gone, redirected))
+    return live.unionByName(to_terms(gone, redirected))
+
+
+def chebi_synonyms(names: DataFrame, primary: DataFrame | None = None) -> DataFrame:
+    """names(compound_id, name) of the synonym file -> id ('CHEBI:..' of the primary compound), name.
+
+    primary(compound_id, primary_id): compounds that were merged into others.
+    """
+    number = F.col("compound_id").cast("long").cast("string")
+    rows = names.select(number.alias("compound_id"), "name").filter("compound_id is not null and name is not null")
+    if primary is None:
+        return rows.select(F.concat(F.lit("CHEBI:"), "compound_id").alias("id"), "name")
+    primary = primary.select(number.alias("compound_id"), F.col("primary_id").cast("long").cast("string").alias("to"))
+    return rows.join(primary, "compound_id", "left").select(F.concat(F.lit("CHEBI:"), F.coalesce("to", "compound_id")).alias("id"), "name")
 
 
 def chebi_terms(obo: DataFrame, names: DataFrame) -> DataFrame:
-    """obo(id, name) preferred names, names(id, name) synonyms; amino-acid sequences are no synonyms."""
+    """obo(id, name) preferred names, names(id, name) synonyms; acronyms of amino-acid sequences are no synonyms."""
     c = F.col
     preferred = to_terms(obo, F.array(entry(c("name"), "CHEBI", c("id"), c("name"), "name", "chebi")))
-    others = names.join(obo.select("id", c("name").alias("standard")), "id").filter((c("name") != c("standard")) & ~vocab.is_aa_sequence("name")).dropDuplicates(["id", "name"])
+    others = names.distinct().join(obo.select("id", c("name").alias("standard")), "id").filter("standard is not null")
+    others = others.filter(~(vocab.is_aa_sequence("standard") & c("name").rlike("^[A-Z-]+$")))
     return preferred.unionByName(to_terms(others, F.array(entry(c("name"), "CHEBI", c("id"), c("standard"), "synonym", "chebi"))))
 
 
+#: Mapped entries of these namespaces stay MeSH entries.
+MESH_STAYS = ("EFO", "HP", "DOID")
+
+
 def mesh_terms(rows: DataFrame, forward: DataFrame | None = None) -> DataFrame:
     """id, name, synonyms ('|') and the mappings (mesh_id, db, id, name): mapped entries are synonyms of their target."""
     c = F.col
     rows = rows.select(c("id").alias("mesh_id"), c("name").alias("mesh_name"), "synonyms")
-    mapped = rows.join(forward, "mesh_id", "left") if forward is not None else rows.select("*", *[_null().alias(x) for x in ("db", "id", "name")])
+    mapped = rows.join(forward.filter(~F.col("db").isin(*MESH_STAYS)), "mesh_id", "left") if forward is not None else rows.select("*", *[_null().alias(x) for x in ("db", "id", "name")])
     on = c("db").isNotNull()
     one = lambda x, status: entry(x, F.coalesce("db", F.lit("MESH")), F.coalesce("id", "mesh_id"), F.coalesce("name", "mesh_name"), status, "mesh", None, F.when(on, "MESH"), F.when(on, c("mesh_id")))
     return to_terms(mapped, F.concat(F.array(one(c("mesh_name"), F.when(on, "synonym").otherwise("name"))), F.transform(_list(c("synonyms"), r"\|"), lambda x: one(x, "synonym"))))
@@ -79,16 +100,33 @@ def go_terms(rows: DataFrame) -> DataFrame:
 FAMPLEX_PRIORITY = ("FPLX", "HGNC", "UP", "CHEBI", "GO", "MESH")
 
 
-def famplex_terms(rows: DataFrame, forward: DataFrame | None = None) -> DataFrame:
-    """text, groundings map -> curated entries of the first namespace that is there."""
-    ns = F.coalesce(*[F.when(F.map_contains_key("groundings", p), p) for p in FAMPLEX_PRIORITY])
-    rows = rows.withColumn("db0", ns).filter("db0 is not null").withColumn("id0", F.element_at("groundings", F.col("db0")))
-    if forward is not None:
-        rows = rows.join(forward.select(F.col("mesh_id").alias("id0"), F.lit("MESH").alias("db0"), F.col("db").alias("mdb"), F.col("id").alias("mid")), ["db0", "id0"], "left")
-    else:
-        rows = rows.withColumn("mdb", _null()).withColumn("mid", _null())
-    on = F.col("db0") == "MESH"
-    return to_terms(rows, F.array(entry(F.col("text"), F.coalesce("mdb", "db0"), F.coalesce("mid", "id0"), F.col("text"), "curated", "famplex", None, F.when(on, "MESH"), F.when(on, F.col("id0")))))
+def famplex_terms(rows: DataFrame, forward: DataFrame | None = None, genes: DataFrame | None = None, proteins: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """text, groundings map -> curated entries of the first namespace that is there.
+
+    forward(mesh_id, db, id, name): MeSH mappings. genes(symbol, hgnc_id). proteins(entry, hgnc_id, symbol): human ones,
+    hgnc_id null where there is no gene. names(db, id, name): names of chemicals, processes and descriptors. A gene whose
+    symbol is not known is left out.
+    """
+    c, null = F.col, _null()
+    spark = rows.sparkSession
+    none = lambda columns: spark.createDataFrame([], ", ".join(f"{x} string" for x in columns.split()))
+    forward = none("mesh_id db id name") if forward is None else forward
+    genes = none("symbol hgnc_id") if genes is None else genes
+    proteins = none("entry hgnc_id symbol") if proteins is None else proteins
+    names = none("db id name") if names is None else names
+    first = F.coalesce(*[F.when(F.map_contains_key("groundings", p), p) for p in FAMPLEX_PRIORITY])
+    rows = rows.select("text", "groundings").withColumn("ns", first).filter("ns is not null").withColumn("key", F.element_at("groundings", c("ns")))
+    rows = rows.join(genes.select(F.lit("HGNC").alias("ns"), c("symbol").alias("key"), c("hgnc_id").alias("gene")), ["ns", "key"], "left")
+    rows = rows.join(proteins.select(F.lit("UP").alias("ns"), c("entry").alias("key"), F.lit(True).alias("human"), c("hgnc_id").alias("of"), c("symbol").alias("of_symbol")), ["ns", "key"], "left")
+    rows = rows.join(names.select(c("db").alias("ns"), c("id").alias("key"), c("name").alias("known")), ["ns", "key"], "left")
+    rows = rows.join(forward.select(F.lit("MESH").alias("ns"), c("mesh_id").alias("key"), c("db").alias("mdb"), c("id").alias("mid"), c("name").alias("mname")), ["ns", "key"], "left")
+    ns, mesh = c("ns"), c("ns") == "MESH"
+    db = F.when(c("of").isNotNull(), "HGNC").otherwise(F.coalesce("mdb", "ns"))
+    id_ = F.when(ns == "HGNC", c("gene")).otherwise(F.coalesce("of", "mid", "key"))
+    name = F.when(ns.isin("FPLX", "HGNC"), c("key")).when(ns == "UP", F.coalesce("of_symbol", "key")).otherwise(F.coalesce("mname", "known"))
+    organism = F.when((ns == "HGNC") | F.coalesce("human", F.lit(False)), "9606")
+    rows = rows.select("text", db.alias("db"), id_.alias("id"), name.alias("name"), organism.alias("organism"), F.when(mesh, "MESH").otherwise(null).alias("sdb"), F.when(mesh, c("key")).alias("sid")).filter("id is not null")
+    return to_terms(rows, F.array(entry(c("text"), c("db"), c("id"), c("name"), "curated", "famplex", c("organism"), c("sdb"), c("sid"))))
 
 
 def uniprot_terms(rows: DataFrame, genes: DataFrame) -> DataFrame:
@@ -152,6 +190,28 @@ def obo_terms(rows: DataFrame, prefix: str, mesh_names: DataFrame, forward: Data
     return out.filter(~c("id").startswith("BFO:")) if prefix == "efo" else out
 
 
+def fragment_terms(rows: DataFrame, organisms=("Human", "SARS-CoV-2")) -> DataFrame:
+    """synonym, id ('P..#PRO_..'), organism -> entries of protein fragments of the organisms."""
+    c = F.col
+    rows = rows.filter(c("id").contains("#") & c("organism").isin(*organisms)).select("synonym", F.split_part("id", F.lit("#"), F.lit(2)).alias("fragment")).distinct()
+    return to_terms(rows, F.array(entry(c("synonym"), "UP", c("fragment"), c("synonym"), "synonym", "uniprot")))
+
+
+def fragment_mappings(synonyms: DataFrame, names: DataFrame, grounder, confidence: float = 0.8, relation: str = "skos:exactMatch") -> DataFrame:
+    """synonyms(synonym, id), names(id, name) -> one row an id: prefixes, ids, names, relation, type and confidence.
+
+    A synonym is grounded as it is and without its trailing parentheses; an id's best match is the first of its synonyms'
+    in order (column ord), as it is before shortened.
+    """
+    asked = synonyms.select("id", "ord", F.posexplode(vocab.without_suffix("synonym")).alias("form", "raw")).withColumn("raw", F.trim("raw"))
+    best = grounder.ground_best(asked.select("raw")).select("raw", F.col("term.id").alias("target_id"), F.col("term.entry_name").alias("target_name"))
+    first = asked.join(best, "raw").groupBy("id").agg(F.min(F.struct("ord", "form", "target_id", "target_name")).alias("m"))
+    return first.join(names, "id").select(
+        F.lit("pr").alias("source_prefix"), F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.lit(relation).alias("relation"), F.lit("uniprot.chain").alias("target_prefix"),
+        "m.target_id", "m.target_name", F.lit("lexical").alias("type"), F.lit(confidence).alias("confidence"),
+    )
+
+
 def all_terms(*sources: DataFrame) -> DataFrame:
     """The union of all sources without duplicates."""
     union = sources[0]

@@ -23,13 +23,20 @@ def result_table(rows: DataFrame, group: str = "entity_type", grounded: str = "g
     return t.withColumn("f1", f1("precision", "recall"))
 
 
-def mapping_table(rows: DataFrame, left: str = "ref_ns", right: str = "pred_ns", values: list[str] | None = None) -> DataFrame:
-    """Counts of namespace pairs, one column a predicted namespace."""
-    return rows.groupBy(left).pivot(right, values).count()
+def mapping_table(rows: DataFrame, left: str = "ref_ns", right: str = "pred_ns", values: list[str] | None = None, total: bool = False) -> DataFrame:
+    """Counts of namespace pairs, one column a predicted namespace; total: with a column and a row of sums, 0 for no pair."""
+    counts = rows.groupBy(left).pivot(right, values).count()
+    if not total:
+        return counts
+    columns = [c for c in counts.columns if c != left]
+    counts = counts.na.fill(0, columns).withColumn("Total", sum((F.col(c) for c in columns), F.lit(0)).cast("long"))
+    sums = counts.agg(*[F.sum(c).alias(c) for c in [*columns, "Total"]]).filter("Total is not null").select(F.lit("Total").alias(left), *columns, "Total")
+    return counts.unionByName(sums)
 
 
-def unique_mapping_table(rows: DataFrame, key: str = "text", left: str = "ref_ns", right: str = "pred_ns", values: list[str] | None = None) -> DataFrame:
-    return rows.select(left, right, key).distinct().groupBy(left).pivot(right, values).count()
+def unique_mapping_table(rows: DataFrame, key: str = "text", left: str = "ref_ns", right: str = "pred_ns", values: list[str] | None = None, total: bool = False) -> DataFrame:
+    """As mapping_table(), of distinct keys."""
+    return mapping_table(rows.select(left, right, key).distinct(), left, right, values, total)
 
 
 def annotation_counts(gold: DataFrame, found: DataFrame, key=SPAN) -> DataFrame:
@@ -56,14 +63,88 @@ def confusion(rows: DataFrame, gold: str = "gold", predicted: str = "predicted",
     return rows.select(name(gold), name(predicted)).groupBy(gold).pivot(predicted, classes).count()
 
 
-def correctness(rows: DataFrame, gold: str = "gold", groundings: str = "groundings", equivalent: str = "equivalents") -> DataFrame:
-    """top_correct, exists_correct and the same with equivalents; gold an array of curies, groundings an array, best first."""
-    top = F.get(groundings, F.lit(0))
-    wide = F.array_union(gold, F.coalesce(equivalent, F.array().cast("array<string>")))
+def bounds(matrix: DataFrame, correct=("correct",), unknown=("unknown",)) -> DataFrame:
+    """gold, predicted, n rows of a confusion -> one row: n, lower (known to be right) and upper (unknown ones right too) accuracy."""
+    n = F.sum("n")
+    right = F.sum(F.when(F.col("predicted").isin(*correct), F.col("n")).otherwise(0))
+    maybe = F.sum(F.when(F.col("predicted").isin(*unknown), F.col("n")).otherwise(0))
+    return matrix.agg(n.alias("n"), ratio(right, n).alias("lower"), ratio(right + maybe, n).alias("upper"))
+
+
+def correctness(rows: DataFrame, gold: str = "gold", groundings: str = "groundings", members: DataFrame | None = None, ancestors: DataFrame | None = None) -> DataFrame:
+    """top_correct and exists_correct; gold an array of curies, groundings an array, best first.
+
+    members(child, ancestor): members of families; with them *_correct_family, where a family stands for its members.
+    ancestors(child, ancestor), as of closure(): with them *_correct_loose, where either may be the other's ancestor.
+    The pairs of each row are looked up once, all rows in one join.
+    """
     no = lambda c: F.coalesce(c, F.lit(False))
+    out = rows.withColumn("top_correct", no(F.array_contains(F.col(gold), F.get(groundings, F.lit(0))))).withColumn("exists_correct", no(F.arrays_overlap(gold, groundings)))
+    for edges, name, both_ways in ((members, "family", False), (ancestors, "loose", True)):
+        if edges is not None:
+            out = _related(out, gold, groundings, edges, name, both_ways)
+    return out
+
+
+def _related(rows: DataFrame, gold: str, groundings: str, edges: DataFrame, name: str, both_ways: bool) -> DataFrame:
+    """rows with top_correct_{name} and exists_correct_{name}: a gold curie equals a grounding or lies below it (or above)."""
+    edges = edges.select("child", "ancestor").distinct()
+    up = edges if not both_ways else edges.unionByName(edges.select(F.col("ancestor").alias("child"), F.col("child").alias("ancestor"))).distinct()
+    near = up.groupBy(F.col("child").alias("curie")).agg(F.collect_set("ancestor").alias("also"))
+    golds = rows.select(F.col(gold).alias("g")).distinct()
+    wide = golds.select("g", F.explode("g").alias("curie")).join(near, "curie", "left").groupBy("g").agg(F.array_distinct(F.concat(F.first("g"), F.flatten(F.collect_list(F.coalesce("also", F.array().cast("array<string>")))))).alias("wide"))
+    packed = rows.select(F.struct(*rows.columns).alias("row"), F.col(gold).alias("g")).join(wide, "g", "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    found = F.col("row").getField(groundings)
+    return packed.select(
+        *[F.col("row").getField(c).alias(c) for c in rows.columns],
+        no(F.array_contains(F.col("wide"), F.get(found, F.lit(0)))).alias(f"top_correct_{name}"), no(F.arrays_overlap("wide", found)).alias(f"exists_correct_{name}"),
+    )
+
+
+def namespace_breakdown(rows: DataFrame, namespace: str = "HGNC", gold: str = "gold", groundings: str = "groundings", correct: str = "top_correct") -> DataFrame:
+    """One row of one namespace: tp and fp of best groundings in it, gold rows in it, precision, recall, f1."""
+    mine = F.coalesce(F.get(groundings, F.lit(0)).startswith(namespace), F.lit(False))
+    t = rows.agg(F.count_if(mine & F.col(correct)).alias("tp"), F.count_if(mine & ~F.col(correct)).alias("fp"), F.count_if(F.exists(gold, lambda x: x.startswith(namespace))).alias("positives"))
+    t = t.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("positives")))
+    return t.withColumn("f1", f1("precision", "recall"))
+
+
+def equivalents(curies: DataFrame, *links: DataFrame) -> DataFrame:
+    """curie -> curie, equivalents (sorted, itself included); links(curie, other): cross references, gene maps, user's pairs."""
+    pairs = curies.select("curie", F.col("curie").alias("other"))
+    for link in links:
+        pairs = pairs.unionByName(curies.join(link.select("curie", "other"), "curie"))
+    return pairs.groupBy("curie").agg(F.sort_array(F.collect_set("other")).alias("equivalents"))
+
+
+def family_members(members: DataFrame, current: DataFrame) -> DataFrame:
+    """family, members: the sets of a family's genes by their current ids; members(family, db, id), current(id, current_id)."""
+    rows = members.filter("db = 'HGNC'").join(current, "id").filter("current_id is not null")
+    return rows.groupBy("family").agg(F.sort_array(F.collect_set(F.concat(F.lit("HGNC:"), "current_id"))).alias("members"))
+
+
+def single_xrefs(nodes: DataFrame, prefix: str = "MESH", known: DataFrame | None = None) -> DataFrame:
+    """id, other: nodes(id, xrefs array<string>) with exactly one cross reference of a vocabulary; known(id): its ids."""
+    xrefs = F.filter("xrefs", lambda x: x.startswith(prefix))
+    rows = nodes.select("id", xrefs.alias("x")).filter(F.size("x") == 1).select("id", F.col("x")[0].alias("other"))
+    if known is not None:
+        rows = rows.join(known.select(F.concat(F.lit(f"{prefix}:"), "id").alias("other")).distinct(), "other", "left_semi").select("id", "other")
+    return rows
+
+
+def positional(left: DataFrame, right: DataFrame, key: str, column: str = "entities") -> DataFrame:
+    """key, ord, a, b: the items of two arrays side by side, as far as both go."""
+    both = left.select(key, F.col(column).alias("l")).join(right.select(key, F.col(column).alias("r")), key)
+    n = F.least(F.size("l"), F.size("r"))
+    return both.select(key, F.posexplode(F.arrays_zip(F.slice("l", F.lit(1), n).alias("a"), F.slice("r", F.lit(1), n).alias("b"))).alias("ord", "x")).select(key, "ord", "x.a", "x.b")
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """The class of two groundings (null: ungrounded) of one mention."""
     return (
-        rows.withColumn("top_correct", no(F.array_contains(F.col(gold), top))).withColumn("exists_correct", no(F.arrays_overlap(gold, groundings)))
-        .withColumn("top_correct_loose", no(F.array_contains(wide, top))).withColumn("exists_correct_loose", no(F.arrays_overlap(wide, F.col(groundings))))
+        F.when(a.isNull() & b.isNull(), "ungrounded_ungrounded").when(a.isNull(), "ungrounded_grounded").when(b.isNull(), "grounded_ungrounded")
+        .when(a == b, "grounded_matching").otherwise("grounded_different")
     )
 
 
@@ -96,14 +177,17 @@ def organism_order(annotated: Column, popular: list[str]) -> Column:
 
 
 def closure(edges: DataFrame, steps: int = 32) -> DataFrame:
-    """child, ancestor of an is-a graph by doubling: few joins, each as a table of its own (checkpointed if a folder is set)."""
+    """child, ancestor of an is-a graph by doubling: few joins; each is checkpointed, which needs spark.checkpoint.dir.
+
+    Without that folder (one machine, small graphs) a step's rows are cached instead.
+    """
+    folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
     now = edges.select(F.col("child"), F.col("parent").alias("ancestor")).distinct()
     n = now.count()
     for _ in range(steps):
         longer = now.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor")
         now = now.unionByName(longer).distinct()
-        if edges.sparkSession.conf.get("spark.checkpoint.dir", None):
-            now = now.checkpoint()
+        now = now.checkpoint() if folder else now.cache()
         m = now.count()
         if m == n:
             break

@@ -23,6 +23,11 @@ NAMESPACE_PRIORITY = ("FPLX", "HGNC", "UP", "CHEBI", "GO", "MESH", "DOID", "HP",
 DEFAULT_ORGANISMS = ("9606",)
 
 
+def context_key(context) -> Column:
+    """A 128-bit digest that stands for a context in joins and groups, so that its text never enters them."""
+    return F.md5(F.col(context) if isinstance(context, str) else context)
+
+
 def strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -40,16 +45,20 @@ class Grounder:
 
     def __init__(self, spark: SparkSession, terms, namespace_priority: Sequence[str] | None = None, models: DataFrame | None = None):
         self.spark, self.terms = spark, lexicon.load(spark, terms)
-        self.namespace_priority = tuple(namespace_priority or NAMESPACE_PRIORITY)
-        #: surface, kind ('adeft' or 'own'), label, probability by context; see disambiguation.
+        self.namespace_priority = NAMESPACE_PRIORITY if namespace_priority is None else tuple(namespace_priority)
+        #: surface, kind ('adeft' or 'own'), label, feature, weight; see disambiguation.
         self.models = models
 
     # -- look-up
 
     def lookup(self, queries: DataFrame, column: str = "raw") -> DataFrame:
-        """Distinct strings -> raw and the columns of the entries that any of its variants finds."""
+        """Distinct strings -> raw and the columns of the entries that any of its variants finds.
+
+        Both sides are dealt by norm_text, never broadcast: Spark guesses the size of exploded keys from a compressed file.
+        A bucketed lexicon is not moved.
+        """
         keys = queries.select(F.col(column).alias("raw")).distinct().select("raw", F.explode(text.lookups("raw")).alias("norm_text"))
-        return keys.join(self.terms, "norm_text")
+        return keys.hint("merge").join(self.terms, "norm_text")
 
     def candidates(self, queries: DataFrame, organisms: Sequence[str] | None = None) -> DataFrame:
         """raw with each entry it meets, its match, string score and score."""
@@ -60,6 +69,8 @@ class Grounder:
     # -- merge, rank
 
     def priority(self, db="db") -> Column:
+        if not self.namespace_priority:
+            return F.lit(0)
         n, listed = len(self.namespace_priority), strings(self.namespace_priority)
         at = F.array_position(listed, F.col(db) if isinstance(db, str) else db)
         return F.when(at > 0, F.lit(n + 1) - at).otherwise(F.lit(0))
@@ -78,26 +89,35 @@ class Grounder:
         return out.withColumn("namespaces", curie.match_namespaces(F.col("term"), F.col("subsumed_terms")))
 
     def rank(self, merged: DataFrame) -> DataFrame:
-        order = Window.partitionBy("raw", *[c for c in ("context",) if c in merged.columns]).orderBy(F.desc("score"), F.desc(self.priority()), "db", "id")
+        order = Window.partitionBy("raw", *[c for c in ("context_key",) if c in merged.columns]).orderBy(F.desc("score"), F.desc(self.priority()), "db", "id")
         return merged.withColumn("rank", F.row_number().over(order))
 
     def ground(self, queries: DataFrame, column: str = "raw", organisms: Sequence[str] | None = None, namespaces: Sequence[str] | None = None, context: str | None = None) -> DataFrame:
         """One row a distinct (stripped) string, context and (db, id): term, match, score, subsumed_terms, rank (from 1), url.
 
-        The namespace filter comes after merging and ranking and looks at all namespaces of a match.
+        A context is returned as its context_key(). The namespace filter comes after merging and ranking and looks at all
+        namespaces of a match.
         """
         raw = F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
-        asked = queries.select(raw.alias("raw"), *([F.col(context).alias("context")] if context else [])).filter("raw is not null").distinct()
-        merged = self.merge(self.candidates(asked, organisms))
+        asked = queries.select(raw.alias("raw"), *([context_key(context).alias("context_key")] if context else [])).filter("raw is not null").distinct()
         if context:
-            from .disambiguation import disambiguate
+            return self.ground_in(asked, queries.select(context_key(context).alias("context_key"), F.col(context).alias("context")), organisms, namespaces)
+        return self._ranked(self.merge(self.candidates(asked, organisms)), namespaces)
+
+    def ground_in(self, asked: DataFrame, contexts: DataFrame, organisms: Sequence[str] | None = None, namespaces: Sequence[str] | None = None) -> DataFrame:
+        """asked(raw, context_key), contexts(context_key, context) -> as ground(); a string is matched once, whatever its contexts."""
+        from .disambiguation import disambiguate
+
+        asked = asked.distinct()
+        merged = asked.hint("merge").join(self.merge(self.candidates(asked, organisms)), "raw")
+        return self._ranked(disambiguate(merged, contexts, self.models), namespaces)
 
-            merged = disambiguate(asked.join(merged, "raw"), self.models)
+    def _ranked(self, merged: DataFrame, namespaces: Sequence[str] | None) -> DataFrame:
         ranked = self.rank(merged)
         if namespaces:
             ranked = ranked.filter(F.arrays_overlap("namespaces", strings(namespaces)))
             # ranks count the matches that are left
-            key = Window.partitionBy("raw", *(["context"] if context else [])).orderBy("rank")
+            key = Window.partitionBy("raw", *[c for c in ("context_key",) if c in merged.columns]).orderBy("rank")
             ranked = ranked.withColumn("rank", F.row_number().over(key))
         return ranked.withColumn("curie", curie.get_curie("db", "id")).withColumn("url", curie.get_bioregistry_url("db", "id"))
 
@@ -108,8 +128,10 @@ class Grounder:
         """df with the CURIE of each value's best match (null where there is none); values are grounded once."""
         target = target or f"{column}_grounded"
         key = F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
-        best = self.ground_best(df.select(F.col(column).alias("_v")), "_v", **options).select(F.col("raw").alias("_raw"), F.col("curie").alias(target))
-        return df.withColumn("_key", key).join(best, F.col("_key") == F.col("_raw"), "left").drop("_key", "_raw")
+        best = self.ground_best(df.select(F.col(column)), column, **options).select("raw", "curie")
+        # the row stays whole in a column, so that no name of its columns can clash
+        rows = df.select(F.struct(*df.columns).alias("row"), key.alias("raw")).join(best, "raw", "left")
+        return rows.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c != target], F.col("curie").alias(target))
 
     def ground_lists(self, batches: DataFrame, id_: str, column: str, **options) -> DataFrame:
         """id, array of strings -> id, array (in order) of JSON arrays of matches."""
@@ -134,6 +156,9 @@ class Grounder:
         return rows.select("text").distinct().orderBy("text")
 
     def get_models(self) -> DataFrame:
+        """The surfaces that have a model; none without models."""
+        if self.models is None:
+            return self.spark.createDataFrame([], "surface string")
         return self.models.select("surface").distinct().orderBy("surface")
 
 

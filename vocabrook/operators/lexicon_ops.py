@@ -48,10 +48,32 @@ def ambiguities(terms: DataFrame, skip_names: bool = True, skip_curated: bool =
     return g.select("text", "n_terms", "n_groundings", "terms")
 
 
-def training_ambiguities(terms: DataFrame) -> DataFrame:
-    """As for model training: no chemical, no preferred name; the first entry of each (db, id)."""
-    g = terms.groupBy("text").agg(F.countDistinct("db", "id").alias("n_groundings"), F.bool_or(F.col("db") == "CHEBI").alias("_c"), F.bool_or(F.col("status") == "name").alias("_n"), F.sort_array(F.collect_set(F.struct("db", "id"))).alias("groundings"))
-    return g.filter("n_groundings >= 2 and not _c and not _n").select("text", "n_groundings", "groundings")
+def training_ambiguities(terms: DataFrame, mesh_proteins: DataFrame | None = None, prefix: int = 3) -> DataFrame:
+    """Texts to train a model for: text, n_groundings, groundings (distinct, sorted), names.
+
+    Left out are texts with a chemical, a preferred name, a curated or an 'adeft' entry, an entry without a name, and those
+    whose entry names share a prefix of so many characters (a family). mesh_proteins(id): MeSH proteins and enzymes, which
+    don't count.
+    """
+    has = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    unwanted = has((F.col("db") == "CHEBI") | F.col("status").isin("name", "curated") | (F.col("source") == "adeft") | F.col("entry_name").isNull())
+    protein = F.lit(False)
+    if mesh_proteins is not None:
+        known = mesh_proteins.select(F.lit("MESH").alias("db"), "id", F.lit(True).alias("is_protein")).distinct()
+        terms, protein = terms.select("text", "db", "id", "status", "source", "entry_name").join(known, ["db", "id"], "left"), F.coalesce("is_protein", F.lit(False))
+    grounding = F.struct("db", "id")
+    g = terms.groupBy("text").agg(
+        F.countDistinct("db", "id").alias("all"), unwanted.alias("unwanted"),
+        F.sort_array(F.collect_set(F.when(~protein, grounding))).alias("groundings"), F.sort_array(F.collect_set("entry_name")).alias("names"),
+    )
+    g = g.filter((F.col("all") > 1) & ~F.col("unwanted") & (common_prefix_length(F.col("names")) < prefix) & (F.size("groundings") > 1))
+    return g.select("text", F.size("groundings").cast("long").alias("n_groundings"), "groundings", "names")
+
+
+def rank_ambiguities(ambiguities: DataFrame, counts: DataFrame) -> DataFrame:
+    """Ambiguities with the uses n of their texts (0 if unknown), most used first."""
+    known = counts.groupBy("text").agg(F.max("n").alias("n"))
+    return ambiguities.join(known, "text", "left").withColumn("n", F.coalesce("n", F.lit(0))).orderBy(F.desc("n"), "text")
 
 
 def common_prefix_length(texts: Column) -> Column:
@@ -95,12 +117,53 @@ def mapping_candidates(terms: DataFrame, attribute: str = "text", source: str =
     return one.filter(F.col("db") != source).join(mine.drop("n"), "key").select("key", "source_id", "source_name", "db", "id", "name")
 
 
-def by_priority(candidates: DataFrame, priority: Sequence[str] = MAPPING_PRIORITY) -> DataFrame:
-    """The first namespace of the list in which a key has exactly one grounding."""
-    n = F.count("*").over(Window.partitionBy("key", "db"))
+#: The class of MeSH entry that a mapping to a namespace asks for.
+MAPPING_CLASSES = {"FPLX": "protein", "HGNC": "protein", "CHEBI": "chemical"}
+#: Fixed values: (mesh_id, GO id) pairs that are mapped by hand.
+MANUAL_GO = (
+    ("D002465", "GO:0048870"), ("D002914", "GO:0042627"), ("D012374", "GO:0120200"), ("D014158", "GO:0006351"), ("D014176", "GO:0006412"),
+    ("D018919", "GO:0001525"), ("D048708", "GO:0016049"), ("D058750", "GO:0001837"), ("D059767", "GO:0000725"),
+)
+
+
+def by_priority(candidates: DataFrame, priority: Sequence[str] = MAPPING_PRIORITY, classes: DataFrame | None = None) -> DataFrame:
+    """The first namespace of the list in which a key has exactly one grounding and whose class the source entry has.
+
+    classes(source_id, class): 'protein' or 'chemical'; without them no class is asked for.
+    """
     place = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("db"))
-    rows = candidates.withColumn("_n", n).withColumn("_p", place).filter("_n = 1 and _p > 0")
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("_p"))).filter("_r = 1").drop("_n", "_p", "_r")
+    rows = candidates.withColumn("place", place).filter("place > 0")
+    alone = rows.groupBy("key", "db").agg(F.count("*").alias("n")).filter("n = 1").select("key", "db")
+    rows = rows.join(alone, ["key", "db"], "left_semi")
+    if classes is not None:
+        asked = F.create_map(*[F.lit(x) for pair in MAPPING_CLASSES.items() for x in pair])
+        known = classes.groupBy("source_id").agg(F.collect_set("class").alias("classes"))
+        wanted = F.try_element_at(asked, F.col("db"))
+        rows = rows.join(known, "source_id", "left").filter(wanted.isNull() | F.coalesce(F.array_contains("classes", wanted), F.lit(False))).drop("classes")
+    best = rows.groupBy("key").agg(F.min(F.struct("place", *candidates.columns)).alias("b"))
+    return best.select(*[f"b.{c}" for c in candidates.columns])
+
+
+def manual_mappings(terms: DataFrame) -> DataFrame:
+    """The MANUAL_GO pairs whose entries are both in the lexicon, as mappings."""
+    pairs = terms.sparkSession.createDataFrame(list(MANUAL_GO), "source_id string, id string")
+    name = lambda db, key, out: terms.filter(F.col("db") == db).groupBy(F.col("id").alias(key)).agg(F.max("entry_name").alias(out))
+    rows = pairs.join(name("MESH", "source_id", "source_name"), "source_id").join(name("GO", "id", "name"), "id")
+    return rows.select("source_id", "source_name", F.lit("GO").alias("db"), "id", "name")
+
+
+def build_mappings(terms: DataFrame, classes: DataFrame | None = None, long: int = 6, source: str = "MESH") -> DataFrame:
+    """Mappings of source entries to other vocabularies: source_id, source_name, db, id, name.
+
+    By equal texts; for entries without such a mapping by equal normalised texts of more than `long` characters; and for
+    those still without, by hand.
+    """
+    columns = ["source_id", "source_name", "db", "id", "name"]
+    out = by_priority(mapping_candidates(terms, "text", source), classes=classes).select(*columns).distinct()
+    loose = by_priority(mapping_candidates(terms, "norm_text", source).filter(F.length("key") > long), classes=classes).select(*columns).distinct()
+    for more in (loose, manual_mappings(terms)):
+        out = out.unionByName(more.join(out.select("source_id").distinct(), "source_id", "left_anti").select(*columns))
+    return out
 
 
 def one_to_one(mappings: DataFrame) -> DataFrame:

@@ -195,7 +195,7 @@ SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tp / (tp + fp) AS p
         "run_diff": "WITH o AS (SELECT o_orderkey AS row, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS v FROM orders), n AS (SELECT o_orderkey AS row, CASE WHEN o_orderkey % 5 > 0 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderpriority END END AS v FROM orders) SELECT CASE WHEN o.v IS NOT DISTINCT FROM n.v THEN 'same' WHEN o.v IS NULL THEN 'gained' WHEN n.v IS NULL THEN 'lost' ELSE 'changed' END AS change, count(*)::BIGINT AS n FROM o FULL JOIN n USING (row) WHERE o.v IS NOT NULL OR n.v IS NOT NULL GROUP BY 1",
         "throughput_stats": "SELECT l_returnflag AS type, l_linestatus AS context, round(avg(1.0 / l_quantity), 1) AS mean, round(stddev_samp(1.0 / l_quantity), 1) AS std FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2",
         "top_false_positives": "WITH g AS (SELECT DISTINCT event_type AS text, user_id % 50 AS doc FROM events WHERE value < 5), f AS (SELECT event_type AS text, user_id % 50 AS doc, event_id FROM events) SELECT text, count(*)::BIGINT AS n FROM f ANTI JOIN g USING (text, doc) GROUP BY text ORDER BY n DESC, text LIMIT 50",
-        "disambiguate": """WITH d AS (SELECT doc_id, text FROM documents WHERE lang = 'en' AND text IS NOT NULL AND text <> ''), h AS (SELECT DISTINCT text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM d),
+        "disambiguate": """WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''), h AS (SELECT DISTINCT text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM d),
 z AS (SELECT text, 0.2::DOUBLE + list_contains(w, 'the')::INT * 1.5 + list_contains(w, 'with')::INT * -0.5 AS a, 0.1::DOUBLE + list_contains(w, 'for')::INT * 0.7 AS b, 0.0::DOUBLE AS c FROM h),
 p AS (SELECT text, exp(a - greatest(a, b, c)) / (exp(a - greatest(a, b, c)) + exp(b - greatest(a, b, c)) + exp(c - greatest(a, b, c))) AS pa FROM z) SELECT d.doc_id, round(pa, 9) AS probability FROM d JOIN p USING (text)""",
     }

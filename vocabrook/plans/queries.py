@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curie, scoring, text
 from ..operators import annotation, disambiguation, evaluation, lexicon_ops
-from ..operators.grounding import Grounder, filter_for_organism
+from ..operators.grounding import Grounder, context_key, filter_for_organism
 from . import derived
 from .derived import table
 
@@ -172,14 +172,15 @@ _MODEL = [("er", "adeft", "A:1", None, 0.2), ("er", "adeft", "A:1", "the", 1.5),
 
 def _probabilities(spark, docs, **options):
     models = spark.createDataFrame(_MODEL, "surface string, kind string, label string, feature string, weight double")
-    docs = docs.filter("text is not null and text <> ''").select("doc_id", F.lit("er").alias("raw"), F.col("text").alias("context"))
-    found = disambiguation.label_probabilities(docs, models, **options).filter("label = 'A:1'")
-    return docs.join(found, ["raw", "context"]).select("doc_id", F.round("probability", 9).alias("probability"))
+    docs = docs.filter("text is not null and text <> ''").select("doc_id", context_key("text").alias("context_key"), F.col("text").alias("context"))
+    asked = docs.select(F.lit("er").alias("raw"), "context_key")
+    found = disambiguation.label_probabilities(asked, docs.select("context_key", "context"), models, **options).filter("label = 'A:1'")
+    return docs.select("doc_id", "context_key").hint("merge").join(found, "context_key").select("doc_id", F.round("probability", 9).alias("probability"))
 
 
 def disambiguate(spark, sf_dir):
-    """English documents, as its SQL; disambiguate_all has all of them."""
-    return _probabilities(spark, table(spark, sf_dir, "documents").filter("lang = 'en'"))
+    """Words of ASCII letters and digits, as its SQL has them; disambiguate_all takes those of every script."""
+    return _probabilities(spark, table(spark, sf_dir, "documents"))
 
 
 def disambiguate_all(spark, sf_dir):

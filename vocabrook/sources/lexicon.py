@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text, vocab
+
 COLUMNS = ("norm_text", "text", "db", "id", "entry_name", "status", "source", "organism", "source_db", "source_id")
 TERMS = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 BUCKETS = 64
@@ -71,13 +73,25 @@ class TermTable:
         return self.terms.groupBy("norm_text").agg(F.sort_array(F.collect_list(F.struct(*COLUMNS))).alias("terms"))
 
 
-def load(spark: SparkSession, terms) -> DataFrame:
-    """A lexicon from a DataFrame, a path (.tsv, .tsv.gz, .parquet, jdbc:), a table name, rows, or a dict of rows by key."""
+#: Where load() looks for a lexicon if none is named.
+DEFAULT = "spark.vocabrook.terms"
+
+
+def load(spark: SparkSession, terms=None) -> DataFrame:
+    """A lexicon from a DataFrame, a path (.tsv, .tsv.gz, .parquet), a database (jdbc:.. or a .db file), a table name, rows, or a
+    dict of rows by key; without one, from what the session's setting spark.vocabrook.terms names.
+    """
+    if terms is None:
+        terms = spark.conf.get(DEFAULT, None)
+        if not terms:
+            raise ValueError(f"no terms given, and {DEFAULT} is not set")
     if isinstance(terms, DataFrame):
         return terms.select(*COLUMNS)
     if isinstance(terms, Path):
         terms = str(terms)
     if isinstance(terms, str):
+        if terms.endswith(".db") and not terms.startswith("jdbc:"):
+            terms = f"jdbc:sqlite:{terms}"
         if terms.startswith("jdbc:"):
             return spark.read.format("jdbc").options(url=terms, dbtable="terms").load().select(*COLUMNS)
         if terms.endswith((".tsv", ".tsv.gz", ".csv", ".gz")):
@@ -93,6 +107,20 @@ def load(spark: SparkSession, terms) -> DataFrame:
     raise TypeError(f"terms can't be of type {type(terms).__name__}")
 
 
+def name_synonym_terms(rows: DataFrame, db: str, source: str | None = None, organism: str | None = None) -> DataFrame:
+    """id, name, synonyms array<string> -> entries of a vocabulary of one's own."""
+    c = F.col
+    words = F.filter(F.coalesce("synonyms", F.array().cast("array<string>")), lambda x: x != c("name"))
+    texts = F.concat(F.array(F.struct(c("name").alias("text"), F.lit("name").alias("status"))), F.transform(F.array_distinct(words), lambda x: F.struct(x.alias("text"), F.lit("synonym").alias("status"))))
+    null = F.lit(None).cast("string")
+    out = rows.select("id", "name", F.explode(texts).alias("t")).filter("t.text <> ''")
+    out = out.select(
+        "t.text", F.lit(db).alias("db"), "id", c("name").alias("entry_name"), "t.status", F.lit(source or db.lower()).alias("source"), F.lit(organism).cast("string").alias("organism"),
+        null.alias("source_db"), null.alias("source_id"),
+    )
+    return valid(out.withColumn("norm_text", text.normalize("text"))).select(*COLUMNS)
+
+
 def terms_to_json(terms: DataFrame) -> DataFrame:
     """One JSON object an entry; fields that are null are left out."""
     return terms.select(F.to_json(F.struct(*COLUMNS)).alias("json"))
@@ -107,6 +135,60 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str], header: b
     return spark.read.schema(schema).options(header=header, sep=delimiter, quote=quote or "", multiLine=quote is not None, enforceSchema=True).csv(path)
 
 
+#: The columns of downloaded files, in their order, and what the operators call them.
+HGNC_COLUMNS = ("hgnc_id", "symbol", "name", "status", "aliases", "previous", "alias_names")
+MESH_COLUMNS = ("id", "name", "synonyms")
+UNIPROT_COLUMNS = ("entry", "primary", "synonyms", "organism", "names")
+CHEBI_NAME_COLUMNS = ("row_id", "compound_id", "type", "source", "name", "adapted", "language")
+
+
+def read_hgnc(spark: SparkSession, path: str) -> DataFrame:
+    """The gene table as etl.hgnc_terms() takes it; quotation marks are data."""
+    return read_delimited(spark, path, list(HGNC_COLUMNS), quote=None)
+
+
+def read_mesh(spark: SparkSession, path: str) -> DataFrame:
+    """Descriptor or supplementary labels: id, name, synonyms ('|'); no header."""
+    return read_delimited(spark, path, list(MESH_COLUMNS), header=False)
+
+
+def read_uniprot(spark: SparkSession, path: str, organisms: list[str] | None = None) -> DataFrame:
+    """Protein entries, of the organisms only if some are named."""
+    rows = read_delimited(spark, path, list(UNIPROT_COLUMNS), quote=None)
+    return rows.filter(F.col("organism").isin(*organisms)) if organisms else rows
+
+
+def read_chebi_names(spark: SparkSession, path: str) -> DataFrame:
+    """Compound names as etl.chebi_synonyms() takes them."""
+    return read_delimited(spark, path, list(CHEBI_NAME_COLUMNS)).select("compound_id", "name")
+
+
+def read_ragged(spark: SparkSession, path: str) -> DataFrame:
+    """text, fields: comma-separated rows of any length, as grounding_map() takes them; quoted fields may hold commas."""
+    items = F.transform(F.regexp_extract_all("value", F.lit('(?:^|,)((?:"(?:[^"]|"")*")|[^,]*)'), F.lit(1)), lambda x: F.when(x.startswith('"'), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    return spark.read.text(path).filter("value <> ''").select(items.alias("i")).select(F.col("i")[0].alias("text"), F.slice("i", F.lit(2), F.size("i")).alias("fields"))
+
+
+def read_bioid(spark: SparkSession, path: str) -> DataFrame:
+    """Gold annotations from a CSV with header: text, obj (array of curies), entity_type, don_article; unknown types are left out."""
+    rows = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path).select("text", "don_article", vocab.normal_ids("obj").alias("obj"))
+    return rows.withColumn("entity_type", vocab.entity_type("obj")).filter("entity_type <> 'unknown'").select("text", "obj", "entity_type", "don_article")
+
+
+def read_full_text(spark: SparkSession, path: str) -> DataFrame:
+    """article (the file's name), text: the passages of each XML file in a folder, a line each."""
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1).alias("article"), "value")
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " "))
+    unescaped = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    passages = F.regexp_extract_all("value", F.lit(r"(?s)<text(?:\s[^>]*)?>(.*?)</text>"), F.lit(1))
+    return raw.select("article", F.concat(F.array_join(F.transform(passages, lambda x: unescaped(plain(x))), "\n"), F.lit("\n")).alias("text"))
+
+
+def first_fields(spark: SparkSession, path: str) -> DataFrame:
+    """text: the distinct first fields of a CSV with header."""
+    return spark.read.options(header=True, quote='"', escape='"').csv(path).toDF(*["text", *[f"_{k}" for k in range(1, len(spark.read.option("header", True).csv(path).columns))]]).select("text").filter("text <> ''").distinct()
+
+
 def read_json_array(spark: SparkSession, path: str, schema) -> DataFrame:
     """A file that is one JSON array."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -115,12 +197,17 @@ def read_json_array(spark: SparkSession, path: str, schema) -> DataFrame:
 OBO_ENTRY = "id string, name string, synonyms array<string>, xrefs array<struct<namespace:string,id:string>>"
 
 
-def read_obo(spark: SparkSession, path: str) -> DataFrame:
-    """Term stanzas of an OBO text: id, name, synonyms, xrefs."""
-    stanza = spark.read.option("lineSep", "\n\n").text(path).filter(F.col("value").rlike(r"^\s*\[Term\]"))
+def read_obo(spark: SparkSession, path: str, obsolete: bool = False) -> DataFrame:
+    """Term stanzas of an OBO text (any line ends): id, name, synonyms, xrefs; obsolete ones only if asked for."""
+    stanza = spark.read.option("lineSep", "[Term]").text(path).withColumn("value", F.regexp_replace("value", "\r\n?", "\n"))
+    # what follows the last [Term] of a file may hold other stanzas
+    stanza = stanza.withColumn("value", F.split("value", r"\n\[", 2)[0]).filter(F.col("value").rlike(r"(?m)^id: "))
+    stanza = stanza.filter(~F.col("value").rlike(r"(?m)^(format-version|ontology): "))
+    if not obsolete:
+        stanza = stanza.filter(~F.col("value").rlike(r"(?m)^is_obsolete: true"))
     line = lambda tag: F.regexp_extract("value", rf"(?m)^{tag}: (.*?)\s*$", 1)
-    xref = F.transform(F.regexp_extract_all("value", F.lit(r"(?m)^xref: (\S+:\S+)"), 1), lambda x: F.struct(F.split(x, ":", 2)[0].alias("namespace"), F.split(x, ":", 2)[1].alias("id")))
-    return stanza.select(line("id").alias("id"), line("name").alias("name"), F.regexp_extract_all("value", F.lit(r'(?m)^synonym: "((?:[^"\\]|\\.)*)"'), 1).alias("synonyms"), xref.alias("xrefs"))
+    xref = F.transform(F.regexp_extract_all("value", F.lit(r"(?m)^xref: (\S+:\S+)"), F.lit(1)), lambda x: F.struct(F.split(x, ":", 2)[0].alias("namespace"), F.split(x, ":", 2)[1].alias("id")))
+    return stanza.select(line("id").alias("id"), line("name").alias("name"), F.regexp_extract_all("value", F.lit(r'(?m)^synonym: "((?:[^"\\]|\\.)*)"'), F.lit(1)).alias("synonyms"), xref.alias("xrefs"))
 
 
 def read_obo_graph(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ Windows are screened before they are embedded, without loss: a window within d e
 at least m - q + 1 - q * d q-grams with it. Windows of all lengths are embedded together.
 
 The items are collected a block at a time, each block of at most BLOCK_BYTES (one larger item is its own block), so
-what is broadcast does not grow with the benchmark; documents are read once a block. Nothing is shuffled but the
+what is broadcast at once does not grow with the benchmark; documents are read once for BLOCKS blocks. Nothing is shuffled but the
 result's pairs.
 
 Defined cases: null or empty texts contain nothing; null or blank items and items without an item_id are left out;
@@ -24,6 +24,7 @@ Q bytes are found by exact search at word starts; empty tables give no rows; oth
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -31,13 +32,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches
+from .common import chunks, mix, small_batches
 
 Q = 12
 EDIT_SHARE = 0.06
 WALKS, BAND, AGREE, TARGET_RECALL = 5, 5, 0.6, 0.99
 BANDS = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - AGREE**BAND) / WALKS)
-BLOCK_BYTES = 1 << 20
+#: Items are worked on in blocks of so many bytes, so many blocks in one reading of the documents.
+BLOCK_BYTES, BLOCKS = 1 << 20, 8
+#: Windows and their walks are worked on in slices of so many bytes.
+SLICE_BYTES = 1 << 21
 TABLE_BITS = 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,6 +66,18 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return ((a * _MULT ^ b * np.uint64(0xC2B2AE3D27D4EB4F)) * _MULT >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
+def walk_bits(walk: np.ndarray, step: int, byte: np.ndarray) -> np.ndarray:
+    """The random bit, of each walk at a step, that says whether it goes on in the string behind this byte."""
+    key = walk.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + byte.astype(np.uint64) * _MULT + np.uint64(step * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)
+    return (mix(key) >> np.uint64(40) & np.uint64(1)).astype(np.int64)
+
+
+def slices(count: int, width: int):
+    """Bounds of slices of `count` rows that hold about SLICE_BYTES of `width` bytes a row."""
+    size = max(1, min(2048, SLICE_BYTES // max(1, width)))
+    return [(a, min(count, a + size)) for a in range(0, count, size)]
+
+
 class Items:
     """A block of items, prepared for matching."""
 
@@ -81,9 +97,7 @@ class Items:
         self.bytes = np.zeros((len(self.rows), self.most + 1), np.uint8)
         for k, (_, t) in enumerate(self.rows):
             self.bytes[k, : len(t)] = np.frombuffer(t, np.uint8)
-        rng = np.random.default_rng(99)
-        self.walks = rng.integers(0, 2, (WALKS, 2 * self.most + 16, 256)).astype(np.int64)
-        self.picks = rng.random((WALKS, BANDS * BAND))
+        self.picks = np.random.default_rng(99).random((WALKS, BANDS * BAND))
         keys = self.bands(self.bytes, self.length)
         self.by_key = np.argsort(keys, axis=0, kind="stable")
         self.keys = np.take_along_axis(keys, self.by_key, 0)
@@ -102,7 +116,7 @@ class Items:
         flat, base = strings.reshape(-1), row * strings.shape[1]
         for s in range(steps):
             read[s] = byte = flat[base + at]
-            at = np.minimum(at + self.walks[walk, s, byte], end)
+            at = np.minimum(at + walk_bits(walk, s, byte), end)
         seen = read[places, np.arange(n * WALKS)[:, None]].astype(np.uint64).reshape(n * WALKS, BANDS, BAND)
         key = np.broadcast_to(end.astype(np.uint64)[:, None], seen.shape[:2]).copy()
         for j in range(BAND):
@@ -203,8 +217,8 @@ def match(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int]]:
                 found[(int(i), int(x))] = now
 
         def verify(owner, k, start):
-            for b in range(0, len(k), 1024):
-                o, x, s = owner[b : b + 1024], k[b : b + 1024], start[b : b + 1024]
+            for b, z in slices(len(k), wide):
+                o, x, s = owner[b:z], k[b:z], start[b:z]
                 d = int(items.edits[x].max())
                 text = data[np.minimum(s[:, None] + np.arange(wide + d)[None, :], len(data) - 1)].copy()
                 text[np.cumsum(text == 0, axis=1) > 0] = 0  # windows end with their text
@@ -214,8 +228,8 @@ def match(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int]]:
 
         both = np.unique(np.stack([near, items.length[number]], axis=1), axis=0)
         starts, lengths, met = both[:, 0], both[:, 1], [np.zeros(0, np.int64)]
-        for a in range(0, len(starts), 2048):
-            start, length = starts[a : a + 2048], lengths[a : a + 2048]
+        for a, z in slices(len(starts), wide):
+            start, length = starts[a:z], lengths[a:z]
             windows = data[start[:, None] + np.arange(length.max() + 1)[None, :]].copy()
             windows[np.arange(windows.shape[1])[None, :] >= length[:, None]] = 0
             w, k = items.candidates(windows, length)
@@ -240,13 +254,13 @@ def match(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int]]:
 
 
 def item_blocks(benchmark: DataFrame):
-    """The distinct items in blocks of about BLOCK_BYTES, streamed to the driver."""
+    """The distinct items in blocks of about BLOCK_BYTES (items of like lengths, for they are padded), streamed to the driver."""
     rows, size = [], 0
-    ordered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct().orderBy("item_id", "text")
+    ordered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct().orderBy(F.length("text"), "item_id", "text")
     for r in ordered.toLocalIterator():
         t = normal(r["text"])
         if t:
-            if rows and size + len(t) > BLOCK_BYTES:
+            if rows and (size + len(t) > BLOCK_BYTES or (len(rows) + 1) * len(t) > 4 * BLOCK_BYTES):
                 yield rows
                 rows, size = [], 0
             rows.append((r["item_id"], t))
@@ -261,15 +275,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     schema, out = "doc_id long, item_id long, distance int, start long", None
-    for rows in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(rows)  # at most BLOCK_BYTES or one item
+    blocks = item_blocks(benchmark)
+    while group := list(itertools.islice(blocks, BLOCKS)):
+        shared = [spark.sparkContext.broadcast(rows) for rows in group]  # each at most BLOCK_BYTES or one item
 
         def run(batches, shared=shared):
-            items = Items(shared.value)
+            prepared = [Items(rows.value) for rows in shared]
             for pdf in chunks(batches):
-                ids = pdf["doc_id"].to_numpy()
-                hits = match([normal(t) for t in pdf["text"]], items)
-                yield pd.DataFrame([(ids[i], (items.rows[x] if x >= 0 else items.short[-1 - x])[0], e, s) for i, x, e, s in hits], columns=["doc_id", "item_id", "distance", "start"])
+                ids, texts = pdf["doc_id"].to_numpy(), [normal(t) for t in pdf["text"]]
+                found = [(ids[i], (items.rows[x] if x >= 0 else items.short[-1 - x])[0], e, s) for items in prepared for i, x, e, s in match(texts, items)]
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "start"])
 
         part = docs.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -280,5 +295,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents (all columns) without those that contain an item."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["bad"], "left_anti")

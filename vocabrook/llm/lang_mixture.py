@@ -190,4 +190,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         parts = [pd.Series([r[3] for r in infer([t if isinstance(t, str) else "" for t in c["text"]], names, shared.value)], index=c.index) for c in chunks([pd.DataFrame({"text": text})])]
         return pd.concat(parts) if parts else pd.Series([], dtype="float64")
 
-    return docs.withColumn("_gain", gain("text")).filter(F.col("_gain") > 0).select(*docs.columns)
+    return docs.filter(gain("text") > 0)

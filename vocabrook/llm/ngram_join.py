@@ -149,7 +149,7 @@ def _dealt(k: int, threshold: int, buckets: int):
     """The long prefixes, dealt to buckets: tokens, and the place of each one's owner in fa. Counts: of those known to be shared."""
 
     def pack(parts):
-        token = np.concatenate([s for _, s in parts])
+        token = mix(np.concatenate([s for _, s in parts]))  # prefixes hold small hashes: mixed, so that they spread evenly over buckets
         owner = np.repeat(np.array([fa for fa, _ in parts], np.int64), [len(s) for _, s in parts])
         order = np.argsort(token)
         token, owner = token[order], owner[order]
@@ -234,8 +234,9 @@ def _segments(batches):
 def fragments_of(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """pairs(a, b) -> a, b, fragment, ta, tb."""
     one = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-    one = one.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("tokens").alias("ta")), ["a", "fragment"])
-    return one.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("tokens").alias("tb")), ["b", "fragment"])
+    # by key at any size: Spark takes exploded pairs for smaller than they are and would broadcast them
+    one = one.hint("merge").join(segments.select(F.col("doc").alias("a"), "fragment", F.col("tokens").alias("ta")), ["a", "fragment"])
+    return one.hint("merge").join(segments.select(F.col("doc").alias("b"), "fragment", F.col("tokens").alias("tb")), ["b", "fragment"])
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -412,5 +413,5 @@ def keep_first(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
 
     Rows with a null doc_id and rows that share the kept doc_id stay.
     """
-    later = ngram_components(docs, k, threshold).filter("component_id <> doc_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, F.col("doc_id").cast("long") == F.col("_later"), "left_anti")
+    later = ngram_components(docs, k, threshold).filter("component_id <> doc_id").select(F.col("doc_id").alias("later")).distinct()
+    return docs.join(later, docs["doc_id"].cast("long") == later["later"], "left_anti")

@@ -246,7 +246,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     code = np.zeros(len(cut), np.uint64)
     for k in range(0, LENGTH + SPAN - 1, GRAM):  # grams that cover the context
         code = mix(code + h[first + np.minimum(k, size - GRAM)] * np.uint64(0x9E3779B97F4A7C15))
-    return h[place[cut]], mix(code + size.astype(np.uint64)), owner, first - begin[owner], size
+    # an anchor's hash is the smallest of many: mixed, so that grams spread evenly over buckets
+    return mix(h[place[cut]]), mix(code + size.astype(np.uint64)), owner, first - begin[owner], size
 
 
 #: The columns of a context: gram, code, row number, first byte, size.

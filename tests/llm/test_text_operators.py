@@ -325,3 +325,116 @@ def test_vp_trees(spark, shard_rows):
     assert got == vp_trees.brute_force(frame, ids)
     few = df.filter("vec_id < 4")
     assert vp_trees.nearest(few, few.filter("vec_id = 0")).count() == 3 and vp_trees.nearest(few.limit(0), few).count() == 0
+
+
+def test_ngram_join_long_words_and_sets(spark):
+    # bytes 4096 apart are swapped: no shingle is shared
+    a = bytearray(random.Random(20).choices(b"abcdefgh", k=9000))
+    b = bytearray(a)
+    i = next(i for i in range(4000) if a[i] != a[i + 4096])
+    b[i], b[i + 4096] = b[i + 4096], b[i]
+    rng = random.Random(21)
+    long = words(rng, 20000).split()
+    edited = list(long)
+    for at in rng.sample(range(len(long)), 300):
+        edited[at] = "zz" + str(at)
+    rows = [(1, a.decode(), "s"), (2, b.decode(), "s"), (3, " ".join(long), "s"), (4, " ".join(edited), "s"), (5, words(rng, 20000), "s")]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(table(spark, rows), k=4, threshold=85).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5}
+
+
+def test_ngram_join_of_a_hot_group(spark):
+    """Edited copies of a text that is not there itself: some link with each other, not with the head."""
+    rng = random.Random(22)
+    base, rows = words(rng, 120).split(), []
+    for n in range(120):
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.choice([1, 2, 2, 3, 4])):
+            w[at] = words(rng, 1, "xyz") + str(n)
+        if n % 7 == 0:
+            w = w[: len(w) - rng.randint(0, 12)]
+        rows.append((n, " ".join(w), "s"))
+    rows += [(500 + n, rows[n][1], "s") for n in range(0, 120, 3)] + [(7, "two texts of one document that is rows of its own id here", "s"), (600, "two texts of one document that is rows of its own id here", "s")]
+    got = {}
+    for r in ngram_join.ngram_components(table(spark, rows), k=4, threshold=85).collect():
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    once = [r for r in rows if r[0] not in (7, 600)]
+    want = {d: c for d, (_, c) in jaccard_components(once, 4, 85).items()}
+    seven = jaccard_components([r for r in rows if r[0] != 7 or r[1].startswith("two")], 4, 85)
+    assert seven[600][1] == 7 and got[600] == got[7] and all(len(c) == 1 for c in got.values())
+    assert {d: min(c) for d, c in got.items() if d not in (7, 600) and want[d] not in (want.get(7), 7)} == {d: c for d, c in want.items() if c not in (want.get(7), 7)}
+
+
+def test_ngram_bounds():
+    """The screen's numbers hold for linked sets, whatever the order of shingles."""
+    rng = random.Random(23)
+    for threshold in (30, 80, 85, 100):
+        for _ in range(400):
+            n = rng.randint(1, 60)
+            shared = rng.randint(1, n)
+            x = set(range(n))
+            y = set(range(shared)) | {1000 + i for i in range(rng.randint(0, n))}
+            if 100 * len(x & y) < threshold * len(x | y):
+                continue
+            order = {t: rng.random() for t in x | y}
+            first = [set(sorted(s, key=order.get)[: ngram_join.long_prefix(len(s), threshold)]) for s in (x, y)]
+            least = min(ngram_join.extra(len(s), threshold) + 1 for s in (x, y))
+            assert len(first[0] & first[1]) >= least
+
+
+def test_source_mix_of_many_sources(spark):
+    rng = random.Random(24)
+    rows = [(i, words(rng, rng.randint(0, 9)), rng.choice([None, *(f"s{k:03d}" for k in range(150))])) for i in range(900)] + [(5, "a b c", "s001"), (5, "a b c d", "s001")]
+    got = source_mix.mix_sources(table(spark, rows)).select("doc_id", "size", "source_size", "target", "taken").collect()
+    want = oracle(source_mix.ORACLE, "documents", rows, ["doc_id", "text", "source"])
+    assert sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got) == sorted((a, b, c, round(d, 6), e) for a, b, c, d, e in want)
+
+
+def test_decontaminate_long_item_and_clashing_names(spark):
+    rng = random.Random(25)
+    item = words(rng, 9000)
+    text = "before " + item[:9000] + "q" + item[9001:] + " behind"
+    docs = spark.createDataFrame([(1, text, 9), (2, words(rng, 300), 9), (2, words(rng, 300), 9), (3, None, 9)], "doc_id long, text string, bad int")
+    bench = spark.createDataFrame([(1, item), (2, "short item of some words")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1, 1)]
+    assert sorted(r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()) == [2, 2, 3]
+
+
+def test_html_hostile_and_long_pages():
+    import time
+
+    began = time.time()
+    for bad in ('<a href="x ' * 20_000, "<p " * 60_000, "<div class='" * 20_000, "<p>" + "word " * 300_000, "<div><p>x</p>" * 20_000):
+        html_extract.extract(f"<html><body><p>good text</p>{bad}", [])
+    assert time.time() - began < 60
+    many = "".join(f"<div class=n><p>part {i}</p></div>" for i in range(3000))
+    text, path = html_extract.extract(f"<html><body>{many}</body></html>", ["/html/body/div.n"])
+    assert text.split("\n") == [f"part {i}" for i in range(3000)] and path == "/html/body/div.n"
+
+
+def test_html_hosts_vote_apart(spark):
+    body = words(random.Random(26), 80)
+    rows = [(h * 100 + i, f"http://h{h}/{i}", f"<html><body><ul><li><a href=x>link {i}</a></li></ul><div class={'story' if h else 'entry'}-{i}><p>{body}</p></div></body></html>") for h in (0, 1) for i in range(4)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == body for r in got)
+    assert {r.path.rsplit("/", 1)[1] for r in got if r.page_id < 100} == {"div.entry-#"} and {r.path.rsplit("/", 1)[1] for r in got if r.page_id >= 100} == {"div.story-#"}
+
+
+def test_warc_chunks_hold_bytes(spark):
+    pages = spark.createDataFrame([(1, "u", "\U0001f600" * 200_000)], "page_id long, url string, html string")
+    chunks = warc_table.write_archives(pages)
+    sizes = [len(r["data"]) for r in chunks.collect()]
+    assert max(sizes) <= warc_table.CHUNK + 2000 and sum(sizes) > 800_000
+
+
+def test_vp_trees_skip_and_pack():
+    rng = np.random.default_rng(27)
+    v = np.concatenate([rng.normal(size=(400, 8)), rng.normal(size=(400, 8)) + 50, np.zeros((300, 8)) + 7])
+    tree = vp_trees.Tree.unpacked(*vp_trees.Tree.build(np.arange(len(v)), v, leaf=20).packed())
+    ids, d = tree.search(np.arange(0, len(v), 50), v[::50])
+    for q, i, s in zip(range(0, len(v), 50), ids, d, strict=True):
+        exact = vp_trees.distances(v, v[q : q + 1])[0]
+        exact[q] = np.inf
+        assert list(i) == list(np.lexsort((np.arange(len(v)), exact))[:10]) and (s == exact[i]).all()
+    few, far = tree.search(np.array([0]), v[:1], bound=np.array([0.0]))
+    assert not np.isfinite(far).any() and len(few) == 1

@@ -13,7 +13,7 @@ block becomes one space, character references are decoded once.
 
 Defined cases: null or empty html gives the empty text; a null url belongs to the host ''; an empty
 table gives no rows; repeated rows vote and are returned each for itself; other columns are not read.
-Very long pages are parsed in one linear pass.
+Very long pages are parsed in one pass, whose cost grows with their length also where quotation marks or tags are never closed.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches
+from .common import chunks, settle, small_batches
 
 #: A path is a winner of its host if it has this share of the host's votes.
 WIN_SHARE = 0.2
+#: A host has at most 1 / WIN_SHARE paths, some hundred characters each: about 10 MB in all.
+BROADCAST_HOSTS, SALT = 10_000, 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|iframe|svg|object|select|title|xmp|noembed|noframes|canvas|video|audio"
@@ -50,8 +52,10 @@ PARTS = frozenset(
 #: Behind one of these a skip name only tells what the element has around it or lacks (has-sidebar).
 NOT_NAMES = frozenset("has have no not non without with hide is show".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+#: A tag's attributes, of a bounded number of bounded parts: a quotation mark that is never closed costs each tag a constant.
+ATTRS = r"(?:[^>\"']{1,64}|\"[^\"]{0,1024}\"|'[^']{0,1024}'){0,64}+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b{ATTRS}(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|</?([a-zA-Z][^\s/>]{{0,64}})({ATTRS})>|</?([a-zA-Z][^\s/>]{{0,64}})([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>\"']|\Z)", re.I)
@@ -73,6 +77,13 @@ def names_boilerplate(token: str) -> bool:
     return words[-1] in SKIP_NAMES or words[0] in SKIP_NAMES and all(w in PARTS or w in SKIP_NAMES for w in words[1:])
 
 
+def _unclosed(m: re.Match) -> bool:
+    """Whether a comment or an element of raw text goes on to the page's end."""
+    if m[0].startswith("<!--"):
+        return not m[0].endswith("-->")
+    return bool(m[1]) and not m[0].endswith("/>") and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.I)
+
+
 class Page:
     """Elements of a page in page order: parallel lists tag, path, parent, skip, drop (why it may be skipped itself); pieces (element, text or None for a break)."""
 
@@ -80,8 +91,9 @@ class Page:
         self.tag, self.path, self.parent, self.skip, self.link = ["#"], [""], [-1], [False], [False]
         self.drop = [0]
         self.pieces: list[tuple[int, str | None]] = []
-        stack, at = [0], 0
-        for m in TOKEN.finditer(source):
+        stack, at, m = [0], 0, None
+        end = source.rfind(">") + 1  # behind it are no tags
+        for m in TOKEN.finditer(source, 0, end):
             if m.start() > at:
                 self.pieces.append((stack[-1], source[at : m.start()]))
             at = m.end()
@@ -118,7 +130,7 @@ class Page:
                     if self.tag[stack[k]] in ("ul", "ol", *CONTAINERS):
                         break
             self._open(name, m[3] or m[5] or "", stack)
-        if at < len(source):
+        if at < len(source) and not (m and at == end and _unclosed(m)):
             self.pieces.append((stack[-1], source[at:]))
         self._settle()
 
@@ -191,19 +203,21 @@ class Page:
             total[self.parent[k]] += total[k]
         return total
 
-    def text(self, root: int) -> str:
-        """The blocks below root."""
-        inside = [False] * len(self.tag)
-        inside[root] = True
-        for k in range(root + 1, len(self.tag)):
-            inside[k] = inside[self.parent[k]]
-        blocks, now = [], []
+    def text(self, roots: list[int]) -> str:
+        """The blocks below the roots (none below another), in page order, in one pass."""
+        root = [-1] * len(self.tag)
+        for k in roots:
+            root[k] = k
+        for k in range(min(roots) + 1, len(self.tag)):
+            if root[k] < 0:
+                root[k] = root[self.parent[k]]
+        blocks, now, last = [], [], -1
         for node, piece in self.pieces:
-            if piece is None or not inside[node]:
-                if now:
-                    blocks.append("".join(now))
-                    now = []
-            elif not self.skip[node]:
+            if (piece is None or root[node] != last) and now:
+                blocks.append("".join(now))
+                now = []
+            last = root[node]
+            if piece is not None and last >= 0 and not self.skip[node]:
                 now.append(piece)
         blocks.append("".join(now))
         return "\n".join(b for b in (" ".join(_html.unescape(x).split()) for x in blocks) if b)
@@ -228,10 +242,10 @@ def extract(source: str | None, winners: list[str]) -> tuple[str, str]:
     for path in winners:
         nodes = [k for k in on_path.get(path, []) if not page.skip[k]]
         if nodes and sum(sizes[k] for k in nodes) == sizes[0]:
-            text = "\n".join(t for t in map(page.text, nodes) if t)
+            text = page.text(nodes)
             if text:
                 return text, path
-    return page.text(own), page.path[own]
+    return page.text([own]), page.path[own]
 
 
 def _host(url) -> str:
@@ -260,11 +274,20 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> page_id, url, text, n_chars, path."""
+    """pages(page_id, url, html) -> page_id, url, text, n_chars, path.
+
+    The hosts' paths are broadcast if they are at most BROADCAST_HOSTS rows; else each host's pages are dealt to SALT parts.
+    """
     kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.coalesce(F.regexp_extract("url", HOST.pattern.replace(r"\A", "^"), 1), F.lit("")))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    rows = rows.join(host_paths(pages), "host", "left").select("page_id", "url", "html", "paths")
+    paths = settle(host_paths(pages), "paths")
+    if paths.count() <= BROADCAST_HOSTS:
+        rows = rows.join(F.broadcast(paths), "host", "left")
+    else:
+        salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALT)).cast("int")).hint("merge").join(salted, ["host", "salt"], "left")
+    rows = rows.select("page_id", "url", "html", "paths")
 
     def again(batches):
         for pdf in chunks(batches, "html"):

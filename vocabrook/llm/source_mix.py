@@ -1,14 +1,16 @@
 """Mixing sources to target weights by capped water-filling, with DataFrame operations only.
 
 Sources are ordered by code point (null last) and weigh 5, 2, 1, repeating. All words together are
-shared out by weight; a target stops at max_epochs times its source's words, and what is left over
-goes to the others by weight. A source's documents are then taken whole epochs times, and the
-remaining fraction by a seeded order of the documents.
+shared out by weight; sources whose share is more than max_epochs times their words are clamped there, and the
+excess is shared out again among the others by weight, until none is above. A source's documents are then taken
+whole epochs times, and the remaining fraction by a seeded order of the documents.
+
+Documents are read once, into a table of their sizes. Sources may be as many as documents: they are ranked by
+ranges, and shared out by sums over all of them, a round for each clamping.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own; an
-empty table gives no rows; a source without words has target 0; repeated rows are separate rows of
-equal rank and are taken alike or side by side in input order of their ids; columns other than
-doc_id, text and source are not read.
+empty table gives no rows; a source without words has target 0; rows that share a doc_id are ordered by size, and
+those that share both are alike; columns other than doc_id, text and source are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: ASCII white space separates words; everything else belongs to them.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -29,30 +33,32 @@ def size_of(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with their place (from 0) by code point, null last: sorted ranges, and the sizes of the ranges before."""
+    by_name = [F.col("source").isNull(), F.col("source")]
+    parts = settle(sources.repartitionByRange(*by_name).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # of a row a range
+    offsets = parts.groupBy("range").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*by_name)) - 1
+    return parts.withColumn("place", place).join(offsets.drop("n"), "range").withColumn("place", F.col("place") + F.col("offset")).drop("range", "offset")
+
+
 def water_fill(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """sources(source, source_size) -> with target. One row per source, so the windows are small.
-
-    The capped sources are those with the smallest source_size / weight, so one sorted pass finds the
-    level at which the rest is feasible: no iteration is needed.
-    """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    table = sources.withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    table = table.withColumn("ratio", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(1))
-    table = (
-        table.withColumn("cap_before", F.coalesce(F.sum("cap").over(order), F.lit(0.0)))
-        .withColumn("weight_before", F.coalesce(F.sum("weight").over(order), F.lit(0.0)))
-        .withColumn("total", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("all_weight", F.sum("weight").over(everything))
-    )
-    level = (F.col("total") - F.col("cap_before")) / (F.col("all_weight") - F.col("weight_before"))
-    table = table.withColumn("level", level)
-    free = F.max(F.when(F.col("level") < F.col("ratio"), F.col("level"))).over(everything)
-    table = table.withColumn("free_level", free)
-    # the first source above the level has the right one; past it, levels only fall
-    target = F.when(F.col("free_level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("free_level") * F.col("weight")))
+    """sources(source, source_size) -> with target."""
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    table = settle(ranked(sources).withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))), "weights")
+    everything = table.agg(F.sum("source_size").cast("double").alias("total"), F.sum("weight").alias("weight")).first()
+    level, clamped = None, -1
+    while everything["weight"]:
+        above = F.lit(False) if level is None else F.col("cap") <= F.lit(level) * F.col("weight")
+        sums = table.agg(F.count_if(above).alias("n"), F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0.0)).alias("cap"), F.coalesce(F.sum(F.when(above, F.col("weight"))), F.lit(0.0)).alias("weight")).first()
+        if sums["n"] == clamped:
+            break
+        clamped = sums["n"]
+        if sums["weight"] == everything["weight"]:
+            break
+        level = (everything["total"] - sums["cap"]) / (everything["weight"] - sums["weight"])
+    target = F.lit(0.0) if level is None else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
     return table.select("source", "source_size", target.alias("target"))
 
 
@@ -60,7 +66,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     """docs(doc_id, text, source) -> doc_id, source, size, source_size, target, times, taken."""
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.conv(F.substring(key, 1, 12), 16, 10).cast("long").alias("u"))
-    rows = rows.withColumn("bin", F.shiftright(F.col("u"), 36).cast("int"))
+    rows = settle(rows.withColumn("bin", F.shiftright(F.col("u"), 36).cast("int")), "sizes")
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     sizes = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
     plan = water_fill(sizes, weights, max_epochs)
@@ -77,7 +83,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     )
     same = F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bin") == F.col("p.bin"))
     rows = rows.alias("r").join(plan.alias("p"), same).select("r.doc_id", "r.source", "r.size", "r.u", "r.bin", "p.before", "p.source_size", "p.target", "p.whole", "p.want", "p.state")
-    inside = Window.partitionBy("source", "bin").orderBy("u", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bin").orderBy("u", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.filter("state = 2").withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     # the document in which the fraction ends is taken if at least half of it lies before that end
     edge = edge.withColumn("extra", (F.col("start") + F.col("size") / 2 <= F.col("want")).cast("int")).drop("start")
@@ -103,7 +109,7 @@ f AS (SELECT max((total - capped) / (all_w - used)) AS level FROM lv WHERE (tota
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap::DOUBLE, level * w) END::DOUBLE AS target FROM lv, f),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 o AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.whole, e.target - e.whole * e.source_size AS want,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
     FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target,
     (least(whole + CASE WHEN start + size / 2.0 <= want AND want > 0 THEN 1 ELSE 0 END, 3) * size)::BIGINT AS taken FROM o

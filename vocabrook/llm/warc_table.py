@@ -54,8 +54,8 @@ def chunk_rows(archive: int, record: int, page_id, url, html: str, payload_bytes
     buffer = _header(kind, record, page_id, url, refers_to, payload_bytes, digest, payload_bytes if refers_to is None else 0)
     running, number = hashlib.sha1(), 0
     if refers_to is None:
-        for at in range(0, len(html), CHUNK):
-            piece = html[at : at + CHUNK].encode("utf-8", "surrogatepass")
+        for at in range(0, len(html), CHUNK // 4):  # a character has at most four bytes
+            piece = html[at : at + CHUNK // 4].encode("utf-8", "surrogatepass")
             running.update(piece)
             yield archive, record, number, buffer + piece, running.hexdigest()
             buffer, number = b"", number + 1
@@ -65,16 +65,17 @@ def chunk_rows(archive: int, record: int, page_id, url, html: str, payload_bytes
 def plan_records(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, html, payload_bytes, payload_digest, refers_to.
 
-    Digests are taken in the JVM; groups of equal payloads are summed up before the shuffle, and only
-    groups of several pages come back to the pages.
+    Digests are taken in the JVM; groups of equal payloads are summed up before the shuffle, and what a page refers to is
+    found without its html, and then joined by page: copies of one payload never meet in one task.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"))
-    slim = rows.filter((F.col("payload_bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull())
-    groups = slim.groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).agg(F.max("page_id").alias("first"), F.min("page_id").alias("last"))
-    groups = groups.filter("first > last").drop("last")
-    rows = rows.join(groups, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
-    return rows.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(F.col("page_id") < F.col("first"), F.col("first")).alias("refers_to"))
+    slim = settle(rows.filter((F.col("payload_bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "payload_digest", "payload_bytes"), "digests")
+    group = ["payload_digest", "payload_bytes"]
+    groups = slim.groupBy(*group).agg(F.max("page_id").alias("first"), F.min("page_id").alias("last")).filter("first > last").drop("last")
+    revisits = settle(slim.join(groups, group).filter("page_id < first").select("page_id", *group, F.col("first").alias("refers_to")).distinct(), "revisits")
+    rows = rows.hint("merge").join(revisits, ["page_id", *group], "left")
+    return rows.select("page_id", "url", "html", *group[::-1], "refers_to")
 
 
 def write_archives(pages: DataFrame) -> DataFrame:

@@ -182,30 +182,44 @@ def _dealt(k: int, threshold: int, buckets: int):
     return run
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's entries -> fa, c: how many of the set's tokens there another one has too."""
-    token, owner, sure, count = [], [], [], []
-    for t, p, fa, c in zip(pdf["token"], pdf["place"], pdf["fa"], pdf["count"], strict=True):
-        fa = np.frombuffer(fa, "<i8")
-        if len(c):
+def _shared(groups: int):
+    """A bucket's entries -> group, fa, count: how many of the set's tokens there another one has too, packed by groups of sets."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        token, owner, sure, count = [], [], [], []
+        for t, p, fa, c in zip(pdf["token"], pdf["place"], pdf["fa"], pdf["count"], strict=True):
+            fa = np.frombuffer(fa, "<i8")
+            if len(c):
+                sure.append(fa)
+                count.append(np.frombuffer(c, "<i4"))
+            elif len(t):
+                token.append(np.frombuffer(t, "<u8"))
+                owner.append(fa[np.frombuffer(p, "<u4")])
+        if token:
+            token, owner = np.concatenate(token), np.concatenate(owner)
+            order = np.argsort(token)
+            token, owner = token[order], owner[order]
+            ends = _ends(token)
+            shared = np.minimum.reduceat(owner, ends[:-1]) < np.maximum.reduceat(owner, ends[:-1])
+            owner = owner[np.repeat(shared, np.diff(ends))]
+            fa, c = np.unique(owner[owner != SEVERAL], return_counts=True)
             sure.append(fa)
-            count.append(np.frombuffer(c, "<i4"))
-        elif len(t):
-            token.append(np.frombuffer(t, "<u8"))
-            owner.append(fa[np.frombuffer(p, "<u4")])
-    if token:
-        token, owner = np.concatenate(token), np.concatenate(owner)
-        order = np.argsort(token)
-        token, owner = token[order], owner[order]
-        ends = _ends(token)
-        shared = np.minimum.reduceat(owner, ends[:-1]) < np.maximum.reduceat(owner, ends[:-1])
-        owner = owner[np.repeat(shared, np.diff(ends))]
-        fa, c = np.unique(owner[owner != SEVERAL], return_counts=True)
-        sure.append(fa)
-        count.append(c.astype(np.int32))
-    if not sure:
-        return pd.DataFrame({"fa": np.zeros(0, np.int64), "c": np.zeros(0, np.int32)})
-    return pd.DataFrame({"fa": np.concatenate(sure), "c": np.concatenate(count)})
+            count.append(c.astype(np.int32))
+        fa, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sure, count))
+        group = ((mix(fa.astype(np.int64).view(np.uint64)) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        group, fa, c = group[order], fa[order], c[order]
+        ends = _ends(group)
+        rows = [(int(group[i]), fa[i:z].astype("<i8").tobytes(), c[i:z].astype("<i4").tobytes()) for i, z in zip(ends[:-1], ends[1:], strict=True)]
+        return pd.DataFrame(rows, columns=["group", "fa", "count"])
+
+    return run
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    fa, c = np.frombuffer(b"".join(pdf["fa"]), "<i8"), np.frombuffer(b"".join(pdf["count"]), "<i4")
+    fa, place = np.unique(fa, return_inverse=True)
+    return pd.DataFrame({"fa": fa, "c": np.bincount(place, c, len(fa)).astype(np.int64)})
 
 
 def _sets(k: int):
@@ -302,7 +316,8 @@ def screened(docs: DataFrame, classes: DataFrame, k: int, threshold: int) -> Dat
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * long_prefix(1000, threshold) / 1000) // BUCKET_ENTRIES + 1)
     dealt = docs.mapInPandas(_dealt(k, threshold, buckets), "bucket int, token binary, place binary, fa binary, count binary")
-    counts = dealt.groupBy("bucket").applyInPandas(_shared, "fa long, c int").groupBy("fa").agg(F.sum("c").alias("c"))
+    counts = dealt.groupBy("bucket").applyInPandas(_shared(buckets), "group int, fa binary, count binary")
+    counts = counts.groupBy("group").applyInPandas(_summed, "fa long, c long")
     return settle(counts.join(classes, "fa").filter(F.col("c") >= shared_least(threshold)).select("rep", "fa", "n"), "screened")
 
 

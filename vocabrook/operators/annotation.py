@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curie, text
 from ..functions.stopwords import CORE_STOP_WORDS, ENTITY_STOP_WORDS
+from ..sources.tables import reused
 from .grounding import Grounder, context_key
 from .lexicon_ops import prefix_index
 
@@ -43,17 +44,21 @@ def tokens(docs: DataFrame, column: str, id_: str, split: Callable[[str], list[t
     spans_of = split or (lambda s: [m.span() for m in re.finditer(r"[^\n]+", s)] if simple else split_sentences(s))
     pieces = (lambda s: [m.span() for m in re.finditer(r"[^\W\d_]+", s)]) if simple else tokenize
 
-    @F.pandas_udf("array<struct<sent:int,idx:int,start:int,token:string>>")
-    def cut(values: pd.Series) -> pd.Series:
-        out = []
-        for s in values:
-            rows = []
-            for k, (a, z) in enumerate(spans_of(s) if s else ()):
-                rows += [{"sent": k, "idx": i, "start": a + x, "token": s[a + x : a + y]} for i, (x, y) in enumerate(pieces(s[a:z]))]
-            out.append(rows)
-        return pd.Series(out, dtype=object)
-
-    rows = docs.select(F.col(id_).alias("id"), F.explode(cut(column)).alias("t")).select("id", "t.*")
+    def cut(batches):
+        for pdf in batches:
+            number, sent, idx, start, found = [], [], [], [], []
+            for n, s in enumerate(pdf["text"]):
+                for k, (a, z) in enumerate(spans_of(s) if isinstance(s, str) and s else ()):
+                    at = pieces(s[a:z])
+                    number += [n] * len(at)
+                    sent += [k] * len(at)
+                    idx += range(len(at))
+                    start += [a + x for x, _ in at]
+                    found += [s[a + x : a + y] for x, y in at]
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[number] if number else pdf["id"][:0], "sent": sent, "idx": idx, "start": start, "token": found})
+
+    rows = docs.select(F.col(id_).alias("id"), F.col(column).alias("text"))
+    rows = rows.mapInPandas(cut, f"id {rows.schema['id'].dataType.simpleString()}, sent int, idx int, start int, token string")
     return rows.withColumn("word", text.normalize("token"))
 
 
@@ -71,9 +76,11 @@ def candidates(rows: DataFrame, index: DataFrame, stop_words: Sequence[str] = EN
     rows = rows.withColumn("first", first).join(index.withColumnRenamed("first_word", "first"), "first", "left")
     lengths = F.when(alone, F.filter("lengths", lambda n: n > 1)).otherwise(F.col("lengths"))
     sentences = rows.groupBy("id", "sent").agg(F.array_sort(F.collect_list(F.struct("idx", "start", "token", lengths.alias("lengths")))).alias("t"))
-    sentences = sentences.filter(F.exists("t", lambda x: F.size(x["lengths"]) > 0))
-    hits = sentences.select("id", "sent", "t", F.explode(F.filter("t", lambda x: F.size(x["lengths"]) > 0)).alias("x")).select("id", "sent", "t", F.col("x.idx").alias("idx"), F.explode("x.lengths").alias("span"))
-    hits = hits.filter(F.col("idx") + F.col("span") <= F.size("t")).select("id", "sent", "idx", "span", F.slice("t", F.col("idx") + 1, F.col("span")).alias("p"))
+    # what a sentence's row yields is its spans only: its tokens are not copied for each of them
+    begins = F.filter("t", lambda x: F.size(x["lengths"]) > 0)
+    fitting = lambda x: F.filter(x["lengths"], lambda n: x["idx"] + n <= F.size("t"))
+    spans = F.transform(begins, lambda x: F.transform(fitting(x), lambda n: F.struct(x["idx"].alias("idx"), n.alias("span"), F.slice("t", x["idx"] + 1, n).alias("p"))))
+    hits = sentences.select("id", "sent", F.explode(F.flatten(spans)).alias("x")).select("id", "sent", "x.idx", "x.span", "x.p")
     last = F.element_at("p", -1)
     return hits.select("id", "sent", "idx", "span", F.col("p")[0]["start"].alias("start"), (last["start"] + F.length(last["token"])).alias("end"), _span_text(F.col("p")).alias("raw")).filter(F.length("raw") > 1)
 
@@ -108,7 +115,8 @@ def annotate(
     Offsets are characters of the text. Where the grounder has models, each span is grounded in its document's context:
     the column `context`, or else the text itself.
     """
-    spans = candidates(tokens(docs, column, id_, split, simple), prefix_index(grounder.terms), stop_words)
+    # read twice: by the distinct strings to be grounded, and by what is joined back
+    spans = reused(candidates(tokens(docs, column, id_, split, simple), prefix_index(grounder.terms), stop_words))
     found = spans.select("id", "raw").distinct()
     key = ["raw"]
     if grounder.models is not None:
@@ -122,9 +130,10 @@ def annotate(
         matches = grounder.ground(found, organisms=organisms, namespaces=namespaces)
     others = F.array_except(F.array_distinct(F.transform(curie.match_groundings(F.col("term"), F.col("subsumed_terms")), lambda g: curie.get_curie(g["db"], g["id"]))), F.array("curie"))
     one = F.struct("rank", "db", F.col("id").alias("term_id"), "curie", F.col("term.entry_name").alias("entry_name"), "score", others.alias("others"), "url")
-    # a part of what it was grounded with, not the text itself, is joined back; ground() strips its strings, spans have no outer white space
-    best = matches.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("matches"))
-    rows = leftmost_longest(spans.join(best.hint("merge"), key)).drop("idx", "context_key")
+    # ground() strips its strings, and spans have no outer white space. The choice needs no more than that a string has a match.
+    best = reused(matches.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("matches")))
+    chosen = leftmost_longest(spans.join(best.select(*key), key, "left_semi"))
+    rows = chosen.join(best, key, "left").drop("idx", "context_key")
     top = F.col("matches")[0]
     return rows.select("id", "sent", "span", "start", "end", "raw", *[top[c].alias(c) for c in ("db", "term_id", "curie", "entry_name", "score", "others", "url")], "matches")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import f1
+from ..sources.tables import reused
 
 SPAN = ("doc", "text", "start", "end")
 
@@ -177,17 +178,12 @@ def organism_order(annotated: Column, popular: list[str]) -> Column:
 
 
 def closure(edges: DataFrame, steps: int = 32) -> DataFrame:
-    """child, ancestor of an is-a graph by doubling: few joins; each is checkpointed, which needs spark.checkpoint.dir.
-
-    Without that folder (one machine, small graphs) a step's rows are cached instead.
-    """
-    folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """child, ancestor of an is-a graph by doubling: few joins, and each step's rows are a table of their own (reused())."""
     now = edges.select(F.col("child"), F.col("parent").alias("ancestor")).distinct()
     n = now.count()
     for _ in range(steps):
         longer = now.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor")
-        now = now.unionByName(longer).distinct()
-        now = now.checkpoint() if folder else now.cache()
+        now = reused(now.unionByName(longer).distinct())
         m = now.count()
         if m == n:
             break

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.lexicon import COLUMNS
+from ..sources.tables import reused
 
 #: A few strings with dashes, Greek letters, odd white space, quotes, plurals and numerals.
 EXOTIC = (
@@ -24,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, dealt anew if it has fewer files than Spark has threads: one small file is one task's."""
+    docs, threads = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs if len(docs.inputFiles()) >= threads else docs.repartition(threads)
+
+
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part, nation, region and supplier names as entries; status, organism and source follow from the key."""
     c = F.col
@@ -52,7 +59,7 @@ def word_lexicon(spark: SparkSession, sf_dir: str, least: int = 40, pairs: int =
 
     english: of English documents and ASCII letters only, as the SQL of `annotations` has it.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     docs = docs.filter("lang = 'en'") if english else docs
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+" if english else r"\p{L}+"), F.lit(0))
     rows = docs.select(words.alias("w"))
@@ -61,4 +68,4 @@ def word_lexicon(spark: SparkSession, sf_dir: str, least: int = 40, pairs: int =
     two = two.filter("text is not null").groupBy("text").count().filter(F.col("count") >= pairs)
     null = F.lit(None).cast("string")
     out = one.unionByName(two).select("text", F.lit("WORD").alias("db"), F.col("text").alias("id"), F.col("text").alias("entry_name"), F.lit("name").alias("status"), F.lit("word").alias("source"), null.alias("organism"), null.alias("source_db"), null.alias("source_id"))
-    return out.withColumn("norm_text", F.col("text") if english else text.normalize("text")).select(*COLUMNS)
+    return reused(out.withColumn("norm_text", F.col("text") if english else text.normalize("text")).select(*COLUMNS))

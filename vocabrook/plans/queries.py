@@ -123,18 +123,18 @@ def prefix_index(spark, sf_dir):
 
 def annotations(spark, sf_dir):
     """English ASCII documents, as its SQL; annotations_all has all of them."""
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang") == "en").filter(F.col("text").rlike(r"^\p{ASCII}*$"))
+    docs = derived.documents(spark, sf_dir).filter(F.col("lang") == "en").filter(F.col("text").rlike(r"^\p{ASCII}*$"))
     found = annotation.annotate(docs, Grounder(spark, derived.word_lexicon(spark, sf_dir, english=True)), "text", "doc_id", simple=True)
     return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_annotations"))
 
 
 def annotations_all(spark, sf_dir):
-    found = annotation.annotate(table(spark, sf_dir, "documents"), Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id", simple=True)
+    found = annotation.annotate(derived.documents(spark, sf_dir), Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id", simple=True)
     return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_annotations"))
 
 
 def annotations_treebank(spark, sf_dir):
-    return annotation.annotation_rows(annotation.annotate(table(spark, sf_dir, "documents"), Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id"))
+    return annotation.annotation_rows(annotation.annotate(derived.documents(spark, sf_dir), Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id"))
 
 
 def eval_rollup(spark, sf_dir):
@@ -180,11 +180,11 @@ def _probabilities(spark, docs, **options):
 
 def disambiguate(spark, sf_dir):
     """Words of ASCII letters and digits, as its SQL has them; disambiguate_all takes those of every script."""
-    return _probabilities(spark, table(spark, sf_dir, "documents"))
+    return _probabilities(spark, derived.documents(spark, sf_dir))
 
 
 def disambiguate_all(spark, sf_dir):
-    return _probabilities(spark, table(spark, sf_dir, "documents"), pattern=r"[\p{L}\p{N}]+")
+    return _probabilities(spark, derived.documents(spark, sf_dir), pattern=r"[\p{L}\p{N}]+")
 
 
 def queries() -> dict:

@@ -228,7 +228,7 @@ def metabolite_names(spark, sf_dir):
 
 def annotation_lines(spark, sf_dir):
     """Every annotation of every document with the real tokenizer, as standoff lines."""
-    found = annotation.annotate(derived.table(spark, sf_dir, "documents"), Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id")
+    found = annotation.annotate(derived.documents(spark, sf_dir), Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id")
     return annotation.brat(found)
 
 

@@ -55,7 +55,8 @@ def tokens(docs: DataFrame, column: str, id_: str, split: Callable[[str], list[t
                     idx += range(len(at))
                     start += [a + x for x, _ in at]
                     found += [s[a + x : a + y] for x, y in at]
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[number] if number else pdf["id"][:0], "sent": sent, "idx": idx, "start": start, "token": found})
+            if number:
+                yield pd.DataFrame({"id": pdf["id"].iloc[number].array, "sent": sent, "idx": idx, "start": start, "token": found})
 
     rows = docs.select(F.col(id_).alias("id"), F.col(column).alias("text"))
     rows = rows.mapInPandas(cut, f"id {rows.schema['id'].dataType.simpleString()}, sent int, idx int, start int, token string")

@@ -47,9 +47,10 @@ INPUTS = {
     "mesh_names": "SELECT 'D' || p_partkey AS mesh_id, 'mesh ' || p_brand AS mesh_name FROM {part} WHERE p_partkey % 10 < 8",
     "reverse": "SELECT 'HP' AS db, 'X:' || p_partkey AS id, 'D' || (p_partkey + 5) AS mesh_id, 'auto ' || p_brand AS mesh_name FROM {part} WHERE p_partkey % 17 = 0",
     "doid": "SELECT DISTINCT 'DOID:' || p_size AS doid, CASE WHEN p_size % 3 > 0 THEN 'disease ' || p_size END AS doid_name, CASE WHEN p_size % 5 = 0 THEN 'DOID:' || (p_size + 1) END AS primary FROM {part}",
-    "mappable": """SELECT lower(p_name) AS norm_text, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS text, 'MESH' AS db, 'D' || p_partkey AS id, 'm ' || p_size AS entry_name, 'name' AS status, 'mesh' AS source FROM {part}
-        UNION ALL SELECT lower(p_name), p_name, CASE p_partkey % 5 WHEN 0 THEN 'HGNC' WHEN 1 THEN 'CHEBI' WHEN 2 THEN 'GO' WHEN 3 THEN 'HP' ELSE 'FPLX' END, 'T' || p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'M ' || p_size ELSE 't ' || p_size END, 'synonym', 'x' FROM {part} WHERE p_partkey % 4 > 0
-        UNION ALL SELECT lower(p_name), p_name, 'EFO', 'E' || (p_partkey % 30), 'e', 'synonym', 'x' FROM {part} WHERE p_partkey % 3 = 0
+    "mappable": """SELECT lower(p_name) || ' ' || p_partkey AS norm_text, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_partkey ELSE upper(p_name) || ' ' || p_partkey END AS text, 'MESH' AS db, 'D' || p_partkey AS id, 'm ' || p_size AS entry_name, 'name' AS status, 'mesh' AS source FROM {part}
+        UNION ALL SELECT lower(p_name) || ' ' || p_partkey, p_name || ' ' || p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'HGNC' WHEN 1 THEN 'CHEBI' WHEN 2 THEN 'GO' WHEN 3 THEN 'HP' ELSE 'FPLX' END, 'T' || p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'M ' || p_size ELSE 't ' || p_size END, 'synonym', 'x' FROM {part} WHERE p_partkey % 4 > 0
+        UNION ALL SELECT lower(p_name) || ' ' || p_partkey, p_name || ' ' || p_partkey, 'EFO', 'E' || (p_partkey % 30), 'e', 'synonym', 'x' FROM {part} WHERE p_partkey % 3 = 0
+        UNION ALL SELECT lower(p_name) || ' ' || p_partkey, p_name || ' ' || p_partkey, 'MESH', 'DX' || p_partkey, 'twice', 'synonym', 'mesh' FROM {part} WHERE p_partkey % 11 = 0
         UNION ALL SELECT 'cell movement', 'cell movement', 'MESH', 'D002465', 'Cell Movement', 'name', 'mesh' FROM {region} WHERE r_regionkey = 0
         UNION ALL SELECT 'cell motility', 'cell motility', 'GO', 'GO:0048870', 'cell motility', 'name', 'go' FROM {region} WHERE r_regionkey = 0""",
     "classes": "SELECT 'D' || p_partkey AS source_id, CASE WHEN p_partkey % 2 = 0 THEN 'protein' ELSE 'chemical' END AS class FROM {part} WHERE p_partkey % 7 > 0",

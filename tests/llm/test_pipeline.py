@@ -27,3 +27,34 @@ def test_stages(spark, tmp_path):
     assert set(kept[3]) == set(kept[2]) - {101}
     mix = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
     assert mix and all(r.taken <= 3 * r.size for r in mix) and {r.doc_id for r in mix} <= set(kept[3])
+
+
+NAMES = ("doc", "runs", "later", "bad", "row", "print", "firsts", "gain", "n", "fa", "rep", "token", "range")
+
+
+def test_stages_keep_columns_that_clash(spark, tmp_path):
+    """Nulls, repeats, a shared doc_id, a very long text and extra columns with the operators' own names."""
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    rows = [(i, text(60), "en", "a", 0) for i in range(30)] + [(7, text(60), "en", "a", 0), (3, None, None, None, 0), (50, text(12000), "en", "b", 0), (None, text(40), "en", "b", 0)]
+    rows += [(60, rows[0][1], "en", "a", 0), (60, rows[0][1], "en", "a", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in NAMES)
+    docs = spark.createDataFrame([(*r, *range(len(NAMES))) for r in rows], schema)
+    spark.createDataFrame([(1, "an item of words that is in none of them")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns, name
+        now = spark.createDataFrame(now.collect(), docs.schema)
+        kept = now.collect()
+        assert all(tuple(r)[5:] == tuple(range(len(NAMES))) for r in kept), name
+    ids = [r.doc_id for r in kept]
+    assert 60 not in ids and {*range(30), 50, None} - {3} <= set(ids)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() > 0
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Python batches stay below this many bytes of text, so that numpy temporaries stay small.
@@ -126,3 +126,35 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if len(far):
         value[far] = mix(BYTE_CODE[data[flat[far]]] + offset[far].astype(np.uint64) * _MULT)
     return mix(np.add.reduceat(value, first) + lens.astype(np.uint64) * _MULT)
+
+
+# ---- places in groups of any size -----------------------------------------------------------
+
+#: A side of a join is broadcast up to so many slim rows (about 100 bytes each), counted beforehand.
+BROADCAST_ROWS = 50_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has BROADCAST_ROWS rows at most; otherwise both sides are dealt by key."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def numbered(df: DataFrame, group: str, *order: str, name: str = "numbered") -> DataFrame:
+    """df (slim, written) with `idx`, a row's place from 0 in its group by `order` (nulls first), and `n`, the group's rows.
+
+    Rows are dealt by ranges of (group, order), so that no group has to fit in one task: a place is the one in its range
+    plus the group's rows in earlier ranges. Only those counts, a row a group and range, meet by group.
+    """
+    placed = settle(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_pos", F.monotonically_increasing_id()), name)
+    placed = placed.withColumn("_part", F.shiftright("_pos", 33))
+    whole = Window.partitionBy(group)
+    parts = placed.groupBy(group, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = settle(parts.select(group, "_part", (earlier - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("n")), f"{name}-parts")
+    return placed.join(small_side(parts), [group, "_part"]).withColumn("idx", F.col("_pos") + F.col("_shift")).drop("_part", "_pos", "_shift")
+
+
+def crc32_sql(x: str) -> str:
+    """DuckDB SQL: the unsigned crc32 of an ASCII string, bit by bit with the reversed polynomial."""
+    step = "list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda a: ascii(a)::BIGINT)), lambda c, b: {step}), 4294967295)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, html_extract, lang_mixture, license_scan, ngram_join, source_mix, suffix_dedup, toxicity, vp_trees, warc_table
+from . import bpe_trie, conversation_trie, decontaminate, html_extract, lang_mixture, license_scan, merkle_manifest, ngram_join, source_mix, suffix_dedup, toxicity, vp_trees, warc_table
 
 
 def table(spark, sf_dir: str, name: str):
@@ -55,9 +55,21 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), k=4, threshold=85)
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle_manifest.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark, sf_dir):
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_bpe_trie(spark, sf_dir):
+    return bpe_trie.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {"op4_license_scan": license_scan.oracle(), "op5_warc_table": warc_table.ORACLE, "op6_vp_trees": vp_trees.ORACLE, "op8_source_mix": source_mix.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
+    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {"op4_license_scan": license_scan.oracle(), "op5_warc_table": warc_table.ORACLE, "op6_vp_trees": vp_trees.ORACLE, "op8_source_mix": source_mix.ORACLE, "op10_ngram_join": ngram_join.ORACLE, "op11_merkle_manifest": merkle_manifest.ORACLE, "op12_conversation_trie": conversation_trie.ORACLE}

@@ -150,6 +150,23 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_edit_distance_against_the_plain_table():
+    rng = random.Random(11)
+    for _ in range(800):
+        x = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30)))
+        y = bytearray(x + b"abba" if rng.random() < 0.6 else bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randint(0, 1)] = bytes([rng.choice(b"ab")]) * rng.randint(0, 1)
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, t in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != t))
+        limit = rng.randint(0, 12)
+        assert decontaminate.edit_distance(np.frombuffer(x, np.uint8), np.frombuffer(bytes(y), np.uint8), limit) == min(min(row), limit + 1)
+
+
 def test_edit_recall():
     rng = random.Random(6)
     items = decontaminate.Items([(k, words(rng, 45).encode()) for k in range(60)])
@@ -191,8 +208,10 @@ def test_edit_recall_at_the_limit():
                     y[at : at + (turn != "insert")] = b"" if turn == "delete" else bytes([97 + rng.randrange(10)])
             texts.append(b"some words " + bytes(y) + b" and more")
             own.append(k)
-    hits = {(i, x): e for i, x, e, _ in decontaminate.match(texts, items)}
+    hits = {(i, x): e for i, x, e, _ in decontaminate.match(texts, items, exact=True)}
     assert all((i, k) in hits for i, k in enumerate(own))
+    by_bands = {(i, x): e for i, x, e, _ in decontaminate.match(texts, items)}
+    assert sum((i, k) in by_bands for i, k in enumerate(own)) >= 0.98 * len(own) and set(by_bands) <= set(hits)
     for i in range(0, len(own), 10):
         t, x = texts[i], items.rows[own[i]][1]
         starts = [k for k in range(len(t)) if k == 0 or t[k - 1] == 32]

@@ -6,9 +6,12 @@ window that starts at one of its words is within allowed(length) edits of the it
 The CGK random walk reads a string with a pointer that advances by a random bit of (step, byte); it maps a small
 edit distance to a small Hamming distance of the outputs. Item-sized windows are embedded with WALKS walks, and
 bands of BAND sampled outputs are looked up among the items' bands; their number reaches TARGET_RECALL for pairs
-whose outputs agree in AGREE of the places. Every pair that meets in a band is verified by a banded edit distance.
-Inserted and deleted bytes lower the agreement further, so screened windows that meet no band are verified too, unless
-their q-grams show that they are not nearer than what was found: no pair is lost and distances are the least ones.
+whose outputs agree in AGREE of the places, the agreement of inserted and deleted bytes at the full limit. Pairs that meet
+in a band are verified by an exact edit distance, whose steps follow the distance that is found; pairs that meet in none
+are not found. exact=True verifies every screened window instead, so that no pair is lost.
+
+A pair's windows are taken in falling order of the q-grams that they share with the item: the best one first, then those
+that could still be as near as what was found.
 
 Windows are screened before they are embedded, without loss: a window within d edits of an item of m bytes shares
 at least m - q + 1 - q * d q-grams with it. Windows of all lengths are embedded together.
@@ -36,7 +39,7 @@ from .common import chunks, mix, small_batches
 
 Q = 12
 EDIT_SHARE = 0.06
-WALKS, BAND, AGREE, TARGET_RECALL = 5, 5, 0.6, 0.99
+WALKS, BAND, AGREE, TARGET_RECALL = 8, 3, 0.4, 0.995
 BANDS = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - AGREE**BAND) / WALKS)
 #: Items are worked on in blocks of so many bytes, so many blocks in one reading of the documents.
 BLOCK_BYTES, BLOCKS = 1 << 20, 8
@@ -79,9 +82,32 @@ def slices(count: int, width: int):
 
 
 class Items:
-    """A block of items, prepared for matching."""
+    """A block of items, prepared for matching; only the items themselves travel, and a worker prepares them once."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
+        self.given = rows
+        self.prepare(rows)
+
+    @classmethod
+    def unprepared(cls, rows: list[tuple[int, bytes]]) -> "Items":
+        self = cls.__new__(cls)
+        self.given = rows
+        return self
+
+    def __getstate__(self):
+        return self.given
+
+    def __setstate__(self, rows):
+        self.given = rows
+
+    def __getattr__(self, name: str):
+        # an item block that came by broadcast, used for the first time
+        if name.startswith("__") or "given" not in self.__dict__ or "keys" in self.__dict__:
+            raise AttributeError(name)
+        self.prepare(self.given)
+        return getattr(self, name)
+
+    def prepare(self, rows: list[tuple[int, bytes]]) -> None:
         self.short = [(i, t) for i, t in rows if len(t) < Q]
         self.rows = [(i, t) for i, t in rows if len(t) >= Q]
         self.length = np.array([len(t) for _, t in self.rows], np.int64)
@@ -162,38 +188,41 @@ class Items:
         return np.concatenate(starts), np.concatenate(numbers), np.concatenate(shared)
 
 
-def edit_distances(items: np.ndarray, length: np.ndarray, texts: np.ndarray, d: int) -> np.ndarray:
-    """Least edit distance of items[i] (length[i] bytes) to a prefix of texts[i] (0 behind its end), d + 1 if more than d.
+def edit_distance(item: np.ndarray, text: np.ndarray, limit: int) -> int:
+    """Least edit distance of item to a prefix of text, limit + 1 if it is more than limit.
 
-    All rows are worked on together, a diagonal band of 2 * d + 1 cells each.
+    Furthest-reaching diagonals: after e edits, how many bytes of the item each diagonal has got through. All diagonals
+    are worked on together, and there are as many rounds as the distance found, so equal strings take one.
     """
-    n, big = len(items), d + 1
-    out = np.full(n, big, np.int64)
-    # band[k + 1] is the cell (i, i + k - d)
-    band = np.full((2 * d + 3, n), big, np.int64)
-    for k in range(d, 2 * d + 1):
-        band[k + 1] = k - d
-    columns = np.concatenate([np.zeros((n, d + 1), np.uint8), texts, np.zeros((n, 2 * d + 2), np.uint8)], axis=1).T.copy()
-    letters = items.T.copy()
-    for i in range(1, int(length.max(initial=0)) + 1):
-        new = np.full_like(band, big)
-        # columns i - d .. i + d of the text; those before its first byte never match
-        text = columns[i : i + 2 * d + 1]
-        change = band[1:-1] + ((text != letters[i - 1]) | (text == 0))
-        new[1:-1] = np.minimum(np.minimum(change, band[2:] + 1), big)
-        if i <= d:
-            new[: d - i + 1] = big
-            new[d - i + 1] = i
-        for k in range(max(1, d - i + 2), 2 * d + 2):
-            np.minimum(new[k], new[k - 1] + 1, out=new[k])
-        band = new
-        end = length == i
-        if end.any():
-            out[end] = band[1:-1, end].min(axis=0)
-    return out
-
-
-def match(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int]]:
+    m, n = len(item), len(text)
+    # eight bytes from each place on; what stands behind the ends never agrees
+    a = np.ndarray((m + 1,), "<u8", np.concatenate([item, np.full(8, 1, np.uint8)]), 0, (1,))
+    b = np.ndarray((n + 1,), "<u8", np.concatenate([text, np.full(8, 2, np.uint8)]), 0, (1,))
+
+    def extended(i: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        live = np.flatnonzero((i >= 0) & (i <= m) & (i + diagonal >= 0) & (i + diagonal <= n))
+        while len(live):
+            differ = a[i[live]] ^ b[i[live] + diagonal[live]]
+            low = differ & (~differ + np.uint64(1))
+            i[live] += np.where(differ == 0, 8, (np.bitwise_count(low - np.uint64(1)) // 8).astype(np.int64))
+            live = live[differ == 0]
+        return i
+
+    far = -(1 << 40)
+    reach = extended(np.zeros(1, np.int64), np.zeros(1, np.int64))
+    for e in range(limit + 1):
+        if (reach >= m).any():
+            return e
+        diagonal = np.arange(-e - 1, e + 2)
+        last = np.concatenate([[far, far], reach, [far, far]])
+        # a byte changed, a byte of the item left out, a byte of the text left out
+        i = np.maximum(np.maximum(last[1:-1] + 1, last[2:] + 1), last[:-2])
+        i = np.minimum(i, np.minimum(m, n - diagonal))
+        reach = extended(np.where(i + diagonal < 0, far, i), diagonal)
+    return limit + 1
+
+
+def match(texts: list[bytes], items: Items, exact: bool = False) -> list[tuple[int, int, int, int]]:
     """(text number, item number in items.rows or -1 - number in items.short, distance, byte of the window's start)."""
     found: dict[tuple[int, int], tuple[int, int]] = {}
     pad = 2 * items.most + Q
@@ -206,50 +235,46 @@ def match(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int]]:
                 at = t.find(s, at + 1)
             if at >= 0:
                 found[(i, -1 - k)] = (0, at)
-    if items.rows:
-        first = np.flatnonzero(np.concatenate([[True], (data[:-1] == 32) | (data[:-1] == 0)]) & (data != 32) & (data != 0))
-        near, number, share = items.screened(data, first)
-        wide = items.bytes.shape[1]
-
-        def keep(i, x, e, at):
-            now = (int(e), int(at - begin[i]))
-            if now < found.get((int(i), int(x)), (1 << 60, 0)):
-                found[(int(i), int(x))] = now
-
-        def verify(owner, k, start):
-            for b, z in slices(len(k), wide):
-                o, x, s = owner[b:z], k[b:z], start[b:z]
-                d = int(items.edits[x].max())
-                text = data[np.minimum(s[:, None] + np.arange(wide + d)[None, :], len(data) - 1)].copy()
-                text[np.cumsum(text == 0, axis=1) > 0] = 0  # windows end with their text
-                dist = edit_distances(items.bytes[x], items.length[x], text, d)
-                for j in np.flatnonzero(dist <= items.edits[x]):
-                    keep(o[j], x[j], dist[j], s[j])
-
-        both = np.unique(np.stack([near, items.length[number]], axis=1), axis=0)
-        starts, lengths, met = both[:, 0], both[:, 1], [np.zeros(0, np.int64)]
-        for a, z in slices(len(starts), wide):
-            start, length = starts[a:z], lengths[a:z]
+    if not items.rows:
+        return [(i, x, e, s) for (i, x), (e, s) in found.items()]
+    first = np.flatnonzero(np.concatenate([[True], (data[:-1] == 32) | (data[:-1] == 0)]) & (data != 32) & (data != 0))
+    near, number, share = items.screened(data, first)
+    owner = np.searchsorted(begin, near, "right") - 1
+    order = np.lexsort((near, -share, number, owner))
+    near, number, share, owner = near[order], number[order], share[order], owner[order]
+    least = items.length[number] - Q + 1
+
+    def verify(k: np.ndarray) -> None:
+        """Windows (places in near), best first: each needs to be as near as the best one of its pair so far."""
+        for j in k.tolist():
+            pair = (int(owner[j]), int(number[j]))
+            m, edits, start = int(items.length[pair[1]]), int(items.edits[pair[1]]), int(near[j])
+            best, at = found.get(pair, (edits, 1 << 60))
+            limit = best if start - begin[pair[0]] < at else best - 1
+            if limit < 0:
+                continue
+            end = min(start + m + limit, int(begin[pair[0] + 1]) - 1)
+            e = edit_distance(items.bytes[pair[1], :m], data[start:end], limit)
+            if e <= limit:
+                found[pair] = (e, start - int(begin[pair[0]]))
+
+    def met(k: np.ndarray) -> np.ndarray:
+        """Those of the windows that meet their item in a band."""
+        out = [np.zeros(0, np.int64)]
+        for a, z in slices(len(k), items.bytes.shape[1]):
+            start, length = near[k[a:z]], items.length[number[k[a:z]]]
             windows = data[start[:, None] + np.arange(length.max() + 1)[None, :]].copy()
             windows[np.arange(windows.shape[1])[None, :] >= length[:, None]] = 0
-            w, k = items.candidates(windows, length)
-            if not len(w):
-                continue
-            start = start[w]
-            owner = np.searchsorted(begin, start, "right") - 1
-            same = (windows[w] == items.bytes[k][:, : windows.shape[1]]).all(axis=1)
-            for i, x, at in zip(owner[same], k[same], start[same], strict=True):
-                keep(i, x, 0, at)
-            # verified otherwise, unless the item is in that document without an edit
-            rest = np.flatnonzero([found.get((int(i), int(x)), (1, 0))[0] > 0 for i, x in zip(owner, k, strict=True)])
-            verify(owner[rest], k[rest], start[rest])
-            met.append(start * len(items.rows) + k)
-        # the bands may miss a pair: windows without one are verified as well, if they can still be as near as what was found
-        left = np.flatnonzero(~np.isin(near * len(items.rows) + number, np.concatenate(met)))
-        owner = np.searchsorted(begin, near[left], "right") - 1
-        bound = np.array([found.get((int(i), int(x)), (int(items.edits[x]), 0))[0] for i, x in zip(owner, number[left], strict=True)], np.int64)
-        able = (bound > 0) & (share[left] >= items.length[number[left]] - Q + 1 - Q * bound)  # without edits the bands miss none
-        verify(owner[able], number[left][able], near[left][able])
+            w, x = items.candidates(windows, length)
+            out.append(k[a:z][w[number[k[a:z]][w] == x]])
+        return np.unique(np.concatenate(out))
+
+    chosen = (lambda k: k) if exact else met
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (number[1:] != number[:-1])])[: len(near)]
+    verify(chosen(np.flatnonzero(new)))
+    rest = np.flatnonzero(~new)
+    bound = np.array([found.get((int(i), int(x)), (int(items.edits[x]), 0))[0] for i, x in zip(owner[rest], number[rest], strict=True)], np.int64)
+    verify(chosen(rest[share[rest] >= least[rest] - Q * bound]))
     return [(i, x, e, s) for (i, x), (e, s) in found.items()]
 
 
@@ -261,29 +286,32 @@ def item_blocks(benchmark: DataFrame):
         t = normal(r["text"])
         if t:
             if rows and (size + len(t) > BLOCK_BYTES or (len(rows) + 1) * len(t) > 4 * BLOCK_BYTES):
-                yield rows
+                yield Items.unprepared(rows)
                 rows, size = [], 0
             rows.append((r["item_id"], t))
             size += len(t)
     if rows:
-        yield rows
+        yield Items.unprepared(rows)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, distance, start: one row a pair."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, exact: bool = False) -> DataFrame:
+    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, distance, start: one row a pair.
+
+    exact: verify all windows that pass the screen, not only those that the embedding finds.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     schema, out = "doc_id long, item_id long, distance int, start long", None
     blocks = item_blocks(benchmark)
     while group := list(itertools.islice(blocks, BLOCKS)):
-        shared = [spark.sparkContext.broadcast(rows) for rows in group]  # each at most BLOCK_BYTES or one item
+        shared = [spark.sparkContext.broadcast(block) for block in group]  # each at most BLOCK_BYTES or one item
 
         def run(batches, shared=shared):
-            prepared = [Items(rows.value) for rows in shared]
+            prepared = [block.value for block in shared]
             for pdf in chunks(batches):
                 ids, texts = pdf["doc_id"].to_numpy(), [normal(t) for t in pdf["text"]]
-                found = [(ids[i], (items.rows[x] if x >= 0 else items.short[-1 - x])[0], e, s) for items in prepared for i, x, e, s in match(texts, items)]
+                found = [(ids[i], (items.rows[x] if x >= 0 else items.short[-1 - x])[0], e, s) for items in prepared for i, x, e, s in match(texts, items, exact)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "start"])
 
         part = docs.mapInPandas(run, schema)

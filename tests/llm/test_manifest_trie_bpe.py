@@ -189,7 +189,7 @@ def vocabulary():
 
 
 def mine(vocabulary, text):
-    raw = b"".join(vocabulary.encoded(text))
+    raw = vocabulary.encoded(text)
     return [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)]
 
 
@@ -213,7 +213,7 @@ def test_bpe_words_of_every_character(library, vocabulary):
 
 def test_bpe_bounded_memory(library, monkeypatch):
     """Whatever the bounds of trie, words and pieces, the tokens are the same."""
-    for name, value in (("NODES", 40), ("WORDS", 12), ("LONG", 6), ("PIECE", 5)):
+    for name, value in (("NODES", 40), ("WORDS", 12), ("LONG", 6), ("PIECE", 5), ("SHORT", 3)):
         monkeypatch.setattr(bpe_trie, name, value)
     small = bpe_trie.Vocabulary(bpe_trie.default_vocabulary())
     rnd = random.Random(9)
@@ -223,15 +223,12 @@ def test_bpe_bounded_memory(library, monkeypatch):
         assert len(small.known) <= 12 and len(small.last) <= 40 + 7
 
 
-def test_bpe_shares_prefixes(vocabulary, monkeypatch):
-    """A prefix of several words is worked out once."""
+def test_bpe_shares_prefixes(vocabulary):
+    """A prefix of several words is one node, worked out once."""
     vocabulary.forget()
-    calls = []
-    state = bpe_trie.Vocabulary.state
-    monkeypatch.setattr(bpe_trie.Vocabulary, "state", lambda self, word, end, lasts: calls.append(word[:end]) or state(self, word, end, lasts))
     mine(vocabulary, " zqxjkv zqxjkvab zqxjkvac")
     mine(vocabulary, " zqxjk")
-    assert len(calls) == len(set(calls)) == len(" zqxjkv") + 3
+    assert len(vocabulary.last) - 1 == len(" zqxjkv") + 3
 
 
 TEXTS = ["Hello world, it's 2024!\n\n  ok", "", None, "naïve 漢字 <|endoftext|>", "Hello world, it's 2024!\n\n  ok", "퟿�" + "x" * 5000, "word " * 60_000]

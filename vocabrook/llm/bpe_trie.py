@@ -21,7 +21,8 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from .common import chunks, small_batches
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII characters.
 ASCII_WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
-NODES, WORDS, LONG, PIECE = 1 << 18, 1 << 18, 512, 1 << 15
+NODES, WORDS, LONG, PIECE, SHORT = 1 << 18, 1 << 19, 512, 1 << 16, 1 << 17
 
 
 def default_vocabulary() -> str:
@@ -76,6 +77,7 @@ class Vocabulary:
         self.later = later_letters()
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes = {number: word for word, number in self.id.items()} | {number: text.encode() for text, number in self.special.items()}
+        self.sizes = {number: len(word) for number, word in self.bytes.items()}
         #: pair -> rank of its merge; token -> rank of the merge that makes it (-1: a byte) and its two parts.
         self.rank: dict[tuple[int, int], int] = {}
         self.made = dict.fromkeys(self.bytes, -1)
@@ -87,26 +89,60 @@ class Vocabulary:
             whole = self.id[known[left] + known[right]]
             if whole not in self.parts:
                 self.parts[whole], self.made[whole] = (a, b), rank
-        #: every ending of a token: a longer one needn't be looked for where a shorter one ends none
-        self.endings = {w[k:] for w in self.id for k in range(len(w))}
+        self.follow()
         self.forget()
         # a token that its own bytes don't give can't come out of an encoding
-        self.id = {w: t for w, t in self.id.items() if len(w) == 1 or self.tokens(w, keep=False) == [t]}
+        self.id = {w: t for w, t in self.id.items() if len(w) == 1 or self.tokens(w) == [t]}
+        self.follow()
+
+    def follow(self) -> None:
+        """The automaton of the tokens: a state is the longest ending of what was read that begins a token; each has the tokens that end there."""
+        self.step: dict[int, int] = {}
+        parent, byte, token = [0], [0], [-1]
+        for word, t in self.id.items():
+            at = 0
+            for c in word:
+                key = at << 8 | c
+                at = self.step.get(key, 0)
+                if not at:
+                    at = self.step[key] = len(parent)
+                    parent.append(key >> 8)
+                    byte.append(c)
+                    token.append(-1)
+            token[at] = t
+        depth = [0] * len(parent)
+        for k in range(1, len(parent)):
+            depth[k] = depth[parent[k]] + 1
+        #: where to go on without a step, and the tokens (length, id) that end in a state, the longest first.
+        self.fail = [0] * len(parent)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(parent)
+        for k in sorted(range(1, len(parent)), key=depth.__getitem__):
+            if depth[k] > 1:
+                self.fail[k] = self.moved(self.fail[parent[k]], byte[k])
+            own = ((depth[k], token[k]),) if token[k] >= 0 else ()
+            self.ends[k] = own + self.ends[self.fail[k]]
+
+    def moved(self, state: int, byte: int) -> int:
+        step, fail = self.step, self.fail
+        while (to := step.get(state << 8 | byte)) is None:
+            if not state:
+                return 0
+            state = fail[state]
+        return to
 
     def forget(self) -> None:
+        """The trie (children; of each node the last token and the automaton's state), the words known and the pairs met, begun anew."""
         self.children: dict[int, int] = {}
         self.last: list[int] = [-1]
+        self.at: list[int] = [0]
         self.known: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
 
     def __getstate__(self):
-        kept = self.__dict__.copy()
-        for name in ("children", "last", "known", "endings"):
-            kept.pop(name)
-        return kept
+        return {k: v for k, v in self.__dict__.items() if k not in ("children", "last", "at", "known", "pairs")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.endings = {w[k:] for w in self.id for k in range(len(w))}
         self.forget()
 
     def may_follow(self, a: int, b: int) -> bool:
@@ -128,75 +164,87 @@ class Vocabulary:
             else:
                 return True
 
-    def state(self, word: bytes, end: int, lasts: list[int]) -> int:
-        """The last token of word[:end], from those of its prefixes (lasts[k] is the one of word[:k])."""
-        ids, endings = self.id, self.endings
-        found, k = [], end - 1
-        while k >= 0 and (part := word[k:end]) in endings:
-            t = ids.get(part)
-            if t is not None:
-                if k == 0:
-                    return t
-                found.append((k, t))
-            k -= 1
-        for k, t in reversed(found):
-            if self.may_follow(lasts[k], t):
+    def state(self, reached: int, end: int, lasts: list[int]) -> int:
+        """The last token of a prefix of `end` bytes that the automaton has read up to `reached`, from those of shorter ones (lasts)."""
+        pairs = self.pairs
+        for size, t in self.ends[reached]:
+            if size == end:
+                return t
+            before = lasts[end - size]
+            key = before << 32 | t
+            fits = pairs.get(key)
+            if fits is None:
+                if len(pairs) > NODES:
+                    pairs.clear()
+                fits = pairs[key] = self.may_follow(before, t)
+            if fits:
                 return t
         raise ValueError("the vocabulary lacks a byte")
 
-    def unwound(self, word: bytes, lasts: list[int]) -> list[int]:
-        out, end, sizes = [], len(word), self.bytes
+    def unwound(self, lasts: list[int]) -> list[int]:
+        out, end, sizes = [], len(lasts) - 1, self.sizes
         while end:
             t = lasts[end]
             out.append(t)
-            end -= len(sizes[t])
-        return out[::-1]
+            end -= sizes[t]
+        out.reverse()
+        return out
 
-    def tokens(self, word: bytes, keep: bool = True) -> list[int]:
+    def tokens(self, word: bytes) -> list[int]:
         """The tokens of one word by a path of its own."""
-        lasts = [-1]
-        for end in range(1, len(word) + 1):
-            lasts.append(self.state(word, end, lasts))
-        return self.unwound(word, lasts)
+        lasts, reached = [-1], 0
+        for end, c in enumerate(word, 1):
+            reached = self.moved(reached, c)
+            lasts.append(self.state(reached, end, lasts))
+        return self.unwound(lasts)
 
     def learn(self, words: set[str]) -> None:
         """Tokens of words not known yet: in order of their bytes, the trie is walked depth first, and the path's states are at hand."""
-        children, last, node, before, path, lasts = self.children, self.last, [0], b"", b"", [-1]
-        for word, text in sorted((w.encode("utf-8", "replace"), w) for w in words):
+        children, last, state, step, ends = self.children, self.last, self.at, self.step, self.ends
+        node, before, lasts = [0], b"", [-1]
+        for word, text in sorted([(w.encode("utf-8", "replace"), w) for w in words]):
             if len(word) > LONG:
-                self.known[text] = np.array(self.tokens(word), "<u4").tobytes()
+                self.known[text] = array("I", self.tokens(word)).tobytes()
                 continue
             if len(last) > NODES:
                 children.clear()
-                del last[1:]
+                del last[1:], state[1:]
                 node, before, lasts = [0], b"", [-1]
-            shared, most = 0, min(len(word), len(before))
-            while shared < most and word[shared] == before[shared]:
+            shared = 0
+            for x, y in zip(word, before):  # noqa: B905  (of unequal lengths)
+                if x != y:
+                    break
                 shared += 1
             del node[shared + 1 :], lasts[shared + 1 :]
             at = node[shared]
             for end in range(shared + 1, len(word) + 1):
-                key = at << 8 | word[end - 1]
-                at = children.get(key, 0)
-                if not at:
-                    at = children[key] = len(last)
-                    last.append(self.state(word, end, lasts))
+                byte = word[end - 1]
+                key = at << 8 | byte
+                below = children.get(key)
+                if below is None:
+                    reached = step.get(state[at] << 8 | byte)
+                    if reached is None:
+                        reached = self.moved(state[at], byte)
+                    size, t = ends[reached][0]
+                    below = children[key] = len(last)
+                    last.append(t if size == end else self.state(reached, end, lasts))
+                    state.append(reached)
+                at = below
                 node.append(at)
                 lasts.append(last[at])
             before = word
-            self.known[text] = np.array(self.unwound(word, lasts), "<u4").tobytes()
+            self.known[text] = array("I", self.unwound(lasts)).tobytes()
 
     def words(self, text: str) -> Iterator[list[str]]:
-        """Pieces of at most PIECE words, in order."""
-        if text.isascii():
-            found = _ASCII.finditer(text)
-        elif self.later and self.later.search(text):
-            # letters and digits of later Unicode versions count as signs: the words' places are found with a sign instead
-            found = _WORD.finditer(self.later.sub("!", text))
-        else:
-            found = _WORD.finditer(text)
+        """The words in order, in pieces: one of a text of up to SHORT characters, PIECE words each of a longer one."""
+        pattern = _ASCII if text.isascii() else _WORD
+        # letters and digits of later Unicode versions count as signs: the words' places are found with a sign instead
+        shape = text if pattern is _ASCII or _latin(text) or not self.later else self.later.sub("!", text)
+        if len(text) <= SHORT and shape == text:
+            yield pattern.findall(text)
+            return
         piece = []
-        for m in found:
+        for m in pattern.finditer(shape):
             piece.append(text[m.start() : m.end()])
             if len(piece) == PIECE:
                 yield piece
@@ -204,29 +252,59 @@ class Vocabulary:
         if piece:
             yield piece
 
-    def encoded(self, text: str) -> Iterator[bytes]:
-        """Token ids as little-endian 32-bit integers, a piece of the text at a time."""
-        if not self.special or not any(s in text for s in self.special):
-            plain = [text]
-        else:
-            plain = re.split("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")", text)
-        for number, part in enumerate(plain):
+    def parts_of(self, text: str) -> Iterator[list[str] | bytes]:
+        """A text's words in pieces, and the ids of the special tokens between them."""
+        if not any(s in text for s in self.special):
+            yield from self.words(text)
+            return
+        named = "(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
+        for number, part in enumerate(re.split(named, text)):
             if number % 2:
                 yield self.special[part].to_bytes(4, "little")
-                continue
-            for piece in self.words(part):
-                new = set(piece).difference(self.known)
-                if new:
-                    if len(self.known) + len(new) > WORDS:
-                        self.forget()
-                        new = set(piece)
-                    self.learn(new)
-                yield b"".join(map(self.known.__getitem__, piece))
+            else:
+                yield from self.words(part)
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes]]:
+        """(number of the text, token ids as little-endian 32-bit integers), in order, a text's in one row or more.
+
+        New words are learnt for PIECE words at a time, whatever the texts that they come from.
+        """
+        held, size = [], 0
+
+        def told():
+            new = set().union(*[part for _, part in held if isinstance(part, list)]).difference(self.known)
+            if len(self.known) + len(new) > WORDS:
+                self.forget()
+                new = set().union(*[part for _, part in held if isinstance(part, list)])
+            self.learn(new)
+            for number, part in held:
+                yield number, b"".join(map(self.known.__getitem__, part)) if isinstance(part, list) else part
+
+        for number, text in enumerate(texts):
+            held.append((number, b""))
+            for part in self.parts_of(text):
+                held.append((number, part))
+                size += len(part)
+                if size >= PIECE:
+                    yield from told()
+                    held, size = [], 0
+        yield from told()
+
+    def encoded(self, text: str) -> bytes:
+        return b"".join(ids for _, ids in self.encode_all([text]))
 
     def decoded(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _WORD, _ASCII = regex.compile(WORD), re.compile(ASCII_WORD)
 
 
@@ -243,7 +321,7 @@ def encode(df: DataFrame, column: str = "text", target: str = "ids", path: str |
     @F.pandas_udf("array<int>")
     def ids(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in values:
-            yield pd.Series([np.frombuffer(b"".join(shared.value.encoded(t)), "<i4") if t else np.zeros(0, "<i4") for t in v], dtype=object)
+            yield pd.Series([np.frombuffer(shared.value.encoded(t or ""), "<i4") for t in v], dtype=object)
 
     return df.withColumn(target, ids(F.col(column)))
 
@@ -268,15 +346,13 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         v = shared.value
         for pdf in chunks(batches):
-            out = []
-            for doc_id, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
-                n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
-                for piece in v.encoded(text):
-                    n += len(piece) // 4
-                    ids.update(piece)
-                    # a piece ends with a word, so no character goes over its border
-                    back.update(v.decoded(piece).decode("utf-8", "replace").encode())
-                out.append((doc_id, n, ids.hexdigest(), back.hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, ids, back = [0] * len(pdf), [hashlib.sha256() for _ in range(len(pdf))], [hashlib.sha256() for _ in range(len(pdf))]
+            for k, piece in v.encode_all(pdf["text"]):
+                n[k] += len(piece) // 4
+                ids[k].update(piece)
+                # a piece ends with a word, so no character goes over its border
+                back[k].update(v.decoded(piece).decode("utf-8", "replace").encode())
+            out = {"doc_id": pdf["doc_id"].array, "n_tokens": n, "ids_sha256": [h.hexdigest() for h in ids], "decoded_sha256": [h.hexdigest() for h in back]}
+            yield pd.DataFrame(out)
 
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,38 +1,66 @@
 """Context disambiguation: matches re-weighted by the label probabilities of a surface's model.
 
-A model is rows (surface, kind, label, feature, weight) plus a row with a null feature for the intercept: a linear
-classifier over words, scored as joins, sums and a softmax. kind 'adeft' multiplies matches without a label by the
-probability of 'ungrounded' (1 if there is none), kind 'own' by 0. Of two kinds for one surface, adeft is used.
+A model is rows (surface, kind, label, feature, weight, idf) plus a row with a null feature for each label's intercept: a
+linear classifier over words and pairs of successive words, scored as joins, sums and a softmax. A feature with an idf
+counts as its number in the context times idf, and a context's vector of such features is divided by its length, so
+each label has a row for every feature of its model, also of weight 0. A feature without (idf null, or no such column)
+counts as 1 if it is there at all.
+
+kind 'adeft' multiplies matches without a label by the probability of 'ungrounded' (1 if there is none), kind 'own' by 0.
+Of two kinds for one surface, adeft is used. learning.learn() and sources.lexicon.read_model_rows() give such rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A word of a lower-case context.
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def grams(column, pattern: str = WORD, pairs: Column | bool = True) -> Column:
+    """Array of a text's words and, if wanted, its pairs of successive words, as often as they are there."""
+    words = F.regexp_extract_all(F.lower(column), F.lit(pattern), F.lit(0))
+    two = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    both = F.concat(words, F.when(F.size(words) > 1, two).otherwise(F.array().cast("array<string>")))
+    return F.when(F.lit(pairs) if isinstance(pairs, bool) else pairs, both).otherwise(words)
+
 
-def label_probabilities(asked: DataFrame, contexts: DataFrame, models: DataFrame, pattern: str = r"[a-z0-9]+") -> DataFrame:
+def label_probabilities(asked: DataFrame, contexts: DataFrame, models: DataFrame, pattern: str = WORD) -> DataFrame:
     """asked(raw, context_key), contexts(context_key, context), models -> raw, context_key, kind, label, probability, for strings
     that have a model. pattern: a word of a lower-case context.
 
-    Texts are cut to distinct words and take part in no join: a word is a row of its key and itself. Of the joins' sides only
-    the models' may be broadcast, if Spark finds it small.
+    Texts are cut to counted words and pairs and take part in no join: such a word is a row of its key, itself and its
+    number. Pairs are made only if a model has any. Of the joins' sides only the models' may be broadcast, if Spark finds it small.
     """
+    models = models if "idf" in models.columns else models.withColumn("idf", F.lit(None).cast("double"))
     kinds = models.groupBy("surface").agg(F.min("kind").alias("kind"))
     models = models.join(kinds, ["surface", "kind"]).withColumnRenamed("surface", "raw")
     base = models.filter("feature is null").select("raw", "kind", "label", F.col("weight").alias("intercept"))
     asked = asked.filter("context_key is not null").select("raw", "context_key").distinct()
     asked = asked.join(kinds.select(F.col("surface").alias("raw")), "raw", "left_semi")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(pattern), F.lit(0)))
     filled = contexts.filter("context is not null and context <> ''")
     seen = filled.select("context_key").distinct()
     asked = asked.hint("merge").join(seen, "context_key", "left_semi")
-    words = filled.select("context_key", F.explode(words).alias("feature")).distinct()
-    features = models.filter("feature is not null").select("raw", "label", "feature", "weight")
-    hits = asked.hint("merge").join(words, "context_key").hint("merge").join(features, ["raw", "feature"]).groupBy("raw", "context_key", "label").agg(F.sum("weight").alias("w"))
-    labels = asked.hint("merge").join(base, "raw")
-    logits = labels.hint("merge").join(hits, ["raw", "context_key", "label"], "left").withColumn("z", F.col("intercept") + F.coalesce("w", F.lit(0.0)))
+    features = models.filter("feature is not null").select("raw", "label", "feature", "weight", "idf")
+    paired = features.agg((F.count_if(F.contains("feature", F.lit(" "))) > 0).alias("any")).scalar()
+    # counted a copy first, then once for all copies of a context: a text never enters a group
+    copies = filled.select("context_key", F.monotonically_increasing_id().alias("copy"), grams("context", pattern, paired).alias("grams"))
+    words = copies.select("context_key", "copy", F.explode("grams").alias("feature")).groupBy("context_key", "copy", "feature").agg(F.count("*").alias("times"))
+    words = words.groupBy("context_key", "feature").agg(F.max("times").alias("times"))
+    return _softmax(asked, words, features, base)
+
+
+def _softmax(asked: DataFrame, words: DataFrame, features: DataFrame, base: DataFrame) -> DataFrame:
+    part = F.col("times") * F.col("idf")
+    sums = F.sum(F.col("weight") * F.coalesce(part, F.lit(1.0))).alias("w"), F.sum(part * part).alias("q")
+    hits = asked.hint("merge").join(words, "context_key").hint("merge").join(features, ["raw", "feature"]).groupBy("raw", "context_key", "label").agg(*sums)
+    inner = F.coalesce(F.when(F.col("q") > 0, F.col("w") / F.sqrt("q")).otherwise(F.col("w")), F.lit(0.0))
+    logits = asked.hint("merge").join(base, "raw").hint("merge").join(hits, ["raw", "context_key", "label"], "left").withColumn("z", F.col("intercept") + inner)
     group = Window.partitionBy("raw", "context_key")
     e = F.exp(F.col("z") - F.max("z").over(group))
     return logits.withColumn("e", e).select("raw", "context_key", "kind", "label", (F.col("e") / F.sum("e").over(group)).alias("probability"))
@@ -99,20 +127,35 @@ def training_texts(papers: DataFrame, texts: DataFrame, most: int = 1000, least:
     return rows.join(trainable(rows, least=least - 1), "surface", "left_semi")
 
 
-def train(texts: DataFrame, features: int = 1000, folds: int = 5, regularisation: float = 0.1):
-    """A TF-IDF n-gram (1, 2) logistic regression of one surface's (text, label) rows, with cross-validation: (model, mean F1)."""
+def train(texts: DataFrame, sizes: Sequence[int] = (100, 1000), folds: int = 5, strength: float = 10.0):
+    """A TF-IDF n-gram (1, 2) logistic regression of one surface's (text, label) rows, with cross-validation: (model, mean F1).
+
+    Smaller weights cost 1 / strength a text. model_rows() makes a model's rows of it; learning.learn() fits all surfaces at once.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features)
+    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max(sizes))
     steps = [
-        StringIndexer(inputCol="label", outputCol="y"), RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"\w+", gaps=False), NGram(n=2, inputCol="w1", outputCol="w2"),
-        SQLTransformer(statement="select *, concat(w1, w2) as grams from __THIS__"), counts, IDF(inputCol="tf", outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", regParam=regularisation),
+        StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), RegexTokenizer(inputCol="text", outputCol="w1", pattern=WORD, gaps=False), NGram(n=2, inputCol="w1", outputCol="w2"),
+        SQLTransformer(statement="select *, concat(w1, w2) as grams from __THIS__"), counts, IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="x"),
+        LogisticRegression(featuresCol="x", labelCol="y", regParam=1 / (strength * texts.count()), standardization=False, maxIter=300, tol=1e-9),
     ]
-    grid = ParamGridBuilder().addGrid(counts.vocabSize, [min(100, features), features]).build()
+    grid = ParamGridBuilder().addGrid(counts.vocabSize, list(sizes)).build()
     search = CrossValidator(estimator=Pipeline(stages=steps), estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="f1"), numFolds=folds, seed=1)
     model = search.fit(texts)
     return model.bestModel, max(model.avgMetrics)
+
+
+def model_rows(spark, model, surface: str, kind: str = "own") -> DataFrame:
+    """The rows of a model that train() gave; its size is that of the vocabulary times the labels."""
+    labels, words, idf, fit = model.stages[0].labels, model.stages[4].vocabulary, model.stages[5].idf.toArray(), model.stages[-1]
+    weights, intercepts = fit.coefficientMatrix.toArray(), fit.interceptVector.toArray()
+    if len(labels) == 2:  # one vector tells the second label from the first
+        weights, intercepts = [weights[0] * 0, weights[0]], [0.0, intercepts[0]]
+    rows = [(surface, kind, label, None, float(b), None) for label, b in zip(labels, intercepts, strict=True)]
+    rows += [(surface, kind, label, word, float(w), float(i)) for label, ws in zip(labels, weights, strict=True) for word, w, i in zip(words, ws, idf, strict=True)]
+    return spark.createDataFrame(rows, "surface string, kind string, label string, feature string, weight double, idf double")

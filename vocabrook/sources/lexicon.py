@@ -238,6 +238,28 @@ def read_models(spark: SparkSession, path: str, cutoff: float = 0.7) -> DataFram
     return raw.filter(F.col("model.stats.f1.mean") > cutoff).select("surface", F.col("model.stats.f1.mean").alias("f1"))
 
 
+_MODEL = (
+    "logit:struct<classes_:array<string>,intercept_:array<double>,coef_:array<array<double>>>,"
+    "tfidf:struct<vocabulary_:map<string,int>,idf_:array<double>>,stats:struct<f1:struct<mean:double>>"
+)
+
+
+def read_model_rows(spark: SparkSession, path: str, cutoff: float = 0.7, kind: str = "own") -> DataFrame:
+    """The models of such a file whose mean F1 is above cutoff, as rows that disambiguation takes: surface, kind, label, feature, weight, idf, f1.
+
+    Of two labels, the file has one vector, which tells the second from the first: the first one's weights are 0.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,struct<{_MODEL}>>")).alias("surface", "m"))
+    raw = raw.filter(F.col("m.stats.f1.mean") > cutoff)
+    none = F.struct(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("int").alias("at"))
+    words = F.transform(F.map_entries("m.tfidf.vocabulary_"), lambda e: F.struct(e["key"].alias("feature"), e["value"].alias("at")))
+    rows = raw.select("surface", "m", F.explode(F.concat(F.array(none), words)).alias("x"))
+    rows = rows.select("surface", F.col("m.stats.f1.mean").alias("f1"), "m.logit", F.get("m.tfidf.idf_", F.col("x.at")).alias("idf"), "x", F.posexplode("m.logit.classes_").alias("side", "label"))
+    vector = F.col("side") - F.when(F.size("logit.coef_") == 1, 1).otherwise(0)
+    weight = F.when(F.col("x.feature").isNull(), F.get("logit.intercept_", vector)).otherwise(F.get(F.get("logit.coef_", vector), F.col("x.at")))
+    return rows.select("surface", F.lit(kind).alias("kind"), "label", F.col("x.feature").alias("feature"), F.coalesce(weight, F.lit(0.0)).alias("weight"), "idf", "f1")
+
+
 def read_bioc(spark: SparkSession, path: str) -> DataFrame:
     """BioC XML annotations: doc_id (up to the first space), passage offset, text, type, start, end."""
     schema = (

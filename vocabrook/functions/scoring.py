@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, capitalization, replace_dashes, replace_whitespace
+from .text import _col, capitalization, kept, replace_dashes, replace_whitespace
 
 #: Ranks of the statuses, and the radices of the score's digits.
 STATUS = {"curated": 4, "name": 3, "synonym": 2, "former_name": 1}
@@ -55,6 +55,7 @@ def _scan(query: Column, ref: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(query) + F.length(ref))), start, lambda s, k: step(s, k).cast(_STATE))
 
 
+@kept
 def generate_match(query, ref, sentence_start: bool = False) -> Column:
     """struct(query, ref, exact, space_mismatch, dash_mismatches, cap_combos)."""
     q = replace_dashes(replace_whitespace(query))
@@ -122,6 +123,7 @@ def score_dash(m: Column) -> Column:
     return 2 - F.size(m["dash_mismatches"])
 
 
+@kept
 def score_string_match(match) -> Column:
     """The digits short, mixed, exact, acic, combo, dash as one mixed-radix number, over its largest value."""
     m = _col(match)

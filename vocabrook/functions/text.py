@@ -5,9 +5,29 @@ from __future__ import annotations
 import functools
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+def kept(build):
+    """A function of column names whose expression is put together once an application for the same names.
+
+    A large expression takes thousands of calls to the JVM, more than its analysis; it is the same for every query.
+    """
+    memo: dict = {}
+
+    @functools.wraps(build)
+    def told(*args):
+        if not all(isinstance(a, (str, bool)) for a in args):
+            return build(*args)
+        spark = SparkSession.getActiveSession()
+        key = (spark.sparkContext.applicationId if spark else None, args)
+        if key not in memo:
+            memo[key] = build(*args)
+        return memo[key]
+
+    return told
+
+
 #: Minus sign, hyphen-minus and the dashes U+2010 to U+2015.
 DASHES = "−-‐‑‒–—―"
 DASH_CLASS = "[\\x{2212}\\x{002D}\\x{2010}-\\x{2015}]"
@@ -75,6 +95,7 @@ def to_ascii(s) -> Column:
     return F.when(s.rlike(r"^\p{ASCII}*$"), s).otherwise(F.when(one.rlike(r"^[\p{ASCII}\p{InGreek}]*$"), one).otherwise(long))
 
 
+@kept
 def normalize(s) -> Column:
     """White space, then dashes (removed), then ASCII spellings, then lower case; not trimmed."""
     return F.lower(to_ascii(remove_dashes(replace_whitespace(s))))
@@ -132,6 +153,7 @@ def roman_arabic(s) -> Column:
     return F.when(other.isNotNull(), F.concat(F.substr(s, F.lit(1), F.length(s) - F.length(last)), other)).otherwise(s)
 
 
+@kept
 def lookups(raw) -> Column:
     """The distinct normalised variants under which a string is looked up: at most eight."""
     raw = _col(raw)

@@ -72,6 +72,74 @@ def bounds(matrix: DataFrame, correct=("correct",), unknown=("unknown",)) -> Dat
     return matrix.agg(n.alias("n"), ratio(right, n).alias("lower"), ratio(right + maybe, n).alias("upper"))
 
 
+#: What a curated grounding was, and what a new one is against it.
+OLD, NEW = ("ungrounded", "correct", "incorrect"), ("ungrounded", "unknown", "correct", "incorrect")
+
+
+def old_status(db_refs="db_refs", correct="correct") -> Column:
+    return F.when(F.coalesce(F.size(F.map_keys(db_refs)), F.lit(0)) == 0, "ungrounded").when(F.col(correct), "correct").otherwise("incorrect")
+
+
+def new_status(rows: DataFrame, assertions: DataFrame | None = None) -> DataFrame:
+    """rows(text, db_refs, correct, db, id) with `new`, the state of the grounding (db, id; null: none) against the curated one.
+
+    assertions(text, db, id, right): groundings of a text known to be right or wrong; they come first, the right ones before.
+    A grounding that the curated row has shares its verdict; any other one is unknown.
+    """
+    said = F.lit(None).cast("boolean")
+    if assertions is not None:
+        known = assertions.groupBy("text", "db", "id").agg(F.bool_or("right").alias("said"))
+        rows, said = rows.join(known, ["text", "db", "id"], "left"), F.col("said")
+    same = F.coalesce(F.try_element_at("db_refs", F.col("db")) == F.col("id"), F.lit(False))
+    state = F.when(F.col("db").isNull(), "ungrounded").when(said, "correct").when(~said, "incorrect").when(same & F.col("correct"), "correct").when(same, "incorrect").otherwise("unknown")
+    return rows.withColumn("new", state).drop("said")
+
+
+def comparison_matrix(rows: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
+    """old, new, n: all twelve pairs of OLD and NEW, also those without rows."""
+    pairs = rows.sparkSession.createDataFrame([(a, b) for a in OLD for b in NEW], "old string, new string")
+    counts = rows.groupBy(F.col(old).alias("old"), F.col(new).alias("new")).agg(F.count("*").alias("n"))
+    return pairs.join(counts, ["old", "new"], "left").select("old", "new", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def comparison_bounds(matrix: DataFrame) -> DataFrame:
+    """old, new, n -> three rows: precision, recall, f1 of the reference, and the least and largest of the current groundings.
+
+    Unknown ones are all wrong for the least, all right for the largest; one aggregation gives all counts.
+    """
+    count = lambda c, x: F.sum(F.when(F.col(c) == x, F.col("n")).otherwise(0))
+    t = matrix.agg(*[count("old", x).alias(f"old_{x}") for x in OLD], *[count("new", x).alias(f"new_{x}") for x in NEW])
+    c = {x: F.col(f"new_{x}") for x in NEW}
+    told = c["correct"] + c["incorrect"] + c["unknown"]
+    bound = lambda name, p, r: F.struct(F.lit(name).alias("trial"), p.alias("precision"), r.alias("recall"))
+    rows = F.array(
+        bound("reference", ratio(F.col("old_correct"), F.col("old_correct") + F.col("old_incorrect")), ratio(F.col("old_correct"), F.col("old_correct") + F.col("old_ungrounded"))),
+        bound("least", ratio(c["correct"], told), ratio(c["correct"], c["correct"] + c["ungrounded"])),
+        bound("largest", ratio(c["correct"] + c["unknown"], told), ratio(c["correct"] + c["unknown"], c["correct"] + c["unknown"] + c["ungrounded"])),
+    )
+    return t.select(F.explode(rows).alias("x")).select("x.*").withColumn("f1", f1("precision", "recall"))
+
+
+def ner_evaluation(gold: DataFrame, found: DataFrame, key=("doc", "figure", "text", "start", "end")) -> DataFrame:
+    """gold(key.., curies), found(key.., matches), arrays, the matches best first -> two rows, match_type 'all' and 'top': tp, fp, fn,
+    precision, recall, f1.
+
+    curies holds a gold annotation's own ids and all that may stand for them (set_join.synonym_sets). An annotation is right
+    if any match is a curie of a gold annotation of the same span, right at the top if the first one is; it is wrong if none
+    is. A gold annotation is missed if no annotation of its span has one of its curies; repeated rows count each.
+    """
+    key = list(key)
+    right = gold.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set("curies"))).alias("right"))
+    there = found.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_set("matches"))).alias("there"))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    hit = found.join(right, key, "left").select(no(F.arrays_overlap("right", "matches")).alias("any"), no(F.array_contains("right", F.get("matches", F.lit(0)))).alias("top"))
+    missed = gold.join(there, key, "left").agg(F.count_if(~no(F.arrays_overlap("curies", "there"))).alias("fn"))
+    t = hit.agg(F.count_if("any").alias("tp_all"), F.count_if("top").alias("tp_top"), F.count_if(~F.col("any")).alias("fp")).join(F.broadcast(missed))
+    rows = t.select(F.explode(F.array(*[F.struct(F.lit(x).alias("match_type"), F.col(f"tp_{x}").alias("tp"), "fp", "fn") for x in ("all", "top")])).alias("x")).select("x.*")
+    rows = rows.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
+    return rows.withColumn("f1", f1("precision", "recall"))
+
+
 def correctness(rows: DataFrame, gold: str = "gold", groundings: str = "groundings", members: DataFrame | None = None, ancestors: DataFrame | None = None) -> DataFrame:
     """top_correct and exists_correct; gold an array of curies, groundings an array, best first.
 
@@ -172,9 +240,9 @@ def group_synonyms(rows: DataFrame, keys=("article", "text"), synonyms: str = "s
 
 
 def organism_order(annotated: Column, popular: list[str]) -> Column:
-    """Popular organisms that a paper is annotated with, in their own order, then its other ones."""
-    liked = F.array(*[F.lit(p) for p in popular])
-    return F.array_union(F.filter(liked, lambda x: F.array_contains(annotated, x)), annotated)
+    """An order for grounding: the popular organisms that a paper is annotated with, then the other popular ones, each in their own order."""
+    liked, there = F.array(*[F.lit(p) for p in popular]), F.coalesce(annotated, F.array().cast("array<string>"))
+    return F.concat(F.filter(liked, lambda x: F.array_contains(there, x)), F.filter(liked, lambda x: ~F.array_contains(there, x)))
 
 
 def closure(edges: DataFrame, steps: int = 32) -> DataFrame:

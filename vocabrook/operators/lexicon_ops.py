@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.lexicon import COLUMNS
+from .set_join import classes_by_descent
 
 _RANK = {"curated": 1, "name": 2, "synonym": 3, "former_name": 4}
 #: Namespaces in the order in which a mapping target is looked for.
@@ -126,6 +127,16 @@ MANUAL_GO = (
 )
 
 
+#: Tree numbers whose descendants are proteins (enzymes included) and chemicals.
+CLASS_ROOTS = (("protein", "D12.776"), ("protein", "D08.811"), ("chemical", "D"))
+
+
+def mesh_classes(nodes: DataFrame) -> DataFrame:
+    """nodes(id, tree_number) -> source_id, class, as by_priority() takes them: by descent in the MeSH trees."""
+    roots = nodes.sparkSession.createDataFrame(list(CLASS_ROOTS), "class string, tree_number string")
+    return classes_by_descent(nodes, roots).select(F.col("id").alias("source_id"), "class")
+
+
 def by_priority(candidates: DataFrame, priority: Sequence[str] = MAPPING_PRIORITY, classes: DataFrame | None = None) -> DataFrame:
     """The first namespace of the list in which a key has exactly one grounding and whose class the source entry has.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.stopwords import CORE_STOP_WORDS, ENTITY_STOP_WORDS
 from ..functions.text import GREEK, GREEK_LATIN, ROMAN
 from .derived import EXOTIC, PAIRS
+from .queries import ORDERS
 
 
 def lit(s: str) -> str:
@@ -177,6 +178,7 @@ SELECT doc_id, sum(z.k)::BIGINT AS n_annotations FROM gr GROUP BY doc_id"""
         "ground_all": ground(),
         "ground_best": best,
         "ground_namespaces": ground(("10090", "9606"), ("XDB", "NATION")),
+        "ground_by_order": " UNION ALL ".join(f"SELECT {lit(o)} AS organisms, * FROM ({ground(tuple(o.split(',')))})" for o in ORDERS),
         "ground_column": f"WITH best AS ({best}) SELECT p_partkey, p_name, curie AS p_name_grounded FROM part LEFT JOIN best ON trim(p_name) = raw",
         "dedupe_terms": dedupe,
         "ambiguities": amb + " AND NOT nm AND NOT cu AND NOT sm",

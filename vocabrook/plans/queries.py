@@ -11,6 +11,10 @@ from . import derived
 from .derived import table
 
 
+#: Orders of organisms, each as a text.
+ORDERS = ("9606", "10090,9606", "7227,10090")
+
+
 def _words(spark, sf_dir):
     exotic = spark.createDataFrame([(x,) for x in derived.EXOTIC], "raw string")
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("raw")).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("raw"))).unionByName(exotic).distinct()
@@ -88,6 +92,14 @@ def ground_namespaces(spark, sf_dir):
     return _flat(_grounder(spark, sf_dir).ground(derived.mentions(spark, sf_dir), organisms=["10090", "9606"], namespaces=["XDB", "NATION"]))
 
 
+def ground_by_order(spark, sf_dir):
+    """Every string with three orders of organisms, each row's own."""
+    orders = F.array(*[F.array(*[F.lit(o) for o in x.split(",")]) for x in ORDERS])
+    asked = derived.mentions(spark, sf_dir).select("raw", F.explode(orders).alias("order"))
+    found = _grounder(spark, sf_dir).ground(asked, organisms="order")
+    return found.select(F.array_join("organisms", ",").alias("organisms"), "raw", "rank", "db", "id", "term.text", "score", F.size("subsumed_terms").cast("long").alias("n_subsumed"), "curie")
+
+
 def ground_column(spark, sf_dir):
     return _grounder(spark, sf_dir).ground_column(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
 

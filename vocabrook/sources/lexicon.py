@@ -175,6 +175,13 @@ def read_bioid(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("entity_type", vocab.entity_type("obj")).filter("entity_type <> 'unknown'").select("text", "obj", "entity_type", "don_article")
 
 
+def read_bioid_spans(spark: SparkSession, path: str) -> DataFrame:
+    """As read_bioid(), with the figure and the span in its caption: doc, figure, text, start, end, obj, entity_type."""
+    rows = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path).withColumn("obj", vocab.normal_ids("obj")).withColumn("entity_type", vocab.entity_type("obj"))
+    span = F.col("first left").cast("int").alias("start"), F.col("last right").cast("int").alias("end")
+    return rows.filter("entity_type <> 'unknown'").select(F.col("don_article").alias("doc"), "figure", "text", *span, "obj", "entity_type")
+
+
 def read_full_text(spark: SparkSession, path: str) -> DataFrame:
     """article (the file's name), text: the passages of each XML file in a folder, a line each."""
     raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1).alias("article"), "value")
@@ -290,6 +297,43 @@ def before_first_null(rows: DataFrame, column: str, ord_: str = "ord", part: Col
     return rows.join(F.broadcast(stop), (F.col(ord_) < F.col("_stop")) | F.col("_stop").isNull()).drop("_stop")
 
 
+def curated_groundings(rows: DataFrame, pubchem: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """Rows of a curation table (ord, Text, EntityType, Sentence, Grounding, DB_Ns1, DB_Id1, ..) -> ord, text, entity_type, correct, context, db_refs.
+
+    The table ends at the first row without a verdict. A doubled GO prefix is cut. pubchem(id, chebi_id): a compound's ChEBI
+    id joins the others, or takes the place of one.
+    """
+    rows = before_first_null(rows, "Grounding")
+    pair = lambda k: F.struct(F.col(f"DB_Ns{k}").alias("key"), F.when(F.col(f"DB_Id{k}").startswith("GO:GO"), F.substr(f"DB_Id{k}", F.lit(4))).otherwise(F.col(f"DB_Id{k}")).alias("value"))
+    pairs = F.filter(F.array(*[pair(k) for k in range(1, most + 1)]), lambda p: p["key"].isNotNull())
+    # of one namespace twice, the last one counts
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.lit(most)), lambda q: q["key"] == p["key"]))
+    out = rows.select("ord", F.col("Text").alias("text"), F.col("EntityType").alias("entity_type"), (F.col("Grounding").cast("int") != 0).alias("correct"), F.col("Sentence").alias("context"), F.map_from_entries(last).alias("db_refs"))
+    if pubchem is None:
+        return out
+    known = pubchem.groupBy(F.col("id").alias("pubchem")).agg(F.min("chebi_id").alias("chebi"))
+    out = out.withColumn("pubchem", F.try_element_at("db_refs", F.lit("PUBCHEM"))).join(known, "pubchem", "left")
+    more = F.map_concat(F.map_filter("db_refs", lambda k, _: k != "CHEBI"), F.create_map(F.lit("CHEBI"), F.col("chebi")))
+    return out.withColumn("db_refs", F.when(F.col("chebi").isNotNull(), more).otherwise(F.col("db_refs"))).drop("pubchem", "chebi")
+
+
+def read_curated(spark: SparkSession, path: str, pubchem: DataFrame | None = None) -> DataFrame:
+    """curated_groundings() of a CSV with header, in the order of the file."""
+    rows = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path).withColumn("ord", F.monotonically_increasing_id())
+    return curated_groundings(rows, pubchem)
+
+
+def read_class_blocks(spark: SparkSession, path: str, marker: str = "# Class: obo:", pattern: str = "MESH:[CD][0-9]+") -> DataFrame:
+    """id, other: of an ontology file that is a block a class, the id that a line of the block names alone (the last such line's).
+
+    The marker is the separator of records, so that blocks are read apart; the head of the file is no block.
+    """
+    blocks = spark.read.option("lineSep", marker).text(path).filter(F.col("value").rlike("^[A-Za-z]+_[0-9]"))
+    lines = F.transform(F.split("value", "\n"), lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(pattern), F.lit(0))))
+    name = F.regexp_replace(F.regexp_extract("value", "^([A-Za-z]+_[0-9]+)", 1), "_", ":")
+    return blocks.select(name.alias("id"), lines.alias("lines")).filter(F.exists("lines", lambda x: F.size(x) == 1)).select("id", F.element_at(F.filter("lines", lambda x: F.size(x) == 1), -1)[0].alias("other"))
+
+
 def oriented_mappings(rows: DataFrame, prefix: str = "mesh") -> DataFrame:
     """Exact matches of a curated mapping table, turned so that prefix stands on the left; namespaces in upper case."""
     exact = rows.filter(F.col("relation") == "skos:exactMatch")

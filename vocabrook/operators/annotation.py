@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import curie, text
@@ -20,15 +20,13 @@ from ..functions.stopwords import CORE_STOP_WORDS, ENTITY_STOP_WORDS
 from ..sources.tables import reused
 from .grounding import Grounder, context_key
 from .lexicon_ops import prefix_index
+from .sentences import NONE, Boundaries, split_sentences
 
-SENTENCE = re.compile(r"[^\s](?:.*?(?:[.?!]+[\"')\]]*(?=\s)|\Z))", re.S)
 #: Words with inner apostrophes, dots and dashes as the Penn Treebank conventions keep them, numbers, contractions split off, single signs.
 TOKEN = re.compile(r"\.\.\.|(?:[A-Za-z]\.){2,}|\d+(?:[.,]\d+)*|[^\W\d_]+(?=n't\b)|n't\b|'(?:s|S|m|M|d|D|ll|LL|re|RE|ve|VE)\b|[^\s,;:@#$%&?!\"()\[\]{}<>'.]+(?:[.'](?!(?:s|S|m|M|d|D|ll|LL|re|RE|ve|VE)\b)[^\s,;:@#$%&?!\"()\[\]{}<>'.]+)*|\S")
 
-
-def split_sentences(s: str) -> list[tuple[int, int]]:
-    """Half-open spans: a sentence ends behind . ? or ! (and closing quotes) before white space."""
-    return [m.span() for m in SENTENCE.finditer(s)]
+#: Tokens of a sentence that come together in one row.
+BLOCK = 256
 
 
 def tokenize(sentence: str) -> list[tuple[int, int]]:
@@ -36,12 +34,12 @@ def tokenize(sentence: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(sentence.rstrip("."))]
 
 
-def tokens(docs: DataFrame, column: str, id_: str, split: Callable[[str], list[tuple[int, int]]] | None = None, simple: bool = False) -> DataFrame:
-    """id, sent, idx, start, token, word (the normalised token), in order of the text.
+def tokens(docs: DataFrame, column: str, id_: str, split: Callable[[str], list[tuple[int, int]]] | None = None, simple: bool = False, boundaries: Boundaries = NONE) -> DataFrame:
+    """id, sent, idx, start, token, word (the normalised token), in order of the text. boundaries: what sentences.learned() told.
 
     simple: a sentence is a line and a token a run of letters; for checks against other engines.
     """
-    spans_of = split or (lambda s: [m.span() for m in re.finditer(r"[^\n]+", s)] if simple else split_sentences(s))
+    spans_of = split or (lambda s: [m.span() for m in re.finditer(r"[^\n]+", s)] if simple else split_sentences(s, boundaries))
     pieces = (lambda s: [m.span() for m in re.finditer(r"[^\W\d_]+", s)]) if simple else tokenize
 
     def cut(batches):
@@ -76,20 +74,36 @@ def candidates(rows: DataFrame, index: DataFrame, stop_words: Sequence[str] = EN
     alone = F.col("word").isin(*stop_words)
     rows = rows.withColumn("first", first).join(index.withColumnRenamed("first_word", "first"), "first", "left")
     lengths = F.when(alone, F.filter("lengths", lambda n: n > 1)).otherwise(F.col("lengths"))
-    sentences = rows.groupBy("id", "sent").agg(F.array_sort(F.collect_list(F.struct("idx", "start", "token", lengths.alias("lengths")))).alias("t"))
-    # what a sentence's row yields is its spans only: its tokens are not copied for each of them
-    begins = F.filter("t", lambda x: F.size(x["lengths"]) > 0)
-    fitting = lambda x: F.filter(x["lengths"], lambda n: x["idx"] + n <= F.size("t"))
-    spans = F.transform(begins, lambda x: F.transform(fitting(x), lambda n: F.struct(x["idx"].alias("idx"), n.alias("span"), F.slice("t", x["idx"] + 1, n).alias("p"))))
-    hits = sentences.select("id", "sent", F.explode(F.flatten(spans)).alias("x")).select("id", "sent", "x.idx", "x.span", "x.p")
+    # a sentence is worked on in blocks of BLOCK tokens and those that the longest span from a block's last one reaches
+    reach = index.agg(F.coalesce(F.max(F.array_max("lengths")), F.lit(1)).alias("n")).scalar()
+    blocks = F.sequence(F.floor(F.greatest(F.col("idx") - reach + 1, F.lit(0)) / BLOCK), F.floor(F.col("idx") / BLOCK))
+    parts = rows.select("id", "sent", "idx", "start", "token", lengths.alias("lengths"), F.explode(blocks).alias("block"))
+    parts = parts.groupBy("id", "sent", "block").agg(F.array_sort(F.collect_list(F.struct("idx", "start", "token", "lengths"))).alias("t"))
+    # what a block's row yields is its spans only: its tokens are not copied for each of them
+    begins = F.filter("t", lambda x: (F.size(x["lengths"]) > 0) & (F.floor(x["idx"] / BLOCK) == F.col("block")))
+    place = lambda x: x["idx"] - F.get("t", F.lit(0))["idx"]
+    fitting = lambda x: F.filter(x["lengths"], lambda n: place(x) + n <= F.size("t"))
+    spans = F.transform(begins, lambda x: F.transform(fitting(x), lambda n: F.struct(x["idx"].alias("idx"), n.alias("span"), F.slice("t", place(x) + 1, n).alias("p"))))
+    hits = parts.select("id", "sent", F.explode(F.flatten(spans)).alias("x")).select("id", "sent", "x.idx", "x.span", "x.p")
     last = F.element_at("p", -1)
     return hits.select("id", "sent", "idx", "span", F.col("p")[0]["start"].alias("start"), (last["start"] + F.length(last["token"])).alias("end"), _span_text(F.col("p")).alias("raw")).filter(F.length("raw") > 1)
 
 
+def islands(spans: DataFrame) -> DataFrame:
+    """(id, sent, idx, span, ..) with island: spans of different islands of a sentence never overlap.
+
+    An island begins where no earlier span reaches, by a running maximum of the ends, so that a sentence need not be one row.
+    """
+    order = Window.partitionBy("id", "sent").orderBy("idx", F.desc("span"))
+    reached = F.max(F.col("idx") + F.col("span")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.coalesce(F.col("idx") >= reached, F.lit(True)), F.col("idx"))
+    return spans.withColumn("_new", new).withColumn("island", F.max("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def leftmost_longest(spans: DataFrame) -> DataFrame:
-    """Of (id, sent, idx, span, ..) those that are taken from left to right, longest first, without overlaps."""
+    """Of (id, sent, idx, span, ..) those that are taken from left to right, longest first, without overlaps; chosen island by island."""
     extra = [c for c in spans.columns if c not in ("id", "sent", "idx", "span")]
-    groups = spans.groupBy("id", "sent").agg(F.array_sort(F.collect_list(F.struct("idx", (-F.col("span")).alias("neg"), *extra))).alias("all"))
+    groups = islands(spans).groupBy("id", "sent", "island").agg(F.array_sort(F.collect_list(F.struct("idx", (-F.col("span")).alias("neg"), *extra))).alias("all"))
 
     @F.pandas_udf("array<int>")
     def taken(idx: pd.Series, neg: pd.Series) -> pd.Series:
@@ -109,7 +123,7 @@ def leftmost_longest(spans: DataFrame) -> DataFrame:
 
 def annotate(
     docs: DataFrame, grounder: Grounder, column: str = "text", id_: str = "id", organisms=None, namespaces=None, stop_words: Sequence[str] = ENTITY_STOP_WORDS, split=None, simple: bool = False,
-    context: str | None = None,
+    context: str | None = None, boundaries: Boundaries = NONE,
 ) -> DataFrame:
     """id, sent, start, end, raw, the best match's db, term_id, curie, entry_name, score, others, url, and all matches, best first.
 
@@ -117,7 +131,7 @@ def annotate(
     the column `context`, or else the text itself.
     """
     # read twice: by the distinct strings to be grounded, and by what is joined back
-    spans = reused(candidates(tokens(docs, column, id_, split, simple), prefix_index(grounder.terms), stop_words))
+    spans = reused(candidates(tokens(docs, column, id_, split, simple, boundaries), prefix_index(grounder.terms), stop_words))
     found = spans.select("id", "raw").distinct()
     key = ["raw"]
     if grounder.models is not None:

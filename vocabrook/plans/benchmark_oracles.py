@@ -68,6 +68,15 @@ s AS (SELECT doc_id, sum(x * wa)::DOUBLE AS a, sum(x * wb)::DOUBLE AS b, sum(x *
 z AS (SELECT d.doc_id, 0.25 + CASE WHEN q > 0 THEN a / sqrt(q) ELSE 0 END AS a, -0.125 + CASE WHEN q > 0 THEN b / sqrt(q) ELSE 0 END AS b FROM d LEFT JOIN s USING (doc_id))
 SELECT doc_id, round(1 / (1 + exp(b - a)), 7) AS probability FROM z"""
 
+#: A word is what is left of a token without quotes, brackets and signs around it; all numbers are '#'.
+ABBREVIATIONS = r"""WITH t AS (SELECT unnest(list_transform(regexp_extract_all(lower(text), '\S+'), lambda x: regexp_replace(regexp_replace(x, '^["''(\[{]+', ''), '["'')\]},;:?!]+$', ''))) AS t FROM documents WHERE text IS NOT NULL),
+u AS (SELECT CASE WHEN regexp_full_match(t, '-?[0-9]+([.,][0-9]+)*\.?') THEN CASE WHEN suffix(t, '.') THEN '#.' ELSE '#' END ELSE t END AS t FROM t WHERE regexp_matches(t, '[\p{L}\p{N}]')),
+v AS (SELECT t, suffix(t, '.') AND NOT suffix(t, '..') AS stop FROM u),
+w AS (SELECT CASE WHEN stop THEN left(t, len(t) - 1) ELSE t END AS word, count(*) FILTER (stop) AS w, count(*) FILTER (NOT stop) AS o FROM v GROUP BY 1),
+s AS (SELECT sum(w + o) AS n, sum(w) AS k FROM w), x AS (SELECT word, w, o, k / n AS p, len(word) - len(replace(word, '.', '')) AS d FROM w, s WHERE w > 0 AND regexp_matches(word, '\p{L}')),
+y AS (SELECT *, len(word) - d AS c, 2 * (w * ln(0.99) + o * ln(0.01) - w * ln(p) - CASE WHEN o > 0 THEN o * ln(1 - p) ELSE 0 END) AS r FROM x)
+SELECT word, w::BIGINT AS with_stop, o::BIGINT AS without, round(r * exp(-c) * (d + 1) * pow(c::DOUBLE, -o), 6) + 0.0 AS score FROM y"""
+
 
 def sql() -> dict[str, str]:
     return {
@@ -80,4 +89,5 @@ def sql() -> dict[str, str]:
         "mesh_classes": f"{given('tree')} {CLASSES}",
         "mappings_by_descent": f"{given('mappable', 'tree')}, classes AS ({CLASSES}), {CANDIDATES} {chosen('cand')}",
         "model_probabilities": PROBABILITIES,
+        "abbreviation_scores": ABBREVIATIONS,
     }

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import disambiguation, evaluation, learning, lexicon_ops, set_join
-from ..operators.grounding import context_key
+from ..operators import annotation, disambiguation, evaluation, learning, lexicon_ops, sentences, set_join
+from ..operators.grounding import Grounder, context_key
 from ..sources import lexicon
 from . import derived, source_queries
 
@@ -122,6 +122,19 @@ def models_learned(spark, sf_dir):
     return learning.learn(texts).groupBy("surface", "size").agg(F.countDistinct("label").alias("n_labels"), F.countDistinct("feature").alias("n_features"), F.round(F.first("f1"), 6).alias("f1"))
 
 
+def abbreviation_scores(spark, sf_dir):
+    """How likely each word that stands before a full stop is an abbreviation."""
+    found = sentences.abbreviation_scores(sentences.words(derived.documents(spark, sf_dir)))
+    return found.withColumn("score", F.round("score", 6) + 0.0)
+
+
+def annotations_bounded(spark, sf_dir):
+    """Annotations with the sentence boundaries that the documents tell, counted a document."""
+    docs = derived.documents(spark, sf_dir)
+    found = annotation.annotate(docs, Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id", boundaries=sentences.learned(docs))
+    return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_annotations"))
+
+
 def queries() -> dict:
     skip = ("queries", "given", "gram_models")
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}

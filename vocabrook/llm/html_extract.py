@@ -6,8 +6,9 @@ then read again through the winning paths of its host: the nodes that lie on the
 its article, if they hold all of that text. A page on which no winning path does uses its own choice. So
 paths settle which links around the text belong to it, and no text is lost to them.
 
-A class or id token names boilerplate by its head word only, and a wrapper of the article is never dropped for its
-name (Page._settle). Inside the article, boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts, forms,
+A class names boilerplate only on a block, and only if nothing but words of layout stands beside the name; an id only with its
+place or links as evidence; headings, rows, cells, list items and inline elements are never dropped for a name, nor is a wrapper of
+the article (Page._settle). Inside the article, boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments, scripts, styles) are left out. Blocks are joined by one newline, white space inside a
 block becomes one space, character references are decoded once.
 
@@ -37,6 +38,8 @@ RAW = "script|style|noscript|template|textarea|iframe|svg|object|select|title|xm
 SKIP_TAGS = frozenset("head nav header footer aside form button menu dialog".split()) | frozenset(RAW.split("|"))
 BLOCKS = frozenset("p div section article main body html ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre h1 h2 h3 h4 h5 h6 hr br figure address details summary center hgroup nav header footer aside form fieldset legend figcaption".split())
 CONTAINERS = frozenset("body html div section article main td blockquote center figure".split())
+#: Blocks of running text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre".split())
 #: An open p ends where one of these begins.
 ENDS_P = BLOCKS - {"br", "html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 SKIP_NAMES = frozenset(
@@ -44,44 +47,110 @@ SKIP_NAMES = frozenset(
     "newsletter subscribe subscription signup sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs footer footnav header masthead topbar toolbar "
     "comment comments commentlist reply replies respond disqus social share sharing related recommended popup modal overlay widget pagination pager login search skip".split()
 )
-#: A skip name before only such words still names the element (comment-list, ad-slot), as does one at the end (main-nav).
+#: A skip name beside only such words still names the element (comment-list, ad-slot, main-nav); beside any other word it may
+#: say what the text is about (job-search, topic-social).
 PARTS = frozenset(
-    "area bar block body bottom box button buttons btn col column container content count entry field fixed form group head heading icon icons inner input item items left "
+    "area article bar block blog desktop entry global mobile page post site small top block body bottom box button buttons btn col column container content count entry field fixed form group head heading icon icons inner input item items left "
     "link links list main menu outer panel posts primary right row secondary section slot text thread title toggle top unit widget widgets wrap wrapper zone".split()
 )
+#: Elements that a class may name boilerplate. Headings, rows, cells, list items and inline elements are never dropped for a name.
+NAMED_TAGS = frozenset("div section ul ol dl table center p figure".split())
+#: Names that an id alone may give a div or section, wherever it is; other ids need more: being outside the article, or mostly links.
+ID_NAMES = frozenset("comment comments commentlist disqus respond cookie cookies consent gdpr ad ads advert adverts advertisement adsense".split())
 #: Behind one of these a skip name only tells what the element has around it or lacks (has-sidebar).
 NOT_NAMES = frozenset("has have no not non without with hide is show".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: A tag's attributes, of a bounded number of bounded parts: a quotation mark that is never closed costs each tag a constant.
-ATTRS = r"(?:[^>\"']{1,64}|\"[^\"]{0,1024}\"|'[^']{0,1024}'){0,64}+"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b{ATTRS}(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|</?([a-zA-Z][^\s/>]{{0,64}})({ATTRS})>|</?([a-zA-Z][^\s/>]{{0,64}})([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>\"']|\Z)", re.I)
+TAG_NAME, GAP, BARE, SPACE = re.compile(r"[^\s/>]+"), re.compile(r"[^>=]*"), re.compile(r"[^\s>]*"), re.compile(r"\s*")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split("|")}
+#: Attributes that say whether an element is shown and what it is.
+READ = frozenset("class id role hidden aria-hidden style".split())
 NAME = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
 HOST = re.compile(r"\A[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
-#: Reasons to drop an element: its name, role or being a form; another tag of SKIP_TAGS; never shown as text.
-NAMED, TAGGED, FIRM = 1, 2, 3
+#: Reasons to drop an element: its name, role or being a form; another tag of SKIP_TAGS; never shown as text; an id that only hints.
+NAMED, TAGGED, FIRM, HINTED = 1, 2, 3, 4
 HIDDEN_TAGS = frozenset(["head", *RAW.split("|")])
 
 
 def names_boilerplate(token: str) -> bool:
-    """Whether a class or id token names boilerplate: a skip name alone, at its end, or at its start before PARTS only."""
+    """Whether a class or id token names boilerplate: a skip name, beside nothing but other ones and PARTS."""
     words = NAME.findall(token)
-    if not words or NOT_NAMES.intersection(words[:-1]):
-        return False
-    return words[-1] in SKIP_NAMES or words[0] in SKIP_NAMES and all(w in PARTS or w in SKIP_NAMES for w in words[1:])
+    return any(w in SKIP_NAMES for w in words) and all(w in PARTS or w in SKIP_NAMES for w in words) and (words[0] in SKIP_NAMES or words[-1] in SKIP_NAMES)
+
+
+def tags(source: str):
+    """(start, end, name, closing, attributes of READ) of each tag, in one pass; comments, declarations and raw elements have no name.
+
+    A quotation mark opens a value only behind an equals sign, and a value may be of any length and hold any sign. Where the
+    tags of a page run past its last '>', because a value is never closed, tags end at the next '>' from there on. So each
+    part of a page is looked at twice at most.
+    """
+    at, n, last, strict, gone = 0, len(source), source.rfind(">"), True, set()
+
+    def attributes(i: int):
+        """(place of the tag's '>', attributes read), or -1 if there is none."""
+        nonlocal strict
+        read: dict[str, str] = {}
+        while True:
+            gap = GAP.match(source, i)
+            names, i = gap[0].replace("/", " ").lower().split(), gap.end()
+            read |= dict.fromkeys(READ.intersection(names), "")
+            if i >= n:
+                return -1, read
+            if source[i] == ">":
+                return i, read
+            i = SPACE.match(source, i + 1).end()
+            quote = source[i : i + 1]
+            if quote in ("'", '"'):
+                end = -1 if quote in gone else source.find(quote, i + 1)
+                if end < 0:
+                    gone.add(quote)
+                    return source.find(">", i), read
+                value, i = (i + 1, end), end + 1
+            else:
+                end = BARE.match(source, i).end()
+                value, i = (i, end), end
+            if names and names[-1] in READ:
+                read[names[-1]] = source[value[0] : value[1]].lower()
+
+    while True:
+        i = source.find("<", at)
+        if i < 0 or i > last:
+            return
+        head = source[i + 1 : i + 2]
+        name, closing, read = "", head == "/", {}
+        if source.startswith("<!--", i):
+            end = source.find("-->", i + 2)
+            end = end + 3 if end >= 0 else n
+        elif head in ("!", "?", "/"):
+            end = source.find(">", i) + 1
+            if closing and source[i + 2 : i + 3].isalpha():
+                name = TAG_NAME.match(source, i + 2)[0].lower()
+        elif head.isascii() and head.isalpha():
+            name = TAG_NAME.match(source, i + 1)[0].lower()
+            end, read = attributes(i + 1 + len(name)) if strict else (-1, {})
+            if end < 0:
+                strict, end = False, source.find(">", i)
+                if name not in RAW_END:
+                    read = {k: v for k, v in _loose(source[i + 1 + len(name) : end]).items() if k in READ}
+            end += 1
+            if name in RAW_END:
+                if source[end - 2] != "/":
+                    m = RAW_END[name].search(source, end)
+                    end = m.end() if m else n
+                name = ""
+        else:
+            at = i + 1
+            continue
+        yield i, end, name, closing, read
+        at = end
 
 
-def _unclosed(m: re.Match) -> bool:
-    """Whether a comment or an element of raw text goes on to the page's end."""
-    if m[0].startswith("<!--"):
-        return not m[0].endswith("-->")
-    return bool(m[1]) and not m[0].endswith("/>") and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.I)
+def _loose(text: str) -> dict[str, str]:
+    """Attributes of a tag that ends at its first '>', quotation marks or not."""
+    return {k.lower(): v.strip("\"'").lower() for k, v in re.findall(r"([^\s=\"'/]+)(?:\s*=\s*([^\s>]*))?", text)}
 
 
 class Page:
@@ -91,17 +160,14 @@ class Page:
         self.tag, self.path, self.parent, self.skip, self.link = ["#"], [""], [-1], [False], [False]
         self.drop = [0]
         self.pieces: list[tuple[int, str | None]] = []
-        stack, at, m = [0], 0, None
-        end = source.rfind(">") + 1  # behind it are no tags
-        for m in TOKEN.finditer(source, 0, end):
-            if m.start() > at:
-                self.pieces.append((stack[-1], source[at : m.start()]))
-            at = m.end()
-            name = m[2] or m[4]
+        stack, at = [0], 0
+        for start, end, name, closing, read in tags(source):
+            if start > at:
+                self.pieces.append((stack[-1], source[at:start]))
+            at = end
             if not name:
                 continue
-            name = name.lower()
-            if source[m.start() + 1] == "/":
+            if closing:
                 if name in BLOCKS:
                     self.pieces.append((stack[-1], None))
                 for k in range(len(stack) - 1, 0, -1):
@@ -129,27 +195,26 @@ class Page:
                         break
                     if self.tag[stack[k]] in ("ul", "ol", *CONTAINERS):
                         break
-            self._open(name, m[3] or m[5] or "", stack)
-        if at < len(source) and not (m and at == end and _unclosed(m)):
+            self._open(name, read, stack)
+        if at < len(source):
             self.pieces.append((stack[-1], source[at:]))
         self._settle()
 
-    def _open(self, name: str, attrs: str, stack: list[int]) -> None:
+    def _open(self, name: str, read: dict[str, str], stack: list[int]) -> None:
         up = stack[-1]
-        drop, classes = FIRM if name in HIDDEN_TAGS else TAGGED if name in SKIP_TAGS and name != "form" else NAMED if name == "form" else 0, []
-        if attrs.strip(" /"):
-            for a in ATTR.finditer(attrs):
-                key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-                if key in ("class", "id"):
-                    words = value.split()
-                    if key == "class":
-                        classes += words
-                    if name not in ("html", "body", "article", "main") and any(map(names_boilerplate, words)):
-                        drop = max(drop, NAMED)
-                elif key == "role":
-                    drop = max(drop, NAMED if value in SKIP_ROLES else 0)
-                elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                    drop = FIRM
+        drop = FIRM if name in HIDDEN_TAGS else TAGGED if name in SKIP_TAGS and name != "form" else NAMED if name == "form" else 0
+        classes = read.get("class", "").split()
+        if name in NAMED_TAGS and any(map(names_boilerplate, classes)):
+            drop = max(drop, NAMED)
+        ids = [x for x in read.get("id", "").split() if names_boilerplate(x)] if name in ("div", "section") else []
+        if any(ID_NAMES.intersection(NAME.findall(x)) for x in ids):
+            drop = max(drop, NAMED)
+        elif ids and not drop:
+            drop = HINTED
+        if read.get("role", "").strip() in SKIP_ROLES and name not in ("html", "body", "article", "main"):
+            drop = NAMED if drop in (0, HINTED) else drop
+        if "hidden" in read or read.get("aria-hidden") == "true" or "display:none" in read.get("style", "").replace(" ", ""):
+            drop = FIRM
         self.tag.append(name)
         self.parent.append(up)
         self.skip.append(False)
@@ -169,6 +234,7 @@ class Page:
         that would otherwise be lost, or most of the page's text while next to nothing would be left beside it.
         """
         n = len(self.tag)
+        self._weigh_hints(n)
         firm, under, size, left = [False] * n, [False] * n, [0] * n, 0
         for k in range(1, n):
             firm[k] = firm[self.parent[k]] or self.drop[k] == FIRM
@@ -192,6 +258,25 @@ class Page:
                     drop = 0
             self.skip[k] = self.skip[self.parent[k]] or drop > 0
 
+    def _weigh_hints(self, n: int) -> None:
+        """An id speaks against an element that is mostly links, or lies outside the article or main that the page has."""
+        if HINTED not in self.drop:
+            return
+        text, links, inside = [0] * n, [0] * n, [t in ("article", "main") for t in self.tag]
+        for node, piece in self.pieces:
+            if piece is not None:
+                text[node] += (m := len(piece.strip()))
+                links[node] += m if self.link[node] else 0
+        holds = inside[:]
+        for k in range(n - 1, 0, -1):
+            text[self.parent[k]] += text[k]
+            links[self.parent[k]] += links[k]
+            holds[self.parent[k]] |= holds[k]
+        for k in range(1, n):
+            inside[k] |= inside[self.parent[k]]
+            if self.drop[k] == HINTED:
+                self.drop[k] = NAMED if 2 * links[k] > text[k] or holds[0] and not inside[k] and not holds[k] else 0
+
     def sizes(self) -> list[int]:
         """Each element's characters of text below it that is not skipped, without links; with links, if the page has no other."""
         own, links = [0] * len(self.tag), [0] * len(self.tag)
@@ -224,9 +309,38 @@ class Page:
 
 
 def best(page: Page) -> tuple[int, list[int]]:
-    """The lowest container that holds all of the page's text outside skipped elements and links."""
+    """The article's container: the lowest one that holds all of the page's text outside skipped elements and links.
+
+    In an article or main element, that element; elsewhere its parent, as long as what the parent has beside it are
+    paragraphs and headings: these may be links only, and still belong to the text. Lists and other blocks of links don't.
+    """
     sizes = page.sizes()
-    return (max(k for k, n in enumerate(sizes) if n == sizes[0] and (page.tag[k] in CONTAINERS or k == 0)) if sizes[0] else 0), sizes
+    if not sizes[0]:
+        return 0, sizes
+    own = max(k for k, n in enumerate(sizes) if n == sizes[0] and (page.tag[k] in CONTAINERS or k == 0))
+    up, whole = own, own
+    while up > 0:
+        if page.tag[up] in ("article", "main") and not page.skip[up]:
+            whole = up
+        up = page.parent[up]
+    if whole != own or page.tag[own] in ("article", "main"):
+        return whole, sizes
+    n = len(page.tag)
+    box, prose = list(range(n)), [True] * n  # each element's nearest container, and whether only blocks of running text lie between
+    for k in range(1, n):
+        if page.tag[k] not in CONTAINERS:
+            up = page.parent[k]
+            box[k], prose[k] = box[up], page.tag[k] in PROSE or page.tag[k] not in BLOCKS and up != box[up] and prose[up]
+    all_, mine = [0] * n, [0] * n
+    for node, text in page.pieces:
+        if text is not None and not page.skip[node]:
+            all_[node] += (m := len(text.strip()))
+            mine[box[node]] += m if prose[node] and node != box[node] else 0
+    for k in range(n - 1, 0, -1):
+        all_[page.parent[k]] += all_[k]
+    while own > 0 and page.tag[up := page.parent[own]] in ("div", "section") and mine[up] and all_[up] == all_[own] + mine[up]:
+        own = up
+    return own, sizes
 
 
 def extract(source: str | None, winners: list[str]) -> tuple[str, str]:

@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]+"
 
 
+#: Words of all models are broadcast up to so many, after counting them.
+FEATURES = 200_000
+
+
 def grams(column, pattern: str = WORD, pairs: Column | bool = True) -> Column:
     """Array of a text's words and, if wanted, its pairs of successive words, as often as they are there."""
     words = F.regexp_extract_all(F.lower(column), F.lit(pattern), F.lit(0))
@@ -35,7 +39,7 @@ def label_probabilities(asked: DataFrame, contexts: DataFrame, models: DataFrame
     that have a model. pattern: a word of a lower-case context.
 
     Texts are cut to counted words and pairs and take part in no join: such a word is a row of its key, itself and its
-    number. Pairs are made only if a model has any. Of the joins' sides only the models' may be broadcast, if Spark finds it small.
+    number. Pairs are made only if a model has any. Words are broadcast to drop what no model knows if they are FEATURES at most.
     """
     models = models if "idf" in models.columns else models.withColumn("idf", F.lit(None).cast("double"))
     kinds = models.groupBy("surface").agg(F.min("kind").alias("kind"))
@@ -44,19 +48,22 @@ def label_probabilities(asked: DataFrame, contexts: DataFrame, models: DataFrame
     asked = asked.filter("context_key is not null").select("raw", "context_key").distinct()
     asked = asked.join(kinds.select(F.col("surface").alias("raw")), "raw", "left_semi")
     filled = contexts.filter("context is not null and context <> ''")
-    seen = filled.select("context_key").distinct()
-    asked = asked.hint("merge").join(seen, "context_key", "left_semi")
+    seen = filled.groupBy("context_key").agg(F.count("*").alias("copies"))
+    asked = asked.hint("merge").join(seen, "context_key")
     features = models.filter("feature is not null").select("raw", "label", "feature", "weight", "idf")
     paired = features.agg((F.count_if(F.contains("feature", F.lit(" "))) > 0).alias("any")).scalar()
-    # counted a copy first, then once for all copies of a context: a text never enters a group
-    copies = filled.select("context_key", F.monotonically_increasing_id().alias("copy"), grams("context", pattern, paired).alias("grams"))
-    words = copies.select("context_key", "copy", F.explode("grams").alias("feature")).groupBy("context_key", "copy", "feature").agg(F.count("*").alias("times"))
-    words = words.groupBy("context_key", "feature").agg(F.max("times").alias("times"))
+    words = filled.select("context_key", F.explode(grams("context", pattern, paired)).alias("feature"))
+    known = features.select("feature").distinct()
+    if known.limit(FEATURES + 1).count() <= FEATURES:
+        # of most words no model knows anything: they go before they are counted
+        words = words.join(F.broadcast(known), "feature", "left_semi")
+    words = words.groupBy("context_key", "feature").agg(F.count("*").alias("times"))
     return _softmax(asked, words, features, base)
 
 
 def _softmax(asked: DataFrame, words: DataFrame, features: DataFrame, base: DataFrame) -> DataFrame:
-    part = F.col("times") * F.col("idf")
+    # a context that is given several times was counted as often
+    part = F.col("times") / F.col("copies") * F.col("idf")
     sums = F.sum(F.col("weight") * F.coalesce(part, F.lit(1.0))).alias("w"), F.sum(part * part).alias("q")
     hits = asked.hint("merge").join(words, "context_key").hint("merge").join(features, ["raw", "feature"]).groupBy("raw", "context_key", "label").agg(*sums)
     inner = F.coalesce(F.when(F.col("q") > 0, F.col("w") / F.sqrt("q")).otherwise(F.col("w")), F.lit(0.0))

@@ -39,13 +39,14 @@ def hgnc_terms(rows: DataFrame) -> DataFrame:
     c = F.col
     rows = rows.withColumn("gid", F.regexp_replace("hgnc_id", "^HGNC:", ""))
     withdrawn = F.coalesce(c("status") == "Symbol Withdrawn", F.lit(False))
-    one = lambda x, status: entry(x, "HGNC", c("gid"), c("symbol"), status, "hgnc", "9606")
-    all_of = lambda values, status: F.transform(values, lambda x: one(x, status))
+    # alias names carry the source 'synonym': a fixed value of the lexicon's format
+    one = lambda x, status, source="hgnc": entry(x, "HGNC", c("gid"), c("symbol"), status, source, "9606")
+    all_of = lambda values, status, source="hgnc": F.transform(values, lambda x: one(x, status, source))
     own = F.concat(
         all_of(F.array_distinct(F.array_compact(F.array("symbol", "name"))), "name"),
         all_of(_list(c("aliases")), "synonym"),
         all_of(_list(c("previous")), "former_name"),
-        all_of(F.filter(vocab.alias_names(F.coalesce("alias_names", F.lit(""))), lambda x: x != ""), "synonym"),
+        all_of(F.filter(vocab.alias_names(F.coalesce("alias_names", F.lit(""))), lambda x: x != ""), "synonym", "synonym"),
     )
     live = to_terms(rows.filter(~withdrawn), own)
     names = rows.select(c("gid").alias("to"), c("symbol").alias("to_symbol")).filter("to is not null")
@@ -68,11 +69,15 @@ def chebi_synonyms(names: DataFrame, primary: DataFrame | None = None) -> DataFr
 
 
 def chebi_terms(obo: DataFrame, names: DataFrame) -> DataFrame:
-    """obo(id, name) preferred names, names(id, name) synonyms; acronyms of amino-acid sequences are no synonyms."""
+    """obo(id, name, and synonyms if it has them) preferred names and an ontology's own synonyms, names(id, name) those of the name
+    file; acronyms of amino-acid sequences among the latter are no synonyms. A synonym that both have is there twice."""
     c = F.col
+    own = obo.select("id", "name", F.array_compact(F.transform(F.array_distinct("synonyms"), lambda x: vocab.clean_synonym(x))).alias("synonyms")) if "synonyms" in obo.columns else None
     preferred = to_terms(obo, F.array(entry(c("name"), "CHEBI", c("id"), c("name"), "name", "chebi")))
     others = names.distinct().join(obo.select("id", c("name").alias("standard")), "id").filter("standard is not null")
     others = others.filter(~(vocab.is_aa_sequence("standard") & c("name").rlike("^[A-Z-]+$")))
+    if own is not None:
+        preferred = preferred.unionByName(to_terms(own, F.transform("synonyms", lambda x: entry(x, "CHEBI", c("id"), c("name"), "synonym", "chebi"))))
     return preferred.unionByName(to_terms(others, F.array(entry(c("name"), "CHEBI", c("id"), c("standard"), "synonym", "chebi"))))
 
 

@@ -94,7 +94,10 @@ class Grounder:
 
     def entries(self, queries: DataFrame) -> DataFrame:
         """raw with each entry it meets, its match, string score and score."""
-        rows = self.pairs(queries).hint("merge").join(self.terms, ["norm_text", "text"])
+        terms = self.terms.withColumnsRenamed({"norm_text": "_norm", "text": "_text"})
+        # both sides lie by norm_text already; a comparison that is no equality of keys leaves them there
+        same = (F.col("norm_text") == F.col("_norm")) & (F.col("text") >= F.col("_text")) & (F.col("text") <= F.col("_text"))
+        rows = self.pairs(queries).hint("merge").join(terms, same).drop("_norm", "_text")
         return rows.withColumn("score", scoring.score("string_score", "status"))
 
     def candidates(self, queries: DataFrame, organisms: Sequence[str] | None = None) -> DataFrame:

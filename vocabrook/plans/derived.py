@@ -47,11 +47,15 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("norm_text", text.normalize("text")).select(*COLUMNS)
 
 
+def spellings(column: str):
+    """Array of a text's spellings: cases, plural, dashes, numerals."""
+    c = F.col(column)
+    return F.array(c, F.upper(c), F.initcap(c), F.concat(c, F.lit("s")), F.replace(c, F.lit(" "), F.lit("-")), F.concat(c, F.lit(" II")), F.concat(c, F.lit(" 2")), F.concat(F.lit(" "), F.lower(c), F.lit(" ")))
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw: spellings of every text of the lexicon."""
-    t = lexicon(spark, sf_dir).select("text").distinct()
-    forms = F.array("text", F.upper("text"), F.initcap("text"), F.concat("text", F.lit("s")), F.replace("text", F.lit(" "), F.lit("-")), F.concat("text", F.lit(" II")), F.concat("text", F.lit(" 2")), F.concat(F.lit(" "), F.lower("text"), F.lit(" ")))
-    return t.select(F.explode(forms).alias("raw")).distinct()
+    return lexicon(spark, sf_dir).select("text").distinct().select(F.explode(spellings("text")).alias("raw")).distinct()
 
 
 def word_lexicon(spark: SparkSession, sf_dir: str, least: int = 40, pairs: int = 12, english: bool = False) -> DataFrame:

@@ -92,7 +92,9 @@ TERMS = f"""src AS (
 terms AS (SELECT {norm('text')} AS norm_text, text, db, id, text AS entry_name, CASE k % 4 WHEN 0 THEN 'curated' WHEN 1 THEN 'name' WHEN 2 THEN 'synonym' ELSE 'former_name' END AS status, lower(db) AS source,
     CASE k % 3 WHEN 0 THEN '9606' WHEN 1 THEN '10090' END AS organism, CASE WHEN k % 5 = 0 THEN 'XDB' END AS source_db, CASE WHEN k % 5 = 0 THEN k::VARCHAR END AS source_id FROM src)"""
 
-MENTIONS = """mentions AS (SELECT DISTINCT trim(unnest([text, upper(text), array_to_string(list_transform(string_split(text, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), text || 's', replace(text, ' ', '-'), text || ' II', text || ' 2', lower(text)])) AS raw FROM (SELECT DISTINCT text FROM terms))"""
+SPELLINGS = """[text, upper(text), array_to_string(list_transform(string_split(text, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '),
+    text || 's', replace(text, ' ', '-'), text || ' II', text || ' 2', {lower}]"""
+MENTIONS = f"""mentions AS (SELECT DISTINCT trim(unnest({SPELLINGS.format(lower='lower(text)')})) AS raw FROM (SELECT DISTINCT text FROM terms))"""
 
 
 def scan(pairs: str) -> str:
@@ -172,7 +174,7 @@ SELECT doc_id, sum(z.k)::BIGINT AS n_annotations FROM gr GROUP BY doc_id"""
         "lookups_exploded": f"WITH {TERMS}, {MENTIONS} SELECT raw, unnest({lookups('raw')}) AS norm_text FROM mentions",
         "curies": f"WITH {TERMS}, x AS (SELECT DISTINCT db, id FROM terms UNION ALL SELECT * FROM (VALUES ('UP', 'P12345'), ('HGNC', '12345'), ('CHEBI', 'CHEBI:12345'), ('X', 'a:b:c'))) SELECT db, id, {curie('db', 'id')} AS curie, {curie('db', 'id', True)} AS identifiers, 'https://bioregistry.io/' || {curie('db', 'id')} AS url FROM x",
         "term_groundings": f"WITH {TERMS} SELECT text, db, id, CASE WHEN source_db IS NULL THEN 1 ELSE 2 END::BIGINT AS n, CASE WHEN source_db IS NULL THEN db ELSE db || ',' || source_db END AS namespaces FROM terms",
-        "match_pairs": f"WITH RECURSIVE prs AS (SELECT * FROM {values(PAIRS, 'q', 'r')}), {scan('prs')} SELECT q, r, exact, space, n_dash, n_combos, s AS string_score FROM scored",
+        "match_pairs": f"WITH RECURSIVE {TERMS}, prs AS (SELECT DISTINCT unnest({SPELLINGS.format(lower="' ' || lower(text) || ' '")}) AS q, text AS r FROM (SELECT DISTINCT text FROM terms) UNION SELECT * FROM {values(PAIRS, 'q', 'r')}), {scan('prs')} SELECT q, r, exact, space, n_dash, n_combos, s AS string_score FROM scored",
         "lookup_join": f"WITH {GROUND.rstrip().rstrip(',')} SELECT raw, count(*)::BIGINT AS n_terms, count(DISTINCT (db, id))::BIGINT AS n_groundings FROM hit0 GROUP BY raw",
         "organism_filter": f"WITH {GROUND.rstrip().rstrip(',')}, h AS (SELECT *, CASE organism WHEN '10090' THEN 0 WHEN '9606' THEN 1 END AS p FROM hit0), b AS (SELECT *, min(p) OVER (PARTITION BY raw) AS m FROM h) SELECT raw, count(*)::BIGINT AS n, count(organism)::BIGINT AS n_organism FROM b WHERE organism IS NULL OR p = m GROUP BY raw",
         "ground_all": ground(),
@@ -189,10 +191,10 @@ SELECT doc_id, sum(z.k)::BIGINT AS n_annotations FROM gr GROUP BY doc_id"""
         "prefix_index": f"WITH {TERMS}, w AS (SELECT list_filter(string_split(norm_text, ' '), lambda x: x <> '') AS w FROM terms) SELECT w[1] AS first_word, array_to_string(list_sort(list(DISTINCT len(w))), ',') AS lengths FROM w WHERE len(w) > 0 GROUP BY 1",
         "annotations": spans,
         "eval_rollup": """SELECT coalesce(c_mktsegment, 'Total') AS entity_type, count(*)::BIGINT AS n, sum((c_acctbal > 0)::INT)::BIGINT AS n_grounded, sum((c_acctbal > 5000)::INT)::BIGINT AS n_correct,
-round(sum((c_acctbal > 5000)::INT) / sum((c_acctbal > 0)::INT), 3) AS precision, round(sum((c_acctbal > 5000)::INT) / count(*), 3) AS recall FROM customer GROUP BY ROLLUP (c_mktsegment)""",
+round(sum((c_acctbal > 5000)::INT) / sum((c_acctbal > 0)::INT), 3) AS precision, round(sum((c_acctbal > 5000)::INT) / count(*), 3) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 9) AS f1 FROM customer GROUP BY ROLLUP (c_mktsegment)""",
         "eval_spans": """WITH g AS (SELECT DISTINCT l_orderkey % 500 AS doc, l_linenumber::VARCHAR AS text, l_partkey % 50 AS s FROM lineitem WHERE l_quantity < 30), f AS (SELECT DISTINCT l_orderkey % 500 AS doc, l_linenumber::VARCHAR AS text, l_partkey % 50 AS s FROM lineitem WHERE l_quantity >= 20),
 t AS (SELECT (SELECT count(*) FROM (SELECT * FROM g INTERSECT SELECT * FROM f)) AS tp, (SELECT count(*) FROM (SELECT * FROM f EXCEPT SELECT * FROM g)) AS fp, (SELECT count(*) FROM (SELECT * FROM g EXCEPT SELECT * FROM f)) AS fn)
-SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM t""",
+SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, round(2 * precision * recall / (precision + recall), 9) AS f1 FROM t""",
         "namespace_crosstab": "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F')::BIGINT AS F, count(*) FILTER (l_linestatus = 'O')::BIGINT AS O FROM lineitem GROUP BY 1",
         "run_diff": "WITH o AS (SELECT o_orderkey AS row, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS v FROM orders), n AS (SELECT o_orderkey AS row, CASE WHEN o_orderkey % 5 > 0 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderpriority END END AS v FROM orders) SELECT CASE WHEN o.v IS NOT DISTINCT FROM n.v THEN 'same' WHEN o.v IS NULL THEN 'gained' WHEN n.v IS NULL THEN 'lost' ELSE 'changed' END AS change, count(*)::BIGINT AS n FROM o FULL JOIN n USING (row) WHERE o.v IS NOT NULL OR n.v IS NOT NULL GROUP BY 1",
         "throughput_stats": "SELECT l_returnflag AS type, l_linestatus AS context, round(avg(1.0 / l_quantity), 1) AS mean, round(stddev_samp(1.0 / l_quantity), 1) AS std FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2",

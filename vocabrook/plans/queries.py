@@ -64,7 +64,10 @@ def term_groundings(spark, sf_dir):
 
 
 def match_pairs(spark, sf_dir):
-    pairs = spark.createDataFrame(list(derived.PAIRS), "q string, r string").withColumn("m", scoring.generate_match("q", "r"))
+    """Every text of the lexicon with its spellings, and the hand-made pairs."""
+    forms = F.explode(derived.spellings("text")).alias("q")
+    pairs = derived.lexicon(spark, sf_dir).select("text").distinct().select(forms, F.col("text").alias("r"))
+    pairs = pairs.unionByName(spark.createDataFrame(list(derived.PAIRS), "q string, r string")).distinct().withColumn("m", scoring.generate_match("q", "r"))
     return pairs.select("q", "r", "m.exact", F.col("m.space_mismatch").alias("space"), F.size("m.dash_mismatches").cast("long").alias("n_dash"), F.size("m.cap_combos").cast("long").alias("n_combos"), scoring.score_string_match("m").alias("string_score"))
 
 
@@ -151,12 +154,12 @@ def annotations_treebank(spark, sf_dir):
 
 def eval_rollup(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("entity_type"), (F.col("c_acctbal") > 0).alias("grounded"), (F.col("c_acctbal") > 5000).alias("correct"))
-    return evaluation.result_table(rows).drop("f1")
+    return evaluation.result_table(rows).withColumn("f1", F.round("f1", 9))
 
 
 def eval_spans(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("doc"), F.col("l_linenumber").cast("string").alias("text"), (F.col("l_partkey") % 50).alias("s"), "l_quantity")
-    return evaluation.annotation_counts(rows.filter("l_quantity < 30"), rows.filter("l_quantity >= 20"), ("doc", "text", "s")).drop("f1")
+    return evaluation.annotation_counts(rows.filter("l_quantity < 30"), rows.filter("l_quantity >= 20"), ("doc", "text", "s")).withColumn("f1", F.round("f1", 9))
 
 
 def namespace_crosstab(spark, sf_dir):

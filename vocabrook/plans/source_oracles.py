@@ -26,19 +26,20 @@ def terms(rows: str) -> str:
 
 HGNC = f"""{given("hgnc")}, g AS (SELECT *, replace(hgnc_id, 'HGNC:', '') AS gid FROM hgnc),
 live AS (SELECT * FROM g WHERE status <> 'Symbol Withdrawn'),
-t AS (SELECT gid, symbol, unnest(list_distinct([symbol, name])) AS text, 'name' AS status FROM live
-    UNION ALL SELECT gid, symbol, unnest({items('aliases', ', ')}), 'synonym' FROM live UNION ALL SELECT gid, symbol, unnest({items('previous', ', ')}), 'former_name' FROM live
-    UNION ALL SELECT gid, symbol, trim(unnest(string_split(alias_names, '"')[2:2])), 'synonym' FROM live WHERE alias_names <> ''
-    UNION ALL SELECT gid, symbol, trim(regexp_replace(alias_names, '^"[^"]*",?', '')), 'synonym' FROM live WHERE alias_names <> ''),
-u AS (SELECT text, 'HGNC' AS db, gid AS id, symbol AS entry_name, status FROM t
-    UNION ALL SELECT w.symbol, 'HGNC', n.gid, n.symbol, 'former_name' FROM g w JOIN g n ON w.status = 'Symbol Withdrawn' AND n.gid = regexp_extract(w.name, 'HGNC:(\\d+)', 1))
-{terms("SELECT *, 'hgnc' AS source, '9606' AS organism, NULL AS source_db, NULL AS source_id FROM u")}"""
+t AS (SELECT gid, symbol, unnest(list_distinct([symbol, name])) AS text, 'name' AS status, 'hgnc' AS source FROM live
+    UNION ALL SELECT gid, symbol, unnest({items('aliases', ', ')}), 'synonym', 'hgnc' FROM live UNION ALL SELECT gid, symbol, unnest({items('previous', ', ')}), 'former_name', 'hgnc' FROM live
+    UNION ALL SELECT gid, symbol, trim(unnest(string_split(alias_names, '"')[2:2])), 'synonym', 'synonym' FROM live WHERE alias_names <> ''
+    UNION ALL SELECT gid, symbol, trim(regexp_replace(alias_names, '^"[^"]*",?', '')), 'synonym', 'synonym' FROM live WHERE alias_names <> ''),
+u AS (SELECT text, 'HGNC' AS db, gid AS id, symbol AS entry_name, status, source FROM t
+    UNION ALL SELECT w.symbol, 'HGNC', n.gid, n.symbol, 'former_name', 'hgnc' FROM g w JOIN g n ON w.status = 'Symbol Withdrawn' AND n.gid = regexp_extract(w.name, 'HGNC:(\\d+)', 1))
+{terms("SELECT *, '9606' AS organism, NULL AS source_db, NULL AS source_id FROM u")}"""
 
 CHEBI = f"""{given("chebi", "chebi_names", "chebi_primary")},
 s AS (SELECT DISTINCT 'CHEBI:' || coalesce(p.primary_id, n.compound_id) AS id, n.name FROM chebi_names n LEFT JOIN chebi_primary p USING (compound_id)),
 j AS (SELECT s.id, s.name, c.name AS standard FROM s JOIN chebi c USING (id)),
 k AS (SELECT * FROM j WHERE NOT (contains(standard, '-') AND len(list_filter(string_split(standard, '-'), lambda z: NOT list_contains([{', '.join(lit(a.capitalize()) for a in AMINO_ACIDS)}], z))) = 0 AND regexp_full_match(name, '[A-Z-]+'))),
-u AS (SELECT name AS text, id, name AS entry_name, 'name' AS status FROM chebi UNION ALL SELECT name, id, standard, 'synonym' FROM k)
+u AS (SELECT name AS text, id, name AS entry_name, 'name' AS status FROM chebi UNION ALL SELECT name, id, standard, 'synonym' FROM k
+    UNION ALL SELECT unnest(list_distinct(list_filter({items('synonyms')}, lambda z: NOT contains(lower(z), 'ambiguous')))), id, name, 'synonym' FROM chebi)
 {terms("SELECT *, 'CHEBI' AS db, 'chebi' AS source, NULL AS organism, NULL AS source_db, NULL AS source_id FROM u")}"""
 
 MESH_ROWS = f"""m AS (SELECT a.id AS mid, a.name AS mname, a.synonyms, f.db AS fdb, f.id AS fid, f.name AS fname FROM mesh a LEFT JOIN (SELECT * FROM forward WHERE db NOT IN ('EFO', 'HP', 'DOID')) f ON a.id = f.mesh_id),

@@ -22,7 +22,8 @@ INPUTS = {
         CASE WHEN p_partkey % 7 = 0 THEN 'Symbol Withdrawn' WHEN p_partkey % 13 = 0 THEN 'Entry Withdrawn' ELSE 'Approved' END AS status,
         CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) || ', ' || p_brand ELSE '' END AS aliases, CASE WHEN p_partkey % 3 = 0 THEN 'P' || p_size ELSE '' END AS previous,
         CASE WHEN p_partkey % 5 = 0 THEN '"' || p_type || ', ' || p_brand || '", ' || p_brand WHEN p_partkey % 5 = 1 THEN '"' || p_name || '"' ELSE '' END AS alias_names FROM {part}""",
-    "chebi": """SELECT 'CHEBI:' || p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'Ala-Gly-' || CASE WHEN p_partkey % 8 = 0 THEN 'Lys' ELSE 'lys' END ELSE p_name END AS name FROM {part} WHERE p_partkey % 5 > 0""",
+    "chebi": """SELECT 'CHEBI:' || p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'Ala-Gly-' || CASE WHEN p_partkey % 8 = 0 THEN 'Lys' ELSE 'lys' END ELSE p_name END AS name,
+        CASE p_partkey % 3 WHEN 0 THEN lower(p_brand) || '|' || p_type || '|' || p_type WHEN 1 THEN 'ambiguous ' || p_type ELSE '' END AS synonyms FROM {part} WHERE p_partkey % 5 > 0""",
     "chebi_names": """SELECT p_partkey AS compound_id, CASE WHEN p_partkey % 2 = 0 THEN 'AGK' ELSE 'agk ' || p_size END AS name FROM {part}
         UNION ALL SELECT p_partkey, p_name FROM {part} WHERE p_partkey % 3 = 0""",
     "chebi_primary": "SELECT p_partkey AS compound_id, p_partkey + 1 AS primary_id FROM {part} WHERE p_partkey % 10 = 0",
@@ -100,7 +101,7 @@ def hgnc_terms(spark, sf_dir):
 
 def chebi_terms(spark, sf_dir):
     names = etl.chebi_synonyms(given(spark, sf_dir, "chebi_names"), given(spark, sf_dir, "chebi_primary"))
-    return etl.chebi_terms(given(spark, sf_dir, "chebi"), names)
+    return etl.chebi_terms(_listed(given(spark, sf_dir, "chebi"), "synonyms"), names)
 
 
 def mesh_terms(spark, sf_dir):

@@ -53,6 +53,8 @@ PARTS = frozenset(
     "area article bar block blog desktop entry global mobile page post site small top block body bottom box button buttons btn col column container content count entry field fixed form group head heading icon icons inner input item items left "
     "link links list main menu outer panel posts primary right row secondary section slot text thread title toggle top unit widget widgets wrap wrapper zone".split()
 )
+#: Beside one of these, `header` is a part of the text's own (section-header).
+OF_TEXT = frozenset("article block content entry heading item list post section text thread title".split())
 #: Elements that a class may name boilerplate. Headings, rows, cells, list items and inline elements are never dropped for a name.
 NAMED_TAGS = frozenset("div section ul ol dl table center p figure".split())
 #: Names that an id alone may give a div or section, wherever it is; other ids need more: being outside the article, or mostly links.
@@ -77,6 +79,8 @@ HIDDEN_TAGS = frozenset(["head", *RAW.split("|")])
 def names_boilerplate(token: str) -> bool:
     """Whether a class or id token names boilerplate: a skip name, beside nothing but other ones and PARTS."""
     words = NAME.findall(token)
+    if SKIP_NAMES.intersection(words) == {"header"} and OF_TEXT.intersection(words):
+        return False
     return any(w in SKIP_NAMES for w in words) and all(w in PARTS or w in SKIP_NAMES for w in words) and (words[0] in SKIP_NAMES or words[-1] in SKIP_NAMES)
 
 

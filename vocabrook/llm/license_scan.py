@@ -1,10 +1,12 @@
 """Licence scan over whole texts: a positional rare-token index, with DataFrame operations only.
 
-Each template is a phrase. The index has one posting for each template word: word, template, relative
-position, template length, idf. A template is looked up by its highest-IDF word (document frequencies
-are counted over all documents); the file positions of that word give the only places where the
-template can start. The template's other postings are then intersected by relative position, and a
-label counts only if its mandatory key phrases stand whole in the file.
+Templates are phrases; a label counts only if all of its mandatory phrases stand in the file. The index has a posting for each
+template word: word, template, relative position, idf, from document frequencies over all documents. A file is read once,
+for the places of template words. Each template is looked up by its highest-IDF word; where the file has it, the places at
+which the template could start, place less relative position, are intersected with those of its other words, in falling order
+of their IDF: what is left are places at which all words agree.
+
+The score is the share of the templates' IDF that stands in the file: rare words count more than common ones.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, after A-Z are lower-cased.
 
@@ -15,9 +17,14 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Words, base phrases and their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -57,53 +64,65 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", words.alias("words"))
 
 
-def document_frequency(docs: DataFrame) -> dict[str, int]:
-    """In how many documents each template word stands: all documents, partial sums, a row a template word."""
-    vocabulary = sorted({w for p in phrases() for w in p.split(" ")})
-    seen = F.array_intersect(F.col("words"), F.array(*[F.lit(w) for w in vocabulary]))
-    rows = _words(docs).select(F.explode(seen).alias("word")).groupBy("word").count().collect()  # at most len(vocabulary) rows
-    return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in rows}
+def vocabulary() -> list[str]:
+    return sorted({w for p in phrases() for w in p.split(" ")})
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_words, found array<struct(word, i)>: the places of all template words, in one pass, written."""
+    known = F.array(*[F.lit(w) for w in vocabulary()])
+    marked = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i")))
+    found = F.when(F.arrays_overlap("words", known), F.filter(marked, lambda x: F.array_contains(known, x["word"])))
+    rows = _words(docs).select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(found, F.array().cast("array<struct<word:string,i:int>>")).alias("found"))
+    return settle(rows, "licence-words")
+
+
+def inverse_frequency(rows: DataFrame) -> dict[str, float]:
+    """ln((n + 1) / (df + 1)) of each template word over all documents: partial sums, a row a template word."""
+    n, seen = rows.count(), F.array_distinct(F.transform("found", lambda x: x["word"]))
+    df = {r["word"]: r["count"] for r in rows.select(F.explode(seen).alias("word")).groupBy("word").count().collect()}  # at most len(vocabulary())
+    return {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocabulary()}
+
+
+def places(phrase: str, idf: dict[str, float]) -> Column:
+    """Where the phrase starts: the places at which all of its postings agree, the rarest word's looked up first."""
+    words = phrase.split(" ")
+    order = sorted(range(len(words)), key=lambda k: (-idf[words[k]], k))
+    starts = lambda k: F.transform(F.filter("found", lambda x: (x["word"] == words[k]) & (x["i"] >= k)), lambda x: x["i"] - F.lit(k))
+    first = starts(order[0])
+    return F.when(F.size(first) > 0, reduce(F.array_intersect, map(starts, order[1:]), first)).otherwise(F.array().cast("array<int>"))
 
 
-def scan_licenses(docs: DataFrame, df: dict[str, int] | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_words, hits array<struct(phrase, start)>, labels array<string>, base_labels.
+def scan_licenses(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_words, hits array<struct(phrase, start)>, labels array<string>, base_labels, score.
 
-    Nothing is shuffled: the index is a constant of the plan and a file's words stay in its row. Files
+    Nothing is shuffled but the word counts: the index is a constant of the plan and a file's places stay in its row. Files
     without any look-up word, nearly all, pass by the index.
     """
-    df = document_frequency(docs) if df is None else df
-    index = {}  # look-up word -> its templates: the word with the highest IDF, the first one of equals
-    for p in phrases():
-        ws = p.split(" ")
-        at = min(range(len(ws)), key=lambda i: (df.get(ws[i], 0), i))
-        index.setdefault(ws[at], []).append((p, ws, at))
-    out = _words(docs).withColumn("n_words", F.size("words").cast("long"))
-    keys = F.array(*[F.lit(w) for w in index])
-    found = F.when(F.arrays_overlap("words", keys), F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda x: F.array_contains(keys, x["word"])))
-    out = out.withColumn("found", found)
-
-    def places(word: str, phrase: str, ws: list[str], at: int) -> Column:
-        starts = F.transform(F.filter("found", lambda x: (x["word"] == word) & (x["i"] >= at)), lambda x: x["i"] - F.lit(at))
-        whole = F.filter(starts, lambda s: F.slice("words", s + 1, len(ws)) == F.array(*[F.lit(w) for w in ws]))
-        return F.transform(whole, lambda s: F.struct(F.lit(phrase).alias("phrase"), s.cast("long").alias("start")))
-
-    hits = F.flatten(F.array(*[places(w, *t) for w, ts in index.items() for t in ts]))
-    out = out.withColumn("hits", F.when(F.size("found") > 0, hits))
-    out = out.withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<phrase:string,start:bigint>>")))
-    have = F.transform("hits", lambda h: h["phrase"])
-    base = F.array_compact(F.array(*[F.when(F.array_contains(have, p), F.lit(label)) for p, label in BASE.items()]))
-    more = F.array_compact(F.array(*[F.when(F.size(F.array_intersect(have, F.array(*[F.lit(p) for p in ps]))) == len(ps), F.lit(label)) for label, ps in EXTRA]))
-    return out.select("doc_id", "n_words", "hits", F.array_sort(F.array_distinct(base)).alias("base_labels"), F.array_sort(F.array_union(base, more)).alias("labels"))
+    rows = located(docs)
+    idf = inverse_frequency(rows)
+    rarest = {max(p.split(" "), key=lambda w: (idf[w], -p.split(" ").index(w))) for p in phrases()}
+    named = lambda p: F.transform(places(p, idf), lambda s: F.struct(F.lit(p).alias("phrase"), s.cast("long").alias("start")))
+    hit = F.flatten(F.array(*map(named, phrases())))
+    none = F.array().cast("array<struct<phrase:string,start:bigint>>")
+    hits = F.when(F.exists("found", lambda x: x["word"].isin(*sorted(rarest))), hit)
+    out = rows.withColumn("hits", F.coalesce(hits, none)).withColumn("have", F.array_distinct(F.transform("hits", lambda h: h["phrase"])))
+    weight = {p: sum(idf[w] for w in p.split(" ")) for p in phrases()}
+    whole = math.fsum(weight.values())
+    share = sum((F.when(F.array_contains("have", p), w).otherwise(0.0) for p, w in weight.items()), F.lit(0.0)) / whole if whole > 0 else F.lit(0.0)
+    base = F.array_compact(F.array(*[F.when(F.array_contains("have", p), F.lit(label)) for p, label in BASE.items()]))
+    more = F.array_compact(F.array(*[F.when(F.size(F.array_intersect("have", F.array(*[F.lit(p) for p in ps]))) == len(ps), F.lit(label)) for label, ps in EXTRA]))
+    return out.select("doc_id", "n_words", "hits", F.array_sort(F.array_distinct(base)).alias("base_labels"), F.array_sort(F.array_union(base, more)).alias("labels"), F.least(share, F.lit(1.0)).alias("score"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row a document: counts and places of the base phrases, labels, and score = 1 - 2^-(number of labels)."""
+    """One row a document: counts and places of the base phrases, labels, and the share of IDF, to nine places."""
     starts = F.transform(F.filter("hits", lambda h: h["phrase"].isin(*BASE)), lambda h: h["start"])
     return scan_licenses(docs).select(
         "doc_id", "n_words", F.size(starts).cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"),
-        (F.lit(1.0) - F.pow(F.lit(0.5), F.size("labels").cast("double"))).alias("score"),
+        F.round("score", 9).alias("score"),
     )
 
 
@@ -115,12 +134,16 @@ def oracle() -> str:
     starts = ", ".join(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] = '{p.split(' ')[0]}' AND array_to_string(w[i:i + {len(p.split(' ')) - 1}], ' ') = '{p}'), lambda i: i - 1)" for p in BASE)
     base = ", ".join(f"CASE WHEN {q(p)} THEN '{label}' END" for p, label in BASE.items())
     more = ", ".join(f"CASE WHEN {' AND '.join(map(q, ps))} THEN '{label}' END" for label, ps in EXTRA)
+    part = lambda p: " + ".join(f"ln((n + 1) / (coalesce(df['{w}'], 0) + 1))" for w in p.split(" "))
+    found, whole = " + ".join(f"CASE WHEN {q(p)} THEN {part(p)} ELSE 0 END" for p in phrases()), " + ".join(map(part, phrases()))
     tidy = lambda x: f"list_sort(list_distinct(list_filter([{x}], lambda x: x IS NOT NULL)))"
     return f"""
 WITH a AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' ') AS t FROM documents),
 b AS (SELECT doc_id, t, ' ' || replace(t, ' ', '  ') || ' ' AS t2, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS w FROM a),
+f AS (SELECT map(list(x), list(k)) AS df, (SELECT count(*) FROM b) AS n FROM (SELECT x, count(*) AS k FROM (SELECT unnest(list_distinct(list_intersect(w, [{', '.join(f"'{w}'" for w in vocabulary())}]))) AS x FROM b) GROUP BY x)),
+g AS (SELECT b.*, f.df, f.n, {whole} AS whole FROM b, f),
 c AS (SELECT doc_id, len(w)::BIGINT AS n_words, ({count})::BIGINT AS n_base,
-    CASE WHEN {count} > 0 THEN flatten([{starts}]) ELSE [] END AS st, {tidy(base)} AS bl, {tidy(base + ', ' + more)} AS al FROM b)
+    CASE WHEN whole > 0 THEN round(least(({found}) / whole, 1.0), 9) ELSE 0.0 END AS score, CASE WHEN {count} > 0 THEN flatten([{starts}]) ELSE [] END AS st, {tidy(base)} AS bl, {tidy(base + ', ' + more)} AS al FROM g)
 SELECT doc_id, n_words, n_base, list_min(st)::BIGINT AS first_word, list_max(st)::BIGINT AS last_word,
-    coalesce(array_to_string(bl, ','), '') AS base_labels, coalesce(array_to_string(al, ','), '') AS labels, 1.0::DOUBLE - pow(0.5::DOUBLE, len(al)) AS score FROM c
+    coalesce(array_to_string(bl, ','), '') AS base_labels, coalesce(array_to_string(al, ','), '') AS labels, score::DOUBLE AS score FROM c
 """

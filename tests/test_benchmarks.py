@@ -132,3 +132,21 @@ def test_span_and_class_files(spark, tmp_path):
     assert (r.doc, r.figure, r.start, r.end, r.obj, r.entity_type) == ("12", "F1-A", 3, 7, ["UP:P1", "NCBI gene:5"], "Gene")
     (tmp_path / "o.owl").write_text("Prefix MESH:D9\n# Class: obo:CL_0000001 (a)\nxref MESH:D1\nxref MESH:D1 MESH:D1\n# Class: obo:CL_0000002 (b)\nMESH:D2 MESH:D3\n# Class: obo:CL_0000003 (c)\nMESH:D4\nMESH:C5\n")
     assert {tuple(r) for r in lexicon.read_class_blocks(spark, str(tmp_path / "o.owl")).collect()} == {("CL:0000001", "MESH:D1"), ("CL:0000003", "MESH:C5")}
+
+
+# ---- trials and reports
+
+
+def test_trials_and_batches(spark):
+    rows = spark.range(57).withColumn("t", F.concat(F.lit("w"), "id"))
+    out = evaluation.trials(rows, 10, 3).groupBy("trial").agg(F.countDistinct("id").alias("n")).collect()
+    assert sorted(tuple(r) for r in out) == [(1, 10), (2, 10), (3, 10)]
+    batches = evaluation.batched(rows, "t", 10).collect()
+    assert all(1 <= len(b["items"]) <= 10 for b in batches) and sorted(x for b in batches for x in b["items"]) == sorted(f"w{k}" for k in range(57))
+    assert evaluation.batched(rows.limit(0), "t").count() == 0
+
+
+def test_report_lines(spark):
+    table = spark.createDataFrame([("b", 2.5), ("a", N)], "name string, f1 double")
+    assert [r.line for r in evaluation.table_lines(table, "name").collect()] == ["name & f1 \\\\", "a &  \\\\", "b & 2.5 \\\\"]
+    assert [r.line for r in evaluation.table_lines(table, "name", kind="markdown").collect()] == ["| name | f1 |", "|---|---|", "| a |  |", "| b | 2.5 |"]

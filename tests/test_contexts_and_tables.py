@@ -43,12 +43,17 @@ def test_no_text_is_broadcast(spark, tmp_path):
     spark.createDataFrame([(i, f"the er with for {i} " * 50) for i in range(50)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     from vocabrook.plans import queries
 
-    plan = queries.disambiguate(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    def ran(df):  # adaptive execution decides while a query runs
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    plan = ran(queries.disambiguate(spark, str(tmp_path)))
     g = grounder(spark)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     index = lexicon_ops.prefix_index(g.terms)
-    plan += annotation.candidates(annotation.tokens(docs, "text", "doc_id"), index)._jdf.queryExecution().executedPlan().toString()
-    plan += g.lookup(docs.select(F.col("text").alias("raw")))._jdf.queryExecution().executedPlan().toString()
+    plan += ran(annotation.candidates(annotation.tokens(docs, "text", "doc_id"), index))
+    plan += ran(g.lookup(docs.select(F.col("text").alias("raw"))))
+    assert "isFinalPlan=true" in plan
     for block in re.split(r"BroadcastExchange", plan)[1:]:
         depth_of_child = block.split("\n")[1]
         assert "text#" not in depth_of_child and "context#" not in depth_of_child and "token#" not in depth_of_child

@@ -1,6 +1,7 @@
 """Sentence boundaries, and annotation in blocks and islands against a plain left-to-right loop."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -65,6 +66,41 @@ def test_abbreviation_scores_against_sql(spark):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
 
 
+# ---- tokens
+
+
+def by_substitution(text):
+    """The convention's published rules, one substitution after the other; tokens are what spaces separate then."""
+    t = re.sub(r'^"', "`` ", text.rstrip("."))
+    for rule, to in (
+        (r'([ (\[{<])"', r"\1 `` "), (r"([:,])(?=[^\d])", r" \1 "), (r"([:,])$", r" \1 "), (r"\.\.\.", " ... "), (r"[;@#$%&]", r" \g<0> "), (r"([^.])(\.)([\])}>\"']*)\s*$", r"\1 \2\3 "), (r"[?!]", r" \g<0> "),
+        (r"([^'])' ", r"\1 ' "), (r"[\]\[(){}<>]", r" \g<0> "), ("--", " -- "), ("^|$", " "), ("''", " '' "), ('"', " '' "), (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "), (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+        (r"(?i)\b(can)(not)\b", r" \1 \2 "), (r"(?i)\b(gim|lem)(me)\b", r" \1 \2 "), (r"(?i)\b(gon|wan)(na)\b(?=\s)", r" \1 \2 "), (r"(?i)\b(got)(ta)\b", r" \1 \2 "), (r"(?i)\b(more)('n)\b", r" \1 \2 "), (r"(?i)\s('t)(is|was)\b", r" \1 \2 "),
+    ):
+        t = re.sub(rule, to, t)
+    return ['"' if x in ("``", "''") else x for x in t.split()]
+
+
+def tokens(s):
+    return ['"' if s[a:z] == "''" else s[a:z] for a, z in annotation.tokenize(s)]
+
+
+def test_tokens_against_the_rules():
+    words = "E. coli can't John's 3,000 a:b (x) e.g. don't cannot T-cell p53/MDM2 he'll -- ... 50% A&B it, so; end. dogs' wanna [1] <sub> 5:3 'quoted U.S. x@y why? n't WE'VE \"hi\" \" gimme 'tis more'n IL-2's".split()
+    rnd = random.Random(1)
+    for _ in range(4000):
+        s = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 10)))
+        assert tokens(s) == by_substitution(s), s
+    assert tokens("E. coli grows (in vitro).") == ["E.", "coli", "grows", "(", "in", "vitro", ")"]
+
+
+def test_a_name_with_an_inner_stop_is_found(spark):
+    rows = [("e. coli", "E. coli", "T", "1", "E. coli", "name", "t", N, N, N)]
+    g = Grounder(spark, spark.createDataFrame(rows, lexicon.TERMS))
+    docs = spark.createDataFrame([(1, "Strains of E. coli grow. Others of E. coli.")], "id int, text string")
+    assert sorted((r.start, r.raw) for r in annotation.annotate(docs, g).collect()) == [(11, "E. coli"), (35, "E. coli")]
+
+
 # ---- annotation
 
 

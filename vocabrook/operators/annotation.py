@@ -22,16 +22,54 @@ from .grounding import Grounder, context_key
 from .lexicon_ops import prefix_index
 from .sentences import NONE, Boundaries, split_sentences
 
-#: Words with inner apostrophes, dots and dashes as the Penn Treebank conventions keep them, numbers, contractions split off, single signs.
-TOKEN = re.compile(r"\.\.\.|(?:[A-Za-z]\.){2,}|\d+(?:[.,]\d+)*|[^\W\d_]+(?=n't\b)|n't\b|'(?:s|S|m|M|d|D|ll|LL|re|RE|ve|VE)\b|[^\s,;:@#$%&?!\"()\[\]{}<>'.]+(?:[.'](?!(?:s|S|m|M|d|D|ll|LL|re|RE|ve|VE)\b)[^\s,;:@#$%&?!\"()\[\]{}<>'.]+)*|\S")
-
+#: The Penn Treebank convention. Signs that are tokens of their own; a comma or colon is one unless a digit follows.
+APART = re.compile(r"[:,](?!\d)|\.\.\.|[;@#$%&?!]|[\]\[(){}<>]|--|''|\"")
+#: A full stop before nothing but closing signs; a quotation mark at a word's end; endings that are cut off; words that are two.
+LAST_STOP = re.compile(r"(?<=[^.])\.(?=[\])}>\"']*\s*\Z)")
+ENDING = re.compile(r"(?<=[^'\s])(?:'(?:[sSmMdD]|ll|LL|re|RE|ve|VE)?|n't|N'T)")
+TWO = re.compile(r"\b(can)(not)\b|\b(d)('ye)\b|\b(gim)(me)\b|\b(gon)(na)\b|\b(got)(ta)\b|\b(lem)(me)\b|\b(more)('n)\b|\b(wan)(na)(?=\s|\Z)|(?:(?<=\s)|\A)('t)(is|was)\b", re.I)
 #: Tokens of a sentence that come together in one row.
 BLOCK = 256
 
 
+#: Words without other signs that are two tokens; pieces of words seen before, up to so many.
+JOINED = frozenset("cannot gimme gonna gotta lemme wanna".split())
+SEEN, _pieces_of = 1 << 16, {}
+
+
+def pieces(word: str, last: bool) -> tuple[tuple[int, int], ...]:
+    """Spans of the tokens of what stands between white space; last: nothing follows in the sentence."""
+    cuts = {x for m in APART.finditer(word) for x in m.span()}
+    if last:
+        cuts |= {x for m in LAST_STOP.finditer(word) for x in m.span()}
+    ends = lambda k: k == len(word) or k in cuts
+    cuts |= {x for m in ENDING.finditer(word) if ends(m.end()) for x in m.span()}
+    cuts |= {m.end(k) for m in TWO.finditer(word) for k in range(1, 18, 2) if m[k]}
+    at = [0, *sorted(c for c in cuts if 0 < c < len(word)), len(word)]
+    return tuple(zip(at[:-1], at[1:], strict=True))
+
+
 def tokenize(sentence: str) -> list[tuple[int, int]]:
-    """Spans of the tokens of a sentence without its closing dots."""
-    return [m.span() for m in TOKEN.finditer(sentence.rstrip("."))]
+    """Spans of the tokens of a sentence without its closing dots.
+
+    A word keeps a full stop inside the sentence ('E. coli'), inner dots, dashes and slashes; its signs and endings are cut off.
+    """
+    s, out = sentence.rstrip("."), []
+    end = len(s.rstrip())
+    for m in re.finditer(r"\S+", s):
+        word = m[0]
+        if word.isalnum() and word.lower() not in JOINED:
+            out.append(m.span())
+            continue
+        key = (word, m.end() == end)
+        found = _pieces_of.get(key)
+        if found is None:
+            if len(_pieces_of) >= SEEN:
+                _pieces_of.clear()
+            found = _pieces_of[key] = pieces(*key)
+        a = m.start()
+        out += [(a + x, a + z) for x, z in found]
+    return out
 
 
 def tokens(docs: DataFrame, column: str, id_: str, split: Callable[[str], list[tuple[int, int]]] | None = None, simple: bool = False, boundaries: Boundaries = NONE) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,3 +268,32 @@ def model_histogram(models: DataFrame, bins: int = 20) -> DataFrame:
 
 def sampled(rows: DataFrame, n: int, seed: int = 1) -> DataFrame:
     return rows.orderBy(F.rand(seed)).limit(n)
+
+
+def trials(rows: DataFrame, n: int, times: int = 2, seed: int = 1) -> DataFrame:
+    """trial (from 1) and the columns of rows: a sample of n rows for each of several trials."""
+    out = [sampled(rows, n, seed + t).select(F.lit(t + 1).alias("trial"), "*") for t in range(times)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def batched(rows: DataFrame, column: str, size: int = 100) -> DataFrame:
+    """batch, items: the values of a column in arrays of `size` at most, as ground_lists() takes them.
+
+    Batches are made of neighbouring rows of a partition, so that nothing has to be counted over all of them.
+    """
+    at = F.monotonically_increasing_id()
+    dealt = rows.select(at.alias("at"), F.col(column).alias("item"))
+    batch = F.concat_ws("-", F.shiftright("at", 33), F.floor((F.col("at") % (1 << 33)) / size))
+    one = F.array_sort(F.collect_list(F.struct("at", "item")))
+    return dealt.groupBy(batch.alias("batch")).agg(F.transform(one, lambda x: x["item"]).alias("items"))
+
+
+def table_lines(table: DataFrame, *order: str, kind: str = "latex") -> DataFrame:
+    """line: the rows of a small result table as text, in order, behind a head; kind 'latex' or 'markdown'. Nulls are empty."""
+    cell = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in table.columns]
+    left, between, right = ("", " & ", " \\\\") if kind == "latex" else ("| ", " | ", " |")
+    names = left + between.join(table.columns) + right
+    head = [names] if kind == "latex" else [names, "|" + "---|" * len(table.columns)]
+    rows = table.orderBy(*order) if order else table
+    lines = rows.select(F.concat(F.lit(left), F.concat_ws(between, *cell), F.lit(right)).alias("line"))
+    return table.sparkSession.createDataFrame([(x,) for x in head], "line string").coalesce(1).unionByName(lines.coalesce(1))

@@ -66,10 +66,13 @@ def word_lexicon(spark: SparkSession, sf_dir: str, least: int = 40, pairs: int =
     docs = documents(spark, sf_dir)
     docs = docs.filter("lang = 'en'") if english else docs
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+" if english else r"\p{L}+"), F.lit(0))
-    rows = docs.select(words.alias("w"))
-    one = rows.select(F.explode("w").alias("text")).filter(F.length("text") >= 4).groupBy("text").count().filter(F.col("count") >= least)
-    two = rows.filter(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.when((F.length(F.element_at("w", i)) >= 4) & (F.length(F.element_at("w", i + 1)) >= 4), F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1))))).alias("text"))
-    two = two.filter("text is not null").groupBy("text").count().filter(F.col("count") >= pairs)
+    long = lambda x: F.length(x) >= 4
+    two = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.when(long(a) & long(b), F.concat(a, F.lit(" "), b)))
+    none = F.array().cast("array<string>")
+    both = F.concat(F.filter("w", long), F.array_compact(F.when(F.size("w") > 1, two).otherwise(none)))
+    # words and pairs in one count: only pairs have a space
+    rows = docs.select(words.alias("w")).select(F.explode(both).alias("text")).groupBy("text").count()
+    often = rows.filter(F.col("count") >= F.when(F.contains("text", F.lit(" ")), pairs).otherwise(least))
     null = F.lit(None).cast("string")
-    out = one.unionByName(two).select("text", F.lit("WORD").alias("db"), F.col("text").alias("id"), F.col("text").alias("entry_name"), F.lit("name").alias("status"), F.lit("word").alias("source"), null.alias("organism"), null.alias("source_db"), null.alias("source_id"))
+    out = often.select("text", F.lit("WORD").alias("db"), F.col("text").alias("id"), F.col("text").alias("entry_name"), F.lit("name").alias("status"), F.lit("word").alias("source"), null.alias("organism"), null.alias("source_db"), null.alias("source_id"))
     return reused(out.withColumn("norm_text", F.col("text") if english else text.normalize("text")).select(*COLUMNS))

@@ -113,7 +113,7 @@ def sql() -> dict[str, str]:
     for s in SUFFIXES:
         clean = f"regexp_replace({clean}, '([^ ])({s})$', '\\1 \\2')"
     words = "words AS (SELECT raw, lower(context) AS c FROM asked)"
-    return {
+    out = {
         "hgnc_terms": HGNC,
         "chebi_terms": CHEBI,
         "mesh_terms": f"{given('mesh', 'forward')}, {MESH_ROWS} {terms('SELECT * FROM mu')}",
@@ -122,9 +122,6 @@ def sql() -> dict[str, str]:
         "uniprot_terms": UNIPROT,
         "adeft_terms": ADEFT,
         "obo_terms": OBO,
-        "all_terms": f"""{given('mesh', 'forward', 'go')}, {MESH_ROWS}, {GO_ROWS}, a AS ({terms('SELECT * FROM mu UNION ALL SELECT * FROM gu')})
-SELECT norm_text, text, db, id, entry_name, status, source, organism, source_db, source_id FROM (SELECT *, row_number() OVER (PARTITION BY db, id, coalesce(source_db, ''), coalesce(source_id, ''), text
-    ORDER BY -({RANK}), CASE WHEN lower(db) = lower(source) THEN 0 ELSE 1 END, norm_text, entry_name, status, source) AS n FROM a) WHERE n = 1""",
         "mapping_candidates": f"{given('mappable')}, {CANDIDATES} SELECT * FROM cand",
         "mappings_by_priority": f"{given('mappable', 'classes')}, {CANDIDATES} {chosen('cand')}",
         "mappings_built": f"""{given('mappable', 'classes')}, {CANDIDATES}, {LOOSE}, a AS (SELECT DISTINCT source_id, source_name, db, id, name FROM ({chosen('cand')})),
@@ -161,3 +158,9 @@ SELECT l_returnflag, F, O, F + O AS Total FROM c UNION ALL SELECT 'Total', sum(F
         "group_synonyms": "SELECT l_orderkey % 40 AS article, l_returnflag AS text, array_to_string(list_sort(list_distinct(list_concat(list(l_linenumber::VARCHAR), list(l_linestatus)))), ',') AS synonyms FROM lineitem GROUP BY 1, 2",
         "metabolite_names": f"WITH r AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '_') || 'acid(abc)' WHEN 1 THEN p_name || '/' || p_type ELSE 'stereamide' END AS raw FROM part) SELECT k, split_part({clean}, '/', 1) AS name FROM r",
     }
+    columns = "norm_text, text, db, id, entry_name, status, source, organism, source_db, source_id"
+    union = " UNION ALL ".join(f"SELECT {columns} FROM ({out[f'{k}_terms']})" for k in ("hgnc", "chebi", "mesh", "go", "famplex", "uniprot", "adeft", "obo"))
+    order = f"-({RANK}), CASE WHEN lower(db) = lower(source) THEN 0 ELSE 1 END, norm_text NULLS FIRST, entry_name NULLS FIRST, status, source, organism NULLS FIRST"
+    key = "db, id, coalesce(source_db, ''), coalesce(source_id, ''), text"
+    out["all_terms"] = f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS n FROM ({union})) WHERE n = 1"
+    return out

@@ -133,7 +133,9 @@ def obo_terms(spark, sf_dir):
 
 
 def all_terms(spark, sf_dir):
-    return etl.all_terms(mesh_terms(spark, sf_dir), go_terms(spark, sf_dir), go_terms(spark, sf_dir))
+    """All eight sources, one of them twice, without duplicates."""
+    sources = (hgnc_terms, chebi_terms, mesh_terms, go_terms, famplex_terms, uniprot_terms, adeft_terms, obo_terms, go_terms)
+    return etl.all_terms(*[f(spark, sf_dir) for f in sources])
 
 
 def mapping_candidates(spark, sf_dir):

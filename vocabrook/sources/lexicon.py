@@ -291,10 +291,10 @@ def grounding_map(rows: DataFrame, values: str = "fields") -> DataFrame:
     return rows.select("text", F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["k"] != "", F.lit(False)))).alias("groundings"))
 
 
-def before_first_null(rows: DataFrame, column: str, ord_: str = "ord", part: Column | None = None) -> DataFrame:
+def before_first_null(rows: DataFrame, column: str, ord_: str = "ord") -> DataFrame:
     """The rows before the first one with a null in column: a minimum and a filter, not a window over everything."""
-    stop = rows.filter(F.col(column).isNull()).agg(F.min(ord_).alias("_stop"))
-    return rows.join(F.broadcast(stop), (F.col(ord_) < F.col("_stop")) | F.col("_stop").isNull()).drop("_stop")
+    stop = rows.filter(F.col(column).isNull()).agg(F.min(ord_)).scalar()
+    return rows.filter(F.coalesce(F.col(ord_) < stop, F.lit(True)))
 
 
 def curated_groundings(rows: DataFrame, pubchem: DataFrame | None = None, most: int = 3) -> DataFrame:

@@ -178,7 +178,8 @@ def sample_labels(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
     chosen = part("toxic = 1", TRAIN_TOXIC).unionByName(part("toxic <> 1", TRAIN_OTHER))
     # the sample is bounded by its parameters, so it can be broadcast
     rows = docs.filter(F.length("text") <= TRAIN_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", kind="stable")
+    # of several texts of a doc_id, the first by value: fits are repeatable
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id", kind="stable")
 
 
 def fit(sample: pd.DataFrame) -> dict | None:

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches
+from .common import built_once, chunks, small_batches
 
 #: Fixed value: the pattern of byte-level vocabularies; a space goes with the word behind it.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -138,12 +138,16 @@ class Vocabulary:
         self.known: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
-    def __getstate__(self):
+    def plain(self) -> dict:
+        """What restored() makes the vocabulary of: dictionaries and lists, without the trie."""
         return {k: v for k, v in self.__dict__.items() if k not in ("children", "last", "at", "known", "pairs")}
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
+    @classmethod
+    def restored(cls, plain: dict) -> Vocabulary:
+        self = cls.__new__(cls)
+        self.__dict__.update(plain)
         self.forget()
+        return self
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether a and b stay two tokens side by side: no merge across the border comes before those that make them.
@@ -311,7 +315,7 @@ _WORD, _ASCII = regex.compile(WORD), re.compile(ASCII_WORD)
 def vocabulary(df: DataFrame, path: str | None = None):
     """The file's vocabulary, read by the driver and broadcast: its size is that of the file, whatever the data."""
     small_batches(df.sparkSession)
-    return df.sparkSession.sparkContext.broadcast(Vocabulary(path or default_vocabulary()))
+    return df.sparkSession.sparkContext.broadcast({"given": Vocabulary(path or default_vocabulary()).plain()})
 
 
 def encode(df: DataFrame, column: str = "text", target: str = "ids", path: str | None = None) -> DataFrame:
@@ -320,8 +324,9 @@ def encode(df: DataFrame, column: str = "text", target: str = "ids", path: str |
 
     @F.pandas_udf("array<int>")
     def ids(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in values:
-            yield pd.Series([np.frombuffer(shared.value.encoded(t or ""), "<i4") for t in v], dtype=object)
+        vocabulary = built_once(shared, Vocabulary.restored)
+        for texts in values:
+            yield pd.Series([np.frombuffer(vocabulary.encoded(t or ""), "<i4") for t in texts], dtype=object)
 
     return df.withColumn(target, ids(F.col(column)))
 
@@ -332,8 +337,9 @@ def decode(df: DataFrame, column: str = "ids", target: str = "text", path: str |
 
     @F.pandas_udf("string")
     def text(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in values:
-            yield pd.Series([shared.value.decoded(np.asarray(ids, "<u4").tobytes()).decode("utf-8", "replace") if ids is not None else "" for ids in v], dtype=object)
+        vocabulary = built_once(shared, Vocabulary.restored)
+        for lists in values:
+            yield pd.Series([vocabulary.decoded(np.asarray(ids, "<u4").tobytes()).decode("utf-8", "replace") if ids is not None else "" for ids in lists], dtype=object)
 
     return df.withColumn(target, text(F.col(column)))
 
@@ -344,7 +350,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
-        v = shared.value
+        v = built_once(shared, Vocabulary.restored)
         for pdf in chunks(batches):
             n, ids, back = [0] * len(pdf), [hashlib.sha256() for _ in range(len(pdf))], [hashlib.sha256() for _ in range(len(pdf))]
             for k, piece in v.encode_all(pdf["text"]):

@@ -61,6 +61,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def built_once(shared, build):
+    """build(what was broadcast), once a worker. shared: a broadcast of {"given": plain data}.
+
+    The object is kept in the broadcast's own dict; its class comes with the function that asks, so workers need no copy of
+    this package.
+    """
+    held = shared.value
+    if "built" not in held:
+        held["built"] = build(held["given"])
+    return held["built"]
+
+
 def crc_fold(doc_id) -> "F.Column":
     """crc32 of the decimal doc_id, mod 5; fold 0 is held out. A null doc_id is held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5, F.lit(0))

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, small_batches
+from .common import built_once, chunks, mix, small_batches
 
 Q = 12
 EDIT_SHARE = 0.06
@@ -82,32 +82,9 @@ def slices(count: int, width: int):
 
 
 class Items:
-    """A block of items, prepared for matching; only the items themselves travel, and a worker prepares them once."""
+    """A block of items, prepared for matching."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
-        self.given = rows
-        self.prepare(rows)
-
-    @classmethod
-    def unprepared(cls, rows: list[tuple[int, bytes]]) -> "Items":
-        self = cls.__new__(cls)
-        self.given = rows
-        return self
-
-    def __getstate__(self):
-        return self.given
-
-    def __setstate__(self, rows):
-        self.given = rows
-
-    def __getattr__(self, name: str):
-        # an item block that came by broadcast, used for the first time
-        if name.startswith("__") or "given" not in self.__dict__ or "keys" in self.__dict__:
-            raise AttributeError(name)
-        self.prepare(self.given)
-        return getattr(self, name)
-
-    def prepare(self, rows: list[tuple[int, bytes]]) -> None:
         self.short = [(i, t) for i, t in rows if len(t) < Q]
         self.rows = [(i, t) for i, t in rows if len(t) >= Q]
         self.length = np.array([len(t) for _, t in self.rows], np.int64)
@@ -286,12 +263,12 @@ def item_blocks(benchmark: DataFrame):
         t = normal(r["text"])
         if t:
             if rows and (size + len(t) > BLOCK_BYTES or (len(rows) + 1) * len(t) > 4 * BLOCK_BYTES):
-                yield Items.unprepared(rows)
+                yield rows
                 rows, size = [], 0
             rows.append((r["item_id"], t))
             size += len(t)
     if rows:
-        yield Items.unprepared(rows)
+        yield rows
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, exact: bool = False) -> DataFrame:
@@ -305,10 +282,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, exact: bool = False) ->
     schema, out = "doc_id long, item_id long, distance int, start long", None
     blocks = item_blocks(benchmark)
     while group := list(itertools.islice(blocks, BLOCKS)):
-        shared = [spark.sparkContext.broadcast(block) for block in group]  # each at most BLOCK_BYTES or one item
+        shared = [spark.sparkContext.broadcast({"given": rows}) for rows in group]  # each at most BLOCK_BYTES or one item
 
         def run(batches, shared=shared):
-            prepared = [block.value for block in shared]
+            prepared = [built_once(block, Items) for block in shared]
             for pdf in chunks(batches):
                 ids, texts = pdf["doc_id"].to_numpy(), [normal(t) for t in pdf["text"]]
                 found = [(ids[i], (items.rows[x] if x >= 0 else items.short[-1 - x])[0], e, s) for items in prepared for i, x, e, s in match(texts, items, exact)]

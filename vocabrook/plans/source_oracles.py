@@ -71,15 +71,19 @@ t AS (SELECT *, standard AS text, 'name' AS status FROM z UNION ALL SELECT * FRO
 ADEFT = f"""{given("adeft")}, r AS (SELECT *, split_part(grounding, ':', 1) AS d, substr(grounding, len(split_part(grounding, ':', 1)) + 2) AS i FROM adeft WHERE contains(grounding, ':'))
 SELECT DISTINCT * FROM ({terms("SELECT shortform AS text, d AS db, CASE WHEN d IN ('EFO', 'NCIT', 'OMIT') AND starts_with(i, d || ':') THEN substr(i, len(d) + 2) WHEN d IN ('BTO', 'HP', 'DOID') AND NOT starts_with(i, d || ':') THEN d || ':' || i ELSE i END AS id, name AS entry_name, 'synonym' AS status, 'adeft' AS source, NULL AS organism, NULL AS source_db, NULL AS source_id FROM r")})"""
 
-OBO = f"""{given("ontology", "mesh_names", "forward", "reverse", "doid")},
-x AS (SELECT *, nullif(regexp_extract(xrefs, '(?:MESH|MSH):([A-Z]\\d+)', 1), '') AS xm, nullif(regexp_extract(xrefs, '(DOID:\\d+)$', 1), '') AS xd FROM ontology),
-j AS (SELECT x.*, v.mesh_id AS am, v.mesh_name AS an, m.mesh_name AS mn, f.db AS fd, f.id AS fi, f.name AS fn, coalesce(d."primary", d.doid) AS di FROM x LEFT JOIN reverse v ON v.db = 'HP' AND v.id = x.id LEFT JOIN mesh_names m ON m.mesh_id = xm
+def ontology(name: str, prefix: str) -> str:
+    """Terms of one ontology, moved to MeSH or DOID where they are mapped."""
+    upper, rest = prefix.upper(), " AND NOT starts_with(tid, 'BFO:')" if prefix == "efo" else ""
+    return f"""{given(name, "mesh_names", "forward", "reverse", "doid")},
+x AS (SELECT *, nullif(regexp_extract(xrefs, '(?:MESH|MSH):([A-Z]\\d+)', 1), '') AS xm, nullif(regexp_extract(xrefs, '(DOID:\\d+)$', 1), '') AS xd FROM {name}),
+j AS (SELECT x.*, v.mesh_id AS am, v.mesh_name AS an, m.mesh_name AS mn, f.db AS fd, f.id AS fi, f.name AS fn, coalesce(d."primary", d.doid) AS di FROM x LEFT JOIN reverse v ON v.db = '{upper}' AND v.id = x.id LEFT JOIN mesh_names m ON m.mesh_id = xm
     LEFT JOIN (SELECT * FROM forward WHERE db NOT IN ('EFO', 'HP', 'DOID')) f ON f.mesh_id = xm LEFT JOIN doid d ON d.doid = xd),
 k AS (SELECT j.*, e.doid_name AS dn, CASE WHEN am IS NOT NULL THEN 1 WHEN xm LIKE 'D%' AND mn IS NOT NULL THEN 2 WHEN xm IS NULL AND e.doid_name IS NOT NULL THEN 3 ELSE 4 END AS way FROM j LEFT JOIN doid e ON e.doid = di AND e.doid_name IS NOT NULL),
-u AS (SELECT id AS oid, name AS oname, synonyms, CASE way WHEN 1 THEN 'MESH' WHEN 2 THEN coalesce(fd, 'MESH') WHEN 3 THEN 'DOID' ELSE 'HP' END AS db, CASE way WHEN 1 THEN am WHEN 2 THEN coalesce(fi, xm) WHEN 3 THEN di ELSE id END AS tid,
+u AS (SELECT id AS oid, name AS oname, synonyms, CASE way WHEN 1 THEN 'MESH' WHEN 2 THEN coalesce(fd, 'MESH') WHEN 3 THEN 'DOID' ELSE '{upper}' END AS db, CASE way WHEN 1 THEN am WHEN 2 THEN coalesce(fi, xm) WHEN 3 THEN di ELSE id END AS tid,
     CASE way WHEN 1 THEN an WHEN 2 THEN coalesce(fn, mn) WHEN 3 THEN dn ELSE name END AS entry_name FROM k),
 t AS (SELECT *, oname AS text, 'name' AS status FROM u UNION ALL SELECT * REPLACE (split_part(text, ' (formerly', 1) AS text) FROM (SELECT *, unnest(list_distinct({items('synonyms')})) AS text, 'synonym' AS status FROM u) WHERE NOT contains(lower(text), 'ambiguous'))
-{terms("SELECT text, db, tid AS id, entry_name, status, 'hp' AS source, NULL AS organism, CASE WHEN db <> 'HP' THEN 'HP' END AS source_db, CASE WHEN db <> 'HP' THEN oid END AS source_id FROM t")}"""
+{terms(f"SELECT text, db, tid AS id, entry_name, status, '{prefix}' AS source, NULL AS organism, CASE WHEN db <> '{upper}' THEN '{upper}' END AS source_db, CASE WHEN db <> '{upper}' THEN oid END AS source_id FROM t WHERE TRUE{rest}")}"""
+
 
 CANDIDATES = f"""one AS (SELECT key, db, id, arg_max(entry_name, rank * 1000000 + pos) AS name FROM (SELECT *, row_number() OVER (ORDER BY text) AS pos, 5 - ({RANK}) AS rank FROM (SELECT text AS key, * FROM mappable)) GROUP BY key, db, id),
 mine AS (SELECT key, min(id) AS source_id, min(name) AS source_name FROM one WHERE db = 'MESH' GROUP BY key HAVING count(*) = 1),
@@ -121,7 +125,8 @@ def sql() -> dict[str, str]:
         "famplex_terms": FAMPLEX,
         "uniprot_terms": UNIPROT,
         "adeft_terms": ADEFT,
-        "obo_terms": OBO,
+        "obo_terms": ontology("ontology", "hp"),
+        "efo_terms": ontology("ontology_efo", "efo"),
         "mapping_candidates": f"{given('mappable')}, {CANDIDATES} SELECT * FROM cand",
         "mappings_by_priority": f"{given('mappable', 'classes')}, {CANDIDATES} {chosen('cand')}",
         "mappings_built": f"""{given('mappable', 'classes')}, {CANDIDATES}, {LOOSE}, a AS (SELECT DISTINCT source_id, source_name, db, id, name FROM ({chosen('cand')})),

@@ -75,6 +75,8 @@ INPUTS = {
         UNION ALL SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'adeft' ELSE 'own' END, 'GO:' || n_nationkey, lower(r_name), CAST(1.5 AS DOUBLE) FROM {nation} CROSS JOIN {region} WHERE n_nationkey % 5 < 4 AND r_regionkey < 3""",
 }
 
+INPUTS["ontology_efo"] = INPUTS["ontology"].replace("'X:' || p_partkey AS id", "CASE WHEN p_partkey % 9 = 0 THEN 'BFO:' ELSE 'X:' END || p_partkey AS id")
+
 
 def given(spark, sf_dir: str, name: str) -> DataFrame:
     tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in ("part", "nation", "region", "supplier", "lineitem", "orders", "customer")}
@@ -126,10 +128,19 @@ def adeft_terms(spark, sf_dir):
     return etl.adeft_terms(given(spark, sf_dir, "adeft"))
 
 
-def obo_terms(spark, sf_dir):
-    rows = _listed(given(spark, sf_dir, "ontology"), "synonyms", "xrefs")
+def _ontology(spark, sf_dir, name, prefix):
+    rows = _listed(given(spark, sf_dir, name), "synonyms", "xrefs")
     rows = rows.withColumn("xrefs", F.transform("xrefs", lambda x: F.struct(F.split(x, ":", 2)[0].alias("namespace"), F.split(x, ":", 2)[1].alias("id"))))
-    return etl.obo_terms(rows, "hp", *[given(spark, sf_dir, n) for n in ("mesh_names", "forward", "reverse", "doid")])
+    return etl.obo_terms(rows, prefix, *[given(spark, sf_dir, n) for n in ("mesh_names", "forward", "reverse", "doid")])
+
+
+def obo_terms(spark, sf_dir):
+    return _ontology(spark, sf_dir, "ontology", "hp")
+
+
+def efo_terms(spark, sf_dir):
+    """An ontology that brings upper-level entries of another one, which are left out."""
+    return _ontology(spark, sf_dir, "ontology_efo", "efo")
 
 
 def all_terms(spark, sf_dir):

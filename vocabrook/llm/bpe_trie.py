@@ -77,6 +77,7 @@ class Vocabulary:
         self.later = later_letters()
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes = {number: word for word, number in self.id.items()} | {number: text.encode() for text, number in self.special.items()}
+        self.written = {number: number.to_bytes(4, "little") for number in self.bytes}
         self.sizes = {number: len(word) for number, word in self.bytes.items()}
         #: pair -> rank of its merge; token -> rank of the merge that makes it (-1: a byte) and its two parts.
         self.rank: dict[tuple[int, int], int] = {}
@@ -131,16 +132,17 @@ class Vocabulary:
         return to
 
     def forget(self) -> None:
-        """The trie (children; of each node the last token and the automaton's state), the words known and the pairs met, begun anew."""
+        """The trie (children; of each node the last token, the automaton's state and the prefix's ids), the words known and the pairs met, begun anew."""
         self.children: dict[int, int] = {}
         self.last: list[int] = [-1]
         self.at: list[int] = [0]
+        self.ids: list[bytes] = [b""]
         self.known: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     def plain(self) -> dict:
         """What restored() makes the vocabulary of: dictionaries and lists, without the trie."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("children", "last", "at", "known", "pairs")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("children", "last", "at", "ids", "known", "pairs")}
 
     @classmethod
     def restored(cls, plain: dict) -> Vocabulary:
@@ -203,41 +205,46 @@ class Vocabulary:
         return self.unwound(lasts)
 
     def learn(self, words: set[str]) -> None:
-        """Tokens of words not known yet: in order of their bytes, the trie is walked depth first, and the path's states are at hand."""
-        children, last, state, step, ends = self.children, self.last, self.at, self.step, self.ends
-        node, before, lasts = [0], b"", [-1]
+        """Tokens of words not known yet: in order of their bytes, the trie is walked depth first, and the path's states are at hand.
+
+        A node also has its prefix's tokens, those of an ancestor and one more, so that nothing is unwound for a word.
+        """
+        children, last, reached_at, ids, step, ends, written = self.children, self.last, self.at, self.ids, self.step, self.ends, self.written
+        node, lasts, before = [0] * (LONG + 1), [-1] * (LONG + 1), b""
         for word, text in sorted([(w.encode("utf-8", "replace"), w) for w in words]):
             if len(word) > LONG:
                 self.known[text] = array("I", self.tokens(word)).tobytes()
                 continue
             if len(last) > NODES:
                 children.clear()
-                del last[1:], state[1:]
-                node, before, lasts = [0], b"", [-1]
+                del last[1:], reached_at[1:], ids[1:]
+                before = b""
             shared = 0
             for x, y in zip(word, before):  # noqa: B905  (of unequal lengths)
                 if x != y:
                     break
                 shared += 1
-            del node[shared + 1 :], lasts[shared + 1 :]
             at = node[shared]
             for end in range(shared + 1, len(word) + 1):
                 byte = word[end - 1]
                 key = at << 8 | byte
                 below = children.get(key)
                 if below is None:
-                    reached = step.get(state[at] << 8 | byte)
+                    reached = step.get(reached_at[at] << 8 | byte)
                     if reached is None:
-                        reached = self.moved(state[at], byte)
+                        reached = self.moved(reached_at[at], byte)
                     size, t = ends[reached][0]
+                    if size != end:
+                        t = self.state(reached, end, lasts)
+                        size = self.sizes[t]
                     below = children[key] = len(last)
-                    last.append(t if size == end else self.state(reached, end, lasts))
-                    state.append(reached)
-                at = below
-                node.append(at)
-                lasts.append(last[at])
+                    last.append(t)
+                    reached_at.append(reached)
+                    ids.append(ids[node[end - size]] + written[t])
+                node[end] = at = below
+                lasts[end] = last[at]
             before = word
-            self.known[text] = array("I", self.unwound(lasts)).tobytes()
+            self.known[text] = ids[at]
 
     def words(self, text: str) -> Iterator[list[str]]:
         """The words in order, in pieces: one of a text of up to SHORT characters, PIECE words each of a longer one."""

@@ -5,13 +5,14 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
-from vocabrook.llm import decontaminate, html_extract, lang_mixture, license_scan, ngram_join, source_mix, suffix_dedup, toxicity, vp_trees, warc_table
+from vocabrook.llm import common, decontaminate, html_extract, lang_mixture, license_scan, ngram_join, source_mix, suffix_dedup, toxicity, vp_trees, warc_table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words int, size int, key string"
 
@@ -446,6 +447,23 @@ def test_warc_chunks_hold_bytes(spark):
     assert max(sizes) <= warc_table.CHUNK + 2000 and sum(sizes) > 800_000
 
 
+def test_warc_plan_leaves_html_where_it_is(spark, monkeypatch):
+    rows = [(i, f"u{i}", "x" * (900 + 200 * (i % 3)) if i % 4 else None) for i in range(40)] + [(None, "u", "x" * 1100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    folder = Path(common.shared_dir(spark).split("://")[-1])
+    here = set(folder.iterdir())
+    few = warc_table.plan_records(pages)
+    assert set(folder.iterdir()) == here, "slim rows have no files in the shared folder"
+    assert "BroadcastHashJoin" in (plan := few._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]) and "SortMergeJoin" not in plan
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)  # as if there were very many revisits
+    many = warc_table.plan_records(pages)
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(few) == key(many)
+    top = {n: max(i for i, _, h in rows[:-1] if h and len(h) == n) for n in (1100, 1300)}
+    assert {r.page_id: r.refers_to for r in few.collect() if r.refers_to is not None} == {i: top[len(h)] for i, _, h in rows[:-1] if h and len(h) >= 1000 and i < top[len(h)]}
+
+
 def test_vp_trees_skip_and_pack():
     rng = np.random.default_rng(27)
     v = np.concatenate([rng.normal(size=(400, 8)), rng.normal(size=(400, 8)) + 50, np.zeros((300, 8)) + 7])

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import kept, settle, small_batches, small_side
 
 CHUNK = 256 * 1024
 MIN_REVISIT = 1000
@@ -66,15 +66,16 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, html, payload_bytes, payload_digest, refers_to.
 
     Digests are taken in the JVM; groups of equal payloads are summed up before the shuffle, and what a page refers to is
-    found without its html, and then joined by page: copies of one payload never meet in one task.
+    found without its html, and then joined by page: copies of one payload never meet in one task, and where there are few
+    revisits the html is not shuffled either.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"))
-    slim = settle(rows.filter((F.col("payload_bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "payload_digest", "payload_bytes"), "digests")
+    slim = kept(rows.filter((F.col("payload_bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "payload_digest", "payload_bytes"), "digests")
     group = ["payload_digest", "payload_bytes"]
     groups = slim.groupBy(*group).agg(F.max("page_id").alias("first"), F.min("page_id").alias("last")).filter("first > last").drop("last")
-    revisits = settle(slim.join(groups, group).filter("page_id < first").select("page_id", *group, F.col("first").alias("refers_to")).distinct(), "revisits")
-    rows = rows.hint("merge").join(revisits, ["page_id", *group], "left")
+    revisits = kept(slim.join(groups, group).filter("page_id < first").select("page_id", *group, F.col("first").alias("refers_to")).distinct(), "revisits")
+    rows = rows.join(small_side(revisits), ["page_id", *group], "left")
     return rows.select("page_id", "url", "html", *group[::-1], "refers_to")
 
 

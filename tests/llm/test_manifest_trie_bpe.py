@@ -3,12 +3,13 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vocabrook.llm import bpe_trie, conversation_trie, merkle_manifest
+from vocabrook.llm import bpe_trie, common, conversation_trie, merkle_manifest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -107,6 +108,17 @@ def test_merkle_empty_table(spark):
     assert merkle_manifest.digest(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_merkle_levels_two_at_a_time(spark):
+    folder = Path(common.shared_dir(spark).split("://")[-1])
+    here = set(folder.iterdir())
+    docs = spark.createDataFrame([(i, f"t{i}", "en", "s", 1) for i in range(600)], DOCS)  # levels of 600, 75, 10, 2, 1 nodes
+    found = merkle_manifest.digest(docs)
+    made = sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - here)
+    assert [n for n in made if n.startswith("merkle-level")] == ["merkle-level1", "merkle-level2"]
+    assert not {"merkle-rows", "merkle-leaves", "merkle-leaves-parts", "merkle-nodes"} & set(made), "rows of a leaf each have no files"
+    assert found.filter("verified").count() == found.count() == 600 and found.select("root").distinct().count() == 1
+
+
 # ---- conversation trie
 
 

@@ -6,9 +6,10 @@ concatenated digests of its children. A leaf's path is the preimages of its ance
 each: siblings are what is left of a preimage once the own 64 characters are excised, and a fold splices the digest that
 was reached so far into that slot and hashes again.
 
-Paths are handed down from the root, a level a join on (group, parent): a parent meets FAN children at most, so that the
-root's preimage is not a hot key. Leaves are numbered by ranges, so that a group may hold all rows. Texts are read once,
-for the leaves; all else works on digests, and the number of levels is the logarithm of the largest group.
+Levels are made two at a time, and paths handed down from the root likewise, two levels a join on (group, ancestor): an
+ancestor meets FAN * FAN descendants at most, so that the root's preimage is not a hot key. Leaves are numbered by ranges, so
+that a group may hold all rows. Texts are read once, for the leaves; all else works on digests, and the number of levels is
+the logarithm of the largest group.
 
 Defined cases: a null field is written `-`, an empty one `0:`; rows with a null group form one group, before all others;
 rows of equal order are put in order of their digests, so that repeated rows are leaves of their own; a null id comes first
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_sql, numbered, settle
+from .common import crc32_sql, kept, numbered, settle
 
 FAN, DIGEST = 8, 64
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -39,20 +40,26 @@ def leaf_digest(*values: Column) -> Column:
 
 
 def parents(nodes: DataFrame) -> DataFrame:
-    """nodes(group, idx, hash, n) of groups with more than one -> the next level: group, idx, preimage, hash, n."""
-    runs = nodes.filter("n > 1").groupBy("group", F.floor(F.col("idx") / FAN).alias("idx"))
-    rows = runs.agg(F.array_sort(F.collect_list(F.struct((F.col("idx") % FAN).alias("slot"), "hash"))).alias("run"), F.first("n").alias("n"))
-    preimage = F.array_join(F.transform("run", lambda x: x["hash"]), "")
-    rows = rows.select("group", "idx", preimage.alias("preimage"), F.ceil(F.col("n") / FAN).alias("n"))
-    return rows.withColumn("hash", F.sha2(F.col("preimage").cast("binary"), 256))
+    """nodes(group, idx, hash, n) of groups with more than one -> the nodes two levels up: group, idx, low, preimage, hash, n.
+
+    low: the preimages of the level between. preimage: null where that level is the group's last; hash is its node's then.
+    """
+    runs = nodes.filter("n > 1").groupBy("group", F.floor(F.col("idx") / FAN**2).alias("idx"))
+    rows = runs.agg(F.array_sort(F.collect_list(F.struct((F.col("idx") % FAN**2).alias("slot"), "hash"))).alias("run"), F.first("n").alias("n"))
+    rows = rows.select("group", "idx", F.transform("run", lambda x: x["hash"]).alias("run"), F.ceil(F.col("n") / FAN).alias("n"))
+    starts = F.sequence(F.lit(1), F.size("run"), F.lit(FAN))
+    rows = rows.withColumn("low", F.transform(starts, lambda at: F.array_join(F.slice("run", at, FAN), ""))).drop("run")
+    above = F.array_join(F.transform("low", lambda p: F.sha2(p.cast("binary"), 256)), "")
+    rows = rows.select("group", "idx", "low", F.when(F.col("n") > 1, above).alias("preimage"), F.ceil(F.col("n") / FAN).alias("n"))
+    return rows.withColumn("hash", F.sha2(F.coalesce("preimage", F.get("low", F.lit(0))).cast("binary"), 256))
 
 
 def levels(nodes: DataFrame, name: str) -> list[DataFrame]:
-    """The nodes and all levels above them, each written; the last has tops only."""
+    """The nodes and each second level above them, each written; the last has tops only."""
     out, most = [nodes], nodes.agg(F.max("n")).first()[0] or 0
     while most > 1:
         out.append(settle(parents(out[-1]), f"{name}-level{len(out)}"))
-        most = -(-most // FAN)
+        most = -(-most // FAN**2)
     return out
 
 
@@ -63,11 +70,15 @@ def handed_down(tree: list[DataFrame], tops: DataFrame) -> DataFrame:
     """
     extra = [c for c in tops.columns if c not in ("group", "path")]
     rows = tree[-1].filter("n <= 1").join(tops, "group")
+    slot = lambda idx: (idx % FAN).cast("int")
+    step = lambda preimage, idx: F.array(F.struct(preimage.alias("preimage"), slot(idx).alias("slot")))
     for nodes in tree[-2::-1]:
-        above = rows.select("group", F.col("idx").alias("_up"), F.col("preimage").alias("_preimage"), F.col("path").alias("_path"), *extra)
-        step = F.array(F.struct(F.col("_preimage").alias("preimage"), (F.col("idx") % FAN).cast("int").alias("slot")))
-        inner = nodes.filter("n > 1").withColumn("_up", F.floor(F.col("idx") / FAN)).hint("merge").join(above, ["group", "_up"])
-        inner = inner.withColumn("path", F.concat(step, "_path")).drop("_up", "_preimage", "_path")
+        above = rows.select("group", F.col("idx").alias("_up"), F.col("low").alias("_low"), F.col("preimage").alias("_preimage"), F.col("path").alias("_path"), *extra)
+        between = F.floor(F.col("idx") / FAN)
+        inner = nodes.filter("n > 1").withColumn("_up", F.floor(F.col("idx") / FAN**2)).hint("merge").join(above, ["group", "_up"])
+        near = step(F.get("_low", slot(between)), F.col("idx"))
+        path = F.when(F.col("_preimage").isNull(), F.concat(near, "_path")).otherwise(F.concat(near, step(F.col("_preimage"), between), "_path"))
+        inner = inner.withColumn("path", path).drop("_up", "_low", "_preimage", "_path")
         rows = nodes.filter("n <= 1").join(tops, "group").unionByName(inner)
     return rows
 
@@ -87,10 +98,10 @@ def folded(leaf: Column, path) -> Column:
 def manifest(rows: DataFrame, id_: str = "doc_id") -> DataFrame:
     """rows(id_, group, leaf, ..) of any slim further columns -> with subroot, root, path.
 
-    rows have to be written ones (settle), for they are read several times.
+    rows have to be kept ones (kept or settle), for they are read several times.
     """
-    leaves = numbered(rows, "group", id_, "leaf", name="merkle-leaves").withColumn("hash", F.col("leaf"))
-    leaves = settle(leaves, "merkle-nodes")
+    leaves = numbered(rows, "group", id_, "leaf", name="merkle-leaves", hold=kept).withColumn("hash", F.col("leaf"))
+    leaves = kept(leaves, "merkle-nodes")
     tree = levels(leaves, "merkle")
     tops = reduce(DataFrame.unionByName, [t.filter("n <= 1").select("group", "hash") for t in tree])
     # the groups are the leaves of one more tree, whose only group is ''
@@ -109,7 +120,7 @@ def digest(docs: DataFrame) -> DataFrame:
     # '-' sorts before '=': rows without a group come first
     group = F.when(F.col("lang").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), "lang"))
     rows = docs.select("doc_id", group.alias("group"), leaf_digest(*fields).alias("leaf"), tampered.alias("tampered"))
-    out = manifest(settle(rows, "merkle-rows"))
+    out = manifest(kept(rows, "merkle-rows"))
     out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings("path").cast("binary"), 256).alias("proof_sha256"), folded(F.coalesce("tampered", "leaf"), "path").alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 

@@ -131,8 +131,7 @@ def abbreviation_scores(spark, sf_dir):
 def annotations_bounded(spark, sf_dir):
     """Annotations with the sentence boundaries that the documents tell, counted a document."""
     docs = derived.documents(spark, sf_dir)
-    found = annotation.annotate(docs, Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id", boundaries=sentences.learned(docs))
-    return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_annotations"))
+    return annotation.counted(docs, Grounder(spark, derived.word_lexicon(spark, sf_dir)), "text", "doc_id", boundaries=sentences.learned(docs))
 
 
 def queries() -> dict:

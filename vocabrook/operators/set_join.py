@@ -4,26 +4,48 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import reused
+
+
+#: Longs of 64 bits in which a set's elements leave a mark each.
+MARKS = 2
+
+
+def _marks() -> list[Column]:
+    """Which of the 64 * MARKS marks the items of a group have."""
+    bit = F.pmod(F.xxhash64("item"), F.lit(64 * MARKS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    return [F.bit_or(F.when(F.floor(bit / 64) == k, one).otherwise(F.lit(0).cast("long"))) for k in range(MARKS)]
+
 
 def contained_sets(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     """needles(needle, item), haystacks(hay, item), a row an element -> needle, hay: all elements of the one are among the other's.
 
     A needle is looked up by its rarest element only, in an index of the haystacks; the candidates' other elements are
-    counted. Sets are rows throughout, so neither a set nor an element's haystacks has to fit in one row. A set without
-    elements has no rows and is in none; a needle with an element that no haystack has is dropped before the look-up.
+    counted. Marks of a few bits that a haystack's elements leave drop most candidates where they are found: one without a
+    mark of the needle lacks an element. Sets are rows throughout, so neither a set nor an element's haystacks has to fit in
+    one row. A set without elements has no rows and is in none; a needle with an element that no haystack has is dropped
+    before the look-up.
     """
-    needles, haystacks = needles.select("needle", "item").distinct(), haystacks.select("hay", "item").distinct()
+    # dealt by their sets once, so that what is said of a set needs no other exchange; haystacks are read four times
+    needles, haystacks = needles.select("needle", "item").repartition("needle").distinct(), reused(haystacks.select("hay", "item").repartition("hay").distinct())
+    marks = _marks()
     often = haystacks.groupBy("item").agg(F.count("*").alias("often"))
     sizes = needles.hint("merge").join(often, "item", "left").groupBy("needle").agg(
         F.count("*").alias("size"), F.count("often").alias("known"), F.min(F.struct("often", "item")).alias("rarest"),
     )
     sizes = sizes.filter("known = size").select("needle", "size", F.col("rarest.item").alias("item"))
-    found = sizes.hint("merge").join(haystacks, "item").withColumnRenamed("item", "rarest")
-    alone = found.filter("size = 1").select("needle", "hay")
-    rest = found.filter("size > 1").hint("merge").join(needles, "needle").filter("item <> rarest")
+    # read twice: for sets of one element, and of several
+    sizes = reused(sizes.hint("merge").join(needles.groupBy("needle").agg(*[m.alias(f"n_{k}") for k, m in enumerate(marks)]), "needle"))
+    names = [f"_{k}" for k in range(MARKS)]
+    marked = haystacks.withColumns({c: m.over(Window.partitionBy("hay")) for c, m in zip(names, marks, strict=True)})
+    within = [F.col(f"n{c}").bitwiseAND(F.col(c)) == F.col(f"n{c}") for c in names]
+    alone = sizes.filter("size = 1").select("needle", "item").hint("merge").join(haystacks, "item").select("needle", "hay")
+    found = sizes.filter("size > 1").hint("merge").join(marked, "item").filter(reduce(Column.__and__, within)).select("needle", "hay", "size", F.col("item").alias("rarest"))
+    rest = found.hint("merge").join(needles, "needle").filter("item <> rarest")
     full = rest.hint("merge").join(haystacks, ["hay", "item"], "left_semi").groupBy("needle", "hay", "size").agg(F.count("*").alias("met")).filter("met = size - 1")
     return alone.unionByName(full.select("needle", "hay"))
 

@@ -108,3 +108,22 @@ def test_words_are_counted_where_texts_are_read(spark, monkeypatch):
     want = {(r.word, N): (r.a, r.b) for r in by_word.collect()} | {(r.word, r.next): (r["count"], 0) for r in pairs.collect()}
     counts = sentences.word_counts(docs)
     assert {(r.word, r.next): (r.with_stop, r.without) for r in counts.collect()} == want and len(want) > 100
+
+
+def test_frequent_grams_are_counted_once(spark):
+    """Models read the kept counts, not the texts; a context's words stay where they are for models of few rows, not of many."""
+    from vocabrook.operators import disambiguation
+    from vocabrook.plans import benchmark_queries
+
+    docs = spark.createDataFrame([(k, f"the er lumen {'zentra ' * (k % 3)} x{k}", str(k)) for k in range(30)], "doc_id int, text string, context_key string")
+    models = benchmark_queries.gram_models(docs)
+    assert "regexp_extract_all" not in models._jdf.queryExecution().optimizedPlan().toString() and models.count() > 10
+    ask = lambda: disambiguation.label_probabilities(docs.select(F.lit("er").alias("raw"), "context_key"), docs.select("context_key", F.col("text").alias("context")), models, "[a-z0-9]+")
+    told = {(r.context_key, r.label): round(r.probability, 12) for r in ask().collect()}
+    plan = ask()._jdf.queryExecution().optimizedPlan().toString()
+    before, disambiguation.FEATURES = disambiguation.FEATURES, 1
+    try:
+        assert {(r.context_key, r.label): round(r.probability, 12) for r in ask().collect()} == told and len(told) == 60
+        assert plan.count("strategy=broadcast") > ask()._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") + 1
+    finally:
+        disambiguation.FEATURES = before

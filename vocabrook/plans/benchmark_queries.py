@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import annotation, disambiguation, evaluation, learning, lexicon_ops, sentences, set_join
 from ..operators.grounding import Grounder, context_key
 from ..sources import lexicon
+from ..sources.tables import reused
 from . import derived, source_queries
 
 INPUTS = {
@@ -100,7 +101,8 @@ PATTERN = "[a-z0-9]+"
 def gram_models(docs: DataFrame) -> DataFrame:
     """Models of the surface 'er' over all words and pairs that every twentieth document or more has, their weights by a rule."""
     grams = docs.select("doc_id", F.explode(F.array_distinct(disambiguation.grams("text", PATTERN))).alias("feature"))
-    often = grams.groupBy("feature").agg(F.count("*").alias("df")).join(F.broadcast(docs.agg(F.count("*").alias("n")))).filter("df * 20 >= n")
+    # a few rows of a count over all texts, which whoever uses the models reads several times
+    often = reused(grams.groupBy("feature").agg(F.count("*").alias("df")).join(F.broadcast(docs.agg(F.count("*").alias("n")))).filter("df * 20 >= n"))
     weight = lambda k: (((F.length("feature") * 7 + F.col("df") * k) % 11) - 5) / 4.0
     label = F.explode(F.array(F.struct(F.lit("A:1").alias("label"), weight(1).alias("weight")), F.struct(F.lit("B:1").alias("label"), weight(3).alias("weight")))).alias("x")
     rows = often.select("feature", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"), label).select("feature", "idf", "x.label", "x.weight")
